@@ -39,8 +39,12 @@ def _natural(text: str):
     return (0, float(text), "") if text.lstrip("-").isdigit() else (1, 0.0, text)
 
 
+def _texts(levels: list[str]) -> Column:
+    return F.array(*[F.lit(v) for v in levels]).cast("array<string>")
+
+
 def _one_hot(value: Column, levels: list[str]) -> Column:
-    shown = F.array(*[F.lit(v) for v in levels])
+    shown = _texts(levels)
     return F.transform(shown, lambda v: F.when(v == value, 1.0).otherwise(0.0))
 
 
@@ -53,10 +57,12 @@ class Design:
     numeric: tuple[str, ...] = ()
     intercept: bool = False
     drop_first: bool = False
+    aliased: tuple[str, ...] = ()
 
     def shown_levels(self, factor: str) -> list[str]:
         levels = self.factors[factor]
-        return levels[1:] if self.drop_first else levels
+        levels = levels[1:] if self.drop_first else levels
+        return [v for v in levels if f"{factor}={v}" not in self.aliased]
 
     @property
     def names(self) -> list[str]:
@@ -95,8 +101,7 @@ class Design:
         """Factor values as positions in their shown levels (0 = none)."""
         positions = []
         for f in self.factors:
-            levels = F.array(*[F.lit(v) for v in self.shown_levels(f)])
-            at = F.array_position(levels, F.col(f).cast("string"))
+            at = F.array_position(_texts(self.shown_levels(f)), F.col(f).cast("string"))
             positions.append(F.coalesce(at, F.lit(0)))
         return F.array(*positions).cast("array<int>")
 

@@ -9,6 +9,7 @@ of p + 1 numbers per group.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import replace
 
 import numpy as np
 import pandas as pd
@@ -71,6 +72,25 @@ def solve_gram(m: np.ndarray) -> np.ndarray:
     return v @ ((v.T @ xty) / values[keep])
 
 
+def drop_aliased(rows: DataFrame, design: Design, tol: float = 1e-9) -> Design:
+    """Leave out factor levels that are combinations of earlier columns.
+
+    Needed where a solver wants full rank: one Gram pass finds, column by column, what is
+    left after projecting on the columns kept so far.
+    """
+    pieces = gram(rows, design).collect()  # p + 1 rows of p + 1 numbers
+    m = np.vstack([r["row"] for r in sorted(pieces, key=lambda r: r["i"])])[:-1, :-1]
+    size = np.sqrt(np.maximum(np.diag(m), 0.0))
+    unit = m / np.outer(np.where(size > 0, size, 1.0), np.where(size > 0, size, 1.0))
+    left, aliased = unit.copy(), []
+    for j, name in enumerate(design.names):
+        if left[j, j] > tol:
+            left = left - np.outer(left[:, j], left[j, :]) / left[j, j]
+        elif "=" in name:
+            aliased.append(name)
+    return replace(design, aliased=tuple(aliased))
+
+
 def fit_ols(rows: DataFrame, design: Design, by: str | None = None) -> DataFrame:
     """Least squares per group -> (by, lag_beta, ext_beta, n_rows).
 

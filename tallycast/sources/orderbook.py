@@ -158,6 +158,17 @@ def daily_cells(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+def weekly_prices(spark: SparkSession, root: str) -> DataFrame:
+    """Average price per (store, item, week) of the daily view (D5)."""
+    week = F.floor((day_index("date") - 1) / 7).cast("int")
+    return (
+        order_lines(spark, root)
+        .groupBy(F.col("state_id").alias("store_id"), F.col("cat_id").alias("item_id"),
+                 week.alias("wm_yr_wk"))
+        .agg(F.try_divide(F.sum("amount").cast("double"), F.sum("quantity")).alias("sell_price"))
+    )
+
+
 def last_day(spark: SparkSession, root: str) -> int:
     """Newest day index of the order book."""
     return _table(spark, root, "lineitem").agg(F.max(day_index("l_shipdate"))).first()[0]
