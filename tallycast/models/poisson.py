@@ -20,11 +20,19 @@ _RIDGE = 1e-8
 
 
 def fit_poisson(rows: DataFrame, design: Design, max_iter: int = 25, tol: float = 1e-8):
-    """Poisson GLM by MLlib; the design needs ``intercept`` and ``drop_first``."""
-    data = rows.select("y", design.vector().alias("features"))
-    return GeneralizedLinearRegression(
+    """Poisson GLM by MLlib; the design needs ``intercept`` and ``drop_first``.
+
+    The solver reads its input once per iteration, so the assembled rows are kept.
+    """
+    glm = GeneralizedLinearRegression(
         family="poisson", link="log", labelCol="y", maxIter=max_iter, tol=tol
-    ).fit(data)
+    )
+    data = rows.select("y", design.vector().alias("features"))
+    data = data.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return glm.fit(data)
+    finally:
+        data.unpersist()
 
 
 @dataclass
