@@ -160,8 +160,8 @@ def _revenue(rule: str) -> str:
 
 
 def _series_revenue(s, r, rule):
-    return scoring.series_revenue(ob.monthly_sales(s, r), ob.monthly_calendar(s, r),
-                                  ob.monthly_prices(s, r), CUTOFF, H, rule)
+    view = ob.monthly_view(s, r, staged=True)
+    return scoring.series_revenue(view.sales(), ob.monthly_calendar(s, r), view.prices(), CUTOFF, H, rule)
 
 
 for _rule in ("strict", "lenient"):
@@ -197,8 +197,9 @@ GROUP BY level_id, name"""
 
 
 def _train_nodes(s, r):
-    train = ob.monthly_sales(s, r).where(F.col("d") <= CUTOFF)
-    return score.train_hierarchy(train, ob.monthly_calendar(s, r), ob.monthly_prices(s, r))
+    view = ob.monthly_view(s, r, staged=True)
+    train = view.sales().where(F.col("d") <= CUTOFF)
+    return score.train_hierarchy(train, ob.monthly_calendar(s, r), view.prices())
 
 
 @query("f7_scale", sql(
@@ -239,10 +240,10 @@ def _score_ctes(kind: str) -> dict[str, str]:
 
 
 def _node_scores(s, r, kind):
-    sales = ob.monthly_sales(s, r)
+    view = ob.monthly_view(s, r, staged=True)
+    sales = view.sales()
     fc = FORECASTS[kind][0](sales, CUTOFF, H)
-    return score.score_forecasts(fc, sales, ob.monthly_calendar(s, r), ob.monthly_prices(s, r),
-                                 CUTOFF, H, "lenient")
+    return score.score_forecasts(fc, sales, ob.monthly_calendar(s, r), view.prices(), CUTOFF, H, "lenient")
 
 
 query("f8_mse", sql("SELECT level_id, name, round(mse, 6) AS mse FROM err", "sales", **_score_ctes("naive")))(
@@ -291,9 +292,10 @@ def _daily_ctes() -> dict[str, str]:
     "SELECT round(CASE WHEN count(*) = count(wrmsse) THEN sum(wrmsse) END, 7) AS wrmsse, "
     "count(*) FILTER (WHERE wrmsse IS NULL) AS unscored_nodes FROM scored", "dsales", "wprices", **_daily_ctes()))
 def wrmsse_final(s, r):
-    sales = ob.daily_sales(s, r)
+    view = ob.daily_view(s, r, staged=True)
+    sales = view.sales()
     fc = forecast.seasonal_naive(sales, D_CUT, 28, 28)
-    return score.final_score(fc, sales, ob.daily_calendar(s, r), ob.weekly_prices(s, r), D_CUT, 28, "lenient") \
+    return score.final_score(fc, sales, view.calendar(), view.weekly_prices(), D_CUT, 28, "lenient") \
         .withColumn("wrmsse", F.round("wrmsse", 7))
 
 

@@ -46,8 +46,8 @@ SELECT t.id, k.cluster_id, t.d, round(t.y, 9) AS y, round(t.lag1, 9) AS lag1, ro
 FROM lagged t JOIN clusters k USING (cat_id) JOIN externals e ON e.d = t.d AND e.state_id = t.state_id
 WHERE t.lag28 IS NOT NULL""", "dsales", "externals", normal=_NORMAL, lagged=_LAGGED, clusters=_CLUSTERS))
 def training_matrix(s, r):
-    sales = ob.daily_sales(s, r)
-    rows = lags.training_matrix(sales, ob.daily_calendar(s, r), 28, ob.category_clusters(ob.daily_cells(s, r)))
+    view = ob.daily_view(s, r, staged=True)
+    rows = lags.training_matrix(view.sales(), view.calendar(), 28, view.clusters())
     return rows.select("id", "cluster_id", "d", F.round("y", 9).alias("y"),
                        F.round(F.element_at("lags", 1), 9).alias("lag1"),
                        F.round(F.element_at("lags", 28), 9).alias("lag28"), *EXTERNALS)
@@ -67,7 +67,8 @@ def test_frame(s, r):
 
 
 def _cluster_rows(s, r, n):
-    series_rows = lags.prepare_series(ob.daily_sales(s, r), ob.category_clusters(ob.daily_cells(s, r)))
+    view = ob.daily_view(s, r, staged=True)
+    series_rows = lags.prepare_series(view.sales(), view.clusters())
     return lags.embed_arrays(series_rows, n)
 
 
@@ -101,8 +102,8 @@ def cluster_ols_two_lags(s, r):
 
 @query("m4_m18_cluster_ols_forecast")
 def cluster_ols(s, r):
-    sales = ob.daily_sales(s, r)
-    return forecast.cluster_forecast(sales, ob.daily_calendar(s, r), ob.category_clusters(ob.daily_cells(s, r)), 28, 28)
+    view = ob.daily_view(s, r, staged=True)
+    return forecast.cluster_forecast(view.sales(), view.calendar(), view.clusters(), 28, 28)
 
 
 @query("m5_linear_one_lag", sql(
@@ -117,7 +118,8 @@ def linear_one_lag(s, r):
 
 @query("m5_global_linear_forecast")
 def global_linear(s, r):
-    return forecast.global_linear_forecast(ob.daily_sales(s, r), ob.daily_calendar(s, r), ob.weekly_prices(s, r), 56, 28)
+    view = ob.daily_view(s, r, staged=True)
+    return forecast.global_linear_forecast(view.sales(), view.calendar(), view.weekly_prices(), 56, 28)
 
 
 # -- Poisson ------------------------------------------------------------------------
@@ -144,8 +146,9 @@ def poisson_means(s, r):
 
 @query("m6_poisson_forecast")
 def poisson_forecast(s, r):
-    price = ob.daily_cells(s, r).select("id", "d", "price")
-    return forecast.poisson_forecast(ob.daily_sales(s, r), ob.daily_calendar(s, r), price, 10, 28)
+    view = ob.daily_view(s, r, staged=True)
+    price = view.priced_cells().select("id", "d", "price")
+    return forecast.poisson_forecast(view.sales(), view.calendar(), price, 10, 28)
 
 
 @query("m7_zip_by_category", sql("""
@@ -166,8 +169,9 @@ def zip_by_category(s, r):
 
 @query("m7_zip_forecast")
 def zip_forecast(s, r):
-    price = ob.daily_cells(s, r).select("id", "d", "price")
-    return forecast.poisson_forecast(ob.daily_sales(s, r), ob.daily_calendar(s, r), price, 10, 28,
+    view = ob.daily_view(s, r, staged=True)
+    price = view.priced_cells().select("id", "d", "price")
+    return forecast.poisson_forecast(view.sales(), view.calendar(), price, 10, 28,
                                      zero_inflated=True, max_iter=10)
 
 
@@ -182,7 +186,8 @@ _FLAGGED = ("SELECT s.cat_id, s.sales AS y, e.weekday_flag AS g FROM dsales s "
 def _flag_rows(s, r):
     from tallycast.operators.joins import external_vars
 
-    sales, cal = ob.daily_sales(s, r), ob.daily_calendar(s, r)
+    view = ob.daily_view(s, r, staged=True)
+    sales, cal = view.sales(), view.calendar()
     return external_vars(sales, cal).withColumnRenamed("sales", "y"), \
         default_design(cal, 0, calendar_factors=("weekday_flag",))
 
@@ -215,15 +220,16 @@ def boost_by_cluster(s, r):
 
 @query("m8_m10_global_boost_forecast")
 def global_boost(s, r):
-    price = ob.daily_cells(s, r).select("id", "d", "price")
-    return forecast.boosted_forecast(ob.daily_sales(s, r), ob.daily_calendar(s, r), price, 10, 28, SHORT)
+    view = ob.daily_view(s, r, staged=True)
+    price = view.priced_cells().select("id", "d", "price")
+    return forecast.boosted_forecast(view.sales(), view.calendar(), price, 10, 28, SHORT)
 
 
 @query("m9_cluster_boost_forecast")
 def cluster_boost(s, r):
     tiny = boost.BoostParams(rounds=1, num_leaves=4, checkpoint_every=1, **BASE)
-    return forecast.cluster_forecast(ob.daily_sales(s, r), ob.daily_calendar(s, r),
-                                     ob.category_clusters(ob.daily_cells(s, r)), 28, 28, "boost", tiny)
+    view = ob.daily_view(s, r, staged=True)
+    return forecast.cluster_forecast(view.sales(), view.calendar(), view.clusters(), 28, 28, "boost", tiny)
 
 
 # -- recursion ----------------------------------------------------------------------
@@ -401,4 +407,5 @@ def holdout_window(s, r):
     levels_sql("masked", lenient_sum("value") + " AS value", bottom=strict_sum("value") + " AS value"),
     "sales", masked=_MASKED))
 def train_hierarchy(s, r):
-    return score.train_hierarchy(ob.monthly_sales(s, r), ob.monthly_calendar(s, r), ob.monthly_prices(s, r))
+    view = ob.monthly_view(s, r, staged=True)
+    return score.train_hierarchy(view.sales(), ob.monthly_calendar(s, r), view.prices())

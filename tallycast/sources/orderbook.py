@@ -7,10 +7,14 @@ type, type+brand, nation and region.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallycast.schema import KEYS
+from tallycast.session import stage
 
 # First day and month of the order book's calendar, its number of months,
 # the fixed-date events, and the day-of-month span of each region's support days.
@@ -67,7 +71,6 @@ def order_lines(spark: SparkSession, root: str) -> DataFrame:
         .join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
         .join(region, F.col("n_regionkey") == F.col("r_regionkey"))
         .select(
-            F.concat_ws("_", "item_id", "store_id").alias("id"),
             "item_id", "dept_id", "cat_id", "store_id", "state_id",
             "date", "quantity", "amount",
         )
@@ -79,18 +82,18 @@ def month_index(date: Column | str) -> Column:
     return (F.year(date) - F.lit(FIRST_YEAR)) * 12 + F.month(date)
 
 
-def monthly_cells(spark: SparkSession, root: str) -> DataFrame:
-    """Non-empty (series, month) cells: sales and average price."""
-    return (
-        order_lines(spark, root)
-        .groupBy(*KEYS, month_index("date").alias("d"))
-        .agg(
-            F.sum("quantity").alias("sales"),
-            F.try_divide(F.sum("amount").cast("double"), F.sum("quantity")).alias("sell_price"),
-        )
+def _totals(keys: dict[str, Column | str], lines: DataFrame) -> DataFrame:
+    """Quantity and amount per key: partial sums before the only shuffle."""
+    named = [F.col(c).alias(k) if isinstance(c, str) else c.alias(k) for k, c in keys.items()]
+    return lines.groupBy(*named).agg(
+        F.sum("quantity").alias("sales"), F.sum("amount").alias("amount")
     )
 
 
+def _price() -> Column:
+    return F.try_divide(F.col("amount").cast("double"), F.col("sales"))
+
+
 def densify(cells: DataFrame, keys: list[str], first: int, last: int, value: str = "sales",
             fill: float | None = 0.0) -> DataFrame:
     """All periods ``first..last`` of every series; absent cells get ``fill``.
@@ -107,24 +110,53 @@ def densify(cells: DataFrame, keys: list[str], first: int, last: int, value: str
     )
 
 
+@dataclass(frozen=True)
+class MonthlyView:
+    """Monthly demand of item x store series; ``cells`` holds the non-empty months."""
+
+    cells: DataFrame
+
+    def priced_cells(self) -> DataFrame:
+        return self.cells.select(*KEYS, "d", "sales", _price().alias("sell_price"))
+
+    def sales(self, fill: float | None = 0.0) -> DataFrame:
+        """Dense monthly sales of every series (D2)."""
+        return densify(self.cells.select(*KEYS, "d", "sales"), KEYS, 1, N_MONTHS, fill=fill)
+
+    def prices(self) -> DataFrame:
+        """Average price per (store, item, period), the period in the week column (D5)."""
+        return self.cells.select(
+            "store_id", "item_id", F.col("d").cast("int").alias("wm_yr_wk"),
+            _price().alias("sell_price"),
+        )
+
+
+def monthly_view(spark: SparkSession, root: str, staged: bool = False) -> MonthlyView:
+    """The monthly view; ``staged`` writes its cells once for jobs that use them often."""
+    keys = {k: k for k in KEYS if k != "id"}
+    cells = _totals({**keys, "d": month_index("date")}, order_lines(spark, root)) \
+        .withColumn("id", F.concat_ws("_", "item_id", "store_id"))
+    return MonthlyView(stage(cells, "monthly") if staged else cells)
+
+
+def monthly_cells(spark: SparkSession, root: str) -> DataFrame:
+    """Non-empty (series, month) cells: sales and average price."""
+    return monthly_view(spark, root).priced_cells()
+
+
 def monthly_sales(spark: SparkSession, root: str, fill: float | None = 0.0) -> DataFrame:
-    """Dense monthly sales of every series (D2)."""
-    cells = monthly_cells(spark, root).select(*KEYS, "d", "sales")
-    return densify(cells, KEYS, 1, N_MONTHS, fill=fill)
+    return monthly_view(spark, root).sales(fill)
 
 
 def monthly_prices(spark: SparkSession, root: str) -> DataFrame:
-    """Average price per (store, item, period), the period in the week column (D5)."""
-    return monthly_cells(spark, root).select(
-        "store_id", "item_id", F.col("d").cast("int").alias("wm_yr_wk"), "sell_price"
-    )
+    return monthly_view(spark, root).prices()
 
 
 def monthly_calendar(spark: SparkSession, root: str) -> DataFrame:
     """One row per month: d, date of its first day, and d as the pricing period."""
     bounds = _table(spark, root, "lineitem").agg(
-        F.min(month_index("l_shipdate")).alias("a"), F.max(month_index("l_shipdate")).alias("b")
-    ).first()
+        F.min("l_shipdate").alias("a"), F.max("l_shipdate").alias("b")
+    ).select(month_index("a").alias("a"), month_index("b").alias("b")).first()
     return spark.range(bounds["a"], bounds["b"] + 1).select(
         F.col("id").cast("int").alias("d"),
         F.col("id").cast("int").alias("wm_yr_wk"),
@@ -141,43 +173,69 @@ def day_index(date: Column | str) -> Column:
     return F.datediff(F.to_date(date), F.lit(EPOCH).cast("date")) + 1
 
 
-def daily_cells(spark: SparkSession, root: str) -> DataFrame:
-    """Non-empty (category x region, day) cells with sales and average price."""
-    name = F.concat_ws("_", "cat_id", "state_id")
-    return (
-        order_lines(spark, root)
-        .groupBy("cat_id", "state_id", day_index("date").alias("d"))
-        .agg(
-            F.sum("quantity").alias("sales"),
-            F.try_divide(F.sum("amount").cast("double"), F.sum("quantity")).alias("price"),
-        )
-        .select(
-            name.alias("id"), F.col("cat_id").alias("item_id"), F.col("cat_id").alias("dept_id"),
-            "cat_id", F.col("state_id").alias("store_id"), "state_id", "d", "sales", "price",
-        )
-    )
+@dataclass(frozen=True)
+class DailyView:
+    """Daily demand of category x region series; ``cells`` holds the non-empty days."""
 
+    cells: DataFrame
+    last: int
 
-def weekly_prices(spark: SparkSession, root: str) -> DataFrame:
-    """Average price per (store, item, week) of the daily view (D5)."""
-    week = F.floor((day_index("date") - 1) / 7).cast("int")
-    return (
-        order_lines(spark, root)
-        .groupBy(F.col("state_id").alias("store_id"), F.col("cat_id").alias("item_id"),
-                 week.alias("wm_yr_wk"))
-        .agg(F.try_divide(F.sum("amount").cast("double"), F.sum("quantity")).alias("sell_price"))
-    )
+    def priced_cells(self) -> DataFrame:
+        return self.cells.select(*KEYS, "d", "sales", _price().alias("price"))
+
+    def sales(self) -> DataFrame:
+        """Dense daily sales of every series (D2)."""
+        return densify(self.cells.select(*KEYS, "d", "sales"), KEYS, 1, self.last)
+
+    def weekly_prices(self) -> DataFrame:
+        """Average price per (store, item, week) (D5)."""
+        week = F.floor((F.col("d") - 1) / 7).cast("int")
+        return self.cells.groupBy("store_id", "item_id", week.alias("wm_yr_wk")).agg(
+            F.sum("sales").alias("sales"), F.sum("amount").alias("amount")
+        ).select("store_id", "item_id", "wm_yr_wk", _price().alias("sell_price"))
+
+    def calendar(self, horizon: int = 28) -> DataFrame:
+        return calendar_days(self.cells.sparkSession, self.last, horizon)
+
+    def clusters(self) -> DataFrame:
+        return category_clusters(self.cells)
 
 
 def last_day(spark: SparkSession, root: str) -> int:
     """Newest day index of the order book."""
-    return _table(spark, root, "lineitem").agg(F.max(day_index("l_shipdate"))).first()[0]
+    newest = _table(spark, root, "lineitem").agg(F.max("l_shipdate").alias("t"))
+    return newest.select(day_index("t")).first()[0]
 
 
-def daily_sales(spark: SparkSession, root: str, last: int | None = None) -> DataFrame:
-    """Dense daily sales of every category x region series."""
-    last = last or last_day(spark, root)
-    return densify(daily_cells(spark, root).select(*KEYS, "d", "sales"), KEYS, 1, last)
+def daily_view(spark: SparkSession, root: str, staged: bool = False) -> DailyView:
+    """The daily view; ``staged`` writes its cells once for jobs that use them often."""
+    keys = {"cat_id": "cat_id", "state_id": "state_id", "d": day_index("date")}
+    cells = _totals(keys, order_lines(spark, root)).withColumns({
+        "id": F.concat_ws("_", "cat_id", "state_id"), "item_id": F.col("cat_id"),
+        "dept_id": F.col("cat_id"), "store_id": F.col("state_id"),
+    })
+    if staged:
+        cells = stage(cells, "daily")
+        return DailyView(cells, cells.agg(F.max("d")).first()[0])
+    return DailyView(cells, last_day(spark, root))
+
+
+def daily_cells(spark: SparkSession, root: str) -> DataFrame:
+    """Non-empty (series, day) cells with sales and average price."""
+    return daily_view(spark, root).priced_cells()
+
+
+def daily_sales(spark: SparkSession, root: str) -> DataFrame:
+    return daily_view(spark, root).sales()
+
+
+def weekly_prices(spark: SparkSession, root: str) -> DataFrame:
+    return daily_view(spark, root).weekly_prices()
+
+
+def daily_calendar(spark: SparkSession, root: str, horizon: int = 28) -> DataFrame:
+    """Calendar from day 1 to ``horizon`` days past the newest order (D4)."""
+    return calendar_days(spark, last_day(spark, root), horizon)
 
 
 def _event(rules: dict, part: int) -> Column:
@@ -188,14 +246,12 @@ def _event(rules: dict, part: int) -> Column:
     return label
 
 
-def daily_calendar(spark: SparkSession, root: str, horizon: int = 28,
-                   last: int | None = None) -> DataFrame:
-    """Calendar from day 1 to ``horizon`` days past the newest order (D4).
+def calendar_days(spark: SparkSession, last: int, horizon: int) -> DataFrame:
+    """Calendar of days 1 to ``last + horizon``.
 
     It is a projected ``range``, so Spark knows its size and broadcasts it by its own
     threshold.
     """
-    last = last or last_day(spark, root)
     days = spark.range(1, last + horizon + 1).select(
         F.col("id").cast("int").alias("d"),
         F.date_add(F.lit(EPOCH).cast("date"), F.col("id").cast("int") - 1).alias("date"),
@@ -222,8 +278,6 @@ def daily_calendar(spark: SparkSession, root: str, horizon: int = 28,
 
 def category_clusters(series: DataFrame) -> DataFrame:
     """(id, cluster_id): clusters numbered by category in alphabetical order."""
-    from pyspark.sql import Window as W
-
     numbered = series.select("cat_id").distinct().withColumn(
         "cluster_id", F.row_number().over(W.orderBy("cat_id"))
     )
