@@ -44,48 +44,45 @@ def _table(spark: SparkSession, root: str, name: str) -> DataFrame:
 
 
 def order_lines(spark: SparkSession, root: str) -> DataFrame:
-    """Order lines with the hierarchy keys; money as exact decimals."""
-    brand_no = F.regexp_extract("p_brand", r"(\d+)", 1).cast("int")
-    part = _table(spark, root, "part").select(
-        "p_partkey",
-        F.col("p_type").alias("cat_id"),
-        F.concat_ws("_", "p_type", (brand_no % DEPTS_PER_CATEGORY).cast("string")).alias("dept_id"),
-        F.concat_ws("_", "p_type", "p_brand").alias("item_id"),
-    )
+    """Order lines with part type, brand and nation key; money as exact decimals.
+
+    Left-deep joins to plain file scans: Spark knows each dimension's size, so the lines
+    are shuffled only for a dimension too large to broadcast. Names are attached after
+    the aggregation, which then groups and shuffles short keys.
+    """
+    part = _table(spark, root, "part").select("p_partkey", "p_type", "p_brand")
     supplier = _table(spark, root, "supplier").select("s_suppkey", "s_nationkey")
-    nation = _table(spark, root, "nation").select(
-        "n_nationkey", "n_regionkey", F.col("n_name").alias("store_id")
-    )
-    region = _table(spark, root, "region").select("r_regionkey", F.col("r_name").alias("state_id"))
     lines = _table(spark, root, "lineitem").select(
         "l_partkey", "l_suppkey",
         F.to_date("l_shipdate").alias("date"),
         F.col("l_quantity").alias("quantity"),
         F.col("l_extendedprice").cast("decimal(18,2)").alias("amount"),
     )
-    # left-deep: each dimension is a plain file scan whose size Spark knows, so the lines
-    # are shuffled only for a dimension too large to broadcast
     return (
         lines.join(part, F.col("l_partkey") == F.col("p_partkey"))
         .join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
-        .join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
-        .join(region, F.col("n_regionkey") == F.col("r_regionkey"))
-        .select(
-            "item_id", "dept_id", "cat_id", "store_id", "state_id",
-            "date", "quantity", "amount",
-        )
+        .select("p_type", "p_brand", "s_nationkey", "date", "quantity", "amount")
     )
 
 
+def _nations(spark: SparkSession, root: str) -> DataFrame:
+    return _table(spark, root, "nation").select(
+        "n_nationkey", "n_regionkey", F.col("n_name").alias("store_id")
+    )
+
+
+def _regions(spark: SparkSession, root: str) -> DataFrame:
+    return _table(spark, root, "region").select("r_regionkey", F.col("r_name").alias("state_id"))
+
+
 def month_index(date: Column | str) -> Column:
     """Months since the first year, 1-based."""
     return (F.year(date) - F.lit(FIRST_YEAR)) * 12 + F.month(date)
 
 
-def _totals(keys: dict[str, Column | str], lines: DataFrame) -> DataFrame:
+def _totals(lines: DataFrame, *keys: Column | str) -> DataFrame:
     """Quantity and amount per key: partial sums before the only shuffle."""
-    named = [F.col(c).alias(k) if isinstance(c, str) else c.alias(k) for k, c in keys.items()]
-    return lines.groupBy(*named).agg(
+    return lines.groupBy(*keys).agg(
         F.sum("quantity").alias("sales"), F.sum("amount").alias("amount")
     )
 
@@ -133,9 +130,20 @@ class MonthlyView:
 
 def monthly_view(spark: SparkSession, root: str, staged: bool = False) -> MonthlyView:
     """The monthly view; ``staged`` writes its cells once for jobs that use them often."""
-    keys = {k: k for k in KEYS if k != "id"}
-    cells = _totals({**keys, "d": month_index("date")}, order_lines(spark, root)) \
-        .withColumn("id", F.concat_ws("_", "item_id", "store_id"))
+    totals = _totals(order_lines(spark, root), "p_type", "p_brand", "s_nationkey",
+                     month_index("date").alias("d"))
+    brand_no = F.regexp_extract("p_brand", r"(\d+)", 1).cast("int")
+    dept_no = (brand_no % DEPTS_PER_CATEGORY).cast("string")
+    cells = (
+        totals.join(_nations(spark, root), F.col("s_nationkey") == F.col("n_nationkey"))
+        .join(_regions(spark, root), F.col("n_regionkey") == F.col("r_regionkey"))
+        .select(
+            F.concat_ws("_", "p_type", "p_brand", "store_id").alias("id"),
+            F.concat_ws("_", "p_type", "p_brand").alias("item_id"),
+            F.concat_ws("_", "p_type", dept_no).alias("dept_id"),
+            F.col("p_type").alias("cat_id"), "store_id", "state_id", "d", "sales", "amount",
+        )
+    )
     return MonthlyView(stage(cells, "monthly") if staged else cells)
 
 
@@ -209,11 +217,14 @@ def last_day(spark: SparkSession, root: str) -> int:
 
 def daily_view(spark: SparkSession, root: str, staged: bool = False) -> DailyView:
     """The daily view; ``staged`` writes its cells once for jobs that use them often."""
-    keys = {"cat_id": "cat_id", "state_id": "state_id", "d": day_index("date")}
-    cells = _totals(keys, order_lines(spark, root)).withColumns({
-        "id": F.concat_ws("_", "cat_id", "state_id"), "item_id": F.col("cat_id"),
-        "dept_id": F.col("cat_id"), "store_id": F.col("state_id"),
-    })
+    nations = _nations(spark, root).drop("store_id")
+    lines = order_lines(spark, root).join(nations, F.col("s_nationkey") == F.col("n_nationkey"))
+    totals = _totals(lines, "p_type", "n_regionkey", day_index("date").alias("d"))
+    cells = totals.join(_regions(spark, root), F.col("n_regionkey") == F.col("r_regionkey")).select(
+        F.concat_ws("_", "p_type", "state_id").alias("id"), F.col("p_type").alias("item_id"),
+        F.col("p_type").alias("dept_id"), F.col("p_type").alias("cat_id"),
+        F.col("state_id").alias("store_id"), "state_id", "d", "sales", "amount",
+    )
     if staged:
         cells = stage(cells, "daily")
         return DailyView(cells, cells.agg(F.max("d")).first()[0])
