@@ -42,7 +42,7 @@ class BoostParams:
     row_sample: float = 0.75
     rounds: int = 1200
     seed: int = 777
-    checkpoint_every: int = 5
+    checkpoint_every: int = 10
     max_bins: int = 64
 
     @property
@@ -284,7 +284,8 @@ def save_boosted(model: BoostModel, spark: SparkSession, path: str) -> None:
 
 def load_boosted(spark: SparkSession, path: str) -> BoostModel:
     meta = json.loads(spark.read.text(f"{path}/meta").first()[0])
-    design = Design(**{**meta["design"], "numeric": tuple(meta["design"]["numeric"])})
+    lists = {k: tuple(meta["design"][k]) for k in ("numeric", "aliased")}
+    design = Design(**{**meta["design"], **lists})
     model = BoostModel(meta["base"], design, BoostParams(**meta["params"]))
     rows = spark.read.parquet(f"{path}/trees").orderBy("round", "node").collect()
     for row in rows:

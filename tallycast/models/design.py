@@ -24,14 +24,19 @@ MAX_LEVELS = 5_000
 
 
 def factor_levels(df: DataFrame, factors: list[str], max_levels: int = MAX_LEVELS) -> dict[str, list[str]]:
-    """Sorted distinct levels (as text) of each factor."""
-    levels = {}
-    for f in factors:
-        values = df.select(F.col(f).cast("string").alias("v")).where("v is not null").distinct()
-        rows = values.limit(max_levels + 1).collect()
-        if len(rows) > max_levels:
+    """Sorted distinct levels (as text) of each factor, from one pass over ``df``."""
+    pairs = F.array(*[
+        F.struct(F.lit(f).alias("f"), F.col(f).cast("string").alias("v")) for f in factors
+    ])
+    found = df.select(F.explode(pairs).alias("p")).select("p.f", "p.v") \
+        .where("v is not null").distinct()
+    levels: dict[str, list[str]] = {f: [] for f in factors}
+    for row in found.limit(max_levels * len(factors) + 1).collect():
+        levels[row["f"]].append(row["v"])
+    for f, values in levels.items():
+        if len(values) > max_levels:
             raise ValueError(f"factor {f} has more than {max_levels} levels")
-        levels[f] = sorted((r["v"] for r in rows), key=_natural)
+        values.sort(key=_natural)
     return levels
 
 

@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 
 from tallycast.functions.arrays import window_before
 from tallycast.functions.nulls import ratio
-from tallycast.operators.joins import external_vars, future_frame
+from tallycast.operators.joins import (
+    external_vars, future_days, future_frame, with_daily_price, with_price,
+)
 from tallycast.schema import KEYS
 
 
@@ -36,14 +38,18 @@ def cumulative_count(df: DataFrame, by: list[str] | None = None, period: str = "
 
 
 def series_arrays(sales: DataFrame, value: str = "sales", keys: list[str] | None = None,
-                  period: str = "d") -> DataFrame:
-    """One row per series: its periods and values in order, and the mean."""
-    points = F.sort_array(F.collect_list(F.struct(F.col(period).alias("d"),
-                                                  F.col(value).alias("y"))))
-    return sales.groupBy(*(keys or KEYS)).agg(
-        points.alias("_points"), F.avg(value).alias("mean")
+                  period: str = "d", carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per series: its periods and values in order, and the mean.
+
+    ``carry`` columns come along as arrays of the same length, named ``<column>s``.
+    """
+    keys = keys or KEYS
+    point = F.struct(F.col(period).alias("d"), F.col(value).alias("y"), *carry)
+    return sales.groupBy(*keys).agg(
+        F.sort_array(F.collect_list(point)).alias("_points"), F.avg(value).alias("mean")
     ).select(
-        *(keys or KEYS), F.col("_points.d").alias("ds"), F.col("_points.y").alias("ys"), "mean"
+        *keys, F.col("_points.d").alias("ds"), F.col("_points.y").alias("ys"),
+        *[F.col(f"_points.{c}").alias(f"{c}s") for c in carry], "mean",
     )
 
 
@@ -52,19 +58,24 @@ def normalize_arrays(series: DataFrame) -> DataFrame:
     return series.withColumn("ys", F.transform("ys", lambda y: ratio(y, F.col("mean"))))
 
 
-def embed_arrays(series: DataFrame, n: int) -> DataFrame:
-    """Full lag windows of each series array: rows (keys, mean, d, y, lags newest first)."""
-    keys = [c for c in series.columns if c not in ("ds", "ys")]
+def embed_arrays(series: DataFrame, n: int, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Full lag windows of each series array: rows (keys, mean, d, y, lags newest first).
+
+    ``carry`` columns are taken at the window's target period.
+    """
+    arrays = ["ds", "ys", *[f"{c}s" for c in carry]]
+    keys = [c for c in series.columns if c not in arrays]
     window = F.transform(
         F.sequence(F.lit(n + 1), F.size("ds")),
         lambda i: F.struct(
             F.element_at("ds", i).alias("d"),
             F.element_at("ys", i).alias("y"),
+            *[F.element_at(f"{c}s", i).alias(c) for c in carry],
             window_before(F.col("ys"), i, n).alias("lags"),
         ),
     )
     return series.where(F.size("ds") > n).select(*keys, F.explode(window).alias("_w")) \
-        .select(*keys, "_w.d", "_w.y", "_w.lags")
+        .select(*keys, "_w.*")
 
 
 def embed(sales: DataFrame, n: int, value: str = "sales", keys: list[str] | None = None,
@@ -100,13 +111,13 @@ def forecast_origin(sales: DataFrame, cutoff: int, n: int, value: str = "sales",
 
 
 def prepare_series(sales: DataFrame, clusters: DataFrame | None = None,
-                   normalized: bool = True) -> DataFrame:
+                   normalized: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
     """Series arrays, optionally with a cluster and divided by their mean.
 
     All-zero series have no normalised values; they are left out of training and keep
     ``mean = 0``.
     """
-    series = series_arrays(sales)
+    series = series_arrays(sales, carry=carry)
     if clusters is not None:
         series = series.join(clusters.select("id", "cluster_id"), "id")
     if normalized:
@@ -114,23 +125,42 @@ def prepare_series(sales: DataFrame, clusters: DataFrame | None = None,
     return series
 
 
+def _with_prices(rows: DataFrame, calendar: DataFrame, prices: DataFrame | None,
+                 daily_price: DataFrame | None) -> tuple[DataFrame, tuple[str, ...]]:
+    """Left-join the given price table onto narrow rows; the column it adds."""
+    if prices is not None:
+        return with_price(rows, calendar, prices).drop("wm_yr_wk"), ("sell_price",)
+    if daily_price is not None:
+        return with_daily_price(rows, daily_price, "left"), ("price",)
+    return rows, ()
+
+
 def training_matrix(sales: DataFrame, calendar: DataFrame, n: int,
                     clusters: DataFrame | None = None, prices: DataFrame | None = None,
-                    normalized: bool = True) -> DataFrame:
+                    normalized: bool = True, daily_price: DataFrame | None = None) -> DataFrame:
     """Pooled training rows: y, lags and the external variables of the target day.
 
     One shuffle by series builds arrays, windows and means together; the calendar is
-    joined on the day afterwards. Windows with a missing value are dropped.
+    joined on the day afterwards. A price (weekly ``prices`` or ``daily_price``) is
+    attached before the lags exist, so no join ever moves rows with their lag arrays.
+    Windows with a missing value are dropped; a missing price stays null.
     """
-    series = prepare_series(sales, clusters, normalized)
-    rows = embed_arrays(series, n)
+    priced, carry = _with_prices(sales, calendar, prices, daily_price)
+    rows = embed_arrays(prepare_series(priced, clusters, normalized, carry), n, carry)
     complete = F.col("y").isNotNull() & ~F.exists("lags", lambda x: x.isNull())
-    return external_vars(rows.where(complete), calendar, prices)
+    return external_vars(rows.where(complete), calendar)
 
 
 def test_frame(sales: DataFrame, calendar: DataFrame, n: int, horizon: int,
                clusters: DataFrame | None = None, prices: DataFrame | None = None,
-               normalized: bool = True) -> DataFrame:
-    """One row per series and future step: newest lags plus that day's externals."""
-    series = prepare_series(sales, clusters, normalized)
-    return future_frame(_origin(series, n), calendar, F.col("origin"), horizon, prices)
+               normalized: bool = True, daily_price: DataFrame | None = None) -> DataFrame:
+    """One row per series and future step: newest lags plus that day's externals.
+
+    With prices the future days are priced without the lags, which join back by series.
+    """
+    origin = _origin(prepare_series(sales, clusters, normalized), n)
+    if prices is None and daily_price is None:
+        return future_frame(origin, calendar, F.col("origin"), horizon)
+    days = future_days(origin.drop("lags", "mean"), F.col("origin"), horizon)
+    priced, _ = _with_prices(days, calendar, prices, daily_price)
+    return external_vars(priced, calendar).join(origin.select("id", "lags", "mean"), "id")

@@ -107,14 +107,14 @@ def poisson_forecast(sales: DataFrame, calendar: DataFrame, daily_price: DataFra
     ``daily_price`` (id, d, price) adds the price to both parts; training days without
     one are left out, and a future day without one takes the series' newest price.
     """
-    rows = training_matrix(sales, calendar, n_lags, normalized=False)
-    frame = test_frame(sales, calendar, n_lags, horizon, normalized=False)
+    rows = training_matrix(sales, calendar, n_lags, normalized=False, daily_price=daily_price)
+    frame = test_frame(sales, calendar, n_lags, horizon, normalized=False, daily_price=daily_price)
     numeric: tuple[str, ...] = ()
     if daily_price is not None:
         numeric = ("price",)
-        rows = rows.join(daily_price, ["id", "d"])
+        rows = rows.where(F.col("price").isNotNull())
         newest = daily_price.groupBy("id").agg(F.max_by("price", "d").alias("_newest"))
-        frame = frame.join(daily_price, ["id", "d"], "left").join(newest, "id", "left") \
+        frame = frame.join(newest, "id", "left") \
             .withColumn("price", F.coalesce("price", "_newest")).drop("_newest")
     shared = dict(numeric=numeric, intercept=True, drop_first=True)
     design = default_design(calendar, n_lags, statics=sales, static_factors=STATIC_FACTORS,
@@ -136,16 +136,15 @@ def boosted_forecast(sales: DataFrame, calendar: DataFrame, daily_price: DataFra
                      params: BoostParams = BoostParams()) -> DataFrame:
     """One global boosted model on raw sales, forecast recursively.
 
-    Rows without a price row are dropped; a price row with a missing price stays, with
-    an indicator.
+    Training days without a price are dropped; a future day without one keeps an
+    indicator of its absence.
     """
-    rows = training_matrix(sales, calendar, n_lags, normalized=False)
-    frame = test_frame(sales, calendar, n_lags, horizon, normalized=False)
+    rows = training_matrix(sales, calendar, n_lags, normalized=False, daily_price=daily_price)
+    frame = test_frame(sales, calendar, n_lags, horizon, normalized=False, daily_price=daily_price)
     numeric: tuple[str, ...] = ()
     if daily_price is not None:
         numeric = ("price",)
-        rows = rows.join(daily_price, ["id", "d"])
-        frame = frame.join(daily_price, ["id", "d"], "left")
+        rows = rows.where(F.col("price").isNotNull())
     design = default_design(
         calendar, n_lags, statics=sales, static_factors=STATIC_FACTORS, numeric=numeric,
         calendar_factors=POISSON_FACTORS,

@@ -26,6 +26,8 @@ def local_session(cpus: int | str = 8, memory: str = "8g") -> SparkSession:
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         # as many shuffle partitions as cores already: merging them would idle cores
         .config("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        # drop checkpoint files once their table is out of use
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
