@@ -51,6 +51,14 @@ def mean_forecast(sales: DataFrame, cutoff: int, horizon: int) -> DataFrame:
     return mean.select("id", F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("h"), "yhat")
 
 
+def fill_future_price(frame: DataFrame, prices: DataFrame, keys: list[str], price: str,
+                      period: str) -> DataFrame:
+    """A future day without a price takes the newest price of its series."""
+    newest = prices.groupBy(*keys).agg(F.max_by(price, period).alias("_newest"))
+    filled = F.coalesce(price, "_newest")
+    return frame.join(newest, keys, "left").withColumn(price, filled).drop("_newest")
+
+
 def cluster_forecast(sales: DataFrame, calendar: DataFrame, clusters: DataFrame, n_lags: int = 400,
                      horizon: int = 28, model: str = "ols",
                      params: BoostParams = BoostParams()) -> DataFrame:
@@ -78,13 +86,16 @@ def global_linear_forecast(sales: DataFrame, calendar: DataFrame, prices: DataFr
                            price: str = "sell_price", nonneg: bool = False) -> DataFrame:
     """One pooled regression with intercept over lags, price, calendar and static keys.
 
-    Rows without a price are left out of the fit, as an inner join would do.
+    Rows without a price are left out of the fit, as an inner join would do; a future day
+    without one takes the newest.
     """
     numeric = (price,) if prices is not None else ()
     rows = training_matrix(sales, calendar, n_lags, prices=prices)
     if numeric:
         rows = rows.dropna(subset=list(numeric))
     frame = test_frame(sales, calendar, n_lags, horizon, prices=prices)
+    if numeric:
+        frame = fill_future_price(frame, prices, ["store_id", "item_id"], price, "wm_yr_wk")
     design = default_design(
         calendar, n_lags, statics=sales, static_factors=static_factors, numeric=numeric,
         calendar_factors=GLOBAL_FACTORS, intercept=True, drop_first=True,
@@ -113,9 +124,7 @@ def poisson_forecast(sales: DataFrame, calendar: DataFrame, daily_price: DataFra
     if daily_price is not None:
         numeric = ("price",)
         rows = rows.where(F.col("price").isNotNull())
-        newest = daily_price.groupBy("id").agg(F.max_by("price", "d").alias("_newest"))
-        frame = frame.join(newest, "id", "left") \
-            .withColumn("price", F.coalesce("price", "_newest")).drop("_newest")
+        frame = fill_future_price(frame, daily_price, ["id"], "price", "d")
     shared = dict(numeric=numeric, intercept=True, drop_first=True)
     design = default_design(calendar, n_lags, statics=sales, static_factors=STATIC_FACTORS,
                             calendar_factors=POISSON_FACTORS, **shared)
