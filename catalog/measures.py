@@ -343,9 +343,9 @@ SELECT id, count(*) FILTER (WHERE sales > 0) AS n_demands,
 FROM sales GROUP BY id"""
 
 query("f17_demand_stats", sql(
-    "SELECT id, n_demands, round(adi, 6) AS adi, round(cv2, 8) AS cv2 FROM dem", "sales", dem=_DEMAND))(
+    "SELECT id, n_demands, round(adi, 6) AS adi, round(sqrt(cv2), 8) AS cv FROM dem", "sales", dem=_DEMAND))(
     lambda s, r: series.demand_stats(ob.monthly_sales(s, r)).select(
-        "id", "n_demands", F.round("adi", 6).alias("adi"), F.round("cv2", 8).alias("cv2")))
+        "id", "n_demands", F.round("adi", 6).alias("adi"), F.round(F.sqrt("cv2"), 8).alias("cv")))
 
 # -- lags ---------------------------------------------------------------------------
 
