@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,6 +36,30 @@ def local_session(cpus: int | str = 8, memory: str = "8g") -> SparkSession:
     )
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Put the modules of this repository on the executors, once per Spark application.
+
+    Python tasks import their functions by module name, so a session started from another
+    folder, or on a cluster without the package installed, needs the archive.
+    """
+    sc = spark.sparkContext
+    if _SHIPPED.get("application") == sc.applicationId:
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    target = os.path.join(tempfile.mkdtemp(prefix="tallycast-"), "tallycast_code.zip")
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as archive:
+        for top in ("tallycast", "catalog"):
+            for folder, _, names in os.walk(os.path.join(root, top)):
+                for name in sorted(n for n in names if n.endswith(".py")):
+                    path = os.path.join(folder, name)
+                    archive.write(path, os.path.relpath(path, root))
+    sc.addPyFile(target)
+    _SHIPPED["application"] = sc.applicationId
+
+
+_SHIPPED: dict[str, str] = {}
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """Shared folder of the cluster (``spark.checkpoint.dir``).
 
