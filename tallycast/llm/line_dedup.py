@@ -82,42 +82,41 @@ def bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOC
 
 def apply_bitmaps(docs: DataFrame, marks: DataFrame, id_col: str = "doc_id",
                   text_col: str = "text") -> DataFrame:
-    """``docs`` with its columns, plus a struct ``_lines`` (n_lines, n_dropped, kept text)."""
+    """One row per row of ``docs``: ``original`` (a struct of its other columns), n_lines,
+    n_dropped and ``kept``, the text without the dropped lines."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    left = docs.withColumns({"_text": text, "_row": _row(F.col(id_col), text)})
-    right = marks.select(F.col("doc").alias("_doc"), F.col("row").alias("_right"),
-                         F.col("dropped").alias("_dropped"))
-    joined = left.join(right, F.col(id_col).eqNullSafe(F.col("_doc"))
-                       & (F.col("_row") == F.col("_right")), "left")
+    left = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col])
+                       .alias("original"), text.alias("body"), _row(F.col(id_col), text).alias("row"))
+    right = marks.select(F.col("doc").alias("marked"), F.col("row").alias("marked_row"), "dropped")
+    joined = left.join(right, F.col(f"original.{id_col}").eqNullSafe(F.col("marked"))
+                       & (F.col("row") == F.col("marked_row")), "left")
     # word by word, so that a word's bits are looked up once for its lines
     kept = F.expr(f"""
         flatten(transform(
-          transform(sequence(0, (size(_all) - 1) div {BITS}), w -> struct(w AS word,
-            coalesce(try_element_at(map_from_entries(_dropped), cast(w AS INT)), 0L) AS bits)),
-          x -> filter(slice(_all, cast(x.word * {BITS} + 1 AS INT), {BITS}),
+          transform(sequence(0, (size(lines) - 1) div {BITS}), w -> struct(w AS word,
+            coalesce(try_element_at(map_from_entries(dropped), cast(w AS INT)), 0L) AS bits)),
+          x -> filter(slice(lines, cast(x.word * {BITS} + 1 AS INT), {BITS}),
             (line, i) -> (shiftrightunsigned(x.bits, i) & 1L) = 0L)))""")
-    return (joined.withColumn("_all", F.split("_text", "\n", -1))
-            .withColumn("_kept", F.when(F.col("_dropped").isNotNull(), kept))
-            .withColumn("_lines", F.struct(
-                F.size("_all").cast("long").alias("n_lines"),
-                F.when(F.col("_dropped").isNull(), F.lit(0)).otherwise(
-                    F.size("_all") - F.size("_kept")).cast("long").alias("n_dropped"),
-                F.when(F.col("_dropped").isNull(), F.col("_text"))
-                .otherwise(F.concat_ws("\n", "_kept")).alias("text")))
-            .drop("_text", "_row", "_doc", "_right", "_dropped", "_all", "_kept"))
+    whole = F.col("dropped").isNull()
+    return (joined.withColumn("lines", F.split("body", "\n", -1))
+            .withColumn("rest", F.when(~whole, kept))
+            .select("original", F.size("lines").cast("long").alias("n_lines"),
+                    F.when(whole, F.lit(0)).otherwise(F.size("lines") - F.size("rest"))
+                    .cast("long").alias("n_dropped"),
+                    F.when(whole, F.col("body")).otherwise(F.concat_ws("\n", "rest")).alias("kept")))
 
 
 def dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS,
           id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with ``_lines`` (n_lines, n_dropped, text without the repeated lines)."""
+    """``apply_bitmaps`` of the ``bitmaps`` of ``docs``."""
     marks = bitmaps(docs, min_chars, min_docs, id_col, text_col)
     return apply_bitmaps(docs, marks, id_col, text_col)
 
 
 def report(docs: DataFrame) -> DataFrame:
     done = dedup(docs.select("doc_id", "text"))
-    return done.select("doc_id", "_lines.n_lines", "_lines.n_dropped",
-                       F.sha2(F.col("_lines.text"), 256).alias("kept_sha256"))
+    return done.select("original.doc_id", "n_lines", "n_dropped",
+                       F.sha2("kept", 256).alias("kept_sha256"))
 
 
 SQL = r"""

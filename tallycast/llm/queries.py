@@ -6,7 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallycast.llm import decontaminate, line_dedup, packing, pii, secret_scan, token_counts
+from tallycast.llm import (
+    decontaminate,
+    lang_id,
+    line_dedup,
+    near_dup,
+    packing,
+    pii,
+    quality,
+    secret_scan,
+    token_counts,
+    vectors,
+)
 from tallycast.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,11 +48,31 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.report(table(spark, sf_dir, "documents"))
 
 
+@_register("op4_minhash", near_dup.SQL)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.report(table(spark, sf_dir, "documents"))
+
+
+@_register("op5_lang_id")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lang_id.report(table(spark, sf_dir, "documents"))
+
+
 @_register("op6_line_dedup", line_dedup.SQL)
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.report(table(spark, sf_dir, "documents"))
 
 
+@_register("op7_embedding_dedup", vectors.SQL)
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.report(table(spark, sf_dir, "embeddings"))
+
+
+@_register("op8_quality")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @_register("op9_decontamination")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"),
