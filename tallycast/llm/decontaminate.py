@@ -7,7 +7,7 @@ its words to characters of the original.
 
 The automaton is shipped to the tasks while the windows have a checked total size; the windows of
 a larger test set are cut into parts of that size, every text is scanned once by each part's
-automaton in a pass of its own, and the findings are put together by row.
+automaton in a pass of its own, and the findings are put together by the digest of the text.
 
 Defined cases: null and empty texts have no words; an item with fewer words than a window is one
 window, an item without words none; equal windows count for all their items; repeated rows are
@@ -19,6 +19,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import ahocorasick
 import numpy as np
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallycast.llm.shared import ascii_lower, small_batches
+from tallycast.llm.shared import ascii_lower, carried, small_batches
 
 WINDOW = 10
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -87,53 +88,45 @@ def matches(machine: ahocorasick.Automaton, text: str) -> tuple[int, list[tuple[
     return n_words, [(i, a, b) for (_, i, _), a, b in zip(found, starts.tolist(), ends.tolist())]
 
 
-def find(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, id_col: str = "doc_id",
+def find(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, keep: list[str] | None = None,
          text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
          automaton_chars: int = AUTOMATON_CHARS) -> DataFrame:
-    """One row per row of ``docs``: id, ``n_words``, ``n_hit`` (words inside any occurrence),
-    ``items`` (sorted as strings) and ``hits`` array<struct<item,start,end>> in code points."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    source = docs.select(F.col(id_col).alias("id"),
-                         F.coalesce(F.col(text_col), F.lit("")).alias("body"))
+    """One row per row of ``docs``: ``original`` (a struct of its columns ``keep``, default all),
+    ``n_words``, ``n_hit`` (words inside any occurrence), ``items`` (sorted as strings) and
+    ``hits`` array<struct<item,start,end>> in code points, by place."""
+    small_batches(docs.sparkSession)
+    keep = keep or docs.columns
     cut = windows(benchmark, size, item_col, item_text_col)
     chars = cut.agg(F.sum(F.length("window"))).first()[0] or 0
     parts = max(1, -(-chars // automaton_chars))
-    scans = [
-        _scan(source, cut.where(F.pmod(F.xxhash64("window"), F.lit(parts)) == k))
-        for k in range(parts)
-    ]
-    if parts == 1:
-        found = scans[0]
-    else:
-        # a row is scanned once by each automaton; what they find is put together by row
-        every = scans[0]
-        for s in scans[1:]:
-            every = every.unionByName(s)
-        merged = every.groupBy("id", "row").agg(
-            F.max("n_words").alias("n_words"), (F.sum("copies") / parts).alias("copies"),
+    scans = [_scan(docs, cut.where(F.pmod(F.xxhash64("window"), F.lit(parts)) == k), keep, text_col)
+             for k in range(parts)]
+    found = scans[0]
+    if parts > 1:
+        # each pass scans every text under one automaton; only findings are put together
+        every = [s.where(F.size("words") > 0).select("row", "words", "hits") for s in scans]
+        merged = reduce(DataFrame.unionByName, every).groupBy("row").agg(
             F.array_distinct(F.flatten(F.collect_set("words"))).alias("words"),
             F.array_distinct(F.flatten(F.collect_set("hits"))).alias("hits"))
-        found = merged.select("*", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))
-                              ).drop("col")
+        found = scans[0].drop("words", "hits").join(merged, "row", "left").withColumns({
+            "words": F.coalesce("words", F.array().cast("array<int>")),
+            "hits": F.coalesce("hits", F.array().cast(T.ArrayType(HIT)))})
     by_place = F.sort_array(F.transform("hits", lambda h: F.struct(
         h["start"].alias("start"), h["end"].alias("end"), h["item"].alias("item"))))
     return found.select(
-        F.col("id").alias(id_col), "n_words", F.size("words").cast("long").alias("n_hit"),
+        "original", "n_words", F.size("words").cast("long").alias("n_hit"),
         F.array_sort(F.array_distinct(F.col("hits.item"))).alias("items"), by_place.alias("hits"))
 
 
-def _scan(source: DataFrame, part: DataFrame) -> DataFrame:
-    """id, row, copies, n_words, words (numbers of the words hit) and hits under one automaton.
-
-    ``part`` holds windows of a checked total size.
-    """
+def _scan(docs: DataFrame, part: DataFrame, keep: list[str], text_col: str) -> DataFrame:
+    """original, row (digest of the text), n_words, words (numbers of the words hit) and hits under
+    one automaton. ``part`` holds windows of a checked total size."""
     listed = [(r["window"], list(r["items"])) for r in part.orderBy("window").collect()]
-    shipped = source.sparkSession.sparkContext.broadcast(listed)
+    shipped = docs.sparkSession.sparkContext.broadcast(listed)
+    source, texts_of = carried(docs, keep, text_col)
     schema = T.StructType([
-        source.schema["id"], T.StructField("row", T.BinaryType()),
-        T.StructField("copies", T.LongType()), T.StructField("n_words", T.LongType()),
-        T.StructField("words", T.ArrayType(T.IntegerType())),
+        source.schema["original"], T.StructField("row", T.BinaryType()),
+        T.StructField("n_words", T.LongType()), T.StructField("words", T.ArrayType(T.IntegerType())),
         T.StructField("hits", T.ArrayType(HIT))])
     hit = pa.list_(pa.struct([("item", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
@@ -141,17 +134,16 @@ def _scan(source: DataFrame, part: DataFrame) -> DataFrame:
         machine = automaton([w for w, _ in shipped.value])
         items = [i for _, i in shipped.value]
         for batch in batches:
-            texts = batch.column(1).to_pylist()
+            texts = texts_of(batch)
             out = [_one(machine, items, text) for text in texts]
+            rows = [hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+                    for t in texts]
             yield pa.RecordBatch.from_arrays([
-                batch.column(0),
-                pa.array([hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=16)
-                          .digest() for t in texts], pa.binary()),
-                pa.array([1] * len(texts), pa.int64()),
+                batch.column(0), pa.array(rows, pa.binary()),
                 pa.array([o[0] for o in out], pa.int64()),
                 pa.array([o[1] for o in out], pa.list_(pa.int32())),
                 pa.array([o[2] for o in out], hit)],
-                names=["id", "row", "copies", "n_words", "words", "hits"])
+                names=["original", "row", "n_words", "words", "hits"])
 
     return source.mapInArrow(scan, schema)
 
@@ -171,7 +163,7 @@ def _one(machine, items: list[list[str]], text: str):
 
 
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    found = find(docs, benchmark)
-    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+    found = find(docs, benchmark, keep=["doc_id"])
+    return found.select("original.doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
                         F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
                         (F.col("n_hit") > 0).alias("contaminated"))

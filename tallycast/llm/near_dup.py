@@ -30,7 +30,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -116,9 +116,11 @@ def signature(s: np.ndarray) -> bytes:
 
 
 def sketch(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """doc, n (shingles), key (of the set, null if empty) and sig, one row per row of ``docs``."""
+    """doc, row (hash of the text), n (shingles), key (of the set, null if empty) and sig, one row
+    per row of ``docs``."""
     schema = T.StructType([
-        T.StructField("doc", docs.schema[id_col].dataType), T.StructField("n", T.LongType()),
+        T.StructField("doc", docs.schema[id_col].dataType), T.StructField("row", T.LongType()),
+        T.StructField("n", T.LongType()),
         T.StructField("key", T.BinaryType()), T.StructField("sig", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,10 +132,11 @@ def sketch(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame
                 keys.append(_key(s) if len(s) else None)
                 sigs.append(signature(s) if len(s) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()),
-                 pa.array(sigs, pa.binary())], names=["doc", "n", "key", "sig"])
+                [batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(keys, pa.binary()),
+                 pa.array(sigs, pa.binary())], names=["doc", "row", "n", "key", "sig"])
 
-    return docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("body")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("body"),
+                       F.xxhash64(text_col).alias("row")).mapInArrow(run, schema)
 
 
 def _key(s: np.ndarray) -> bytes:
@@ -355,26 +358,50 @@ def find_links(docs: DataFrame, classes: DataFrame, words: int, threshold: float
 
 def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, region: int = REGION,
                     id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc, n_shingles, component (smallest id reachable over links,
-    null only if all ids are) and kept (the row that gives the component its id)."""
+    """One row per row of ``docs``: doc, row (hash of the text), n_shingles, group (null without
+    shingles), component (smallest id reachable over links, null only if all ids are) and kept
+    (the row that gives the component its id)."""
     small_batches(docs.sparkSession)
     rows = stage(sketch(docs, words, id_col, text_col), "sketch")
     classes = stage(rows.where(F.col("key").isNotNull()).groupBy("key").agg(
         F.min("doc").alias("doc"), F.first("n").alias("n"), F.first("sig").alias("sig")), "classes")
     labels = find_links(docs, classes, words, threshold, region, id_col, text_col)
     if labels is None:
-        named = classes.select("key", F.col("doc").alias("component"))
+        named = classes.select("key", F.col("key").alias("group"), F.col("doc").alias("component"))
     else:
         of_class = classes.select("key", "doc").join(
             labels.withColumnRenamed("node", "key"), "key", "left").select(
-            "key", "doc", F.coalesce("label", "key").alias("label"))
-        least = of_class.groupBy("label").agg(F.min("doc").alias("component"))
-        named = stage(of_class.join(least, "label").select("key", "component"), "named")
+            "key", "doc", F.coalesce("label", "key").alias("group"))
+        least = of_class.groupBy("group").agg(F.min("doc").alias("component"))
+        named = stage(of_class.join(least, "group").select("key", "group", "component"), "named")
     # a class that a third of all rows belong to is split by the adaptive skew join
-    joined = rows.select("doc", "n", "key").join(named, "key", "left")
+    joined = rows.select("doc", "row", "n", "key").join(named, "key", "left")
     component = F.when(F.col("key").isNull(), F.col("doc")).otherwise(F.col("component"))
-    return joined.select("doc", F.col("n").alias("n_shingles"), component.alias("component"),
-                         F.col("doc").eqNullSafe(component).alias("kept"))
+    return joined.select("doc", "row", F.col("n").alias("n_shingles"), "group",
+                         component.alias("component"), F.col("doc").eqNullSafe(component).alias("kept"))
+
+
+def keep_one(docs: DataFrame, words: int = 5, threshold: float = 0.8, id_col: str = "doc_id",
+             text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each group, that with the smallest id; rows without shingles stay."""
+    found = stage(near_duplicates(docs, words, threshold, id_col=id_col, text_col=text_col).where(
+        "kept").select("doc", "row", "group"), "kept")
+    picked = found.where(F.col("group").isNotNull()).groupBy("group").agg(
+        F.min(F.struct("doc", "row")).alias("p")).select("p.doc", "p.row")
+    alone = found.where(F.col("group").isNull()).select("doc", "row").distinct()
+    left = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("original"),
+                       F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash"))
+    stay = left.join(picked.unionByName(alone), F.col("id").eqNullSafe(F.col("doc"))
+                     & (F.col("hash") == F.col("row")), "left_semi")
+    repeated = found.where(F.col("group").isNotNull()).groupBy("doc", "row").count().where("count > 1")
+    if repeated.limit(1).count():
+        # whole rows were repeated: number them and keep the first
+        again = Window.partitionBy("id", "hash").orderBy(F.lit(0))
+        some = stage(repeated.select("doc", "row"), "repeated")
+        on = F.col("id").eqNullSafe(F.col("doc")) & (F.col("hash") == F.col("row"))
+        once = stay.join(some, on, "left_semi").withColumn("n", F.row_number().over(again)).where("n = 1")
+        stay = stay.join(some, on, "left_anti").unionByName(once.drop("n"))
+    return stay.select("original.*")
 
 
 def report(docs: DataFrame) -> DataFrame:

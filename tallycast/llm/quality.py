@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallycast.llm.shared import small_batches
+from tallycast.llm.shared import carried, small_batches
 
 MAX_TRAIN = 3_000
 MAX_TRAIN_CHARS = 200_000  # longer documents are scored, but not part of the training sample
@@ -247,13 +247,12 @@ def score(docs: DataFrame, model: Model, text_col: str = "text",
     spark = docs.sparkSession
     small_batches(spark)
     shipped = spark.sparkContext.broadcast(model)
-    source = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep or docs.columns])
-                         .alias("original"), F.col(text_col).alias("body"))
+    source, texts = carried(docs, keep or docs.columns, text_col)
     schema = T.StructType([source.schema["original"], T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = [shipped.value.score(t or "") for t in batch.column(1).to_pylist()]
+            scores = [shipped.value.score(t) for t in texts(batch)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())],
                                              names=["original", "score"])
     return source.mapInArrow(run, schema)

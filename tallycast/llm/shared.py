@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tallycast.session import scratch_path, ship_package, stage
 
 __all__ = ["table", "stage", "scratch_path", "small_batches", "contiguous", "ship_package",
-           "row_key", "ascii_lower", "vocabulary"]
+           "carried", "ascii_lower", "vocabulary"]
 
 # Rows of one Arrow batch. Whole texts travel in a batch, so the default of 10,000 rows
 # would put hundreds of MB into a Python worker.
@@ -38,9 +38,18 @@ def ascii_lower(col):
     return F.translate(col, UPPER, UPPER.lower())
 
 
-def row_key(*cols):
-    """128-bit key of a row, as two longs in a struct."""
-    return F.struct(F.xxhash64(*cols).alias("a"), F.xxhash64(F.lit(1), *cols).alias("b"))
+def carried(docs: DataFrame, keep: list[str], text_col: str):
+    """Rows for an Arrow pass that keeps columns, and what reads the texts of a batch.
+
+    ``original`` is a struct of the kept columns, so their names clash with nothing; the text
+    travels once, inside it or beside it.
+    """
+    original = F.struct(*[F.col(f"`{c}`") for c in keep]).alias("original")
+    if text_col in keep:
+        return docs.select(original), lambda batch: [
+            t or "" for t in batch.column(0).field(text_col).to_pylist()]
+    return docs.select(original, F.col(f"`{text_col}`").alias("body")), lambda batch: [
+        t or "" for t in batch.column(1).to_pylist()]
 
 
 def contiguous(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
