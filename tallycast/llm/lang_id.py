@@ -112,7 +112,7 @@ class Model:
         self.langs = langs
         total = counts.sum(0, keepdims=True)
         logs = np.log((counts + SMOOTHING) / (total + SMOOTHING * BUCKETS))
-        self.table = (logs - logs.max(1, keepdims=True)).astype(np.float32)
+        self.table = (logs - logs.max(1, keepdims=True, initial=-np.inf)).astype(np.float32)
         share = scripts / np.maximum(scripts.sum(0, keepdims=True), 1)
         admitted = share >= SCRIPT_SHARE
         # a script that no language uses says nothing
