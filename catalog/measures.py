@@ -113,11 +113,12 @@ def future_frame(s, r):
 
 
 @query("e12_keyed_add", sql(f"""
-SELECT a.id, CAST(b.d - {CUTOFF} AS INT) AS h, round(a.sales + c.sales, 6) AS total
-FROM sales a JOIN sales b ON b.id = a.id AND b.d > {CUTOFF} JOIN sales c ON c.id = a.id AND c.d = b.d - 12
-WHERE a.d = {CUTOFF}""", "sales"))
+SELECT id, CAST(h AS INT) AS h, round(last + season[h], 6) AS total FROM (
+  SELECT id, max(sales) FILTER (WHERE d = {CUTOFF}) AS last,
+         list(sales ORDER BY d) FILTER (WHERE d BETWEEN {CUTOFF} - 11 AND {CUTOFF} - 12 + {H}) AS season
+  FROM sales GROUP BY id) CROSS JOIN range(1, {H + 1}) g(h)""", "sales"))
 def keyed_add(s, r):
-    sales = ob.monthly_sales(s, r)
+    sales = ob.monthly_view(s, r, staged=True).sales()
     a = forecast.naive(sales, CUTOFF, H)
     b = forecast.seasonal_naive(sales, CUTOFF, H, 12).withColumnRenamed("yhat", "other")
     return a.join(b, ["id", "h"]).select("id", "h", F.round(F.col("yhat") + F.col("other"), 6).alias("total"))
@@ -154,9 +155,9 @@ def node_schema(s, r):
     return hierarchy.rollup12(cells, "value", "lenient").select("level_id", "name", "d", "value")
 
 
-def _revenue(rule: str) -> str:
+def _revenue(rule: str, cutoff: int = CUTOFF) -> str:
     total = {"strict": strict_sum, "lenient": lenient_sum}[rule]("sales * sell_price")
-    return f"SELECT {KEYS}, {total} AS revenue FROM sales WHERE d BETWEEN {CUTOFF - H + 1} AND {CUTOFF} GROUP BY {KEYS}"
+    return f"SELECT {KEYS}, {total} AS revenue FROM sales WHERE d BETWEEN {cutoff - H + 1} AND {cutoff} GROUP BY {KEYS}"
 
 
 def _series_revenue(s, r, rule):
@@ -315,16 +316,17 @@ def latest_row(s, r):
     return series.latest_row(ob.monthly_cells(s, r)).select("item_id", "store_id", "d", "sales")
 
 
-query("f14_distinct", sql("SELECT DISTINCT event_name_1, event_type_1 FROM calendar", "calendar"))(
-    lambda s, r: ob.daily_calendar(s, r).select("event_name_1", "event_type_1").distinct())
+query("f14_distinct", sql("SELECT DISTINCT o_custkey, o_orderpriority FROM orders"))(
+    lambda s, r: s.read.parquet(f"{r}/orders.parquet").select("o_custkey", "o_orderpriority").distinct())
 
 
 @query("f15_ensemble_mean", sql(f"""
-SELECT a.id, CAST(c.d - ({CUTOFF} - 12) AS INT) AS h, (a.sales + c.sales) / 2 AS yhat
-FROM sales a JOIN sales c ON c.id = a.id AND c.d BETWEEN {CUTOFF} - 11 AND {CUTOFF} - 12 + {H}
-WHERE a.d = {CUTOFF}""", "sales"))
+SELECT id, CAST(h AS INT) AS h, (last + season[h]) / 2 AS yhat FROM (
+  SELECT id, max(sales) FILTER (WHERE d = {CUTOFF}) AS last,
+         list(sales ORDER BY d) FILTER (WHERE d BETWEEN {CUTOFF} - 11 AND {CUTOFF} - 12 + {H}) AS season
+  FROM sales GROUP BY id) CROSS JOIN range(1, {H + 1}) g(h)""", "sales"))
 def ensemble_mean(s, r):
-    sales = ob.monthly_sales(s, r)
+    sales = ob.monthly_view(s, r, staged=True).sales()
     return series.ensemble_mean([forecast.naive(sales, CUTOFF, H), forecast.seasonal_naive(sales, CUTOFF, H, 12)])
 
 
@@ -339,13 +341,15 @@ def rmse(s, r):
 _DEMAND = """
 SELECT id, count(*) FILTER (WHERE sales > 0) AS n_demands,
        CAST(max(d) FILTER (WHERE sales > 0) - min(d) + 1 AS DOUBLE) / nullif(count(*) FILTER (WHERE sales > 0), 0) AS adi,
-       pow(stddev_samp(sales) FILTER (WHERE sales > 0) / avg(sales) FILTER (WHERE sales > 0), 2) AS cv2
-FROM sales GROUP BY id"""
+       (squares - total * total / n) / nullif(n - 1, 0) / nullif((total / n) * (total / n), 0) AS cv2
+FROM (SELECT id, d, sales, count(*) FILTER (WHERE sales > 0) OVER w AS n, sum(sales) FILTER (WHERE sales > 0) OVER w AS total,
+             sum(sales * sales) FILTER (WHERE sales > 0) OVER w AS squares FROM sales WINDOW w AS (PARTITION BY id))
+GROUP BY id, n, total, squares"""
 
 query("f17_demand_stats", sql(
-    "SELECT id, n_demands, round(adi, 6) AS adi, round(sqrt(cv2), 8) AS cv FROM dem", "sales", dem=_DEMAND))(
+    "SELECT id, n_demands, round(adi, 6) AS adi, round(cv2, 9) AS cv2 FROM dem", "sales", dem=_DEMAND))(
     lambda s, r: series.demand_stats(ob.monthly_sales(s, r)).select(
-        "id", "n_demands", F.round("adi", 6).alias("adi"), F.round(F.sqrt("cv2"), 8).alias("cv")))
+        "id", "n_demands", F.round("adi", 6).alias("adi"), F.round("cv2", 9).alias("cv2")))
 
 # -- lags ---------------------------------------------------------------------------
 
@@ -355,16 +359,16 @@ query("g1_add_lags", sql("SELECT id, d, sales, " + ", ".join(
 
 
 @query("g2_embed", sql("SELECT * FROM (SELECT id, d, sales AS y, " + ", ".join(
-    f"lag(sales, {k}) OVER (PARTITION BY id ORDER BY d) AS lag{k}" for k in (1, 2, 28, 56))
-    + " FROM dsales) WHERE lag56 IS NOT NULL", "dsales"))
+    f"lag(sales, {k}) OVER (PARTITION BY id ORDER BY d) AS lag{k}" for k in (1, 2, 28, 400))
+    + " FROM dsales) WHERE lag400 IS NOT NULL", "dsales"))
 def embed(s, r):
-    rows = lags.embed(ob.daily_sales(s, r), 56)
-    return rows.select("id", "d", "y", *[F.element_at("lags", k).alias(f"lag{k}") for k in (1, 2, 28, 56)])
+    rows = lags.embed(ob.daily_sales(s, r), 400)
+    return rows.select("id", "d", "y", *[F.element_at("lags", k).alias(f"lag{k}") for k in (1, 2, 28, 400)])
 
 
 @query("g3_latest_lags", sql(
     "SELECT id, string_agg(CAST(CAST(sales AS BIGINT) AS VARCHAR), ',' ORDER BY d DESC) AS lags "
-    "FROM sales WHERE d > 73 GROUP BY id", "sales"))
+    "FROM sales WHERE d > (SELECT max(d) FROM sales) - 10 GROUP BY id", "sales"))
 def latest_lags(s, r):
     rows = lags.latest_lags(ob.monthly_sales(s, r), 10)
     texts = F.transform("lags", lambda x: x.cast("bigint").cast("string"))
@@ -381,7 +385,8 @@ query("g5_cumulative_count", sql(
 
 @query("g6_push_lag", sql(
     "SELECT id, avg7 AS lag1, l1 AS lag2, l2 AS lag3 FROM (SELECT id, round(avg(sales), 6) AS avg7, "
-    "max(CASE WHEN d = 83 THEN sales END) AS l1, max(CASE WHEN d = 82 THEN sales END) AS l2 FROM sales GROUP BY id)", "sales"))
+    "max(CASE WHEN d = m THEN sales END) AS l1, max(CASE WHEN d = m - 1 THEN sales END) AS l2 "
+    "FROM sales, (SELECT max(d) AS m FROM sales) GROUP BY id)", "sales"))
 def push_lag(s, r):
     from tallycast.functions.arrays import push_lag as push
 
@@ -421,7 +426,7 @@ _SAMPLED = "(SELECT id, d, row_number() OVER (ORDER BY md5('777|' || id || '_' |
 
 
 def _holdout(s, r):
-    rows = ob.monthly_cells(s, r).select("id", "d", "sales")
+    rows = ob.monthly_view(s, r, staged=True).priced_cells().select("id", "d", "sales")
     return rows, sampling.holdout(rows, 2000, 777, ["id", "d"])
 
 
@@ -437,10 +442,11 @@ def complement(s, r):
 
 @query("h5_stack", sql(
     "SELECT 'validation' AS stage, id, d, sales FROM sales WHERE d BETWEEN 50 AND 77 UNION ALL "
-    "SELECT 'evaluation', id, d, sales FROM sales WHERE d BETWEEN 56 AND 83", "sales"))
+    "SELECT 'evaluation', id, d, sales FROM sales WHERE d > (SELECT max(d) FROM sales) - 28", "sales"))
 def stack(s, r):
-    sales = ob.monthly_sales(s, r).select("id", "d", "sales")
-    parts = {"validation": filters.last_n(sales, 77), "evaluation": filters.last_n(sales, 83)}
+    view = ob.monthly_view(s, r, staged=True)
+    sales = view.sales().select("id", "d", "sales")
+    parts = {"validation": filters.last_n(sales, 77), "evaluation": filters.last_n(sales, view.last)}
     tagged = [df.withColumn("stage", F.lit(n)) for n, df in parts.items()]
     return tagged[0].unionByName(tagged[1])
 

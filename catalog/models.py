@@ -6,16 +6,19 @@ from pyspark.sql import functions as F
 
 from catalog.measures import _DEMAND, _MASKED, _EXTERNALS, CUTOFF, EXTERNALS, H
 from catalog.registry import lenient_sum, levels_sql, query, sql, strict_sum
-from catalog.shape import _OUT_IDS, output_names
+from catalog.shape import LAST, output_lines
+from tallycast.functions.arrays import dot
 from tallycast.models import boost, ols, poisson, recursion
 from tallycast.models.design import Design, default_design
 from tallycast.operators import intermittent, lags, series
 from tallycast.plans import assemble, forecast, score
+from tallycast.session import stage
 from tallycast.sources import orderbook as ob
 
-BASE = dict(learning_rate=0.075, l2=0.1, row_sample=0.75)
-# few rounds and small trees: these queries check the job, not the accuracy
-SHORT = boost.BoostParams(rounds=3, num_leaves=8, checkpoint_every=3, **BASE)
+# the task's trees with a larger step, so that the hold-out error ends the fit after few rounds
+STOPPED = boost.BoostParams(learning_rate=0.4, patience=1, checkpoint_every=5)
+HOLDOUT_ROWS = 10_000
+LAGS = 400
 
 # -- normalisation and frames -------------------------------------------------------
 
@@ -25,32 +28,33 @@ query("m1_normalize", sql(
 
 
 @query("m1_denormalize", sql(
-    "SELECT id, 1 AS h, round(sales, 6) AS yhat FROM sales WHERE d = 83", "sales"))
+    f"SELECT id, 1 AS h, round(sales, 6) AS yhat FROM sales WHERE d = {LAST}", "sales"))
 def denormalize(s, r):
-    scaled = series.normalize(ob.monthly_sales(s, r)).where("d = 83") \
+    view = ob.monthly_view(s, r, staged=True)
+    scaled = series.normalize(view.sales()).where(F.col("d") == view.last) \
         .select("id", F.lit(1).alias("h"), F.col("sales").alias("yhat"))
-    means = series.series_mean(ob.monthly_sales(s, r))
+    means = series.series_mean(view.sales())
     return series.denormalize(scaled, means).withColumn("yhat", F.round("yhat", 6))
 
 
 _NORMAL = ("SELECT id, item_id, dept_id, cat_id, store_id, state_id, d, "
            "sales / nullif(avg(sales) OVER (PARTITION BY id), 0) AS y FROM dsales")
-_LAGGED = ("SELECT *, " + ", ".join(f"lag(y, {k}) OVER (PARTITION BY id ORDER BY d) AS lag{k}" for k in (1, 2, 28))
+_LAGGED = ("SELECT *, " + ", ".join(f"lag(y, {k}) OVER (PARTITION BY id ORDER BY d) AS lag{k}" for k in (1, 2, 28, 400))
            + " FROM normal")
 _CLUSTERS = ("SELECT cat_id, CAST(row_number() OVER (ORDER BY cat_id) AS INT) AS cluster_id "
              "FROM (SELECT DISTINCT cat_id FROM dsales)")
 
 
 @query("m2_training_matrix", sql(f"""
-SELECT t.id, k.cluster_id, t.d, round(t.y, 9) AS y, round(t.lag1, 9) AS lag1, round(t.lag28, 9) AS lag28, {_EXTERNALS}
+SELECT t.id, k.cluster_id, t.d, round(t.y, 9) AS y, round(t.lag1, 9) AS lag1, round(t.lag400, 9) AS lag400, {_EXTERNALS}
 FROM lagged t JOIN clusters k USING (cat_id) JOIN externals e ON e.d = t.d AND e.state_id = t.state_id
-WHERE t.lag28 IS NOT NULL""", "dsales", "externals", normal=_NORMAL, lagged=_LAGGED, clusters=_CLUSTERS))
+WHERE t.lag400 IS NOT NULL""", "dsales", "externals", normal=_NORMAL, lagged=_LAGGED, clusters=_CLUSTERS))
 def training_matrix(s, r):
     view = ob.daily_view(s, r, staged=True)
-    rows = lags.training_matrix(view.sales(), view.calendar(), 28, view.clusters())
+    rows = lags.training_matrix(view.sales(), view.calendar(), LAGS, view.clusters())
     return rows.select("id", "cluster_id", "d", F.round("y", 9).alias("y"),
                        F.round(F.element_at("lags", 1), 9).alias("lag1"),
-                       F.round(F.element_at("lags", 28), 9).alias("lag28"), *EXTERNALS)
+                       F.round(F.element_at("lags", LAGS), 9).alias("lag400"), *EXTERNALS)
 
 
 @query("m3_test_frame", sql(f"""
@@ -103,7 +107,59 @@ def cluster_ols_two_lags(s, r):
 @query("m4_m18_cluster_ols_forecast")
 def cluster_ols(s, r):
     view = ob.daily_view(s, r, staged=True)
-    return forecast.cluster_forecast(view.sales(), view.calendar(), view.clusters(), 28, 28)
+    return forecast.cluster_forecast(view.sales(), view.calendar(), view.clusters(), LAGS, 28)
+
+
+_FACTORS = ["weekday_flag", "month", "snap", "wday", "day", "event_name_1", "event_name_2", "event_type_1", "event_type_2"]
+
+
+def _moments_sql(source: str, y: str, factors: list[str], lag_names: list[str], group: str = "'all'") -> str:
+    """Sums of ``y`` per factor level and of ``y`` times each lag: what a fit must reproduce."""
+    parts = [f"SELECT CAST({group} AS VARCHAR) AS grp, '{f}=' || {f} AS term, sum({y}) AS moment FROM {source} GROUP BY 1, 2"
+             for f in factors]
+    parts += [f"SELECT CAST({group} AS VARCHAR) AS grp, '{c}' AS term, sum({y} * {c}) AS moment FROM {source} GROUP BY 1"
+              for c in lag_names]
+    return " UNION ALL ".join(parts)
+
+
+def _moments(rows, fitted, factors, lag_numbers, group=None, digits=3):
+    """The same from fitted values: a solution of the normal or score equations agrees."""
+    terms = [F.struct(F.concat(F.lit(f"{f}="), F.col(f).cast("string")).alias("term"), fitted.alias("v")) for f in factors]
+    terms += [F.struct(F.lit(f"lag{k}").alias("term"), (fitted * F.element_at("lags", k)).alias("v")) for k in lag_numbers]
+    grp = F.col(group).cast("string") if group else F.lit("all")
+    return rows.select(grp.alias("grp"), F.explode(F.array(*terms)).alias("t")).groupBy("grp", "t.term").agg(
+        F.round(F.sum("t.v"), digits).alias("moment"))
+
+
+@query("m4_normal_equations", sql(
+    "SELECT grp, term, round(moment, 3) AS moment FROM moments", "dsales", "externals",
+    normal=_NORMAL, lagged=_LAGGED, clusters=_CLUSTERS,
+    full="SELECT t.y, t.lag1, t.lag28, t.lag400, k.cluster_id, e.* FROM lagged t JOIN clusters k USING (cat_id) "
+         "JOIN externals e ON e.d = t.d AND e.state_id = t.state_id WHERE t.lag400 IS NOT NULL",
+    moments=_moments_sql("full", "y", _FACTORS, ["lag1", "lag28", "lag400"], "cluster_id")))
+def normal_equations(s, r):
+    """400 lags and all factors by cluster: X'yhat = X'y."""
+    view = ob.daily_view(s, r, staged=True)
+    rows = lags.training_matrix(view.sales(), view.calendar(), LAGS, view.clusters())
+    design = default_design(view.calendar(), LAGS)
+    fits = stage(ols.fit_ols(rows, design, "cluster_id").drop("n_rows"), "fits")
+    fitted = dot(F.col("lags"), F.col("lag_beta")) + design.external_effect(F.col("ext_beta"))
+    joined = rows.join(fits, "cluster_id").withColumn("fitted", fitted)
+    return _moments(joined, F.col("fitted"), _FACTORS, [1, 28, 400], "cluster_id")
+
+
+@query("m18_every_series", sql(
+    "SELECT count(DISTINCT id) AS ids, 28 * count(DISTINCT id) AS n_rows, 10 AS without_value FROM dsales", "dsales"))
+def every_series(s, r):
+    """Short series and those without a cluster keep their rows: five of each here."""
+    view = ob.daily_view(s, r, staged=True)
+    sales = view.sales()
+    some = sorted(x["id"] for x in view.cells.select("id").distinct().collect())[:10]
+    short = sales.where(~F.col("id").isin(some[:5]) | (F.col("d") > view.last - 20))
+    members = view.clusters().where(~F.col("id").isin(some[5:]))
+    fc = stage(forecast.cluster_forecast(short, view.calendar(), members, 28, 28), "forecast")
+    return fc.agg(F.count_distinct("id").alias("ids"), F.count("*").alias("n_rows"),
+                  F.count_distinct(F.when(F.col("yhat").isNull(), F.col("id"))).alias("without_value"))
 
 
 @query("m5_linear_one_lag", sql(
@@ -147,8 +203,48 @@ def poisson_means(s, r):
 @query("m6_poisson_forecast")
 def poisson_forecast(s, r):
     view = ob.daily_view(s, r, staged=True)
-    price = view.priced_cells().select("id", "d", "price")
-    return forecast.poisson_forecast(view.sales(), view.calendar(), price, 10, 28)
+    return forecast.poisson_forecast(view.sales(), view.calendar(), view.daily_prices(), 10, 28)
+
+
+# rows of the global models: ten lags, every day from launch on
+_RAW = ("SELECT t.id, t.d, t.cat_id, t.state_id, CAST(t.sales AS DOUBLE) AS y, p.price, "
+        "lag(t.sales, 1) OVER w AS lag1, lag(t.sales, 10) OVER w AS lag10 FROM dsales t "
+        "LEFT JOIN dprices p ON p.id = t.id AND p.d = t.d WINDOW w AS (PARTITION BY t.id ORDER BY t.d)")
+_RAW_FULL = ("SELECT w.*, e.* EXCLUDE (d, state_id) FROM raw w JOIN externals e ON e.d = w.d AND e.state_id = w.state_id "
+             "WHERE w.lag10 IS NOT NULL AND w.price IS NOT NULL")
+_POISSON_TERMS = [*forecast.POISSON_FACTORS, *forecast.STATIC_FACTORS]
+
+
+def _global_rows(s, r):
+    view = ob.daily_view(s, r, staged=True)
+    rows = forecast.training_rows(view.sales(), view.calendar(), view.daily_prices(), 10)
+    return view, stage(rows, "training")
+
+
+@query("m6_m7_m8_training_rows", sql(
+    "SELECT count(*) AS n_rows, count(*) FILTER (WHERE y = 0) AS zeros, round(avg(y), 6) AS mean FROM complete",
+    "dsales", "externals", "dprices", raw=_RAW, complete=_RAW_FULL))
+def global_training_rows(s, r):
+    """What the Poisson, zero-inflated and boosted routes are fitted on: days without sales too."""
+    _, rows = _global_rows(s, r)
+    return rows.agg(F.count("*").alias("n_rows"), F.count(F.when(F.col("y") == 0, 1)).alias("zeros"),
+                    F.round(F.avg("y"), 6).alias("mean"))
+
+
+@query("m6_score_equations", sql(
+    "SELECT grp, term, round(moment, 0) AS moment FROM moments", "dsales", "externals", "dprices",
+    raw=_RAW, complete=_RAW_FULL, moments=_moments_sql("complete", "y", _POISSON_TERMS, ["lag1", "lag10"])))
+def score_equations(s, r):
+    """The canonical link makes fitted sums equal actual ones for every column of the design."""
+    view, rows = _global_rows(s, r)
+    design = default_design(view.calendar(), 10, statics=view.cells, static_factors=forecast.STATIC_FACTORS,
+                            numeric=("price",), calendar_factors=forecast.POISSON_FACTORS,
+                            intercept=True, drop_first=True)
+    design = ols.drop_aliased(rows, design)
+    lag_beta, ext = ols.mllib_coefficients(poisson.fit_poisson(rows, design), design)
+    beta = F.array(*[F.lit(b) for b in lag_beta])
+    fitted = F.exp(dot(F.col("lags"), beta) + design.external_effect(recursion._map_literal(ext)))
+    return _moments(rows.withColumn("fitted", fitted), F.col("fitted"), _POISSON_TERMS, [1, 10], digits=0)
 
 
 @query("m7_zip_by_category", sql("""
@@ -170,9 +266,8 @@ def zip_by_category(s, r):
 @query("m7_zip_forecast")
 def zip_forecast(s, r):
     view = ob.daily_view(s, r, staged=True)
-    price = view.priced_cells().select("id", "d", "price")
-    return forecast.poisson_forecast(view.sales(), view.calendar(), price, 10, 28,
-                                     zero_inflated=True, max_iter=10)
+    return forecast.poisson_forecast(view.sales(), view.calendar(), view.daily_prices(), 10, 28,
+                                     zero_inflated=True)
 
 
 # -- boosting -----------------------------------------------------------------------
@@ -221,15 +316,27 @@ def boost_by_cluster(s, r):
 @query("m8_m10_global_boost_forecast")
 def global_boost(s, r):
     view = ob.daily_view(s, r, staged=True)
-    price = view.priced_cells().select("id", "d", "price")
-    return forecast.boosted_forecast(view.sales(), view.calendar(), price, 10, 28, SHORT)
+    return forecast.boosted_forecast(view.sales(), view.calendar(), view.daily_prices(), 10, 28,
+                                     STOPPED, HOLDOUT_ROWS)
+
+
+@query("m8_holdout_rmse", sql("SELECT true AS falls, true AS ended, true AS below_the_mean"))
+def holdout_rmse(s, r):
+    """Whether the hold-out error falls from round to round until the fit ends."""
+    view = ob.daily_view(s, r, staged=True)
+    model = forecast.fit_global_boosting(view.sales(), view.calendar(), view.daily_prices(), 10, STOPPED, HOLDOUT_ROWS)
+    kept, path = len(model.trees), model.rmse
+    spread = view.sales().agg(F.stddev("sales")).first()[0]
+    falls = all(b < a for a, b in zip(path, path[1:kept]))
+    return s.createDataFrame([(falls, kept < len(path), path[kept - 1] < spread)],
+                             "falls boolean, ended boolean, below_the_mean boolean")
 
 
 @query("m9_cluster_boost_forecast")
 def cluster_boost(s, r):
-    tiny = boost.BoostParams(rounds=1, num_leaves=4, checkpoint_every=1, **BASE)
+    params = boost.BoostParams(rounds=2, num_leaves=32)
     view = ob.daily_view(s, r, staged=True)
-    return forecast.cluster_forecast(view.sales(), view.calendar(), view.clusters(), 28, 28, "boost", tiny)
+    return forecast.cluster_forecast(view.sales(), view.calendar(), view.clusters(), LAGS, 28, "boost", params)
 
 
 # -- recursion ----------------------------------------------------------------------
@@ -248,10 +355,9 @@ SELECT id, h, round(yhat * mean, 6) AS yhat FROM rec WHERE h > 0""", "dsales", "
          0.5 * p.yhat + 0.2 * p.prev + 0.1 + 0.05 * e.weekday_flag, p.yhat
   FROM rec p JOIN externals e ON e.d = p.d + 1 AND e.state_id = p.state_id WHERE p.h < 28"""))
 def linear_recursion(s, r):
-    cal = ob.daily_calendar(s, r)
-    frame = lags.test_frame(ob.daily_sales(s, r), cal, 2, 28)
+    parts = lags.future_parts(ob.daily_sales(s, r), ob.daily_calendar(s, r), 2, 28)
     design = Design(2, {"weekday_flag": ["0", "1"]}, intercept=True, drop_first=True)
-    fc = recursion.forecast_fixed(frame, _FIXED_LAGS, _FIXED_EXT, design, scaled=True)
+    fc = recursion.forecast_fixed(*parts, _FIXED_LAGS, _FIXED_EXT, design, scaled=True)
     return fc.withColumn("yhat", F.round("yhat", 6))
 
 
@@ -260,9 +366,9 @@ SELECT id, h, round(yhat, 6) AS yhat FROM rec WHERE h > 0""", "dsales", recursiv
     rec="""SELECT id, d, 0 AS h, CAST(sales AS DOUBLE) AS yhat FROM dsales WHERE d = (SELECT max(d) FROM dsales)
   UNION ALL SELECT id, d + 1, h + 1, exp(1.5 + 0.01 * yhat) FROM rec WHERE h < 28"""))
 def log_recursion(s, r):
-    frame = lags.test_frame(ob.daily_sales(s, r), ob.daily_calendar(s, r), 1, 28, normalized=False)
+    parts = lags.future_parts(ob.daily_sales(s, r), ob.daily_calendar(s, r), 1, 28, normalized=False)
     design = Design(1, {}, intercept=True)
-    fc = recursion.forecast_fixed(frame, [0.01], {"intercept": 1.5}, design, link="log")
+    fc = recursion.forecast_fixed(*parts, [0.01], {"intercept": 1.5}, design, link="log")
     return fc.withColumn("yhat", F.round("yhat", 6))
 
 
@@ -284,7 +390,7 @@ for _n, (_variant, _factor) in enumerate({
 }.items()):
     query(f"m{12 + _n}_{_variant}", sql(f"""
 SELECT id, CAST(h.h AS INT) AS h, coalesce({_factor} * size / gap, 0) AS yhat
-FROM st CROSS JOIN range(1, 57) h(h) WHERE d = 83""", "sales", recursive=True, st=_CROSTON))(
+FROM st CROSS JOIN range(1, 57) h(h) WHERE d = {LAST}""", "sales", recursive=True, st=_CROSTON))(
         lambda s, r, v=_variant: intermittent.croston(ob.monthly_sales(s, r), 56, 0.1, v))
 
 _GRID = f"""SELECT id, a, 0 AS d, CAST(NULL AS DOUBLE) AS size, CAST(NULL AS DOUBLE) AS gap,
@@ -297,21 +403,43 @@ _GRID = f"""SELECT id, a, 0 AS d, CAST(NULL AS DOUBLE) AS size, CAST(NULL AS DOU
 
 @query("m15_croston_grid", sql("""
 SELECT id, arg_min(a, (loss, a)) AS alpha, round(coalesce(arg_min(size / gap, (loss, a)), 0), 8) AS level
-FROM (SELECT id, a, size, gap, round(loss, 6) AS loss FROM st WHERE d = 83) GROUP BY id""", "sales", recursive=True, st=_GRID))
+FROM (SELECT id, a, size, gap, round(loss, 6) AS loss FROM st WHERE d = (SELECT max(d) FROM sales)) GROUP BY id""", "sales", recursive=True, st=_GRID))
 def croston_grid(s, r):
     level = intermittent.smoothing_level(ob.monthly_sales(s, r), "grid", "croston", cost="mse")
     return level.select("id", F.col("alpha_gap").alias("alpha"), F.round("level", 8).alias("level"))
 
 
+# the default cost compares the running mean rate with the corrected forecast
+_SBJ = "(1 - p.a / (2 - p.a)) * p.size / p.gap"
+_GRID_MAR = f"""SELECT id, a, 0 AS d, CAST(NULL AS DOUBLE) AS size, CAST(NULL AS DOUBLE) AS gap,
+         CAST(1 AS DOUBLE) AS since, CAST(0 AS DOUBLE) AS loss, CAST(0 AS DOUBLE) AS total
+  FROM (SELECT DISTINCT id FROM {{source}}) CROSS JOIN (SELECT CAST(unnest([{', '.join(str(a) for a in intermittent.ALPHA_GRID)}]) AS DOUBLE) AS a)
+  UNION ALL SELECT p.id, p.a, p.d + 1, {_STEP.format(a="p.a")},
+         CASE WHEN p.size IS NOT NULL THEN p.loss + abs((p.total + s.sales) / (p.d + 1) - {_SBJ}) ELSE p.loss END,
+         p.total + s.sales
+  FROM st p JOIN {{source}} s ON s.id = p.id AND s.d = p.d + 1"""
+_BEST_SBJ = """SELECT id, arg_min(a, (loss, a)) AS alpha,
+  coalesce(arg_min((1 - a / (2 - a)) * size / gap, (loss, a)), 0) AS level
+  FROM (SELECT id, a, size, gap, round(loss, 9) AS loss FROM st WHERE d = (SELECT max(d) FROM sales)) GROUP BY id"""
+
+
+@query("m15_grid_mar_sbj", sql("SELECT id, round(level, 6) AS level FROM best", "sales", recursive=True,
+                               st=_GRID_MAR.format(source="sales"), best=_BEST_SBJ))
+def grid_mar_sbj(s, r):
+    level = intermittent.smoothing_level(ob.monthly_sales(s, r), "grid", "sbj")
+    return level.select("id", F.round("level", 6).alias("level"))
+
+
 _CLASSED = ("SELECT id, CASE WHEN adi < 1.32 AND cv2 < 0.49 THEN 'croston' ELSE 'sba' END AS demand_class FROM dem")
 # months summed over the stores of an item make both classes occur
 _BY_ITEM_STATE = ("SELECT state_id || '_' || item_id AS id, d, sum(sales) AS sales FROM sales GROUP BY ALL")
 
 
 def _item_state(s, r):
+    """Staged: the jobs on it have several branches."""
     sales = ob.monthly_sales(s, r)
     name = F.concat_ws("_", "state_id", "item_id")
-    return sales.groupBy(name.alias("id"), "d").agg(F.sum("sales").alias("sales"))
+    return stage(sales.groupBy(name.alias("id"), "d").agg(F.sum("sales").alias("sales")), "item-state")
 
 
 _DEM2 = _DEMAND.replace("FROM sales", "FROM grouped")
@@ -332,18 +460,26 @@ def route(s, r):
 
 @query("h8_route_union", sql(f"""
 SELECT id, CAST(h.h AS INT) AS h, CASE demand_class WHEN 'croston' THEN last ELSE mean END AS yhat
-FROM cls JOIN (SELECT id, round(avg(sales), 6) AS mean, max(CASE WHEN d = 83 THEN sales END) AS last FROM grouped GROUP BY id)
+FROM cls JOIN (SELECT id, round(avg(sales), 6) AS mean, max(CASE WHEN d = (SELECT max(d) FROM sales) THEN sales END) AS last FROM grouped GROUP BY id)
   USING (id) CROSS JOIN range(1, {H + 1}) h(h)""", "sales", grouped=_BY_ITEM_STATE, dem=_DEM2, cls=_CLASSED))
 def route_union(s, r):
     sales = _item_state(s, r)
-    smooth = forecast.mean_forecast(sales, 83, H).withColumn("yhat", F.round("yhat", 6))
-    return intermittent.route_union(forecast.naive(sales, 83, H), smooth, intermittent.classify_sbc(sales))
-
-
-@query("m17_combined_forecast")
+    last = ob.n_months(s, r)
+    smooth = forecast.mean_forecast(sales, last, H).withColumn("yhat", F.round("yhat", 6))
+    classes = stage(intermittent.classify_sbc(sales), "classes")
+    return intermittent.route_union(forecast.naive(sales, last, H), smooth, classes)
+
+
+@query("m17_combined_forecast", sql("""
+SELECT id, CAST(h.h AS INT) AS h, round(CASE demand_class WHEN 'croston' THEN last ELSE greatest(level, 0) END, 6) AS yhat
+FROM cls JOIN best USING (id)
+  JOIN (SELECT id, max(sales) FILTER (WHERE d = (SELECT max(d) FROM sales)) AS last FROM grouped GROUP BY id) USING (id)
+  CROSS JOIN range(1, 57) h(h)""", "sales", recursive=True, grouped=_BY_ITEM_STATE, dem=_DEM2, cls=_CLASSED,
+    st=_GRID_MAR.format(source="grouped"), best=_BEST_SBJ))
 def combined(s, r):
     sales = _item_state(s, r).withColumns({k: F.col("id") for k in ("item_id", "dept_id", "cat_id", "store_id", "state_id")})
-    return forecast.combined_forecast(sales, forecast.naive(sales, 83, 56), 56)
+    fc = forecast.combined_forecast(sales, forecast.naive(sales, ob.n_months(s, r), 56), 56)
+    return fc.withColumn("yhat", F.round("yhat", 6))
 
 
 # -- output -------------------------------------------------------------------------
@@ -354,35 +490,49 @@ def _columns(expr: str, n: int = 28) -> str:
 
 
 @query("m19_assemble_output", sql(f"""
-SELECT item_id || '_' || store_id || '_validation' AS id, {_columns("max(CASE WHEN d = 55 + {h} THEN sales END)")}
-FROM sales GROUP BY item_id, store_id UNION ALL
-SELECT item_id || '_' || store_id || '_evaluation', {_columns("max(CASE WHEN d = 83 THEN sales END)")}
-FROM sales GROUP BY item_id, store_id""", "sales"))
+SELECT item_id || '_' || store_id || '_validation' AS id, {_columns("max(CASE WHEN d = m - 28 + {h} THEN sales END)")}
+FROM tail GROUP BY item_id, store_id UNION ALL
+SELECT item_id || '_' || store_id || '_evaluation', {_columns(
+    "(max(CASE WHEN d = m THEN sales END) + max(CASE WHEN d = m - 36 + {h} THEN sales END)) / 2")}
+FROM tail GROUP BY item_id, store_id""", "sales", tail="SELECT sales.*, m FROM sales, (SELECT max(d) AS m FROM sales)"))
 def assemble_output(s, r):
-    sales = ob.monthly_sales(s, r)
-    fc = series.ensemble_mean([forecast.naive(sales, 83, 28), forecast.naive(sales, 83, 28)])
+    view = ob.monthly_view(s, r, staged=True)
+    sales, last = view.sales(), view.last
+    fc = series.ensemble_mean([forecast.naive(sales, last, 28), forecast.seasonal_naive(sales, last, 28, 36)])
     return assemble.output_wide(assemble.assemble_output(sales, fc))
 
 
 @query("m20_assemble_output_56", sql(f"""
-SELECT item_id || '_' || store_id || st AS id, {_columns("max(CASE WHEN d = 83 THEN sales END) + 0 * {h}")}
+SELECT item_id || '_' || store_id || st AS id, {_columns("max(CASE WHEN d = (SELECT max(d) FROM sales) THEN sales END) + 0 * {h}")}
 FROM sales CROSS JOIN (VALUES ('_validation'), ('_evaluation')) v(st) GROUP BY item_id, store_id, st""", "sales"))
 def assemble_output_56(s, r):
-    sales = ob.monthly_sales(s, r)
-    names = sales.select("id", "item_id", "store_id").distinct()
-    return assemble.output_wide(assemble.assemble_output_56(forecast.naive(sales, 83, 56), names))
+    view = ob.monthly_view(s, r, staged=True)
+    names = view.cells.select("id", "item_id", "store_id").distinct()
+    return assemble.output_wide(assemble.assemble_output_56(forecast.naive(view.sales(), view.last, 56), names))
+
+
+# per output name: the mean line quantity of each month of the newest year, missing where none was sold
+_NAMED = f"""
+  SELECT CASE WHEN p_type IN ('STANDARD', 'MEDIUM') THEN 'HOBBIES'
+              WHEN p_type IN ('LARGE', 'ECONOMY') THEN 'HOUSEHOLD' ELSE 'FOOD' END
+         || '_' || (p_size % 3 + 1) || '_' || regexp_extract(p_brand, '([0-9]+)', 1) AS item_id,
+         CASE n_regionkey WHEN 0 THEN 'CA' WHEN 1 THEN 'TX' ELSE 'WI' END || '_' || (n_nationkey % 4 + 1) AS store_id,
+         month(CAST(l_shipdate AS DATE)) AS h, round(avg(l_quantity), 6) AS yhat
+  FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey
+  JOIN nation ON s_nationkey = n_nationkey GROUP BY ALL"""
 
 
 @query("m21_assemble_output_copy", sql(f"""
-SELECT item_id || '_' || store_id || st AS id, CAST(length(item_id) AS DOUBLE) AS F1, CAST(length(store_id) AS DOUBLE) AS F2,
-  {", ".join(f"CAST(0 AS DOUBLE) AS F{h}" for h in range(3, 29))}
-FROM names CROSS JOIN (VALUES ('_validation'), ('_evaluation')) v(st)""", names=_OUT_IDS))
+SELECT item_id || '_' || store_id || st AS id,
+  {", ".join(f"coalesce(max(CASE WHEN h = {h} THEN yhat END), 0) AS F{h}" for h in range(1, 29))}
+FROM named CROSS JOIN (VALUES ('_validation'), ('_evaluation')) v(st) GROUP BY item_id, store_id, st""", named=_NAMED))
 def assemble_output_copy(s, r):
-    names = output_names(s, r)
-    steps = F.array(F.length("item_id").cast("double"), F.length("store_id").cast("double"))
-    long = names.select(F.concat_ws("_", "item_id", "store_id", F.lit("validation")).alias("id"),
-                        F.posexplode(steps).alias("pos", "yhat"))
-    return assemble.assemble_output_copy(long.select("id", (F.col("pos") + 1).alias("h"), "yhat"))
+    """A forecast by month of the year: steps past December, and months never sold in, are missing."""
+    lines = output_lines(s, r)
+    long = lines.groupBy("item_id", "store_id", F.month("l_shipdate").alias("h")).agg(
+        F.round(F.avg("l_quantity"), 6).alias("yhat"))
+    named = long.select(F.concat_ws("_", "item_id", "store_id", F.lit("validation")).alias("id"), "h", "yhat")
+    return assemble.assemble_output_copy(named)
 
 
 @query("m22_holdouts", sql(f"""
@@ -395,8 +545,8 @@ def holdouts(s, r):
 
 
 @query("m22_holdout_window", sql("""
-SELECT id, CAST(d - (DATE '2000-05-23' - DATE '1995-01-02' + 1) + 1942 AS INT) AS d, sales FROM dsales
-WHERE DATE '1995-01-02' + (d - 1) BETWEEN DATE '2000-05-23' AND DATE '2000-06-19'""", "dsales"))
+SELECT id, CAST(d - (DATE '2000-05-23' - (SELECT min(CAST(l_shipdate AS DATE)) FROM lineitem) + 1) + 1942 AS INT) AS d, sales FROM dsales
+WHERE (SELECT min(CAST(l_shipdate AS DATE)) FROM lineitem) + (d - 1) BETWEEN DATE '2000-05-23' AND DATE '2000-06-19'""", "dsales"))
 def holdout_window(s, r):
     parts = score.make_holdouts(ob.daily_sales(s, r), ob.daily_calendar(s, r), 0,
                                 window=("2000-05-23", "2000-06-19"), relabel_from=1942)

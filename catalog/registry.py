@@ -22,6 +22,8 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+# first day of the order book: period 1 everywhere
+DAY0 = "(SELECT min(CAST(l_shipdate AS DATE)) FROM lineitem)"
 KEYS = "id, item_id, dept_id, cat_id, store_id, state_id"
 
 _CTES = {
@@ -37,26 +39,33 @@ _CTES = {
     # non-empty monthly cells
     "cells": """
   SELECT id, item_id, dept_id, cat_id, store_id, state_id,
-         CAST((year(date) - 1995) * 12 + month(date) AS INT) AS d,
+         CAST((year(date) - year(first)) * 12 + month(date) - month(first) + 1 AS INT) AS d,
          sum(quantity) AS sales, CAST(sum(amount) AS DOUBLE) / sum(quantity) AS sell_price
-  FROM lines GROUP BY ALL""",
+  FROM lines, (SELECT min(CAST(l_shipdate AS DATE)) AS first FROM lineitem) GROUP BY ALL""",
     # dense monthly sales
     "sales": """
   SELECT k.*, CAST(g.d AS INT) AS d, coalesce(c.sales, 0) AS sales, c.sell_price
   FROM (SELECT DISTINCT id, item_id, dept_id, cat_id, store_id, state_id FROM cells) k
-  CROSS JOIN range(1, 84) g(d) LEFT JOIN cells c ON c.id = k.id AND c.d = g.d""",
+  CROSS JOIN (SELECT unnest(range(1, max(d) + 1)) AS d FROM cells) g LEFT JOIN cells c ON c.id = k.id AND c.d = g.d""",
     # non-empty daily cells of category x region
     "dcells": """
   SELECT cat_id || '_' || state_id AS id, cat_id AS item_id, cat_id AS dept_id, cat_id,
-         state_id AS store_id, state_id, CAST(date - DATE '1995-01-02' + 1 AS INT) AS d,
+         state_id AS store_id, state_id, CAST(date - (SELECT min(CAST(l_shipdate AS DATE)) FROM lineitem) + 1 AS INT) AS d,
          sum(quantity) AS sales, CAST(sum(amount) AS DOUBLE) / sum(quantity) AS price
   FROM lines GROUP BY cat_id, state_id, date""",
     # weekly prices of the daily view
     "wprices": """
   SELECT state_id AS store_id, cat_id AS item_id,
-         CAST(floor((date - DATE '1995-01-02') / 7) AS INT) AS wm_yr_wk,
+         CAST(floor((date - (SELECT min(CAST(l_shipdate AS DATE)) FROM lineitem)) / 7) AS INT) AS wm_yr_wk,
          CAST(sum(amount) AS DOUBLE) / sum(quantity) AS sell_price
   FROM lines GROUP BY ALL""",
+    # price of every day from launch on: the newest week that has one
+    "dprices": """
+  SELECT k.id, CAST(g.d AS INT) AS d, (SELECT arg_max(w.sell_price, w.wm_yr_wk) FROM wprices w
+    WHERE w.store_id = k.store_id AND w.item_id = k.item_id AND w.wm_yr_wk <= floor((g.d - 1) / 7)) AS price
+  FROM (SELECT DISTINCT id, store_id, item_id FROM dcells) k
+  CROSS JOIN (SELECT unnest(range(1, date_diff('day', min(CAST(l_shipdate AS DATE)), max(CAST(l_shipdate AS DATE))) + 2)) AS d
+              FROM lineitem) g""",
     # dense daily sales
     "dsales": """
   SELECT k.*, CAST(g.d AS INT) AS d, coalesce(c.sales, 0) AS sales
@@ -84,9 +93,9 @@ _CTES = {
          CAST(day(date) BETWEEN 5 AND 14 AS INT) AS snap_ASIA,
          CAST(day(date) BETWEEN 7 AND 16 AS INT) AS snap_EUROPE,
          CAST(day(date) BETWEEN 9 AND 18 AS INT) AS "snap_MIDDLE EAST"
-  FROM (SELECT CAST(d AS INT) AS d, DATE '1995-01-02' + CAST(d - 1 AS INT) AS date
+  FROM (SELECT CAST(d AS INT) AS d, (SELECT min(CAST(l_shipdate AS DATE)) FROM lineitem) + CAST(d - 1 AS INT) AS date
         FROM (SELECT unnest(range(1, n + 29)) AS d
-              FROM (SELECT max(CAST(l_shipdate AS DATE)) - DATE '1995-01-02' + 1 AS n
+              FROM (SELECT max(CAST(l_shipdate AS DATE)) - (SELECT min(CAST(l_shipdate AS DATE)) FROM lineitem) + 1 AS n
                     FROM lineitem)))""",
     # external variables per state and day
     "externals": """
@@ -103,7 +112,7 @@ _CTES = {
 }
 _NEEDS = {
     "lines": [], "cells": ["lines"], "sales": ["cells"], "dcells": ["lines"],
-    "dsales": ["dcells"], "wprices": ["lines"], "calendar": [], "externals": ["calendar"],
+    "dsales": ["dcells"], "wprices": ["lines"], "dprices": ["dcells", "wprices"], "calendar": [], "externals": ["calendar"],
 }
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.registry import KEYS, query, sql
+from catalog.registry import DAY0, KEYS, query, sql
 from tallycast.functions import dates, ids
 from tallycast.functions.nulls import clamp_nonneg
 from tallycast.models.design import default_design
@@ -13,6 +13,8 @@ from tallycast.plans.assemble import horizon_labels, replicate_stage
 from tallycast.schema import KEYS as KEY_COLS
 from tallycast.sources import orderbook as ob
 
+LAST = "(SELECT max(d) FROM sales)"
+
 # -- the demand view itself ---------------------------------------------------------
 
 query("demand_monthly", sql(
@@ -22,33 +24,54 @@ query("demand_daily", sql(
 query("prices_monthly", sql(
     "SELECT store_id, item_id, d AS wm_yr_wk, sell_price FROM cells", "cells"))(
     lambda s, r: ob.monthly_prices(s, r))
-query("calendar_daily", sql("SELECT * FROM calendar", "calendar"))(
-    lambda s, r: ob.daily_calendar(s, r))
+query("prices_daily", sql("SELECT id, d, round(price, 9) AS price FROM dprices WHERE price IS NOT NULL", "dprices"))(
+    lambda s, r: ob.daily_view(s, r, staged=True).daily_prices().withColumn("price", F.round("price", 9)))
+
+
+def order_days(s, r):
+    """Orders with the calendar of their day."""
+    orders = s.read.parquet(f"{r}/orders.parquet")
+    bounds = ob.order_bounds(s, r)
+    keyed = orders.select("o_orderkey", "o_orderpriority", "o_orderstatus", bounds.day("o_orderdate").alias("d"),
+                          F.to_date("o_orderdate").alias("order_date"))
+    return keyed.join(ob.calendar_days(s, bounds, 28), "d", "left")
+
+
+_ORDER_DAYS = f"""
+  SELECT o_orderkey, o_orderpriority, o_orderstatus, CAST(o_orderdate AS DATE) AS order_date,
+         CAST(CAST(o_orderdate AS DATE) - {DAY0} + 1 AS INT) AS d FROM orders"""
+
+query("calendar_daily", sql("SELECT o.o_orderkey, c.* EXCLUDE (date), c.date FROM odays o JOIN calendar c USING (d)",
+                            "calendar", odays=_ORDER_DAYS))(
+    lambda s, r: order_days(s, r).where("date IS NOT NULL").drop("o_orderpriority", "o_orderstatus", "order_date"))
 
 # -- reshape ------------------------------------------------------------------------
 
-MONTHS = [f"d_{d}" for d in range(1, ob.N_MONTHS + 1)]
+def month_labels(s, r):
+    return [f"d_{d}" for d in range(1, ob.n_months(s, r) + 1)]
 
 
 def wide_monthly(s, r, fill=0.0):
-    labelled = ob.monthly_sales(s, r, fill=fill).withColumn("label", ids.day_label("d"))
-    return reshape.to_wide(labelled, KEY_COLS, "label", "sales", MONTHS)
+    view = ob.monthly_view(s, r)
+    labelled = view.sales(fill=fill).withColumn("label", ids.day_label("d"))
+    return reshape.to_wide(labelled, KEY_COLS, "label", "sales", [f"d_{d}" for d in range(1, view.last + 1)])
 
 
 @query("b1_to_long_keeps_nulls", sql(
     "SELECT k.id, 'd_' || g.d AS label, c.sales FROM (SELECT DISTINCT id FROM cells) k "
-    "CROSS JOIN range(1, 84) g(d) LEFT JOIN cells c ON c.id = k.id AND c.d = g.d", "cells"))
+    "CROSS JOIN (SELECT unnest(range(1, max(d) + 1)) AS d FROM cells) g LEFT JOIN cells c ON c.id = k.id AND c.d = g.d", "cells"))
 def to_long(s, r):
-    wide = wide_monthly(s, r, fill=None).select("id", *MONTHS)
+    wide = wide_monthly(s, r, fill=None).select("id", *month_labels(s, r))
     return reshape.to_long(wide, ["id"], "label", "sales")
 
 
 @query("b2_to_wide", sql(
-    "SELECT id, " + ", ".join(f"max(CASE WHEN d = {d} THEN sales END) AS F{d - 55}" for d in range(56, 84))
-    + " FROM sales GROUP BY id", "sales"))
+    "SELECT id, " + ", ".join(f"max(CASE WHEN d = m - 28 + {h} THEN sales END) AS F{h}" for h in range(1, 29))
+    + " FROM sales, (SELECT max(d) AS m FROM sales) GROUP BY id", "sales"))
 def to_wide(s, r):
-    tail = filters.last_n(ob.monthly_sales(s, r), ob.N_MONTHS, 28)
-    labelled = tail.withColumn("label", ids.horizon_label(F.col("d") - (ob.N_MONTHS - 28)))
+    view = ob.monthly_view(s, r)
+    tail = filters.last_n(view.sales(), view.last, 28)
+    labelled = tail.withColumn("label", ids.horizon_label(F.col("d") - (view.last - 28)))
     return reshape.to_wide(labelled, ["id"], "label", "sales", horizon_labels(28))
 
 
@@ -90,7 +113,8 @@ def shift_periods(s, r):
 @query("b7_last_periods", sql(
     "SELECT id, d, sales FROM sales WHERE d > (SELECT max(d) FROM sales) - 28", "sales"))
 def last_periods(s, r):
-    return reshape.last_periods(ob.monthly_sales(s, r).select("id", "d", "sales"), 28)
+    view = ob.monthly_view(s, r)
+    return reshape.last_periods(view.sales().select("id", "d", "sales"), 28, newest=view.last)
 
 
 # -- ids ----------------------------------------------------------------------------
@@ -106,9 +130,9 @@ _OUT_IDS = """
   JOIN nation ON s_nationkey = n_nationkey"""
 
 
-def output_names(s, r):
-    """Distinct (item_id, store_id) in the style of the output ids."""
-    line = s.read.parquet(f"{r}/lineitem.parquet").select("l_partkey", "l_suppkey")
+def output_lines(s, r):
+    """Order lines with (item_id, store_id) in the style of the output ids."""
+    line = s.read.parquet(f"{r}/lineitem.parquet").select("l_partkey", "l_suppkey", "l_shipdate", "l_quantity")
     part = s.read.parquet(f"{r}/part.parquet")
     supplier = s.read.parquet(f"{r}/supplier.parquet")
     nation = s.read.parquet(f"{r}/nation.parquet")
@@ -123,10 +147,16 @@ def output_names(s, r):
             ids.node_name(cat, (F.col("p_size") % 3 + 1).cast("string"),
                           F.regexp_extract("p_brand", r"(\d+)", 1)).alias("item_id"),
             ids.node_name(state, (F.col("n_nationkey") % 4 + 1).cast("string")).alias("store_id"),
-        ).distinct()
+            "l_shipdate", "l_quantity",
+        )
     )
 
 
+def output_names(s, r):
+    """Distinct (item_id, store_id) of the output ids."""
+    return output_lines(s, r).select("item_id", "store_id").distinct()
+
+
 @query("b8_make_id", sql(
     "SELECT item_id || '_' || store_id || '_validation' AS id FROM names", names=_OUT_IDS))
 def make_id(s, r):
@@ -158,17 +188,19 @@ def parse_id(s, r):
 # -- calendar flags -----------------------------------------------------------------
 
 query("b12_day_of_month", sql(
-    "SELECT d, CAST(day(date) AS INT) AS day FROM calendar", "calendar"))(
-    lambda s, r: ob.daily_calendar(s, r).select(
-        "d", dates.day_of_month(F.date_format("date", "yyyy-MM-dd")).alias("day")))
+    "SELECT o_orderkey, CAST(day(order_date) AS INT) AS day FROM odays", odays=_ORDER_DAYS))(
+    lambda s, r: order_days(s, r).select(
+        "o_orderkey", dates.day_of_month(F.date_format("order_date", "yyyy-MM-dd")).alias("day")))
 query("b13_weekday_flag", sql(
-    "SELECT d, CASE WHEN dayofweek(date) IN (0, 6) THEN 0 ELSE 1 END AS weekday_flag FROM calendar",
-    "calendar"))(
-    lambda s, r: ob.daily_calendar(s, r).select("d", dates.weekday_flag("weekday").alias("weekday_flag")))
+    "SELECT o_orderkey, CASE WHEN dayofweek(order_date) IN (0, 6) THEN 0 ELSE 1 END AS weekday_flag FROM odays",
+    odays=_ORDER_DAYS))(
+    lambda s, r: order_days(s, r).select(
+        "o_orderkey", dates.weekday_flag(F.date_format("order_date", "EEEE")).alias("weekday_flag")))
 query("b14_weekend_flag", sql(
-    "SELECT d, CASE WHEN dayofweek(date) IN (0, 6) THEN 1 ELSE 0 END AS weekend FROM calendar",
-    "calendar"))(
-    lambda s, r: ob.daily_calendar(s, r).select("d", dates.weekend_flag("weekday").alias("weekend")))
+    "SELECT o_orderkey, CASE WHEN dayofweek(order_date) IN (0, 6) THEN 1 ELSE 0 END AS weekend FROM odays",
+    odays=_ORDER_DAYS))(
+    lambda s, r: order_days(s, r).select(
+        "o_orderkey", dates.weekend_flag(F.date_format("order_date", "EEEE")).alias("weekend")))
 
 
 @query("b15_snap_for_state", sql(
@@ -182,37 +214,38 @@ def snap_for_state(s, r):
 
 
 query("b16_fill_event", sql(
-    "SELECT d, coalesce(event_name_1, 'no_event_name_1') AS event_name_1, "
-    "coalesce(event_type_2, 'no_event_type_2') AS event_type_2 FROM calendar", "calendar"))(
-    lambda s, r: ob.daily_calendar(s, r).select(
-        "d", *[dates.fill_event(c).alias(c) for c in ("event_name_1", "event_type_2")]))
+    "SELECT o_orderkey, coalesce(event_name_1, 'no_event_name_1') AS event_name_1, "
+    "coalesce(event_type_2, 'no_event_type_2') AS event_type_2 FROM odays LEFT JOIN calendar USING (d)",
+    "calendar", odays=_ORDER_DAYS))(
+    lambda s, r: order_days(s, r).select(
+        "o_orderkey", *[dates.fill_event(c).alias(c) for c in ("event_name_1", "event_type_2")]))
 
 
 @query("b17_encode_first_seen", sql("""
-SELECT c.d, CAST(n.code AS INT) AS event_name_1, CAST(t.code AS INT) AS event_type_1
-FROM calendar c
-JOIN (SELECT v, row_number() OVER (ORDER BY f) AS code FROM
-      (SELECT coalesce(event_name_1, '') AS v, min(d) AS f FROM calendar GROUP BY 1)) n
-  ON n.v = coalesce(c.event_name_1, '')
-JOIN (SELECT v, row_number() OVER (ORDER BY f) AS code FROM
-      (SELECT coalesce(event_type_1, '') AS v, min(d) AS f FROM calendar GROUP BY 1)) t
-  ON t.v = coalesce(c.event_type_1, '')""", "calendar"))
+SELECT o.o_orderkey, CAST(p.code AS INT) AS o_orderpriority, CAST(n.code AS INT) AS event_name_1
+FROM e o
+JOIN (SELECT v, row_number() OVER (ORDER BY f, v) AS code FROM
+      (SELECT o_orderpriority AS v, min(d) AS f FROM e GROUP BY 1)) p ON p.v = o.o_orderpriority
+JOIN (SELECT v, row_number() OVER (ORDER BY f, v) AS code FROM
+      (SELECT coalesce(event_name_1, '') AS v, min(d) AS f FROM e GROUP BY 1)) n
+  ON n.v = coalesce(o.event_name_1, '')""", "calendar", odays=_ORDER_DAYS,
+    e="SELECT odays.*, event_name_1, weekday FROM odays LEFT JOIN calendar USING (d)"))
 def encode_first_seen(s, r):
-    cal = ob.daily_calendar(s, r)
-    rows = cal.select("d", "event_name_1", "event_type_1")
-    return encode.encode_first_seen(rows, cal, ["event_name_1", "event_type_1"])
+    rows = order_days(s, r).select("o_orderkey", "d", "o_orderpriority", "event_name_1")
+    return encode.encode_first_seen(rows, rows, ["o_orderpriority", "event_name_1"]).drop("d")
 
 
 @query("b18_encode_sorted", sql("""
-SELECT d, CAST(coalesce(n.code, 0) AS INT) AS event_name_1, CAST(w.code - 1 AS INT) AS weekday
-FROM calendar c
+SELECT o_orderkey, CAST(coalesce(n.code, 0) AS INT) AS event_name_1, CAST(w.code - 1 AS INT) AS weekday
+FROM e
 LEFT JOIN (SELECT event_name_1 AS v, row_number() OVER (ORDER BY event_name_1) AS code
-           FROM (SELECT DISTINCT event_name_1 FROM calendar WHERE event_name_1 IS NOT NULL)) n
-  ON n.v = c.event_name_1
+           FROM (SELECT DISTINCT event_name_1 FROM e WHERE event_name_1 IS NOT NULL)) n
+  ON n.v = e.event_name_1
 JOIN (SELECT weekday AS v, row_number() OVER (ORDER BY weekday) AS code
-      FROM (SELECT DISTINCT weekday FROM calendar)) w ON w.v = c.weekday""", "calendar"))
+      FROM (SELECT DISTINCT weekday FROM e)) w ON w.v = e.weekday""", "calendar", odays=_ORDER_DAYS,
+    e="SELECT odays.*, event_name_1, weekday FROM odays JOIN calendar USING (d)"))
 def encode_sorted(s, r):
-    rows = ob.daily_calendar(s, r).select("d", "event_name_1", "weekday")
+    rows = order_days(s, r).where("weekday IS NOT NULL").select("o_orderkey", "event_name_1", "weekday")
     return encode.encode_sorted(rows, ["event_name_1", "weekday"])
 
 
@@ -252,9 +285,10 @@ query("b23_revenue", sql(
 
 @query("b24_horizon_label", sql(
     "SELECT id, 'F' || row_number() OVER (PARTITION BY id ORDER BY d) AS label, sales "
-    "FROM sales WHERE d > 55", "sales"))
+    f"FROM sales WHERE d > {LAST} - 28", "sales"))
 def horizon_label(s, r):
-    tail = filters.last_n(ob.monthly_sales(s, r), ob.N_MONTHS, 28)
+    view = ob.monthly_view(s, r)
+    tail = filters.last_n(view.sales(), view.last, 28)
     return lags.cumulative_count(tail).select("id", ids.horizon_label("n").alias("label"), "sales")
 
 
@@ -273,8 +307,8 @@ query("c1_last_n_before_cutoff", sql(
 
 
 @query("c2_between_dates", sql(
-    "SELECT id, d, sales FROM dsales WHERE d BETWEEN DATE '2000-05-23' - DATE '1995-01-02' + 1 "
-    "AND DATE '2000-06-19' - DATE '1995-01-02' + 1", "dsales"))
+    "SELECT id, d, sales FROM dsales WHERE d BETWEEN DATE '2000-05-23' - (SELECT min(CAST(l_shipdate AS DATE)) FROM lineitem) + 1 "
+    "AND DATE '2000-06-19' - (SELECT min(CAST(l_shipdate AS DATE)) FROM lineitem) + 1", "dsales"))
 def between_dates(s, r):
     rows = ob.daily_sales(s, r).select("id", "d", "sales")
     return filters.between_dates(rows, ob.daily_calendar(s, r), "2000-05-23", "2000-06-19") \
@@ -282,7 +316,7 @@ def between_dates(s, r):
 
 
 @query("c3_before_date", sql(
-    "SELECT id, d, sales FROM dsales WHERE DATE '1995-01-02' + (d - 1) < DATE '2000-05-23'", "dsales"))
+    "SELECT id, d, sales FROM dsales WHERE (SELECT min(CAST(l_shipdate AS DATE)) FROM lineitem) + (d - 1) < DATE '2000-05-23'", "dsales"))
 def before_date(s, r):
     rows = ob.daily_sales(s, r).select("id", "d", "sales")
     return filters.before_date(rows, ob.daily_calendar(s, r), "2000-05-23").select("id", "d", "sales")
@@ -308,11 +342,11 @@ def drop_incomplete(s, r):
 
 
 @query("c6_split_calendar", sql("""
-SELECT d, CASE WHEN d > m - 28 THEN 'unused' WHEN d > m - 56 THEN 'test' ELSE 'train' END AS part
-FROM calendar, (SELECT max(d) AS m FROM calendar)""", "calendar"))
+SELECT o_orderkey, CASE WHEN d > m - 28 THEN 'unused' WHEN d > m - 56 THEN 'test' ELSE 'train' END AS part
+FROM odays, (SELECT max(d) AS m FROM odays)""", odays=_ORDER_DAYS))
 def split_calendar(s, r):
-    parts = filters.split_calendar(ob.daily_calendar(s, r).select("d"), 28)
-    tagged = [df.withColumn("part", F.lit(name)) for name, df in parts.items()]
+    parts = filters.split_calendar(order_days(s, r).select("o_orderkey", "d"), 28)
+    tagged = [df.select("o_orderkey", F.lit(name).alias("part")) for name, df in parts.items()]
     return tagged[0].unionByName(tagged[1]).unionByName(tagged[2])
 
 

@@ -1,21 +1,24 @@
 """Gradient boosting with Poisson loss, composed from MLlib regression trees.
 
 Round: mu = exp(f); a tree is fitted to (y - mu) / mu with weight mu; each leaf gets
-sum(y - mu) / (sum(mu) + l2); f grows by the learning rate times its leaf. Trees and leaf
-values are kept as small tables, and f is written to the checkpoint folder every few
-rounds, so plans stay short and a lost executor costs no more than those rounds.
+sum(y - mu) / (sum(mu) + l2); f grows by the learning rate times its leaf. A round walks its
+tree once: leaf sums and the next scores come from the same kept rows, which are written to the
+checkpoint folder every few rounds, so plans stay short and a lost executor costs no more than
+those rounds. With validation rows the rounds end when their error has stopped falling.
 """
 
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass, field
-from math import ceil, log, log2
+from math import ceil, log, log2, sqrt
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import DecisionTreeRegressor
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,6 +26,7 @@ from pyspark.sql import functions as F
 
 from tallycast.functions.nulls import clamp_nonneg
 from tallycast.models.design import Design
+from tallycast.models.recursion import collect_steps
 from tallycast.session import cut_lineage, scratch_path
 
 TREE_SCHEMA = (
@@ -44,6 +48,7 @@ class BoostParams:
     seed: int = 777
     checkpoint_every: int = 10
     max_bins: int = 64
+    patience: int = 50  # rounds without a smaller validation error before the fit ends
 
     @property
     def depth(self) -> int:
@@ -52,13 +57,15 @@ class BoostParams:
 
 @dataclass
 class BoostModel:
-    """Base score and trees; ``trees`` is a list of node tables, one per round."""
+    """Base score and trees; ``trees`` is a list of node tables, one per round. ``rmse`` is the
+    validation error after each round, the trees after its minimum are left out."""
 
     base: float
     design: Design
     params: BoostParams
     trees: list[list[tuple]] = field(default_factory=list)
     deviance: list[float] = field(default_factory=list)
+    rmse: list[float] = field(default_factory=list)
 
     def to_table(self, spark: SparkSession) -> DataFrame:
         rows = [(r, *node) for r, tree in enumerate(self.trees) for node in tree]
@@ -77,29 +84,27 @@ class TreeScorer:
 
     @staticmethod
     def _arrays(tree: list[tuple]) -> tuple:
-        feature = np.array([n[1] for n in tree])
-        threshold = np.array([n[2] for n in tree])
-        levels = {i: np.array(n[3]) for i, n in enumerate(tree) if n[3]}
-        left = np.array([n[4] for n in tree])
-        right = np.array([n[5] for n in tree])
-        value = np.array([n[6] for n in tree])
-        return feature, threshold, levels, left, right, value
+        """Node columns; row n of ``member`` tells which codes go left at nominal node n."""
+        feature, threshold, levels, left, right, value = map(list, list(zip(*tree))[1:])
+        nominal = np.array([bool(v) for v in levels])
+        codes = max([0, *(int(c) for v in levels if v for c in v)])
+        member = np.zeros((len(tree), codes + 1), bool)
+        for n, v in enumerate(levels):
+            member[n, [int(c) for c in v or ()]] = True
+        return (np.array(feature), np.array(threshold), nominal, member, np.array(left),
+                np.array(right), np.array(value))
 
     def log_mean(self, x: np.ndarray) -> np.ndarray:
         rows = np.arange(len(x))
         f = np.full(len(x), self.base)
-        for feature, threshold, levels, left, right, value in self.trees:
+        for feature, threshold, nominal, member, left, right, value in self.trees:
             at = np.zeros(len(x), dtype=int)
-            inner = feature[at] >= 0
-            while inner.any():
+            top = member.shape[1] - 1
+            while (inner := feature[at] >= 0).any():
                 v = x[rows, np.maximum(feature[at], 0)]
-                go_left = v <= threshold[at]
-                for node, members in levels.items():
-                    here = at == node
-                    if here.any():
-                        go_left[here] = np.isin(v[here], members)
+                code = np.clip(v, 0, top).astype(int)
+                go_left = np.where(nominal[at], member[at, code] & (v <= top), v <= threshold[at])
                 at = np.where(inner, np.where(go_left, left[at], right[at]), at)
-                inner = feature[at] >= 0
             f += value[at]
         return f
 
@@ -136,27 +141,37 @@ def tree_features(design: Design) -> Column:
     )
 
 
-def _tree_nodes(spark: SparkSession, model, values: dict[int, float], rate: float) -> list[tuple]:
-    """Node table of a fitted tree, read from its saved form; leaves carry the step."""
-    path = scratch_path(spark, "tree")
-    model.write().overwrite().save(path)
-    nodes = spark.read.parquet(f"{path}/data").select(
-        "id", "leftChild", "rightChild", "split.featureIndex",
-        "split.leftCategoriesOrThreshold", "split.numCategories",
-    ).orderBy("id").collect()  # at most 2 * num_leaves - 1 rows
-    table, leaf = [], 0
-    for n in nodes:
-        if n["leftChild"] < 0:
-            # leaves are numbered left to right, which is the order of node ids
-            table.append((n["id"], -1, 0.0, None, -1, -1, rate * values.get(leaf, 0.0)))
-            leaf += 1
-            continue
-        split, nominal = n["leftCategoriesOrThreshold"], n["numCategories"] >= 0
-        table.append((
-            n["id"], n["featureIndex"], float("-inf") if nominal else split[0],
-            list(split) if nominal else None, n["leftChild"], n["rightChild"], 0.0,
-        ))
-    return table
+_SPLIT = re.compile(r"If \(feature (\d+) (?:<= (\S+?)|in \{(.*?)\})\)$")
+
+
+def _tree_nodes(model, values: dict[int, float], rate: float) -> list[tuple]:
+    """Node table of a fitted tree from its public text form; leaves carry the step.
+
+    The text lists nodes in pre-order: a split, its left part, ``Else``, its right part. Leaves
+    are numbered left to right.
+    """
+    lines = [t for t in (line.strip() for line in model.toDebugString.split("\n")[1:])
+             if t and not t.startswith("Else")]
+    table: list[list] = []
+
+    def read(i: int) -> int:
+        """Append the node of line ``i`` and all below it; returns the next line."""
+        me = len(table)
+        split = _SPLIT.match(lines[i])
+        if split is None:
+            leaf = sum(n[1] < 0 for n in table)
+            table.append([me, -1, 0.0, None, -1, -1, rate * values.get(leaf, 0.0)])
+            return i + 1
+        feature, threshold, codes = split.groups()
+        left = [float(c) for c in codes.split(",") if c] if codes is not None else None
+        table.append([me, int(feature), float("-inf") if left is not None else float(threshold),
+                      left, me + 1, -1, 0.0])
+        i = read(i + 1)
+        table[me][5] = len(table)
+        return read(i)
+
+    read(0)
+    return [tuple(n) for n in table]
 
 
 def _loss(y: Column, f: Column) -> Column:
@@ -164,68 +179,113 @@ def _loss(y: Column, f: Column) -> Column:
     return F.exp(f) - y * f
 
 
+def _leaf_step(values: dict[int, float], rate: float) -> Column:
+    steps = [rate * values.get(i, 0.0) for i in range(max(values) + 1)]
+    return F.element_at(F.array(*[F.lit(s) for s in steps]), F.col("leaf").cast("int") + 1)
+
+
+class _Scores:
+    """Rows with their score ``f``: one walk through each tree, kept until the next round."""
+
+    def __init__(self, rows: DataFrame, base: float, every: int):
+        self.now, self.every, self.walked, self.kept = rows.withColumn("f", F.lit(base)), every, 0, None
+
+    def walk(self, tree) -> DataFrame:
+        """Rows with the leaf of ``tree``, kept so that ``step`` need not walk again."""
+        self.leaves = tree.transform(self.now).select(*self.now.columns, "leaf").persist(
+            StorageLevel.MEMORY_AND_DISK)
+        return self.leaves
+
+    def step(self, values: dict[int, float], rate: float) -> None:
+        grown = self.leaves.withColumn("f", F.col("f") + _leaf_step(values, rate)).drop("leaf")
+        self.walked += 1
+        if self.walked % self.every == 0:
+            grown = cut_lineage(grown)
+            self.leaves.unpersist()
+            self.leaves = None
+        if self.kept is not None:
+            # the newer rows are complete once anything was computed from them
+            self.kept.unpersist()
+        self.now, self.kept = grown, self.leaves
+
+    def close(self) -> None:
+        if self.kept is not None:
+            self.kept.unpersist()
+
+
 def fit_boosted_poisson(rows: DataFrame, design: Design, params: BoostParams = BoostParams(),
-                        key: tuple[str, ...] = ("id", "d")) -> BoostModel:
+                        key: tuple[str, ...] = ("id", "d"),
+                        validation: DataFrame | None = None) -> BoostModel:
     """Boosted trees for counts (y >= 0) on lags, numeric columns and factors.
 
     Rows are sampled each round by a hash of their key, so a recomputed partition draws
-    the same rows again.
+    the same rows again. With ``validation`` rows their RMSE is followed; the fit ends after
+    ``patience`` rounds without improvement and keeps the trees up to the best round.
     """
-    spark = rows.sparkSession
-    state = cut_lineage(rows.select(
-        F.xxhash64(*key).alias("row"), F.col("y").cast("double").alias("y"), tree_features(design)
-    ))
-    mean = state.agg(F.avg("y")).first()[0]
+    def table(df: DataFrame) -> DataFrame:
+        return cut_lineage(df.select(F.xxhash64(*key).alias("row"), F.col("y").cast("double").alias("y"),
+                                     tree_features(design)))
+
+    train = table(rows)
+    mean = train.agg(F.avg("y")).first()[0]
     if not mean or mean <= 0:
         raise ValueError("boosting needs a positive mean")
     base = log(mean)
-    state = state.withColumn("f", F.lit(base))
+    state = _Scores(train, base, params.checkpoint_every)
+    held = None if validation is None else _Scores(table(validation), base, params.checkpoint_every)
     bins = max([params.max_bins, *[len(v) + 1 for v in design.factors.values()]])
-    model = BoostModel(base, design, params)
+    model, best = BoostModel(base, design, params), 0
     for r in range(params.rounds):
         mu = F.exp("f")
-        drawn = F.pmod(F.xxhash64("row", F.lit(params.seed + r)), F.lit(1_000_000))
-        sample = state.where(drawn < int(params.row_sample * 1_000_000)).select(
-            "features", "y", mu.alias("mu"), ((F.col("y") - mu) / mu).alias("label")
-        )
+        drawn = F.pmod(F.xxhash64("row", F.lit(params.seed + r)), F.lit(1_000_000)) \
+            < int(params.row_sample * 1_000_000)
         tree = DecisionTreeRegressor(
             labelCol="label", weightCol="mu", leafCol="leaf", maxDepth=params.depth,
             maxBins=bins, minInstancesPerNode=params.min_rows_per_leaf, seed=params.seed + r,
-        ).fit(sample)
-        sums = tree.transform(sample).groupBy(F.col("leaf").cast("int").alias("leaf")).agg(
-            F.sum(F.col("y") - F.col("mu")).alias("g"), F.sum("mu").alias("h")
+        ).fit(state.now.where(drawn).select("features", mu.alias("mu"), ((F.col("y") - mu) / mu).alias("label")))
+        sums = state.walk(tree).where(drawn).groupBy(F.col("leaf").cast("int").alias("leaf")).agg(
+            F.sum(F.col("y") - mu).alias("g"), F.sum(mu).alias("h"),
         ).collect()  # one row per leaf
         values = {s["leaf"]: s["g"] / (s["h"] + params.l2) for s in sums}
-        model.trees.append(_tree_nodes(spark, tree, values, params.learning_rate))
-        steps = [params.learning_rate * values.get(i, 0.0) for i in range(max(values) + 1)]
-        step = F.element_at(F.array(*[F.lit(s) for s in steps]), F.col("leaf").cast("int") + 1)
-        state = tree.transform(state).withColumn("f", F.col("f") + step) \
-            .select("row", "y", "features", "f")
+        model.trees.append(_tree_nodes(tree, values, params.learning_rate))
+        state.step(values, params.learning_rate)
         if (r + 1) % params.checkpoint_every == 0 or r + 1 == params.rounds:
-            state = cut_lineage(state)
-            model.deviance.append(state.agg(F.avg(_loss(F.col("y"), F.col("f")))).first()[0])
+            model.deviance.append(state.now.agg(F.avg(_loss(F.col("y"), F.col("f")))).first()[0])
+        if held is not None:
+            held.walk(tree)
+            held.step(values, params.learning_rate)
+            error = F.avg(F.pow(F.col("y") - F.exp("f"), 2))
+            model.rmse.append(sqrt(held.now.agg(error).first()[0]))
+            best = r if model.rmse[r] < model.rmse[best] else best
+            if r - best >= params.patience:
+                break
+    if held is not None:
+        del model.trees[best + 1:]
+        held.close()
+    state.close()
     return model
 
 
 def fit_boosted_by_cluster(rows: DataFrame, design: Design, by: str = "cluster_id",
                            params: BoostParams = BoostParams(), parallelism: int = 4) -> dict:
-    """One model per cluster, several fitted at a time.
+    """One model per cluster with a positive mean, several fitted at a time.
 
-    The training rows are written once, partitioned by cluster; each fit reads its own
-    partition and is itself distributed, so a large cluster uses the whole cluster of
-    executors rather than one task.
+    The training rows are written once, dealt by cluster so that a folder holds few files; each
+    fit reads its own partition and is itself distributed, so a large cluster uses the whole
+    cluster of executors rather than one task.
     """
     spark = rows.sparkSession
     path = scratch_path(spark, "training")
-    rows.write.partitionBy(by).parquet(path)
+    salt = F.pmod(F.xxhash64("id", "d"), F.lit(8))
+    rows.repartition(by, salt).write.partitionBy(by).parquet(path)
     table = spark.read.parquet(path)
-    clusters = [r[0] for r in table.select(by).distinct().orderBy(by).collect()]
+    means = table.groupBy(by).agg(F.avg("y").alias("mean")).where("mean > 0").orderBy(by).collect()
 
     def fit(cluster):
         return cluster, fit_boosted_poisson(table.where(F.col(by) == cluster), design, params)
 
     with ThreadPoolExecutor(parallelism) as pool:
-        return dict(pool.map(fit, clusters))
+        return dict(pool.map(fit, [r[0] for r in means]))
 
 
 def predict_boosted(rows: DataFrame, model: BoostModel) -> DataFrame:
@@ -239,38 +299,47 @@ def predict_boosted(rows: DataFrame, model: BoostModel) -> DataFrame:
     return rows.withColumn("prediction", mean(_plain_features(model.design)))
 
 
-def forecast_boosted(frame: DataFrame, model: BoostModel, scaled: bool = False) -> DataFrame:
-    """Recursive forecasts -> (id, h, yhat); all steps of a series in one pass.
+def forecast_boosted(origin: DataFrame, days: DataFrame, models: "BoostModel | dict",
+                     scaled: bool = False, by: str | None = None) -> DataFrame:
+    """Recursive forecasts -> (id, h, yhat); all steps of all series in one pass.
 
-    A task takes batches of series, one row each with lags and the future features, and
-    steps them together through numpy.
+    ``models`` is one model, or one per value of ``by``; they share a design. A task takes
+    batches of series, one row each with lags and the future features, and steps those of one
+    model together through numpy. An all-zero series is forecast 0; one without enough lags or
+    without a model keeps its steps with a null value.
     """
-    scorer, design = model.scorer(), model.design
+    fitted = models if isinstance(models, dict) else {None: models}
+    spark = origin.sparkSession
+    if not fitted:
+        raise ValueError("no model was fitted")
+    design = next(iter(fitted.values())).design
+    scorers = spark.sparkContext.broadcast({k: m.scorer() for k, m in fitted.items()})
     n_lags = design.n_lags
-    steps = F.sort_array(F.collect_list(F.struct("h", _externals(design).alias("x"))))
-    series = frame.groupBy("id").agg(
-        F.first("lags").alias("lags"), F.first("mean").alias("mean"), steps.alias("steps")
-    ).select("id", "lags", "mean", F.col("steps.x").alias("future"))
+    group = F.col(by) if by else F.lit(None).cast("int")
+    steps = collect_steps(origin, days, {"x": _externals(design)}).select(
+        "id", group.alias("group"), "lags", "mean", F.col("future.x").alias("future"))
+    zero = (F.col("mean") == 0) if scaled else F.lit(False)
+    able = F.col("lags").isNotNull() & ~F.exists("lags", lambda v: v.isNull()) & ~zero
+    if by:
+        able = able & F.coalesce(group.isin(list(fitted)), F.lit(False))
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            if pdf.empty:
-                continue
-            lags = np.vstack(pdf["lags"].to_numpy())
-            future = np.stack([np.vstack(f) for f in pdf["future"]])
-            for h in range(future.shape[1]):
-                x = np.hstack([lags, future[:, h, :]])
-                yhat = np.exp(scorer.log_mean(x))
-                lags = np.hstack([yhat[:, None], lags[:, :n_lags - 1]])
-                out = yhat * pdf["mean"].to_numpy() if scaled else yhat
-                yield pd.DataFrame({"id": pdf["id"], "h": h + 1, "yhat": out})
-
-    ready = series.where(~F.exists("lags", lambda v: v.isNull()))
-    done = ready.mapInPandas(walk, "id string, h int, yhat double")
-    # all-zero series have no normalised lags; their forecast is 0
-    rest = series.where(F.exists("lags", lambda v: v.isNull())).select(
-        "id", F.explode(F.sequence(F.lit(1), F.size("future"))).alias("h"), F.lit(0.0).alias("yhat")
-    )
+            for key, part in pdf.groupby("group", dropna=False):
+                scorer = scorers.value[key if by else None]
+                lags = np.vstack(part["lags"].to_numpy())
+                future = np.stack([np.vstack(f) for f in part["future"]])
+                for h in range(future.shape[1]):
+                    yhat = np.exp(scorer.log_mean(np.hstack([lags, future[:, h, :]])))
+                    lags = np.hstack([yhat[:, None], lags[:, :n_lags - 1]])
+                    out = yhat * part["mean"].to_numpy() if scaled else yhat
+                    yield pd.DataFrame({"id": part["id"], "h": h + 1, "yhat": out})
+
+    ready = F.coalesce(able, F.lit(False))
+    done = steps.where(ready).mapInPandas(walk, "id string, h int, yhat double")
+    value = F.when(F.coalesce(zero, F.lit(False)), F.lit(0.0))
+    rest = steps.where(~ready).select(
+        "id", F.explode(F.sequence(F.lit(1), F.size("future"))).alias("h"), value.alias("yhat"))
     return done.unionByName(rest).withColumn("yhat", clamp_nonneg("yhat"))
 
 

@@ -1,7 +1,8 @@
 """Recursive multi-step forecasts: each prediction becomes the newest lag.
 
 The whole recursion of a series is one expression over its lag array and its future
-effects, so all steps run in one stage without a shuffle.
+effects, so all steps run in one stage. The effects are gathered by series as narrow rows and
+meet the lags once.
 """
 
 from __future__ import annotations
@@ -14,7 +15,10 @@ from pyspark.sql import functions as F
 from tallycast.functions.arrays import dot
 from tallycast.functions.nulls import clamp_nonneg
 from tallycast.models.design import Design
-from tallycast.session import checked_broadcast, cut_lineage
+from tallycast.session import stage
+
+# Limit of a log- or logit-scale predictor, in fits and forecasts alike.
+ETA_LIMIT = 30.0
 
 
 def recurse(lags: Column, future: Column, n_lags: int,
@@ -34,50 +38,64 @@ def recurse(lags: Column, future: Column, n_lags: int,
     return F.reverse(F.slice(grown, 1, F.size(future)))
 
 
-def collect_steps(frame: DataFrame, keys: list[str], effects: dict[str, Column]) -> DataFrame:
-    """One row per series: its lags and the future effects in step order (H of them)."""
-    points = F.sort_array(F.collect_list(F.struct("h", *[e.alias(n) for n, e in effects.items()])))
-    return frame.groupBy(*keys).agg(
-        F.first("lags").alias("lags"), F.first("mean").alias("mean"), points.alias("future")
-    )
+def split_frame(frame: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(origin, days) of a test frame that repeats the lags at every step."""
+    origin = frame.groupBy("id").agg(F.first("lags").alias("lags"), F.first("mean").alias("mean"))
+    return origin, frame.drop("lags", "mean")
+
+
+def collect_steps(origin: DataFrame, days: DataFrame, effects: dict[str, Column]) -> DataFrame:
+    """One row per series: its lags and the future effects in step order (H of them).
+
+    Only (id, step, effects) are shuffled for the steps; the lags join once per series.
+    """
+    narrow = days.select("id", F.struct("h", *[e.alias(n) for n, e in effects.items()]).alias("p"))
+    steps = narrow.groupBy("id").agg(F.sort_array(F.collect_list("p")).alias("future"))
+    return origin.join(steps, "id")
 
 
-def explode_steps(df: DataFrame, keys: list[str], predictions: Column,
-                  scaled: bool, nonneg: bool = True) -> DataFrame:
-    """(keys, h, yhat) from a prediction array, scaled back by the series mean."""
-    out = df.select(*keys, "mean", F.posexplode(predictions).alias("pos", "yhat"))
+def explode_steps(df: DataFrame, predictions: Column, scaled: bool, nonneg: bool = True) -> DataFrame:
+    """(id, h, yhat) from a prediction array, scaled back by the series mean.
+
+    Every series keeps all its steps: a series whose mean is 0 is forecast 0, one without
+    enough lags or without a model keeps null.
+    """
+    none = F.array_repeat(F.lit(None).cast("double"), F.size("future"))
+    out = df.select("id", "mean", F.posexplode(F.coalesce(predictions, none)).alias("pos", "yhat"))
     yhat = F.col("yhat") * F.col("mean") if scaled else F.col("yhat")
-    # a series whose mean is 0 has no normalised lags; its forecast is 0
     yhat = F.when(F.col("mean") == 0, F.lit(0.0)).otherwise(yhat) if scaled else yhat
-    return out.select(*keys, (F.col("pos") + 1).cast("int").alias("h"),
+    return out.select("id", (F.col("pos") + 1).cast("int").alias("h"),
                       (clamp_nonneg(yhat) if nonneg else yhat).alias("yhat"))
 
 
-def forecast_linear(frame: DataFrame, coefficients: DataFrame, design: Design,
+def unforecast(forecasts: DataFrame) -> DataFrame:
+    """Ids whose steps have no value: too short a history, no cluster, or no fitted model."""
+    return forecasts.where(F.col("yhat").isNull()).select("id").distinct()
+
+
+def forecast_linear(origin: DataFrame, days: DataFrame, coefficients: DataFrame, design: Design,
                     by: str | None = None, link: str = "identity", scaled: bool = True,
                     nonneg: bool = True) -> DataFrame:
     """Recursive forecasts of a linear predictor -> (id, h, yhat).
 
-    ``frame`` is a test frame (one row per series and step); ``coefficients`` holds
-    lag_beta and ext_beta per ``by`` value, a few rows that are counted before they are
-    broadcast.
+    ``coefficients`` holds lag_beta and ext_beta per ``by`` value. They are written once, so Spark
+    knows their size; the lag part joins per series, the other part per day.
     """
     if by is None:
         row = coefficients.first()
-        return forecast_fixed(frame, row["lag_beta"], row["ext_beta"], design, link, scaled, nonneg)
-    few = checked_broadcast(cut_lineage(coefficients.drop("n_rows")))
-    return _forecast(frame.join(few, by), design, link, scaled, nonneg)
+        return forecast_fixed(origin, days, row["lag_beta"], row["ext_beta"], design, link, scaled, nonneg)
+    fitted = stage(coefficients.select(by, "lag_beta", "ext_beta"), "coefficients")
+    return _forecast(origin.join(fitted.select(by, "lag_beta"), by, "left"),
+                     days.join(fitted.select(by, "ext_beta"), by, "left"), design, link, scaled, nonneg)
 
 
-def forecast_fixed(frame: DataFrame, lag_beta: list[float], ext_beta: dict[str, float],
-                   design: Design, link: str = "identity", scaled: bool = False,
-                   nonneg: bool = True) -> DataFrame:
+def forecast_fixed(origin: DataFrame, days: DataFrame, lag_beta: list[float],
+                   ext_beta: dict[str, float], design: Design, link: str = "identity",
+                   scaled: bool = False, nonneg: bool = True) -> DataFrame:
     """Recursive forecasts of one global model given by its coefficients."""
-    joined = frame.withColumns({
-        "lag_beta": F.array(*[F.lit(b) for b in lag_beta]).cast("array<double>"),
-        "ext_beta": _map_literal(ext_beta),
-    })
-    return _forecast(joined, design, link, scaled, nonneg)
+    beta = F.array(*[F.lit(b) for b in lag_beta]).cast("array<double>")
+    return _forecast(origin.withColumn("lag_beta", beta),
+                     days.withColumn("ext_beta", _map_literal(ext_beta)), design, link, scaled, nonneg)
 
 
 def _map_literal(values: dict[str, float]) -> Column:
@@ -87,22 +105,27 @@ def _map_literal(values: dict[str, float]) -> Column:
     return F.map_from_arrays(names, F.array(*[F.lit(float(v)) for v in values.values()]))
 
 
+def bounded(eta: Column) -> Column:
+    """The log-scale predictor within the limits that the fits use as well."""
+    return F.greatest(F.least(eta, F.lit(ETA_LIMIT)), F.lit(-ETA_LIMIT))
+
+
 def _inverse_link(eta: Column, link: str) -> Column:
-    return F.exp(eta) if link == "log" else eta
+    return F.exp(bounded(eta)) if link == "log" else eta
 
 
-def _forecast(joined: DataFrame, design: Design, link: str, scaled: bool,
+def _forecast(origin: DataFrame, days: DataFrame, design: Design, link: str, scaled: bool,
               nonneg: bool) -> DataFrame:
-    steps = collect_steps(joined.withColumn("_e", design.external_effect(F.col("ext_beta"))),
-                          ["id", "lag_beta"], {"e": F.col("_e")})
+    steps = collect_steps(origin, days, {"e": design.external_effect(F.col("ext_beta"))})
     predictions = recurse(
         F.col("lags"), F.col("future"), design.n_lags,
         lambda window, f: _inverse_link(dot(window, F.col("lag_beta")) + f["e"], link),
     )
-    return explode_steps(steps, ["id"], predictions, scaled, nonneg)
+    known = F.when(F.col("lags").isNotNull() & F.col("lag_beta").isNotNull(), predictions)
+    return explode_steps(steps, known, scaled, nonneg)
 
 
-def forecast_zip(frame: DataFrame, model) -> DataFrame:
+def forecast_zip(origin: DataFrame, days: DataFrame, model) -> DataFrame:
     """Recursive forecasts of a zero-inflated Poisson: mean (1 - pi) * lambda."""
     count_lags, count_ext = model.count_coefficients()
     zero_lags, zero_ext = model.zero_coefficients()
@@ -110,13 +133,13 @@ def forecast_zip(frame: DataFrame, model) -> DataFrame:
         "c": model.design.external_effect(_map_literal(count_ext)),
         "z": model.zero_design.external_effect(_map_literal(zero_ext)),
     }
-    steps = collect_steps(frame, ["id"], effects)
+    steps = collect_steps(origin, days, effects)
     b = F.array(*[F.lit(v) for v in count_lags]).cast("array<double>")
     g = F.array(*[F.lit(v) for v in zero_lags]).cast("array<double>")
 
     def step(window: Column, f: Column) -> Column:
-        present = 1 / (1 + F.exp(dot(window, g) + f["z"]))
-        return F.exp(dot(window, b) + f["c"]) * present
+        present = 1 / (1 + F.exp(bounded(dot(window, g) + f["z"])))
+        return F.exp(bounded(dot(window, b) + f["c"])) * present
 
     predictions = recurse(F.col("lags"), F.col("future"), model.design.n_lags, step)
-    return explode_steps(steps, ["id"], predictions, scaled=False)
+    return explode_steps(steps, F.when(F.col("lags").isNotNull(), predictions), scaled=False)

@@ -3,19 +3,20 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tallycast.operators.ordering import with_position
+
 
 def first_seen_codes(calendar: DataFrame, column: str, period: str = "d") -> DataFrame:
     """(column, code): 1, 2, .. in order of first appearance; blank/null is a value.
 
-    Windows run over the distinct values, not over the rows.
+    Positions come from a range-partitioned sort of the distinct values.
     """
     firsts = calendar.groupBy(F.coalesce(F.col(column), F.lit("")).alias(column)) \
         .agg(F.min(period).alias("first_seen"))
-    order = W.orderBy("first_seen", column)
-    return firsts.select(column, F.row_number().over(order).alias("code"))
+    placed = with_position(firsts, [F.col("first_seen"), F.col(column)])
+    return placed.select(column, F.col("position").cast("int").alias("code"))
 
 
 def encode_first_seen(df: DataFrame, calendar: DataFrame, columns: list[str]) -> DataFrame:
@@ -34,15 +35,10 @@ def encode_sorted(df: DataFrame, columns: list[str]) -> DataFrame:
     without starts at 0. Codes come from the distinct values only.
     """
     for c in columns:
-        values = df.groupBy(c).agg(F.lit(1).alias("_one"))
-        has_null = F.max(F.col(c).isNull().cast("int")).over(W.partitionBy())
-        rank = F.sum(F.col(c).isNotNull().cast("int")).over(
-            W.orderBy(F.col(c).asc_nulls_first()).rowsBetween(W.unboundedPreceding, 0)
-        )
-        codes = values.select(
-            F.col(c).alias("_value"),
-            F.when(F.col(c).isNull(), 0).otherwise(rank - 1 + has_null).cast("int").alias("_code"),
-        )
+        # a missing value sorts first, so it takes position 1 and with it code 0
+        values = with_position(df.select(F.col(c).alias("_value")).distinct(),
+                               [F.col("_value").asc_nulls_first()])
+        codes = values.select("_value", (F.col("position") - 1).cast("int").alias("_code"))
         df = df.join(codes, F.col(c).eqNullSafe(F.col("_value")), "left") \
             .drop(c, "_value").withColumnRenamed("_code", c)
     return df

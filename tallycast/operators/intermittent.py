@@ -135,9 +135,12 @@ def route(sales: DataFrame, classes: DataFrame) -> dict[str, DataFrame]:
 
 
 def route_union(regular: DataFrame, intermittent: DataFrame, classes: DataFrame) -> DataFrame:
-    """One forecast table: each series from the model family of its class."""
+    """One forecast table: each series from the model family of its class.
+
+    A series whose family has no forecast for it keeps one row with null step and value.
+    """
     def of(fc: DataFrame, name: str) -> DataFrame:
         members = classes.where(F.col("demand_class") == name).select("id")
-        return fc.select("id", "h", "yhat").join(members, "id", "left_semi")
+        return members.join(fc.select("id", "h", "yhat"), "id", "left")
 
     return of(regular, "croston").unionByName(of(intermittent, "sba"))

@@ -13,11 +13,15 @@ from pyspark.sql import functions as F
 from tallycast.functions.arrays import window_before
 from tallycast.functions.nulls import ratio
 from tallycast.operators.joins import (
-    external_vars, future_days, future_frame, with_daily_price, with_price,
+    external_vars, future_days, with_daily_price, with_price,
 )
 from tallycast.schema import KEYS
 
 
+# Places over which the series of one cluster are spread.
+CLUSTER_SALTS = 16
+
+
 def add_lags(df: DataFrame, n: int, value: str = "sales", by: list[str] | None = None,
              period: str = "d") -> DataFrame:
     """Columns lag1..lagn; one window, meant for small ``n``."""
@@ -91,16 +95,15 @@ def latest_lags(sales: DataFrame, n: int, value: str = "sales", keys: list[str]
                 period: str = "d") -> DataFrame:
     """Newest ``n`` values of each series, newest first, with the last period."""
     series = series_arrays(sales, value, keys, period)
-    return _origin(series, n).drop("mean")
+    return _origin(series, n).where(F.col("lags").isNotNull()).drop("mean")
 
 
 def _origin(series: DataFrame, n: int) -> DataFrame:
+    """Last period and newest ``n`` values; a series with fewer has null lags and stays."""
     keys = [c for c in series.columns if c not in ("ds", "ys")]
-    return series.where(F.size("ds") >= n).select(
-        *keys,
-        F.element_at("ds", -1).alias("origin"),
-        F.slice(F.reverse("ys"), 1, n).alias("lags"),
-    )
+    newest = F.slice(F.reverse("ys"), 1, n)
+    return series.select(*keys, F.element_at("ds", -1).alias("origin"),
+                         F.when(F.size("ds") >= n, newest).alias("lags"))
 
 
 def forecast_origin(sales: DataFrame, cutoff: int, n: int, value: str = "sales",
@@ -115,11 +118,11 @@ def prepare_series(sales: DataFrame, clusters: DataFrame | None = None,
     """Series arrays, optionally with a cluster and divided by their mean.
 
     All-zero series have no normalised values; they are left out of training and keep
-    ``mean = 0``.
+    ``mean = 0``. A series without a cluster keeps a null one.
     """
     series = series_arrays(sales, carry=carry)
     if clusters is not None:
-        series = series.join(clusters.select("id", "cluster_id"), "id")
+        series = series.join(clusters.select("id", "cluster_id"), "id", "left")
     if normalized:
         series = normalize_arrays(series)
     return series
@@ -146,21 +149,35 @@ def training_matrix(sales: DataFrame, calendar: DataFrame, n: int,
     Windows with a missing value are dropped; a missing price stays null.
     """
     priced, carry = _with_prices(sales, calendar, prices, daily_price)
-    rows = embed_arrays(prepare_series(priced, clusters, normalized, carry), n, carry)
+    series = prepare_series(priced, clusters, normalized, carry)
+    if clusters is not None:
+        # series of one cluster lie together in a few places, so that a task sums few clusters
+        salt = F.pmod(F.xxhash64("id"), F.lit(CLUSTER_SALTS))
+        series = series.where(F.col("cluster_id").isNotNull()).repartition("cluster_id", salt)
+    rows = embed_arrays(series, n, carry)
     complete = F.col("y").isNotNull() & ~F.exists("lags", lambda x: x.isNull())
     return external_vars(rows.where(complete), calendar)
 
 
-def test_frame(sales: DataFrame, calendar: DataFrame, n: int, horizon: int,
-               clusters: DataFrame | None = None, prices: DataFrame | None = None,
-               normalized: bool = True, daily_price: DataFrame | None = None) -> DataFrame:
-    """One row per series and future step: newest lags plus that day's externals.
+def future_parts(sales: DataFrame, calendar: DataFrame, n: int, horizon: int,
+                 clusters: DataFrame | None = None, prices: DataFrame | None = None,
+                 normalized: bool = True,
+                 daily_price: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """What a recursion needs, apart: (origin, days).
 
-    With prices the future days are priced without the lags, which join back by series.
+    ``origin`` has one row per series with its newest lags (null if it has fewer) and mean;
+    ``days`` one narrow row per series and future step with that day's externals. They join
+    by series, so lag arrays are never copied per step.
     """
     origin = _origin(prepare_series(sales, clusters, normalized), n)
-    if prices is None and daily_price is None:
-        return future_frame(origin, calendar, F.col("origin"), horizon)
     days = future_days(origin.drop("lags", "mean"), F.col("origin"), horizon)
     priced, _ = _with_prices(days, calendar, prices, daily_price)
-    return external_vars(priced, calendar).join(origin.select("id", "lags", "mean"), "id")
+    return origin, external_vars(priced, calendar)
+
+
+def test_frame(sales: DataFrame, calendar: DataFrame, n: int, horizon: int,
+               clusters: DataFrame | None = None, prices: DataFrame | None = None,
+               normalized: bool = True, daily_price: DataFrame | None = None) -> DataFrame:
+    """One row per series and future step: newest lags plus that day's externals."""
+    origin, days = future_parts(sales, calendar, n, horizon, clusters, prices, normalized, daily_price)
+    return days.join(origin.select("id", "lags", "mean").where(F.col("lags").isNotNull()), "id")

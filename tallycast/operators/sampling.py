@@ -7,43 +7,65 @@ from pyspark.sql import functions as F
 
 from tallycast.functions.ids import node_name
 
-# Leading hex digits that form the bucket: 16 ** 4 buckets.
-_BUCKET_DIGITS = 4
+# Hex digits by which a rank prefix grows, and the rows of a prefix that may be ordered at once.
+_STEP_DIGITS = 4
+_HASH_DIGITS = 32
+_ORDERED_ROWS = 100_000
 
 
 def with_sample_rank(df: DataFrame, key: list[str], seed: int) -> DataFrame:
-    """A reproducible random text rank per row, unique as far as the key is."""
+    """A reproducible random text rank per row, unique as far as the rows differ."""
     text = node_name(*key)
-    rank = F.concat(F.md5(F.concat_ws("|", F.lit(str(seed)), text)), F.lit("|"), text)
+    rest = F.lpad(F.hex(F.xxhash64(*[F.col(c) for c in df.columns])), 16, "0")
+    rank = F.concat(F.md5(F.concat_ws("|", F.lit(str(seed)), text)), F.lit("|"), text, F.lit("|"), rest)
     return df.withColumn("_rank", rank)
 
 
+def _boundary(ranked: DataFrame, n: int) -> tuple[str, int] | None:
+    """The n-th smallest rank, and how many rows of that rank belong to the first n."""
+    inside, digits, seen = ranked, 0, 0
+    while True:
+        digits += _STEP_DIGITS
+        prefix = F.substring("_rank", 1, digits)
+        counts = inside.groupBy(prefix.alias("prefix")).count().orderBy("prefix")
+        held, cut = 0, None
+        for row in counts.toLocalIterator():  # at most 16 ** 4 prefixes below the last cut
+            if seen + row["count"] >= n:
+                cut, held = row["prefix"], row["count"]
+                break
+            seen += row["count"]
+        if cut is None:
+            return None
+        inside = inside.where(prefix == cut)
+        if held <= _ORDERED_ROWS or digits >= _HASH_DIGITS:
+            break
+    same = inside.groupBy("_rank").count().orderBy("_rank").toLocalIterator()
+    for row in same:
+        if seen + row["count"] >= n:
+            return row["_rank"], n - seen
+        seen += row["count"]
+
+
 def holdout(df: DataFrame, n: int, seed: int, key: list[str]) -> tuple[DataFrame, DataFrame]:
     """Exactly ``n`` rows without replacement, and the rest.
 
-    The n-th smallest rank splits the table by a comparison, so neither side needs a
-    sort, a join or a limit. It is found in two passes: rows are counted per rank prefix,
-    then only the one prefix that holds the n-th row is ordered.
+    The n-th smallest rank splits the table by a comparison, so neither side needs a sort or a
+    join. It is found by counting rows per rank prefix and going deeper into the one prefix
+    that holds the n-th row until few enough rows share it. Rows that are equal throughout
+    share a rank; of those at the boundary as many are taken as are still wanted.
     """
     ranked = with_sample_rank(df, key, seed)
-    prefix = F.substring("_rank", 1, _BUCKET_DIGITS)
-    counts = ranked.groupBy(prefix.alias("prefix")).count().orderBy("prefix").collect()
-    seen, cut = 0, None
-    for row in counts:
-        if seen + row["count"] >= n:
-            cut = row["prefix"]
-            break
-        seen += row["count"]
-    if cut is None or n <= 0:
-        everything = ranked.drop("_rank")
-        nothing = everything.where(F.lit(False))
-        return (nothing, everything) if n <= 0 else (everything, nothing)
-    boundary = (
-        ranked.where(prefix == cut).select("_rank").orderBy("_rank").limit(n - seen)
-        .agg(F.max("_rank")).first()[0]
-    )
-    chosen = F.col("_rank") <= F.lit(boundary)
-    return ranked.where(chosen).drop("_rank"), ranked.where(~chosen).drop("_rank")
+    found = _boundary(ranked, n) if n > 0 else None
+    if found is None:
+        nothing = df.where(F.lit(False))
+        return (df, nothing) if n > 0 else (nothing, df)
+    boundary, taken = found
+    below, above = ranked.where(F.col("_rank") < boundary), ranked.where(F.col("_rank") > boundary)
+    equal = ranked.where(F.col("_rank") == boundary)
+    first = below.unionByName(equal.limit(taken)).drop("_rank")
+    held = equal.count()
+    rest = above if held == taken else above.unionByName(equal.limit(held - taken))
+    return first, rest.drop("_rank")
 
 
 def complement(df: DataFrame, sample: DataFrame, key: list[str]) -> DataFrame:

@@ -43,11 +43,13 @@ def demand_stats(sales: DataFrame, value: str = "sales", period: str = "d",
     size = F.when(F.col(value) > 0, F.col(value))
     last_demand = F.max(F.when(F.col(value) > 0, F.col(period)))
     span = last_demand - F.min(period) + 1
-    spread = ratio(F.stddev_samp(size), F.avg(size))
+    # whole-number sums are exact, so the squared variation does not depend on their order
+    n, total, squares = F.count(size), F.sum(size), F.sum(size * size)
+    variance = F.try_divide(squares - total * total / n, (n - 1).cast("double"))
     return sales.groupBy(*(by or ["id"])).agg(
         F.count(size).alias("n_demands"),
         ratio(span, F.count(size)).alias("adi"),
-        (spread * spread).alias("cv2"),
+        ratio(variance, (total / n) * (total / n)).alias("cv2"),
     )
 
 

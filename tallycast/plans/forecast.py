@@ -17,7 +17,9 @@ from tallycast.models.ols import (
 from tallycast.models.poisson import fit_poisson, fit_zip
 from tallycast.models.recursion import forecast_fixed, forecast_linear, forecast_zip
 from tallycast.operators.intermittent import classify_sbc, croston, route, route_union
-from tallycast.operators.lags import test_frame, training_matrix
+from tallycast.operators.lags import future_parts, training_matrix
+from tallycast.operators.sampling import holdout
+from tallycast.session import stage
 
 # Factor sets of the models.
 POISSON_FACTORS = ("weekday_flag", "month", "snap",
@@ -65,19 +67,17 @@ def cluster_forecast(sales: DataFrame, calendar: DataFrame, clusters: DataFrame,
     """One pooled model per cluster on mean-scaled series, forecast recursively.
 
     ``ols`` fits all clusters in one grouped reduction; ``boost`` fits a boosted model
-    per cluster.
+    per cluster. Every series keeps its steps: all-zero series are 0; short ones, and those
+    without a cluster or with an unfitted one, are null (see ``recursion.unforecast``).
     """
     rows = training_matrix(sales, calendar, n_lags, clusters)
-    frame = test_frame(sales, calendar, n_lags, horizon, clusters)
+    origin, days = future_parts(sales, calendar, n_lags, horizon, clusters)
     design = default_design(calendar, n_lags)
     if model == "ols":
-        return forecast_linear(frame, fit_ols(rows, design, "cluster_id"), design, "cluster_id")
+        fitted = fit_ols(rows, design, "cluster_id")
+        return forecast_linear(origin, days, fitted, design, "cluster_id")
     models = fit_boosted_by_cluster(rows, design, "cluster_id", params)
-    parts = [
-        forecast_boosted(frame.where(F.col("cluster_id") == c), m, scaled=True)
-        for c, m in models.items()
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    return forecast_boosted(origin, days, models, scaled=True, by="cluster_id")
 
 
 def global_linear_forecast(sales: DataFrame, calendar: DataFrame, prices: DataFrame | None = None,
@@ -93,9 +93,9 @@ def global_linear_forecast(sales: DataFrame, calendar: DataFrame, prices: DataFr
     rows = training_matrix(sales, calendar, n_lags, prices=prices)
     if numeric:
         rows = rows.dropna(subset=list(numeric))
-    frame = test_frame(sales, calendar, n_lags, horizon, prices=prices)
+    origin, days = future_parts(sales, calendar, n_lags, horizon, prices=prices)
     if numeric:
-        frame = fill_future_price(frame, prices, ["store_id", "item_id"], price, "wm_yr_wk")
+        days = fill_future_price(days, prices, ["store_id", "item_id"], price, "wm_yr_wk")
     design = default_design(
         calendar, n_lags, statics=sales, static_factors=static_factors, numeric=numeric,
         calendar_factors=GLOBAL_FACTORS, intercept=True, drop_first=True,
@@ -106,25 +106,25 @@ def global_linear_forecast(sales: DataFrame, calendar: DataFrame, prices: DataFr
         model = fit_linear_regression(rows, design)
     finally:
         rows.unpersist()
-    return forecast_fixed(frame, *mllib_coefficients(model, design), design,
+    return forecast_fixed(origin, days, *mllib_coefficients(model, design), design,
                           scaled=True, nonneg=nonneg)
 
 
 def poisson_forecast(sales: DataFrame, calendar: DataFrame, daily_price: DataFrame | None = None,
                      n_lags: int = 10, horizon: int = 28, zero_inflated: bool = False,
-                     max_iter: int = 25) -> DataFrame:
+                     max_iter: int = 50) -> DataFrame:
     """Poisson or zero-inflated Poisson on raw sales, forecast on the response scale.
 
-    ``daily_price`` (id, d, price) adds the price to both parts; training days without
-    one are left out, and a future day without one takes the series' newest price.
+    ``daily_price`` (id, d, price) adds the price to both parts. It has a row for every day
+    from launch on, sold or not; days before the launch are left out, and a future day without
+    a price takes the series' newest one.
     """
-    rows = training_matrix(sales, calendar, n_lags, normalized=False, daily_price=daily_price)
-    frame = test_frame(sales, calendar, n_lags, horizon, normalized=False, daily_price=daily_price)
+    rows = training_rows(sales, calendar, daily_price, n_lags)
+    origin, days = future_parts(sales, calendar, n_lags, horizon, normalized=False, daily_price=daily_price)
     numeric: tuple[str, ...] = ()
     if daily_price is not None:
         numeric = ("price",)
-        rows = rows.where(F.col("price").isNotNull())
-        frame = fill_future_price(frame, daily_price, ["id"], "price", "d")
+        days = fill_future_price(days, daily_price, ["id"], "price", "d")
     shared = dict(numeric=numeric, intercept=True, drop_first=True)
     design = default_design(calendar, n_lags, statics=sales, static_factors=STATIC_FACTORS,
                             calendar_factors=POISSON_FACTORS, **shared)
@@ -133,32 +133,45 @@ def poisson_forecast(sales: DataFrame, calendar: DataFrame, daily_price: DataFra
         design = drop_aliased(rows, design)
         if not zero_inflated:
             model = fit_poisson(rows, design, max_iter)
-            return forecast_fixed(frame, *mllib_coefficients(model, design), design, link="log")
+            return forecast_fixed(origin, days, *mllib_coefficients(model, design), design, link="log")
         zero = default_design(calendar, n_lags, calendar_factors=ZERO_FACTORS, **shared)
-        return forecast_zip(frame, fit_zip(rows, design, drop_aliased(rows, zero), max_iter))
+        return forecast_zip(origin, days, fit_zip(rows, design, drop_aliased(rows, zero), max_iter))
     finally:
         rows.unpersist()
 
 
 def boosted_forecast(sales: DataFrame, calendar: DataFrame, daily_price: DataFrame | None = None,
                      n_lags: int = 10, horizon: int = 28,
-                     params: BoostParams = BoostParams()) -> DataFrame:
+                     params: BoostParams = BoostParams(), holdout_rows: int = 0) -> DataFrame:
     """One global boosted model on raw sales, forecast recursively.
 
-    Training days without a price are dropped; a future day without one keeps an
-    indicator of its absence.
+    Training days before the launch are dropped; a future day without a price keeps an
+    indicator of its absence. ``holdout_rows`` sets aside that many rows, whose error ends the fit.
     """
+    model = fit_global_boosting(sales, calendar, daily_price, n_lags, params, holdout_rows)
+    origin, days = future_parts(sales, calendar, n_lags, horizon, normalized=False, daily_price=daily_price)
+    return forecast_boosted(origin, days, model)
+
+
+def training_rows(sales: DataFrame, calendar: DataFrame, daily_price: DataFrame | None,
+                  n_lags: int) -> DataFrame:
+    """Raw training rows of the global models, from launch on if a price is given."""
     rows = training_matrix(sales, calendar, n_lags, normalized=False, daily_price=daily_price)
-    frame = test_frame(sales, calendar, n_lags, horizon, normalized=False, daily_price=daily_price)
-    numeric: tuple[str, ...] = ()
-    if daily_price is not None:
-        numeric = ("price",)
-        rows = rows.where(F.col("price").isNotNull())
+    return rows if daily_price is None else rows.where(F.col("price").isNotNull())
+
+
+def fit_global_boosting(sales: DataFrame, calendar: DataFrame, daily_price: DataFrame | None = None,
+                        n_lags: int = 10, params: BoostParams = BoostParams(), holdout_rows: int = 0):
+    """The model of ``boosted_forecast``; trained on the complement of the hold-out sample."""
+    rows = training_rows(sales, calendar, daily_price, n_lags)
     design = default_design(
-        calendar, n_lags, statics=sales, static_factors=STATIC_FACTORS, numeric=numeric,
-        calendar_factors=POISSON_FACTORS,
+        calendar, n_lags, statics=sales, static_factors=STATIC_FACTORS,
+        numeric=() if daily_price is None else ("price",), calendar_factors=POISSON_FACTORS,
     )
-    return forecast_boosted(frame, fit_boosted_poisson(rows, design, params))
+    if not holdout_rows:
+        return fit_boosted_poisson(rows, design, params)
+    held, train = holdout(stage(rows, "training"), holdout_rows, params.seed, ["id", "d"])
+    return fit_boosted_poisson(train, design, params, validation=held)
 
 
 def intermittent_forecast(sales: DataFrame, horizon: int = 56, alpha: float | str = "grid",
@@ -175,7 +188,7 @@ def intermittent_forecast(sales: DataFrame, horizon: int = 56, alpha: float | st
 def combined_forecast(sales: DataFrame, regular: DataFrame, horizon: int = 56,
                       alpha: float | str = "grid", variant: str = "sbj") -> DataFrame:
     """Smoothing for intermittent series, a given forecast for the regular ones."""
-    classes = classify_sbc(sales)
+    classes = stage(classify_sbc(sales), "classes")
     smooth = croston(route(sales, classes)["sba"], horizon, alpha, variant)
     return route_union(regular, smooth, classes)
 

@@ -8,13 +8,9 @@ import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
-# A side is broadcast only after its rows were counted against this bound.
-BROADCAST_ROWS = 200_000
-
 
 def local_session(cpus: int | str = 8, memory: str = "8g") -> SparkSession:
     """Session for tests and the benchmark; a cluster brings its own."""
@@ -99,12 +95,3 @@ def stage(df: DataFrame, label: str = "stage") -> DataFrame:
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
-
-
-def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast if ``df`` has at most ``max_rows`` rows, else leave the join to AQE.
-
-    Meant for inputs whose count is cheap (checkpointed or file-backed): the probe reads
-    at most ``max_rows + 1`` rows.
-    """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df

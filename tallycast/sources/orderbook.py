@@ -8,19 +8,16 @@ type, type+brand, nation and region.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from datetime import date as Date
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tallycast.operators.ordering import with_position
 from tallycast.schema import KEYS
 from tallycast.session import stage
 
-# First day and month of the order book's calendar, its number of months,
-# the fixed-date events, and the day-of-month span of each region's support days.
-EPOCH = "1995-01-02"
-FIRST_YEAR = 1995
-N_MONTHS = 83
+# The fixed-date events, and the day-of-month span of each region's support days.
 EVENTS_1 = {
     (12, 25): ("Christmas", "National"),
     (1, 1): ("NewYear", "National"),
@@ -75,9 +72,38 @@ def _regions(spark: SparkSession, root: str) -> DataFrame:
     return _table(spark, root, "region").select("r_regionkey", F.col("r_name").alias("state_id"))
 
 
-def month_index(date: Column | str) -> Column:
-    """Months since the first year, 1-based."""
-    return (F.year(date) - F.lit(FIRST_YEAR)) * 12 + F.month(date)
+@dataclass(frozen=True)
+class Bounds:
+    """First and last shipping day of the order book; period 1 is that of the first day."""
+
+    first: Date
+    last: Date
+
+    def month(self, date: Column | str) -> Column:
+        return ((F.year(date) - self.first.year) * 12 + F.month(date) - (self.first.month - 1)).cast("int")
+
+    def day(self, date: Column | str) -> Column:
+        return F.datediff(F.to_date(date), F.lit(self.first)) + 1
+
+    @property
+    def n_months(self) -> int:
+        return (self.last.year - self.first.year) * 12 + self.last.month - self.first.month + 1
+
+    @property
+    def n_days(self) -> int:
+        return (self.last - self.first).days + 1
+
+
+def order_bounds(spark: SparkSession, root: str) -> Bounds:
+    """One aggregate over the shipping dates."""
+    row = _table(spark, root, "lineitem").agg(
+        F.to_date(F.min("l_shipdate")).alias("a"), F.to_date(F.max("l_shipdate")).alias("b")).first()
+    return Bounds(row["a"], row["b"])
+
+
+def n_months(spark: SparkSession, root: str) -> int:
+    """Months of the order book."""
+    return order_bounds(spark, root).n_months
 
 
 def _totals(lines: DataFrame, *keys: Column | str) -> DataFrame:
@@ -112,13 +138,14 @@ class MonthlyView:
     """Monthly demand of item x store series; ``cells`` holds the non-empty months."""
 
     cells: DataFrame
+    last: int
 
     def priced_cells(self) -> DataFrame:
         return self.cells.select(*KEYS, "d", "sales", _price().alias("sell_price"))
 
     def sales(self, fill: float | None = 0.0) -> DataFrame:
         """Dense monthly sales of every series (D2)."""
-        return densify(self.cells.select(*KEYS, "d", "sales"), KEYS, 1, N_MONTHS, fill=fill)
+        return densify(self.cells.select(*KEYS, "d", "sales"), KEYS, 1, self.last, fill=fill)
 
     def prices(self) -> DataFrame:
         """Average price per (store, item, period), the period in the week column (D5)."""
@@ -130,8 +157,9 @@ class MonthlyView:
 
 def monthly_view(spark: SparkSession, root: str, staged: bool = False) -> MonthlyView:
     """The monthly view; ``staged`` writes its cells once for jobs that use them often."""
+    bounds = order_bounds(spark, root)
     totals = _totals(order_lines(spark, root), "p_type", "p_brand", "s_nationkey",
-                     month_index("date").alias("d"))
+                     bounds.month("date").alias("d"))
     brand_no = F.regexp_extract("p_brand", r"(\d+)", 1).cast("int")
     dept_no = (brand_no % DEPTS_PER_CATEGORY).cast("string")
     cells = (
@@ -144,7 +172,7 @@ def monthly_view(spark: SparkSession, root: str, staged: bool = False) -> Monthl
             F.col("p_type").alias("cat_id"), "store_id", "state_id", "d", "sales", "amount",
         )
     )
-    return MonthlyView(stage(cells, "monthly") if staged else cells)
+    return MonthlyView(stage(cells, "monthly") if staged else cells, bounds.n_months)
 
 
 def monthly_cells(spark: SparkSession, root: str) -> DataFrame:
@@ -162,31 +190,25 @@ def monthly_prices(spark: SparkSession, root: str) -> DataFrame:
 
 def monthly_calendar(spark: SparkSession, root: str) -> DataFrame:
     """One row per month: d, date of its first day, and d as the pricing period."""
-    bounds = _table(spark, root, "lineitem").agg(
-        F.min("l_shipdate").alias("a"), F.max("l_shipdate").alias("b")
-    ).select(month_index("a").alias("a"), month_index("b").alias("b")).first()
-    return spark.range(bounds["a"], bounds["b"] + 1).select(
+    bounds = order_bounds(spark, root)
+    months = F.col("id").cast("int") - 1
+    return spark.range(1, bounds.n_months + 1).select(
         F.col("id").cast("int").alias("d"),
         F.col("id").cast("int").alias("wm_yr_wk"),
-        F.make_date(
-            F.lit(FIRST_YEAR) + F.floor((F.col("id") - 1) / 12).cast("int"),
-            (F.pmod(F.col("id") - 1, F.lit(12)) + 1).cast("int"),
-            F.lit(1),
-        ).alias("date"),
+        F.add_months(F.lit(bounds.first.replace(day=1)), months).alias("date"),
     )
 
 
-def day_index(date: Column | str) -> Column:
-    """Days since the epoch, 1-based."""
-    return F.datediff(F.to_date(date), F.lit(EPOCH).cast("date")) + 1
-
-
 @dataclass(frozen=True)
 class DailyView:
     """Daily demand of category x region series; ``cells`` holds the non-empty days."""
 
     cells: DataFrame
-    last: int
+    bounds: Bounds
+
+    @property
+    def last(self) -> int:
+        return self.bounds.n_days
 
     def priced_cells(self) -> DataFrame:
         return self.cells.select(*KEYS, "d", "sales", _price().alias("price"))
@@ -202,8 +224,24 @@ class DailyView:
             F.sum("sales").alias("sales"), F.sum("amount").alias("amount")
         ).select("store_id", "item_id", "wm_yr_wk", _price().alias("sell_price"))
 
+    def daily_prices(self) -> DataFrame:
+        """(id, d, price) of every day from a series' first week on: the price of the week, or
+        of the newest week before it that has one. Days before the launch have no row."""
+        weekly = self.weekly_prices().join(
+            self.cells.select("store_id", "item_id", "id").distinct(), ["store_id", "item_id"])
+        last = (self.last - 1) // 7
+        # a series holds at most one price per week of the calendar
+        known = F.sort_array(F.collect_list(F.struct(F.col("wm_yr_wk").alias("a"), "sell_price")))
+        spans = weekly.groupBy("id").agg(known.alias("k")).select(
+            "id", F.posexplode("k").alias("i", "w"),
+            F.try_element_at("k.a", F.col("i") + 2).alias("next"))
+        until = F.least(F.coalesce(F.col("next") * 7, F.lit(last * 7 + 7)), F.lit(self.last))
+        return spans.select(
+            "id", F.explode(F.sequence(F.col("w.a") * 7 + 1, until)).alias("d"),
+            F.col("w.sell_price").alias("price"))
+
     def calendar(self, horizon: int = 28) -> DataFrame:
-        return calendar_days(self.cells.sparkSession, self.last, horizon)
+        return calendar_days(self.cells.sparkSession, self.bounds, horizon)
 
     def clusters(self) -> DataFrame:
         return category_clusters(self.cells)
@@ -211,24 +249,21 @@ class DailyView:
 
 def last_day(spark: SparkSession, root: str) -> int:
     """Newest day index of the order book."""
-    newest = _table(spark, root, "lineitem").agg(F.max("l_shipdate").alias("t"))
-    return newest.select(day_index("t")).first()[0]
+    return order_bounds(spark, root).n_days
 
 
 def daily_view(spark: SparkSession, root: str, staged: bool = False) -> DailyView:
     """The daily view; ``staged`` writes its cells once for jobs that use them often."""
     nations = _nations(spark, root).drop("store_id")
     lines = order_lines(spark, root).join(nations, F.col("s_nationkey") == F.col("n_nationkey"))
-    totals = _totals(lines, "p_type", "n_regionkey", day_index("date").alias("d"))
+    bounds = order_bounds(spark, root)
+    totals = _totals(lines, "p_type", "n_regionkey", bounds.day("date").alias("d"))
     cells = totals.join(_regions(spark, root), F.col("n_regionkey") == F.col("r_regionkey")).select(
         F.concat_ws("_", "p_type", "state_id").alias("id"), F.col("p_type").alias("item_id"),
         F.col("p_type").alias("dept_id"), F.col("p_type").alias("cat_id"),
         F.col("state_id").alias("store_id"), "state_id", "d", "sales", "amount",
     )
-    if staged:
-        cells = stage(cells, "daily")
-        return DailyView(cells, cells.agg(F.max("d")).first()[0])
-    return DailyView(cells, last_day(spark, root))
+    return DailyView(stage(cells, "daily") if staged else cells, bounds)
 
 
 def daily_cells(spark: SparkSession, root: str) -> DataFrame:
@@ -246,7 +281,7 @@ def weekly_prices(spark: SparkSession, root: str) -> DataFrame:
 
 def daily_calendar(spark: SparkSession, root: str, horizon: int = 28) -> DataFrame:
     """Calendar from day 1 to ``horizon`` days past the newest order (D4)."""
-    return calendar_days(spark, last_day(spark, root), horizon)
+    return calendar_days(spark, order_bounds(spark, root), horizon)
 
 
 def _event(rules: dict, part: int) -> Column:
@@ -257,15 +292,15 @@ def _event(rules: dict, part: int) -> Column:
     return label
 
 
-def calendar_days(spark: SparkSession, last: int, horizon: int) -> DataFrame:
-    """Calendar of days 1 to ``last + horizon``.
+def calendar_days(spark: SparkSession, bounds: Bounds, horizon: int) -> DataFrame:
+    """Calendar from the first day to ``horizon`` days past the last one.
 
     It is a projected ``range``, so Spark knows its size and broadcasts it by its own
     threshold.
     """
-    days = spark.range(1, last + horizon + 1).select(
+    days = spark.range(1, bounds.n_days + horizon + 1).select(
         F.col("id").cast("int").alias("d"),
-        F.date_add(F.lit(EPOCH).cast("date"), F.col("id").cast("int") - 1).alias("date"),
+        F.date_add(F.lit(bounds.first), F.col("id").cast("int") - 1).alias("date"),
     )
     snaps = {
         f"snap_{state}": F.dayofmonth("date").between(a, b).cast("int")
@@ -289,7 +324,6 @@ def calendar_days(spark: SparkSession, last: int, horizon: int) -> DataFrame:
 
 def category_clusters(series: DataFrame) -> DataFrame:
     """(id, cluster_id): clusters numbered by category in alphabetical order."""
-    numbered = series.select("cat_id").distinct().withColumn(
-        "cluster_id", F.row_number().over(W.orderBy("cat_id"))
-    )
+    numbered = with_position(series.select("cat_id").distinct(), [F.col("cat_id")]).select(
+        "cat_id", F.col("position").cast("int").alias("cluster_id"))
     return series.select("id", "cat_id").distinct().join(numbered, "cat_id").select("id", "cluster_id")

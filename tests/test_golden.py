@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tallycast.functions.nulls import lenient_sum, strict_avg, strict_sum
 from tallycast.models.design import Design
-from tallycast.models.recursion import forecast_fixed
+from tallycast.models.recursion import forecast_fixed, split_frame
 from tallycast.operators import hierarchy, intermittent, lags, sampling, scoring, series
 from tallycast.operators.encode import encode_sorted
 from tallycast.operators.ordering import with_position
@@ -149,7 +149,7 @@ def test_embed(spark):
 def test_recursion(spark):
     frame = spark.createDataFrame([("x", h, [1.0, 2.0], 1.0) for h in (1, 2, 3)],
                                   "id string, h int, lags array<double>, mean double")
-    rows = forecast_fixed(frame, [0.5, 0.2], {}, Design(2)).orderBy("h").collect()
+    rows = forecast_fixed(*split_frame(frame), [0.5, 0.2], {}, Design(2)).orderBy("h").collect()
     assert [r["yhat"] for r in rows] == pytest.approx([0.9, 0.65, 0.505])
 
 

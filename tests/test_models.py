@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tallycast.models import boost, ols, poisson
 from tallycast.models.design import Design
-from tallycast.models.recursion import forecast_zip
+from tallycast.models.recursion import forecast_zip, split_frame
 
 SCHEMA = "id string, d int, g string, season string, same string, y double, lags array<double>, mean double"
 
@@ -75,7 +75,7 @@ def test_zip_likelihood_rises_and_means_match(rows):
     ll = model.log_likelihood
     assert len(ll) > 2 and all(b >= a - 1e-9 for a, b in zip(ll, ll[1:]))
     frame = rows.select("id", "lags", "mean", "season", F.lit(1).alias("h"))
-    fitted = forecast_zip(frame, model).agg(F.avg("yhat")).first()[0]
+    fitted = forecast_zip(*split_frame(frame), model).agg(F.avg("yhat")).first()[0]
     assert fitted == pytest.approx(rows.agg(F.avg("y")).first()[0], rel=0.02)
 
 
@@ -98,7 +98,7 @@ def test_boosting(spark, rows, tmp_path):
 
     frame = rows.where("d < 10").select("id", "lags", "mean", "season", "g",
                                         F.explode(F.array(F.lit(1), F.lit(2))).alias("h"))
-    got = {(r["id"], r["h"]): r["yhat"] for r in boost.forecast_boosted(frame, model).collect()}
+    got = {(r["id"], r["h"]): r["yhat"] for r in boost.forecast_boosted(*split_frame(frame), model).collect()}
     scorer = model.scorer()
     for r in rows.where("d < 10").collect():
         codes = [int(r["season"]) + 1, 2 if r["g"] == "hot" else 1]
@@ -111,3 +111,15 @@ def test_default_boost_settings():
     p = boost.BoostParams()
     assert (p.learning_rate, p.num_leaves, p.min_rows_per_leaf, p.l2, p.row_sample, p.rounds, p.depth) \
         == (0.075, 128, 100, 0.1, 0.75, 1200, 7)
+
+
+def test_boosting_ends_on_the_validation_error(rows):
+    params = boost.BoostParams(rounds=40, num_leaves=8, min_rows_per_leaf=20, checkpoint_every=4,
+                               learning_rate=0.8, patience=3)
+    design = Design(2, {"season": FACTORS["season"], "g": ["cold", "hot"]})
+    held, train = rows.where("d % 4 = 0"), rows.where("d % 4 > 0")
+    model = boost.fit_boosted_poisson(train, design, params, validation=held)
+    best = min(range(len(model.rmse)), key=model.rmse.__getitem__)
+    assert len(model.rmse) < 40 and len(model.trees) == best + 1
+    got = boost.predict_boosted(held, model).agg(F.sqrt(F.avg(F.pow(F.col("prediction") - F.col("y"), 2)))).first()[0]
+    assert got == pytest.approx(model.rmse[best], abs=1e-9)
