@@ -39,7 +39,7 @@ def denormalize(s, r):
 
 _NORMAL = ("SELECT id, item_id, dept_id, cat_id, store_id, state_id, d, "
            "sales / nullif(avg(sales) OVER (PARTITION BY id), 0) AS y FROM dsales")
-_LAGGED = ("SELECT *, " + ", ".join(f"lag(y, {k}) OVER (PARTITION BY id ORDER BY d) AS lag{k}" for k in (1, 2, 28, 400))
+_LAGGED = ("SELECT *, " + ", ".join(f"lag(y, {k}) OVER (PARTITION BY id ORDER BY d) AS lag{k}" for k in (1, 2, 28, 56, 400))
            + " FROM normal")
 _CLUSTERS = ("SELECT cat_id, CAST(row_number() OVER (ORDER BY cat_id) AS INT) AS cluster_id "
              "FROM (SELECT DISTINCT cat_id FROM dsales)")
@@ -134,9 +134,9 @@ def _moments(rows, fitted, factors, lag_numbers, group=None, digits=3):
 @query("m4_normal_equations", sql(
     "SELECT grp, term, round(moment, 3) AS moment FROM moments", "dsales", "externals",
     normal=_NORMAL, lagged=_LAGGED, clusters=_CLUSTERS,
-    full="SELECT t.y, t.lag1, t.lag28, t.lag400, k.cluster_id, e.* FROM lagged t JOIN clusters k USING (cat_id) "
+    complete="SELECT t.y, t.lag1, t.lag28, t.lag400, k.cluster_id, e.* FROM lagged t JOIN clusters k USING (cat_id) "
          "JOIN externals e ON e.d = t.d AND e.state_id = t.state_id WHERE t.lag400 IS NOT NULL",
-    moments=_moments_sql("full", "y", _FACTORS, ["lag1", "lag28", "lag400"], "cluster_id")))
+    moments=_moments_sql("complete", "y", _FACTORS, ["lag1", "lag28", "lag400"], "cluster_id")))
 def normal_equations(s, r):
     """400 lags and all factors by cluster: X'yhat = X'y."""
     view = ob.daily_view(s, r, staged=True)
@@ -178,6 +178,31 @@ def global_linear(s, r):
     return forecast.global_linear_forecast(view.sales(), view.calendar(), view.weekly_prices(), 56, 28)
 
 
+_LINEAR_TERMS = [*forecast.GLOBAL_FACTORS, "dept_id", "cat_id", "store_id", "state_id"]
+
+
+@query("m5_normal_equations", sql(
+    "SELECT grp, term, round(moment, 3) AS moment FROM moments", "dsales", "externals", "wprices",
+    normal=_NORMAL, lagged=_LAGGED,
+    complete="SELECT t.id, t.item_id, t.dept_id, t.cat_id, t.store_id, t.y, t.lag1, t.lag56, e.* FROM lagged t "
+             "JOIN externals e ON e.d = t.d AND e.state_id = t.state_id JOIN wprices p ON p.store_id = t.store_id "
+             "AND p.item_id = t.item_id AND p.wm_yr_wk = CAST(floor((t.d - 1) / 7) AS INT) WHERE t.lag56 IS NOT NULL",
+    moments=_moments_sql("complete", "y", _LINEAR_TERMS, ["lag1", "lag56"])))
+def linear_normal_equations(s, r):
+    """56 lags, the weekly price and all factors: X'yhat = X'y."""
+    view = ob.daily_view(s, r, staged=True)
+    rows = lags.training_matrix(view.sales(), view.calendar(), 56, prices=view.weekly_prices())
+    rows = stage(rows.dropna(subset=["sell_price"]), "training")
+    design = default_design(view.calendar(), 56, statics=view.cells, numeric=("sell_price",),
+                            static_factors=("dept_id", "cat_id", "store_id", "state_id"),
+                            calendar_factors=forecast.GLOBAL_FACTORS, intercept=True, drop_first=True)
+    design = ols.drop_aliased(rows, design)
+    lag_beta, ext = ols.mllib_coefficients(ols.fit_linear_regression(rows, design), design)
+    fitted = dot(F.col("lags"), F.array(*[F.lit(b) for b in lag_beta])) \
+        + design.external_effect(recursion._map_literal(ext))
+    return _moments(rows.withColumn("fitted", fitted), F.col("fitted"), _LINEAR_TERMS, [1, 56])
+
+
 # -- Poisson ------------------------------------------------------------------------
 
 
