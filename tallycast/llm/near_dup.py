@@ -9,13 +9,15 @@ crowded ones go deeper. Within a region the candidates of a class are the neighb
 longest common part of all labels and the first class of the region (its pivot).
 
 Candidates are confirmed on the full sets. Only a few neighbours per class are tried at first; then
-components are known, and a second round tries every remaining pair of a region whose classes
-lie in different components, so the first choice loses nothing. A region still crowded at full
-depth is dealt to blocks; there the classes outside the region's largest component visit all
-blocks, which covers every pair that is not yet connected.
+components are known, and a second round compares the full sets of every remaining pair of a region
+whose classes lie in different components, so the first choice loses nothing. It needs no pair
+rows: a block of a region holds its sets in one task, and the classes outside the region's largest
+component visit all its blocks, which covers every pair that is not yet connected. Blocks are
+bounded in classes and in shingles, so a crowded region or long texts make more blocks.
 
-Pairs whose signatures agree in less than the threshold less ``SLACK`` are not confirmed: with
-96 values a pair at the threshold falls below that with a probability under 1e-6.
+Pairs whose signatures agree in less than the threshold less ``SLACK`` are not tried in the first
+round, and a class without any other pair takes no part in the second. With 96 values a pair at the
+threshold agrees that little with a probability under 1e-6.
 
 Defined cases: null and empty texts have no shingle and are linked with nothing; a text with fewer
 words than a shingle is one shingle; repeated rows share their class; rows with a null id take
@@ -39,8 +41,10 @@ from tallycast.llm.shared import small_batches, stage
 
 TREES, DEPTH, START = 16, 6, 3
 REGION = 2048
-NEIGHBOURS = 3
+NEIGHBOURS = 2
+BLOCK_SHINGLES = 2_000_000  # of the sets that a task holds
 SLACK = 0.2
+BROADCAST_CLASSES = 100_000  # (key, id) rows, about 100 bytes each, that may be broadcast
 PIECE = 1 << 20
 _VALUE = 2  # bytes of a label value
 _SIG = TREES * DEPTH * _VALUE
@@ -144,28 +148,34 @@ def _key(s: np.ndarray) -> bytes:
 
 
 def regions(classes: DataFrame, start: int = START, region: int = REGION) -> DataFrame:
-    """tree, prefix, key, size and pivot of every class in a region with others (staged)."""
-    rows = classes.select("key", "sig", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
-    size = DEPTH * _VALUE
-    rows = rows.select("tree", F.expr(f"substring(sig, tree * {size} + 1, {size})").alias("label"), "key")
-    found = None
+    """region, number (a hash of the class key) and size, for every class that shares a region.
+
+    Only two numbers per class and tree are shuffled. Where hashes of two regions or classes
+    collide they are merely compared as well.
+    """
+    labels = classes.select(F.xxhash64("key").alias("number"), "sig")
+    rows = labels.select("number", "sig", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
+    found = crowded = None
     for depth in range(start, DEPTH + 1):
-        prefixed = rows.withColumn("prefix", F.substring("label", 1, depth * _VALUE))
-        sizes = prefixed.groupBy("tree", "prefix").agg(
-            F.count("*").alias("size"), F.min("key").alias("pivot")).where("size > 1")
-        met = stage(prefixed.join(sizes, ["tree", "prefix"]), "regions")
+        prefix = F.expr(f"substring(sig, tree * {DEPTH * _VALUE} + 1, {depth * _VALUE})")
+        if crowded is not None:
+            # the trees in which a class is crowded
+            held = crowded.select("number", "tree")
+            rows = labels.join(held, "number")
+        placed = rows.select(F.xxhash64("tree", prefix).alias("region"), "number", "tree")
+        sizes = placed.groupBy("region").count().where("count > 1").withColumnRenamed("count", "size")
+        met = stage(placed.join(sizes, "region"), "regions")
         crowded = met.where(F.col("size") > region)
         done = depth == DEPTH or crowded.limit(1).count() == 0
-        kept = (met if done else met.where(F.col("size") <= region)).drop("label")
+        kept = (met if done else met.where(F.col("size") <= region)).drop("tree")
         found = kept if found is None else found.unionByName(kept)
         if done:
             return found
-        rows = crowded.select("tree", "label", "key")
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, np.ndarray, np.ndarray]]:
-    """Columns of many whole groups (tree, prefix, block), their signatures and group starts."""
-    names = ["tree", "prefix", "block"]
+    """Columns of many whole groups (region, block), their signatures and group starts."""
+    names = ["region", "block"]
     pending, rest = [], 0
     for batch in batches:
         if batch.num_rows == 0:
@@ -240,26 +250,64 @@ def _neighbour_pairs(floor: float, ratio: float):
     return run
 
 
-def _bridging_pairs(floor: float, ratio: float):
-    """All pairs in different components of which at least one class is outside the main one."""
+class _Sets:
+    """The full sets of a block; others are compared with all of them at once."""
+
+    def __init__(self, keys: list, comps: list, sets: list[bytes]):
+        self.keys, self.comps = keys, comps
+        parts = [np.frombuffer(x, np.uint64) for x in sets]
+        self.sizes = np.array([len(x) for x in parts])
+        every = np.concatenate(parts)
+        order = np.argsort(every, kind="stable")
+        self.owners = np.repeat(np.arange(len(parts)), self.sizes)[order]
+        self.values, self.starts = np.unique(every[order], return_index=True)
+        self.ends = np.append(self.starts[1:], len(every))
+
+    def similar(self, raw: bytes, percent: int) -> np.ndarray:
+        """Numbers of the sets that reach the threshold with the given one."""
+        x = np.frombuffer(raw, np.uint64)
+        at = np.minimum(np.searchsorted(self.values, x), len(self.values) - 1)
+        at = at[self.values[at] == x]
+        if len(at) == 0:
+            return at
+        size = self.ends[at] - self.starts[at]
+        jump = np.repeat(self.starts[at] - np.concatenate([[0], np.cumsum(size)[:-1]]), size)
+        shared = np.bincount(self.owners[jump + np.arange(len(jump))], minlength=len(self.keys))
+        return np.flatnonzero(100 * shared >= percent * (len(x) + self.sizes - shared))
+
+
+def _bridges(threshold: float):
+    """Links between different components: of each visitor to every component it reaches."""
+    percent = round(100 * threshold)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for columns, sig, cuts in _groups(batches):
-            key, n = columns["key"], np.array(columns["n"])
-            comp, minor = columns["comp"], np.array(columns["minor"])
-            number = {c: i for i, c in enumerate(dict.fromkeys(comp))}
-            of = np.array([number[c] for c in comp])
-            for a, b in zip(cuts, cuts[1:]):
-                found = set()
-                outside = np.flatnonzero(minor[a:b])
-                for start in range(0, len(outside), 256):
-                    rows = outside[start:start + 256]
-                    alike = _alike(sig[a:b], n[a:b], rows, floor, ratio)
-                    alike[of[a:b][rows][:, None] == of[a:b][None, :]] = -1
-                    i, j = np.nonzero(alike >= floor)
-                    found.update(_pair(key[a + x], key[a + y]) for x, y in
-                                 zip(rows[i].tolist(), j.tolist()))
-                if found:
-                    yield _pairs(found)
+        place, held, block, root = None, ([], [], []), None, {}
+
+        def find(c):
+            while root.get(c, c) != c:
+                c = root[c]
+            return c
+
+        for batch in batches:
+            found = set()
+            columns = {c: batch.column(c).to_pylist() for c in batch.schema.names}
+            for *group, role, key, comp, members in zip(*(columns[c] for c in (
+                    "region", "block", "role", "key", "comp", "members"))):
+                if group != place:
+                    place, held, block, root = group, ([], [], []), None, {}
+                if role == 0:
+                    for have, new in zip(held, (key, comp, members)):
+                        have.append(new)
+                    continue
+                if not held[0]:
+                    continue
+                block = block or _Sets(*held)
+                for y in block.similar(members, percent).tolist():
+                    a, b = find(comp), find(block.comps[y])
+                    if a != b:
+                        root[b] = a
+                        found.add(_pair(key, block.keys[y]))
+            yield _pairs(found)
     return run
 
 
@@ -267,15 +315,14 @@ def _pair(a, b):
     return (a, b) if a < b else (b, a)
 
 
-def _by_region(members: DataFrame, classes: DataFrame) -> DataFrame:
-    """Members with signature and size, dealt by region and block, a group's rows together."""
-    full = members.join(classes.select("key", "sig", "n"), "key")
-    return full.repartition("tree", "prefix", "block").sortWithinPartitions("tree", "prefix", "block", "key")
-
-
 def full_sets(docs: DataFrame, wanted: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """key, members (sorted 64-bit hashes) for the classes in ``wanted`` (key, doc), staged."""
+    """key, members (sorted 64-bit hashes) for the classes in ``wanted`` (key, doc), staged.
+
+    A counted, small ``wanted`` goes to the texts; otherwise texts are shuffled by id.
+    """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("body"))
+    if wanted.count() <= BROADCAST_CLASSES:
+        wanted = F.broadcast(wanted)
     texts = rows.join(wanted, F.col("id").eqNullSafe(F.col("doc"))).select("key", "body")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -318,11 +365,19 @@ def find_links(docs: DataFrame, classes: DataFrame, words: int, threshold: float
                id_col: str, text_col: str) -> DataFrame | None:
     """(node, label) of the classes that have a link."""
     floor, ratio = threshold - SLACK, threshold
-    members = regions(classes, region=region).withColumn(
-        "block", F.pmod(F.xxhash64("key"), F.ceil(F.col("size") / region)).cast("int"))
-    tried = _by_region(members.select("tree", "prefix", "block", "key"), classes).mapInArrow(
+    shared = regions(classes, region=region)
+    numbered = classes.select(F.xxhash64("key").alias("number"), "key", "n", "sig")
+    at = ["region", "block"]
+    full = shared.join(numbered, "number")
+    # shingles of a whole region decide its blocks
+    weight = full.groupBy("region").agg(F.sum("n").alias("shingles"), F.min("key").alias("pivot"))
+    members = stage(full.select("region", "size", "key", "n").join(weight, "region").withColumn(
+        "blocks", F.ceil(F.greatest(F.col("size") / region, F.col("shingles") / BLOCK_SHINGLES)).cast("int")
+    ).withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")), "members")
+    signed = members.select(*at, "key", "n").join(classes.select("key", "sig"), "key")
+    tried = signed.repartition(*at).sortWithinPartitions(*at, "key").mapInArrow(
         _neighbour_pairs(floor, ratio), _PAIR)
-    pivots = members.where((F.col("size") > region) & (F.col("key") != F.col("pivot"))).select(
+    pivots = members.where((F.col("blocks") > 1) & (F.col("key") != F.col("pivot"))).select(
         F.col("pivot").alias("a"), F.col("key").alias("b"))  # the pivot is the smallest key
     pairs = stage(tried.unionByName(pivots).distinct(), "pairs")
     if pairs.limit(1).count() == 0:
@@ -333,24 +388,24 @@ def find_links(docs: DataFrame, classes: DataFrame, words: int, threshold: float
     links = stage(confirm(pairs, sets, threshold), "links")
     labels = components(links)
 
-    # second round: what the neighbours did not connect, in regions that hold untried pairs
-    placed = members.where(F.col("size") > NEIGHBOURS + 1).join(
+    # second round: what the neighbours did not connect, in regions that hold several components
+    # of classes with a full set; the others had no partner whose signature agrees enough
+    placed = members.join(sets.select("key"), "key", "left_semi").join(
         labels.withColumnRenamed("node", "key"), "key", "left").select(
-        "tree", "prefix", "block", "size", "key", F.coalesce("label", "key").alias("comp"))
-    share = placed.groupBy("tree", "prefix", "comp").agg(F.count("*").alias("n"))
-    split = share.groupBy("tree", "prefix").agg(
+        "region", "block", "blocks", "key", F.coalesce("label", "key").alias("comp"))
+    share = placed.groupBy("region", "comp").agg(F.count("*").alias("n"))
+    split = share.groupBy("region").agg(
         F.count("*").alias("comps"), F.max(F.struct("n", "comp")).alias("main")).where("comps > 1")
-    open_ = stage(placed.join(split, ["tree", "prefix"]).select(
-        "tree", "prefix", "block", "key", "comp", "size",
-        (F.col("comp") != F.col("main.comp")).alias("minor")), "open")
-    blocks = F.ceil(F.col("size") / region).cast("int")
-    other = F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block")
-    visits = open_.where("minor").select("tree", "prefix", other, "key", "comp", "minor",
-                                         F.col("block").alias("home")).where("block != home")
-    both = open_.select("tree", "prefix", "block", "key", "comp", "minor").unionByName(visits.drop("home"))
-    untried = stage(_by_region(both, classes).mapInArrow(_bridging_pairs(floor, ratio), _PAIR)
-                    .distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
-    more = stage(confirm(untried, sets, threshold), "links")
+    open_ = placed.join(split, "region").join(sets, "key").select(
+        "region", "block", "blocks", "key", "comp", "members",
+        (F.col("comp") != F.col("main.comp")).alias("minor"))
+    residents = open_.select("region", "block", F.lit(0).alias("role"), "key", "comp", "members")
+    visitors = open_.where("minor").select(
+        "region", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
+        F.lit(1).alias("role"), "key", "comp", "members")
+    meeting = residents.unionByName(visitors).repartition(*at)
+    more = stage(meeting.sortWithinPartitions(*at, "role", "key").mapInArrow(
+        _bridges(threshold), _PAIR), "links")
     if more.limit(1).count() == 0:
         return labels
     return components(links.unionByName(more))
