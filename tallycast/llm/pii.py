@@ -42,7 +42,7 @@ SEPARATORS = {
     "\u2012": "-", "\u2013": "-", "\u2014": "-", "\u2015": "-", "\u2212": "-", "\u00a0": " ",
     "\u2007": " ", "\u2009": " ", "\u202f": " ",
 }
-INVISIBLE = "\u200b\u200c\u200d\u2060\ufeff\u00ad"
+_INVISIBLE_CHARS = "\u200b\u200c\u200d\u2060\ufeff\u00ad"
 
 # Digit names in English, German, French and Spanish.
 DIGIT_WORDS = (
@@ -62,6 +62,8 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]")
 
+_INVISIBLE = re.compile(f"[{_INVISIBLE_CHARS}]")
+_BEYOND_LATIN = re.compile("[^\x00-\x7f\u00c0-\u024f]")
 _WORD = "(?:" + "|".join(sorted(DIGIT_OF, key=len, reverse=True)) + ")"
 _SPELLED = re.compile(
     rf"(?<!\w)(?:plus[ ])?{_WORD}(?!\w)(?:[ ,-]{{1,2}}(?:{_WORD}|[0-9])(?!\w))*", re.I)
@@ -74,8 +76,15 @@ _CHAIN = re.compile(
     r"[ ]{1,3}at[ ]{1,3}[A-Za-z0-9-]{1,64}(?:[ ]{1,3}dot[ ]{1,3}[A-Za-z0-9-]{1,64})+", re.I)
 _DOTTED = re.compile(r"(?<=[0-9])[ ]{1,3}dot[ ]{1,3}(?=[0-9])", re.I)
 _CHAIN_PART = re.compile(r"[ ]{1,3}(?:(?P<at>at)|dot)[ ]{1,3}", re.I)
-_GATE = re.compile(rf"[\[({{<][ ]{{0,3}}(?:at|arroba|@|dot|point|punkt|punto|\.)|[ ]dot[ ]"
-                   rf"|(?<!\w){_WORD}[ ,-]{{1,2}}(?:{_WORD}|[0-9])(?!\w)|[{INVISIBLE}]", re.I)
+_DIGIT = re.compile("[0-9]")
+_OPENING = re.compile(r"[\[({<][ ]{0,3}(?:at|arroba|@|dot|point|punkt|punto|\.)", re.I)
+_SPELLED_TOKENS = frozenset(DIGIT_OF) | frozenset("0123456789")
+
+
+def _spelled_run(low: str) -> bool:
+    """Whether at least ``MIN_SPELLED`` digit names follow each other (``low`` is in lower case)."""
+    marks = bytes(map(_SPELLED_TOKENS.__contains__, low.replace("-", " ").replace(",", " ").split()))
+    return b"\1" * (MIN_SPELLED - 1) in marks
 
 
 @lru_cache(maxsize=1)
@@ -93,9 +102,12 @@ def homoglyphs() -> dict[int, str]:
     return table
 
 
-@lru_cache(maxsize=1)
-def _homoglyph_pattern() -> re.Pattern:
-    return re.compile("[" + "".join(re.escape(chr(c)) for c in sorted(homoglyphs())) + "]")
+def _straightened(text: str) -> str:
+    """Look-alikes replaced one by one; the same object if there is none."""
+    if text.isascii() or not _BEYOND_LATIN.search(text):
+        return text
+    table = homoglyphs()
+    return text if table.keys().isdisjoint(map(ord, set(text))) else text.translate(table)
 
 
 def _luhn(digits: str) -> bool:
@@ -118,6 +130,8 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
             if size:
                 found.append(("email", at - size, m.end()))
             low = m.end() if size else at + 1
+    if not _DIGIT.search(text):
+        return found
     for m in _IP.finditer(text):
         parts = [p.lstrip("0") for p in m[0].split(".")]
         if all(len(p) <= 3 and int(p or 0) <= 255 for p in parts):
@@ -135,21 +149,27 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def _edits(text: str) -> list[tuple[int, int, str]]:
-    """Source ranges and what replaces them, in order, without overlaps."""
-    edits = [(i, i + 1, "") for i, c in enumerate(text) if c in INVISIBLE] if any(
-        c in text for c in INVISIBLE) else []
-    edits += [(m.start(), m.end(), "@" if m["at"] else ".") for m in _BRACKETED.finditer(text)]
-    edits += [(m.start(), m.end(), ".") for m in _DOTTED.finditer(text)]
-    for m in _CHAIN.finditer(text):
-        edits += [(p.start(), p.end(), "@" if p["at"] else ".")
-                  for p in _CHAIN_PART.finditer(text, m.start(), m.end())]
-    for m in _SPELLED.finditer(text):
-        parts = list(_SPELLED_PART.finditer(text, m.start(), m.end()))
-        if sum(p["w"] is not None for p in parts) >= MIN_SPELLED:
-            for p in parts:
+    """Source ranges and what replaces them, in order, without overlaps.
+
+    Each kind is looked for only in texts that pass a cheap test for it.
+    """
+    low, edits = text.lower(), []
+    if not text.isascii():
+        edits = [(m.start(), m.end(), "") for m in _INVISIBLE.finditer(text)]
+    if any(c in text for c in "[({<") and _OPENING.search(text):
+        edits += [(m.start(), m.end(), "@" if m["at"] else ".") for m in _BRACKETED.finditer(text)]
+    if " dot " in low:
+        edits += [(m.start(), m.end(), ".") for m in _DOTTED.finditer(text)]
+        for m in _CHAIN.finditer(text):
+            edits += [(p.start(), p.end(), "@" if p["at"] else ".")
+                      for p in _CHAIN_PART.finditer(text, m.start(), m.end())]
+    if _spelled_run(low):
+        for m in _SPELLED.finditer(text):
+            parts = list(_SPELLED_PART.finditer(text, m.start(), m.end()))
+            if sum(p["w"] is not None for p in parts) >= MIN_SPELLED:
                 # the separator after a digit goes with it, but not the one behind the run
-                edits.append((p.start(), p.end(), "+" if p["plus"] else
-                              DIGIT_OF.get(p["w"].lower(), p["w"])))
+                edits += [(p.start(), p.end(), "+" if p["plus"] else
+                           DIGIT_OF.get(p["w"].lower(), p["w"])) for p in parts]
     out, end = [], 0
     for e in sorted(edits):
         if e[0] >= end:
@@ -192,9 +212,8 @@ def find_spans(text: str | None) -> list[tuple[str, int, int, bool]]:
         return []
     base = base_spans(text)
     spans = [(k, a, b, True) for k, a, b in base]
-    plain = text if text.isascii() or not _homoglyph_pattern().search(text) else (
-        text.translate(homoglyphs()))
-    edits = _edits(plain) if _GATE.search(plain) else []
+    plain = _straightened(text)
+    edits = _edits(plain)
     if edits or plain is not text:
         rewritten = Rewritten(plain, edits)
         known = {k: [(a, b) for kind, a, b in base if kind == k] for k in KINDS}
