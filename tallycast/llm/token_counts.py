@@ -65,8 +65,9 @@ def token_counts(docs: DataFrame, cache_path: str, name: str = BYTE_BPE,
     counted.select("content", F.lit(tokenizer).alias("tokenizer"), "n_tokens").write.mode(
         "append").parquet(cache_path)
 
-    counts = (read_cache(spark, cache_path).where(F.col("tokenizer") == tokenizer)
-              .groupBy("content").agg(F.max("n_tokens").alias("n_tokens")))
+    # staged, since Spark splits a crowded key only in a join of two plain shuffles
+    counts = stage(read_cache(spark, cache_path).where(F.col("tokenizer") == tokenizer)
+                   .groupBy("content").agg(F.max("n_tokens").alias("n_tokens")), "counts")
     rows = docs.select(F.col(id_col).alias(id_col),
                        F.octet_length(text).cast("long").alias("n_bytes"),
                        digest(F.col(text_col)).alias("content"))
