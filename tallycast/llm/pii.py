@@ -78,13 +78,18 @@ _DOTTED = re.compile(r"(?<=[0-9])[ ]{1,3}dot[ ]{1,3}(?=[0-9])", re.I)
 _CHAIN_PART = re.compile(r"[ ]{1,3}(?:(?P<at>at)|dot)[ ]{1,3}", re.I)
 _DIGIT = re.compile("[0-9]")
 _OPENING = re.compile(r"[\[({<][ ]{0,3}(?:at|arroba|@|dot|point|punkt|punto|\.)", re.I)
-_SPELLED_TOKENS = frozenset(DIGIT_OF) | frozenset("0123456789")
+# bytes of ASCII words in lower case, all others become spaces: "fünf" is read as "f" and "nf"
+_ASCII_WORDS = bytes(ord(chr(b).lower()) if b < 0x80 and (chr(b).isalnum() or b == 0x5F) else 0x20
+                     for b in range(256))
+_SPELLED_TOKENS = frozenset(
+    " ".join([*DIGIT_OF, *"0123456789"]).encode().translate(_ASCII_WORDS).split())
 
 
-def _spelled_run(low: str) -> bool:
-    """Whether at least ``MIN_SPELLED`` digit names follow each other (``low`` is in lower case)."""
-    marks = bytes(map(_SPELLED_TOKENS.__contains__, low.replace("-", " ").replace(",", " ").split()))
-    return b"\1" * (MIN_SPELLED - 1) in marks
+def _spelled_run(text: str) -> bool:
+    """Whether ``MIN_SPELLED`` digit names follow each other, whatever stands between and around
+    them: true wherever ``_SPELLED`` finds so many."""
+    words = text.encode("utf-8", "surrogatepass").translate(_ASCII_WORDS).split()
+    return b"\1" * MIN_SPELLED in bytes(map(_SPELLED_TOKENS.__contains__, words))
 
 
 @lru_cache(maxsize=1)
@@ -163,7 +168,7 @@ def _edits(text: str) -> list[tuple[int, int, str]]:
         for m in _CHAIN.finditer(text):
             edits += [(p.start(), p.end(), "@" if p["at"] else ".")
                       for p in _CHAIN_PART.finditer(text, m.start(), m.end())]
-    if _spelled_run(low):
+    if _spelled_run(text):
         for m in _SPELLED.finditer(text):
             parts = list(_SPELLED_PART.finditer(text, m.start(), m.end()))
             if sum(p["w"] is not None for p in parts) >= MIN_SPELLED:

@@ -66,6 +66,21 @@ def test_disguises_map_to_the_source(text, kind, want):
     assert want in spans(text, kind)
 
 
+@pytest.mark.parametrize("text, want", [
+    ("+1 (five five five) 123 4567", "+1 (five five five) 123 4567"),
+    ("call +1 (FIVE-five,five) 123 4567.", "+1 (FIVE-five,five) 123 4567"),
+    ('say "plus one three eight nine five five five zero one zero"',
+     "plus one three eight nine five five five zero one zero"),
+    ("+49.fünf zéro vier.555.0101", "+49.fünf zéro vier.555.0101"),
+    ("“plus vier neun fünf fünf fünf fünf acht null”", "plus vier neun fünf fünf fünf fünf acht null"),
+])
+def test_the_gate_passes_what_the_pattern_finds(monkeypatch, text, want):
+    assert spans(text, "phone") == [want]
+    gated = pii.find_spans(text)
+    monkeypatch.setattr(pii, "_spelled_run", lambda text: True)
+    assert gated == pii.find_spans(text)
+
+
 def test_prose_is_left_alone():
     for text in ("we met at noon dot", "look at example now", "one two many", "a (at) b"):
         assert pii.find_spans(text) == []
