@@ -1,8 +1,8 @@
 """Personal data behind disguises, reported at its place in the source text.
 
-Three transducers rewrite a text and remember where each rewritten character came from:
-look-alike characters (one to one), invisible characters (deleted), and spelled digits and
-at/dot disguises (many to one). Identifiers are detected in the source as it stands (base
+Transducers rewrite a text one after another and remember where each rewritten character came
+from: look-alike characters (one to one), invisible characters (deleted), bracketed at/dot, spelled
+digits and bare at/dot (many to one); each reads what the one before it wrote. Identifiers are detected in the source as it stands (base
 spans) and in the rewritten text; the latter are mapped back to source characters and added
 unless a base span of their kind already covers them.
 
@@ -18,6 +18,7 @@ import unicodedata
 from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import pairwise, repeat
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -65,31 +66,40 @@ _NOT_DIGIT = re.compile(r"[^0-9]")
 _INVISIBLE = re.compile(f"[{_INVISIBLE_CHARS}]")
 _BEYOND_LATIN = re.compile("[^\x00-\x7f\u00c0-\u024f]")
 _WORD = "(?:" + "|".join(sorted(DIGIT_OF, key=len, reverse=True)) + ")"
+_NUMBER = "[0-9]{1,19}+"
+_ONE = rf"(?:{_WORD}|{_NUMBER})(?!\w)"
+_RUN = rf"(?:{_WORD}(?!\w)(?:[ ,-]{{1,2}}(?:{_WORD}|[0-9])(?!\w))*|{_NUMBER}(?!\w))"
+_DOT = r"(?:[ ]{1,3}dot[ ]{1,3}|\.)"
+# a chain led by a plus goes over the marks of a phone, any other over dots; all of it is one match
 _SPELLED = re.compile(
-    rf"(?<!\w)(?:plus[ ])?{_WORD}(?!\w)(?:[ ,-]{{1,2}}(?:{_WORD}|[0-9])(?!\w))*", re.I)
-_SPELLED_PART = re.compile(rf"(?P<plus>plus[ ])|(?P<w>{_WORD}|[0-9])[ ,-]{{0,2}}", re.I)
+    rf"(?:(?P<plus>(?<!\w)plus[ ]{{1,3}}|\+[ ]?){_ONE}(?:(?:[ ().,-]{{1,3}}|{_DOT}){_ONE})*"
+    rf"|(?<!\w){_RUN}(?:{_DOT}{_RUN})*)", re.I)
+_SPELLED_PART = re.compile(rf"{_WORD}(?!\w)|[0-9]++", re.I)
+_SHORT_GAP = re.compile("[ ,-]{1,2}")
 _BRACKETED = re.compile(
     r"[ ]{0,3}[\[({<][ ]{0,3}(?:(?P<at>at|arroba|@)|(?:dot|point|punkt|punto|\.))[ ]{0,3}[\])}>][ ]{0,3}",
     re.I)
 _CHAIN = re.compile(
-    r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}(?:[ ]{1,3}dot[ ]{1,3}[A-Za-z0-9_%+-]{1,64})*"
-    r"[ ]{1,3}at[ ]{1,3}[A-Za-z0-9-]{1,64}(?:[ ]{1,3}dot[ ]{1,3}[A-Za-z0-9-]{1,64})+", re.I)
+    r"[A-Za-z0-9._%+-]++(?:(?:[ ]{1,3}(?:at|dot)[ ]{1,3}|@)[A-Za-z0-9._%+-]++)+", re.I)
+_HOST = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*+")
 _DOTTED = re.compile(r"(?<=[0-9])[ ]{1,3}dot[ ]{1,3}(?=[0-9])", re.I)
-_CHAIN_PART = re.compile(r"[ ]{1,3}(?:(?P<at>at)|dot)[ ]{1,3}", re.I)
+_JOINT = re.compile(r"[ ]{1,3}(?:(?P<at>at)|dot)[ ]{1,3}|(?P<sign>@)", re.I)
 _DIGIT = re.compile("[0-9]")
 _OPENING = re.compile(r"[\[({<][ ]{0,3}(?:at|arroba|@|dot|point|punkt|punto|\.)", re.I)
-# bytes of ASCII words in lower case, all others become spaces: "fünf" is read as "f" and "nf"
-_ASCII_WORDS = bytes(ord(chr(b).lower()) if b < 0x80 and (chr(b).isalnum() or b == 0x5F) else 0x20
-                     for b in range(256))
-_SPELLED_TOKENS = frozenset(
-    " ".join([*DIGIT_OF, *"0123456789"]).encode().translate(_ASCII_WORDS).split())
+# bytes of ASCII words in lower case, digits as 0, all others become spaces: "fünf" is "f" and "nf"
+_ASCII_WORDS = bytes(
+    0x30 if 0x30 <= b <= 0x39 else ord(chr(b).lower()) if b < 0x80 and chr(b).isalpha() or b == 0x5F
+    else 0x20 for b in range(256))
+_MARKS = dict.fromkeys([b"dot", b"plus", *(b"0" * n for n in range(1, 20))], 1) | dict.fromkeys(
+    " ".join(DIGIT_OF).encode().translate(_ASCII_WORDS).split(), 2)
+_MARKED = re.compile(b"\2[\1\2]{2}|[\1\2]\2[\1\2]|[\1\2]{2}\2")
 
 
 def _spelled_run(text: str) -> bool:
-    """Whether ``MIN_SPELLED`` digit names follow each other, whatever stands between and around
-    them: true wherever ``_SPELLED`` finds so many."""
-    words = text.encode("utf-8", "surrogatepass").translate(_ASCII_WORDS).split()
-    return b"\1" * MIN_SPELLED in bytes(map(_SPELLED_TOKENS.__contains__, words))
+    """Whether ``MIN_SPELLED`` names, numbers, dots or plus signs with a name among them follow each
+    other, whatever stands between and around them: true wherever ``_spelled`` finds so many."""
+    raw = text.encode("utf-8", "surrogatepass").replace(b"+", b" plus ")
+    return bool(_MARKED.search(bytes(map(_MARKS.get, raw.translate(_ASCII_WORDS).split(), repeat(0)))))
 
 
 @lru_cache(maxsize=1)
@@ -153,34 +163,85 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return found
 
 
-def _edits(text: str) -> list[tuple[int, int, str]]:
-    """Source ranges and what replaces them, in order, without overlaps.
-
-    Each kind is looked for only in texts that pass a cheap test for it.
+def _spelled(text: str) -> list[tuple[int, int, str]]:
+    """Edits of the digit names in chains that hold enough of them."""
+    edits = []
+    for m in _SPELLED.finditer(text):
+        plus = m["plus"]
+        parts = list(_SPELLED_PART.finditer(text, m.end("plus") if plus else m.start(), m.end()))
+        gaps = [(p.end(), q.start()) for p, q in pairwise(parts)]
+        short = [_SHORT_GAP.fullmatch(text, *g) is not None for g in gaps]
+        single = [p[0].lower() in DIGIT_OF or len(p[0]) == 1 for p in parts]
+        names = [p[0].lower() in DIGIT_OF for p in parts]
+        # a lone name behind a number or other marks than those of a run is the next word of the text
+        if plus and len(parts) > 1 and names[-1] and not (short[-1] and single[-2]):
+            del parts[-1], gaps[-1], short[-1], single[-1], names[-1]
+        if not any(names):
+            continue
+        if plus:
+            led = len(parts) + (plus[0] != "+") if names[0] else 0
+            enough = max(sum(names), led) >= MIN_SPELLED
+        else:
+            enough = len(parts) >= MIN_SPELLED
+        if not enough:
+            # names that follow each other directly still count for themselves
+            edits += _direct_runs(parts, gaps, short, single, names)
+            continue
+        if plus and plus != "+":
+            edits.append((m.start(), m.end("plus"), "+"))
+        edits += [(p.start(), p.end(), DIGIT_OF[p[0].lower()]) for p, n in zip(parts, names) if n]
+        for i, (a, b) in enumerate(gaps):
+            if short[i] and (plus or single[i] and single[i + 1]):
+                edits.append((a, b, ""))
+            elif plus and "," in text[a:b]:
+                edits.append((a, b, text[a:b].replace(",", "")))
+    return edits
+
+
+def _direct_runs(parts: list, gaps: list, short: list, single: list, names: list):
+    """Edits of the runs of at least ``MIN_SPELLED`` single digits, a name first."""
+    edits, i = [], 0
+    while i < len(parts):
+        j = i + 1
+        if names[i]:
+            while j < len(parts) and short[j - 1] and single[j]:
+                j += 1
+            if j - i >= MIN_SPELLED:
+                edits += [(p.start(), p.end(), DIGIT_OF.get(p[0].lower(), p[0])) for p in parts[i:j]]
+                edits += [(a, b, "") for a, b in gaps[i:j - 1]]
+        i = j
+    return edits
+
+
+def _joined(text: str, dots: set[int]) -> list[tuple[int, int, str]]:
+    """Edits of bare at and dot; ``dots`` are the places of full stops that were disguised.
+
+    A bare at needs a disguised dot behind it, a bare dot an at of any kind in its chain.
     """
-    low, edits = text.lower(), []
-    if not text.isascii():
-        edits = [(m.start(), m.end(), "") for m in _INVISIBLE.finditer(text)]
-    if any(c in text for c in "[({<") and _OPENING.search(text):
-        edits += [(m.start(), m.end(), "@" if m["at"] else ".") for m in _BRACKETED.finditer(text)]
-    if " dot " in low:
-        edits += [(m.start(), m.end(), ".") for m in _DOTTED.finditer(text)]
-        for m in _CHAIN.finditer(text):
-            edits += [(p.start(), p.end(), "@" if p["at"] else ".")
-                      for p in _CHAIN_PART.finditer(text, m.start(), m.end())]
-    if _spelled_run(text):
-        for m in _SPELLED.finditer(text):
-            parts = list(_SPELLED_PART.finditer(text, m.start(), m.end()))
-            if sum(p["w"] is not None for p in parts) >= MIN_SPELLED:
-                # the separator after a digit goes with it, but not the one behind the run
-                edits += [(p.start(), p.end(), "+" if p["plus"] else
-                           DIGIT_OF.get(p["w"].lower(), p["w"])) for p in parts]
-    out, end = [], 0
-    for e in sorted(edits):
-        if e[0] >= end:
-            out.append(e)
-            end = e[1]
-    return out
+    edits = {(m.start(), m.end(), ".") for m in _DOTTED.finditer(text)}
+    for m in _CHAIN.finditer(text):
+        joints = list(_JOINT.finditer(text, m.start(), m.end()))
+        ats = [i for i, j in enumerate(joints) if j["at"] or j["sign"]]
+        for i, before, after in zip(ats, [-1, *ats], [*ats[1:], len(joints)]):
+            hidden, end = [], after
+            for k in range(i, after):
+                stop = joints[k + 1].start() if k + 1 < len(joints) else m.end()
+                host = _HOST.match(text, joints[k].end(), stop)
+                if not host:
+                    end = k
+                    break
+                hidden += [d for d in range(host.start(), host.end()) if d in dots] if dots else []
+                if host.end() < stop:
+                    end = k + 1
+                    break
+            if end == i:
+                continue
+            if joints[i]["at"]:
+                if end == i + 1 and not hidden:
+                    continue
+                edits.add((*joints[i].span(), "@"))
+            edits.update((*j.span(), ".") for j in [*joints[before + 1:i], *joints[i + 1:end]])
+    return sorted(edits)
 
 
 class Rewritten:
@@ -211,6 +272,45 @@ class Rewritten:
         return (a + position - begin, a + position - begin + 1) if b is None else (a, b)
 
 
+class Composed:
+    """A text after all rewritings, each of what the one before it wrote.
+
+    Each is tried only on texts that pass a cheap test for it.
+    """
+
+    def __init__(self, source: str):
+        self.text, self.steps, dots = source, [], set()
+        if not source.isascii():
+            self._step([(m.start(), m.end(), "") for m in _INVISIBLE.finditer(source)])
+        if any(c in self.text for c in "[({<") and _OPENING.search(self.text):
+            brackets = [(m.start(), m.end(), "@" if m["at"] else ".")
+                        for m in _BRACKETED.finditer(self.text)]
+            self._step(brackets)
+            if brackets:
+                dots = {a for a, _, b in self.steps[-1].segments
+                        if b is not None and self.text[a] == "."}
+        if _spelled_run(self.text):
+            before = len(self.steps)
+            self._step(sorted(_spelled(self.text)))
+            if dots and len(self.steps) > before:
+                last = self.steps[-1]
+                dots = {i for i, c in enumerate(self.text) if c == "." and last.source(i)[0] in dots}
+        low = self.text.lower()
+        if " dot " in low or dots and " at " in low:
+            self._step(_joined(self.text, dots))
+
+    def _step(self, edits: list[tuple[int, int, str]]):
+        if edits:
+            self.steps.append(Rewritten(self.text, edits))
+            self.text = self.steps[-1].text
+
+    def source(self, start: int, end: int) -> tuple[int, int]:
+        """Source range of a range of the rewritten text."""
+        for step in reversed(self.steps):
+            start, end = step.source(start)[0], step.source(end - 1)[1]
+        return start, end
+
+
 def find_spans(text: str | None) -> list[tuple[str, int, int, bool]]:
     """(kind, start, end, base) by kind, start and end, in code points of the source."""
     if not text:
@@ -218,12 +318,11 @@ def find_spans(text: str | None) -> list[tuple[str, int, int, bool]]:
     base = base_spans(text)
     spans = [(k, a, b, True) for k, a, b in base]
     plain = _straightened(text)
-    edits = _edits(plain)
-    if edits or plain is not text:
-        rewritten = Rewritten(plain, edits)
+    rewritten = Composed(plain)
+    if rewritten.steps or plain is not text:
         known = {k: [(a, b) for kind, a, b in base if kind == k] for k in KINDS}
         for kind, a, b in base_spans(rewritten.text):
-            start, stop = rewritten.source(a)[0], rewritten.source(b - 1)[1]
+            start, stop = rewritten.source(a, b)
             near = known[kind]
             i = bisect_right(near, (start, len(text) + 1)) - 1
             if i < 0 or near[i][1] < stop:

@@ -81,6 +81,47 @@ def test_the_gate_passes_what_the_pattern_finds(monkeypatch, text, want):
     assert gated == pii.find_spans(text)
 
 
+@pytest.mark.parametrize("text, kind, want", [
+    ("mail joe[at]mail dot com now", "email", "joe[at]mail dot com"),
+    ("mail joe at mail[dot]com now", "email", "joe at mail[dot]com"),
+    ("mail joe@mail dot com now", "email", "joe@mail dot com"),
+    ("mail joe dot doe (at) mail dot co[dot]uk.", "email", "joe dot doe (at) mail dot co[dot]uk"),
+    ("mail joe at one two three dot com", "email", "joe at one two three dot com"),
+    ("mail joe at mail do\u200bt com", "email", "joe at mail do\u200bt com"),
+    ("mail joe [a\u00adt] mail dot com", "email", "joe [a\u00adt] mail dot com"),
+    ("host one nine two dot one six eight dot one dot one", "ip",
+     "one nine two dot one six eight dot one dot one"),
+    ("host one nine two [dot] one six eight [dot] one [dot] one.", "ip",
+     "one nine two [dot] one six eight [dot] one [dot] one"),
+    ("host 192 dot 168 dot one dot one", "ip", "192 dot 168 dot one dot one"),
+    ("call plus one (five five five) one two three - four five six seven", "phone",
+     "plus one (five five five) one two three - four five six seven"),
+    ("call plus four nine 30 five five 1234.", "phone", "plus four nine 30 five five 1234"),
+    ("call plus o\u200bne three eight nine five five five zero one zero", "phone",
+     "plus o\u200bne three eight nine five five five zero one zero"),
+    ("card fo\u00adur one one one one one one one one one one one one one one one", "card",
+     "fo\u00adur one one one one one one one one one one one one one one one"),
+])
+def test_mixed_disguises_compose(monkeypatch, text, kind, want):
+    assert want in spans(text, kind)
+    gated = pii.find_spans(text)
+    monkeypatch.setattr(pii, "_spelled_run", lambda text: True)
+    assert gated == pii.find_spans(text)
+
+
+def test_words_behind_an_identifier_are_not_joined():
+    assert spans("call +49 30 1234567 un jour", "phone") == ["+49 30 1234567"]
+    assert spans("call +1 five five five 123 4567 un jour", "phone") == ["+1 five five five 123 4567"]
+    assert spans("host 10.0.0.1 un serveur", "ip") == ["10.0.0.1"]
+    assert spans("look at example.com now", "email") == []
+
+
+def test_mixed_runs_are_linear():
+    for text in ("one dot " * 40_000, "a dot " * 50_000, "a at " * 60_000, "+1 (" * 70_000,
+                 "one-" * 70_000, "a[dot]" * 40_000 + " at "):
+        pii.find_spans(text)
+
+
 def test_prose_is_left_alone():
     for text in ("we met at noon dot", "look at example now", "one two many", "a (at) b"):
         assert pii.find_spans(text) == []
