@@ -3,15 +3,15 @@
 A document is the set of its word shingles. Equal sets form one class, so exact copies meet
 nothing but their class. A class has one label per tree, a short sequence of MinHash values; the
 labels of a tree in sorted order are one signature order of the forest, and classes that share a
-prefix are a region of it. A region is taken at the first depth from ``START`` on where it has at
-most ``REGION`` classes: sparse regions stay shallow, where similar classes hardly ever part,
-crowded ones go deeper. Within a region the candidates of a class are the neighbours with the
-longest common part of all labels and the first class of the region (its pivot).
+prefix of ``START`` values, where similar classes hardly ever part, are a region of it. Within a
+region the candidates of a class are the neighbours with the longest common part of all labels and
+the first class of the region (its pivot). In a region of over ``REGION`` classes the neighbours are
+looked for in parts of it, at the first depth where a part has at most ``REGION`` classes.
 
 Candidates are confirmed on the full sets. Only a few neighbours per class are tried at first; then
-components are known, and a second round compares the full sets of every remaining pair of a region
-whose classes lie in different components, so the first choice loses nothing. It needs no pair
-rows: a block of a region holds its sets in one task, and the classes outside the region's largest
+components are known, and a second round compares the full sets of every remaining pair of a whole
+region whose classes lie in different components, so neither the parts nor the first choice lose
+anything. It needs no pair rows: a block of a region holds its sets in one task, and the classes outside the region's largest
 component visit all its blocks, which covers every pair that is not yet connected. Blocks are
 bounded in classes and in shingles, so a crowded region or long texts make more blocks.
 
@@ -148,7 +148,8 @@ def _key(s: np.ndarray) -> bytes:
 
 
 def regions(classes: DataFrame, start: int = START, region: int = REGION) -> DataFrame:
-    """region, number (a hash of the class key) and size, for every class that shares a region.
+    """region, number (a hash of the class key), size and whole, for every class that shares a
+    region; ``whole`` tells the regions at ``start`` from the parts of crowded ones.
 
     Only two numbers per class and tree are shuffled. Where hashes of two regions or classes
     collide they are merely compared as well.
@@ -167,7 +168,9 @@ def regions(classes: DataFrame, start: int = START, region: int = REGION) -> Dat
         met = stage(placed.join(sizes, "region"), "regions")
         crowded = met.where(F.col("size") > region)
         done = depth == DEPTH or crowded.limit(1).count() == 0
-        kept = (met if done else met.where(F.col("size") <= region)).drop("tree")
+        whole = depth == start
+        kept = (met if done or whole else met.where(F.col("size") <= region)).drop("tree").withColumn(
+            "whole", F.lit(whole))
         found = kept if found is None else found.unionByName(kept)
         if done:
             return found
@@ -371,10 +374,11 @@ def find_links(docs: DataFrame, classes: DataFrame, words: int, threshold: float
     full = shared.join(numbered, "number")
     # shingles of a whole region decide its blocks
     weight = full.groupBy("region").agg(F.sum("n").alias("shingles"), F.min("key").alias("pivot"))
-    members = stage(full.select("region", "size", "key", "n").join(weight, "region").withColumn(
+    members = stage(full.select("region", "size", "whole", "key", "n").join(weight, "region").withColumn(
         "blocks", F.ceil(F.greatest(F.col("size") / region, F.col("shingles") / BLOCK_SHINGLES)).cast("int")
     ).withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")), "members")
-    signed = members.select(*at, "key", "n").join(classes.select("key", "sig"), "key")
+    near = members.where((F.col("size") <= region) | ~F.col("whole"))
+    signed = near.select(*at, "key", "n").join(classes.select("key", "sig"), "key")
     tried = signed.repartition(*at).sortWithinPartitions(*at, "key").mapInArrow(
         _neighbour_pairs(floor, ratio), _PAIR)
     pivots = members.where((F.col("blocks") > 1) & (F.col("key") != F.col("pivot"))).select(
@@ -388,9 +392,9 @@ def find_links(docs: DataFrame, classes: DataFrame, words: int, threshold: float
     links = stage(confirm(pairs, sets, threshold), "links")
     labels = components(links)
 
-    # second round: what the neighbours did not connect, in regions that hold several components
+    # second round: what the neighbours did not connect, in whole regions that hold several components
     # of classes with a full set; the others had no partner whose signature agrees enough
-    placed = members.join(sets.select("key"), "key", "left_semi").join(
+    placed = members.where("whole").join(sets.select("key"), "key", "left_semi").join(
         labels.withColumnRenamed("node", "key"), "key", "left").select(
         "region", "block", "blocks", "key", F.coalesce("label", "key").alias("comp"))
     share = placed.groupBy("region", "comp").agg(F.count("*").alias("n"))

@@ -264,6 +264,40 @@ def test_crowded_regions_lose_no_link(spark, region):
     assert found_components(df, words=2, region=region) == plain_components(rows, 2)
 
 
+def hanging(crowd=60, seed=5):
+    """A crowd of near copies, and one more text whose only link, just over the threshold, is to a
+    member with which it shares a label to depth 3 but none to depth 5."""
+    rng = np.random.default_rng(seed)
+    base = [f"w{i}" for i in range(150)]
+
+    def edited(words, places):
+        words = list(words)
+        for p in places:
+            words[p] = f"e{rng.integers(0, 10 ** 9)}"
+        return words
+
+    def shared(a, b, depth):
+        a, b = (np.frombuffer(near_dup.signature(near_dup.shingles(" ".join(x), 2)), "<u2").reshape(
+            near_dup.TREES, near_dup.DEPTH)[:, :depth] for x in (a, b))
+        return (a == b).all(1).any()
+
+    members = [edited(base, 3 * rng.choice(48, 4, replace=False) + 1) for _ in range(crowd)]
+    while True:
+        m = members[int(rng.integers(0, crowd))]
+        free = [p for p in range(1, 148, 3) if m[p] == base[p]]
+        other = edited(m, rng.choice(free, 8, replace=False))
+        if shared(m, other, near_dup.START) and not shared(m, other, 5):
+            return [(i, " ".join(w)) for i, w in enumerate([*members, other])]
+
+
+def test_a_single_link_in_a_crowded_region_is_found(spark):
+    rows = hanging()
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = plain_components(rows, 2)
+    assert found_components(df, words=2, region=2) == want
+    assert found_components(df, words=2) == want
+
+
 def test_near_duplicates_odd_rows(odd, nothing, spark):
     assert found_components(odd, words=2) == plain_components(ROWS, 2)
     assert near_dup.report(nothing).count() == 0
