@@ -342,7 +342,7 @@ def boost_by_cluster(s, r):
 def global_boost(s, r):
     view = ob.daily_view(s, r, staged=True)
     return forecast.boosted_forecast(view.sales(), view.calendar(), view.daily_prices(), 10, 28,
-                                     STOPPED, HOLDOUT_ROWS)
+                                     boost.BoostParams(), HOLDOUT_ROWS)
 
 
 @query("m8_holdout_rmse", sql("SELECT true AS falls, true AS ended, true AS below_the_mean"))
@@ -359,9 +359,9 @@ def holdout_rmse(s, r):
 
 @query("m9_cluster_boost_forecast")
 def cluster_boost(s, r):
-    params = boost.BoostParams(rounds=2, num_leaves=32)
     view = ob.daily_view(s, r, staged=True)
-    return forecast.cluster_forecast(view.sales(), view.calendar(), view.clusters(), LAGS, 28, "boost", params)
+    return forecast.cluster_forecast(view.sales(), view.calendar(), view.clusters(), LAGS, 28, "boost",
+                                     boost.BoostParams(), HOLDOUT_ROWS)
 
 
 # -- recursion ----------------------------------------------------------------------

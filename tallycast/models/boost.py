@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from tallycast.functions.nulls import clamp_nonneg
 from tallycast.models.design import Design
 from tallycast.models.recursion import collect_steps
+from tallycast.operators.sampling import holdout
 from tallycast.session import cut_lineage, scratch_path
 
 TREE_SCHEMA = (
@@ -267,25 +268,31 @@ def fit_boosted_poisson(rows: DataFrame, design: Design, params: BoostParams = B
 
 
 def fit_boosted_by_cluster(rows: DataFrame, design: Design, by: str = "cluster_id",
-                           params: BoostParams = BoostParams(), parallelism: int = 4) -> dict:
+                           params: BoostParams = BoostParams(), parallelism: int = 4,
+                           holdout_rows: int = 0) -> dict:
     """One model per cluster with a positive mean, several fitted at a time.
 
     The training rows are written once, dealt by cluster so that a folder holds few files; each
     fit reads its own partition and is itself distributed, so a large cluster uses the whole
-    cluster of executors rather than one task.
+    cluster of executors rather than one task. ``holdout_rows`` sets aside that many rows of each
+    cluster, at most a fifth of them, whose error ends its fit.
     """
     spark = rows.sparkSession
     path = scratch_path(spark, "training")
     salt = F.pmod(F.xxhash64("id", "d"), F.lit(8))
     rows.repartition(by, salt).write.partitionBy(by).parquet(path)
     table = spark.read.parquet(path)
-    means = table.groupBy(by).agg(F.avg("y").alias("mean")).where("mean > 0").orderBy(by).collect()
+    means = table.groupBy(by).agg(F.avg("y").alias("mean"), F.count("*").alias("size")).where(
+        "mean > 0").orderBy(by).collect()
 
-    def fit(cluster):
-        return cluster, fit_boosted_poisson(table.where(F.col(by) == cluster), design, params)
+    def fit(row):
+        cluster, size = row[0], min(holdout_rows, row["size"] // 5)
+        own = table.where(F.col(by) == cluster)
+        held, train = holdout(own, size, params.seed, ["id", "d"]) if size else (None, own)
+        return cluster, fit_boosted_poisson(train, design, params, validation=held)
 
     with ThreadPoolExecutor(parallelism) as pool:
-        return dict(pool.map(fit, [r[0] for r in means]))
+        return dict(pool.map(fit, means))
 
 
 def predict_boosted(rows: DataFrame, model: BoostModel) -> DataFrame:

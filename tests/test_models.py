@@ -123,3 +123,25 @@ def test_boosting_ends_on_the_validation_error(rows):
     assert len(model.rmse) < 40 and len(model.trees) == best + 1
     got = boost.predict_boosted(held, model).agg(F.sqrt(F.avg(F.pow(F.col("prediction") - F.col("y"), 2)))).first()[0]
     assert got == pytest.approx(model.rmse[best], abs=1e-9)
+
+
+def test_cluster_fits_end_on_their_own_validation_error(rows):
+    params = boost.BoostParams(rounds=30, num_leaves=8, min_rows_per_leaf=20, checkpoint_every=4,
+                               learning_rate=0.8, patience=2)
+    design = Design(2, {"season": FACTORS["season"]})
+    models = boost.fit_boosted_by_cluster(rows, design, "g", params, holdout_rows=100)
+    assert set(models) == {"hot", "cold"}
+    for model in models.values():
+        best = min(range(len(model.rmse)), key=model.rmse.__getitem__)
+        assert 0 < len(model.rmse) < 30 and len(model.trees) == best + 1
+
+
+def test_registered_boost_forecasts_run_the_whole_fit(monkeypatch, spark, sf_dir):
+    from catalog import models
+
+    calls = []
+    for name in ("boosted_forecast", "cluster_forecast"):
+        monkeypatch.setattr(models.forecast, name, lambda *args: calls.append(args))
+    models.global_boost(spark, sf_dir)
+    models.cluster_boost(spark, sf_dir)
+    assert [c[-2:] for c in calls] == [(boost.BoostParams(), models.HOLDOUT_ROWS)] * 2
