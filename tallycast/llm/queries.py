@@ -8,12 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tallycast.llm import (
     decontaminate,
+    exact_dedup,
     lang_id,
     line_dedup,
     near_dup,
     packing,
+    periodic,
     pii,
     quality,
+    resample,
     secret_scan,
     token_counts,
     vectors,
@@ -82,3 +85,18 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_register("op10_secret_scan")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.report(table(spark, sf_dir, "documents"))
+
+
+@_register("op11_resampling")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@_register("op12_exact_dedup", exact_dedup.SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.report(table(spark, sf_dir, "documents"))
+
+
+@_register("op13_periodic_runs")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.report(table(spark, sf_dir, "documents"))
