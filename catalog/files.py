@@ -119,7 +119,7 @@ UNION ALL SELECT 'training_nodes', count(*), round(sum(value), 4) FROM train_nod
 def load_score_inputs(s, r):
     """Three periods are stored side by side, each is loaded for itself."""
     root, view = scratch_path(s, "score"), ob.monthly_view(s, r, staged=True)
-    sales, cal, prices = view.sales(), ob.monthly_calendar(s, r), view.prices()
+    sales, cal, prices = view.sales(), view.calendar(), view.prices()
     for period, c in PERIODS.items():
         writers.write_score_inputs(
             root, period,
@@ -169,7 +169,7 @@ def wrmsse_from_files(s, r):
     view = ob.monthly_view(s, r, staged=True)
     sales = view.sales()
     fc = _wide_file(s, FORECASTS["seasonal"][0](sales, CUTOFF, H), "forecast")
-    scored = score.score_forecasts(fc, sales, ob.monthly_calendar(s, r), view.prices(), CUTOFF, H, "lenient")
+    scored = score.score_forecasts(fc, sales, view.calendar(), view.prices(), CUTOFF, H, "lenient")
     return scored.select("level_id", "name", F.round("rmsse", 6).alias("rmsse"), F.round("wrmsse", 9).alias("wrmsse"))
 
 
@@ -192,6 +192,31 @@ def write_by_cluster(s, r):
     return s.read.parquet(path)
 
 
+@query("a9_resumed_output", sql(
+    "SELECT cat_id, id, d, sales, CASE WHEN dense_rank() OVER (ORDER BY cat_id) <= 2 THEN 1 ELSE 2 END AS run FROM cells",
+    "cells"))
+def resumed_output(s, r):
+    """A run that breaks off in its second job, and one that completes it; ``run`` tells who wrote a row."""
+    path = scratch_path(s, "resumed")
+    cells = ob.monthly_view(s, r, staged=True).priced_cells().select("cat_id", "id", "d", "sales")
+    categories = sorted(x[0] for x in cells.select("cat_id").distinct().collect())
+    calls = []
+
+    def make(run):
+        def rows(some):
+            calls.append(some)
+            if run == 1 and len(calls) == 2:
+                raise InterruptedError
+            return cells.where(F.col("cat_id").isin(some)).withColumn("run", F.lit(run))
+        return rows
+
+    try:
+        writers.write_missing(s, path, categories, make(1), by="cat_id", at_once=2)
+    except InterruptedError:
+        writers.write_missing(s, path, categories, make(2), by="cat_id", at_once=2)
+    return s.read.parquet(path)
+
+
 @query("a10_write_by_model", sql(
     "SELECT v.model, id, CAST(h.h AS INT) AS h FROM (SELECT DISTINCT id FROM cells) "
     f"CROSS JOIN (VALUES ('croston'), ('sba'), ('sbj')) v(model) CROSS JOIN range(1, {H + 1}) h(h)", "cells"))

@@ -12,6 +12,7 @@ from tallycast.operators import (
 )
 from tallycast.plans import assemble, forecast, score
 from tallycast.schema import KEYS as KEY_COLS
+from tallycast.session import checkpoint_root, fingerprint
 from tallycast.sources import orderbook as ob
 
 CUTOFF, H = 77, 6  # monthly hold-out: months 78..83
@@ -126,7 +127,10 @@ def keyed_add(s, r):
 
 # -- hierarchy ----------------------------------------------------------------------
 
-_MASKED = f"SELECT {KEYS}, d, CASE WHEN sell_price IS NOT NULL THEN sales END AS value FROM sales"
+_PRICED = f"SELECT {KEYS}, d, CASE WHEN sell_price IS NOT NULL THEN sales END AS value FROM sales"
+# missing before the first period with a price
+_MASKED = (f"SELECT {KEYS}, d, CASE WHEN d >= min(d) FILTER (WHERE sell_price IS NOT NULL) "
+           "OVER (PARTITION BY id) THEN sales END AS value FROM sales")
 
 query("f1_rollup12_lenient", sql(
     levels_sql("sales", "sum(sales) AS sales"), "sales"))(
@@ -134,7 +138,7 @@ query("f1_rollup12_lenient", sql(
 
 
 @query("f1_rollup12_strict", sql(
-    levels_sql("masked", strict_sum("value") + " AS value"), "sales", masked=_MASKED))
+    levels_sql("masked", strict_sum("value") + " AS value"), "sales", masked=_PRICED))
 def rollup_strict(s, r):
     masked = filters.mask_unavailable(priced_monthly(s, r)).withColumnRenamed("sales", "value")
     return hierarchy.rollup12(masked, "value", "strict")
@@ -162,7 +166,7 @@ def _revenue(rule: str, cutoff: int = CUTOFF) -> str:
 
 def _series_revenue(s, r, rule):
     view = ob.monthly_view(s, r, staged=True)
-    return scoring.series_revenue(view.sales(), ob.monthly_calendar(s, r), view.prices(), CUTOFF, H, rule)
+    return scoring.series_revenue(view.sales(), view.calendar(), view.prices(), CUTOFF, H, rule)
 
 
 for _rule in ("strict", "lenient"):
@@ -200,7 +204,7 @@ GROUP BY level_id, name"""
 def _train_nodes(s, r):
     view = ob.monthly_view(s, r, staged=True)
     train = view.sales().where(F.col("d") <= CUTOFF)
-    return score.train_hierarchy(train, ob.monthly_calendar(s, r), view.prices())
+    return score.train_hierarchy(train, view.calendar(), view.prices())
 
 
 @query("f7_scale", sql(
@@ -240,11 +244,20 @@ def _score_ctes(kind: str) -> dict[str, str]:
     )
 
 
+def score_root(s, r):
+    """Where stored score inputs lie, and the state of the tables they come from."""
+    tables = ("lineitem", "part", "supplier", "nation", "region")
+    return f"{checkpoint_root(s).rstrip('/')}/tallycast/score-inputs", \
+        fingerprint(s, *[f"{r}/{t}.parquet" for t in tables])
+
+
 def _node_scores(s, r, kind):
     view = ob.monthly_view(s, r, staged=True)
     sales = view.sales()
-    fc = FORECASTS[kind][0](sales, CUTOFF, H)
-    return score.score_forecasts(fc, sales, ob.monthly_calendar(s, r), view.prices(), CUTOFF, H, "lenient")
+    root, source = score_root(s, r)
+    inputs = score.stored_inputs(sales, view.calendar(), view.prices(), CUTOFF, H, "lenient",
+                                 root, f"monthly {source}")
+    return inputs.score(FORECASTS[kind][0](sales, CUTOFF, H))
 
 
 query("f8_mse", sql("SELECT level_id, name, round(mse, 6) AS mse FROM err", "sales", **_score_ctes("naive")))(
@@ -295,9 +308,11 @@ def _daily_ctes() -> dict[str, str]:
 def wrmsse_final(s, r):
     view = ob.daily_view(s, r, staged=True)
     sales = view.sales()
-    fc = forecast.seasonal_naive(sales, D_CUT, 28, 28)
-    return score.final_score(fc, sales, view.calendar(), view.weekly_prices(), D_CUT, 28, "lenient") \
-        .withColumn("wrmsse", F.round("wrmsse", 7))
+    root, source = score_root(s, r)
+    inputs = score.stored_inputs(sales, view.calendar(), view.weekly_prices(), D_CUT, 28, "lenient",
+                                 root, f"daily {source}")
+    scored = inputs.score(forecast.seasonal_naive(sales, D_CUT, 28, 28))
+    return scoring.wrmsse(scored).withColumn("wrmsse", F.round("wrmsse", 7))
 
 
 # -- per-series statistics ----------------------------------------------------------

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from catalog.measures import _DEMAND, _MASKED, _EXTERNALS, CUTOFF, EXTERNALS, H
@@ -10,13 +14,11 @@ from catalog.shape import LAST, output_lines
 from tallycast.functions.arrays import dot
 from tallycast.models import boost, ols, poisson, recursion
 from tallycast.models.design import Design, default_design
-from tallycast.operators import intermittent, lags, series
-from tallycast.plans import assemble, forecast, score
-from tallycast.session import stage
+from tallycast.operators import intermittent, lags, sampling, series
+from tallycast.plans import assemble, evaluate, forecast, score
+from tallycast.session import scratch_path, stage
 from tallycast.sources import orderbook as ob
 
-# the task's trees with a larger step, so that the hold-out error ends the fit after few rounds
-STOPPED = boost.BoostParams(learning_rate=0.4, patience=1, checkpoint_every=5)
 HOLDOUT_ROWS = 10_000
 LAGS = 400
 
@@ -148,18 +150,20 @@ def normal_equations(s, r):
     return _moments(joined, F.col("fitted"), _FACTORS, [1, 28, 400], "cluster_id")
 
 
-@query("m18_every_series", sql(
-    "SELECT count(DISTINCT id) AS ids, 28 * count(DISTINCT id) AS n_rows, 10 AS without_value FROM dsales", "dsales"))
+@query("m18_every_series", sql("""
+SELECT CASE WHEN k.cluster_id IS NULL THEN 'no cluster' WHEN h.n < 28 THEN 'short history' END AS reason,
+       count(*) AS ids, 28 * count(*) AS steps,
+       CAST(sum(CASE WHEN k.cluster_id IS NULL OR h.n < 28 THEN 0 ELSE 28 END) AS BIGINT) AS vals
+FROM (SELECT id, any_value(cat_id) AS cat_id, count(*) AS n FROM dsales GROUP BY id) h
+LEFT JOIN clusters k USING (cat_id) GROUP BY 1""", "dsales", clusters=_CLUSTERS))
 def every_series(s, r):
-    """Short series and those without a cluster keep their rows: five of each here."""
+    """Series in, steps and values out, and the reason where values are missing."""
     view = ob.daily_view(s, r, staged=True)
-    sales = view.sales()
-    some = sorted(x["id"] for x in view.cells.select("id").distinct().collect())[:10]
-    short = sales.where(~F.col("id").isin(some[:5]) | (F.col("d") > view.last - 20))
-    members = view.clusters().where(~F.col("id").isin(some[5:]))
-    fc = stage(forecast.cluster_forecast(short, view.calendar(), members, 28, 28), "forecast")
-    return fc.agg(F.count_distinct("id").alias("ids"), F.count("*").alias("n_rows"),
-                  F.count_distinct(F.when(F.col("yhat").isNull(), F.col("id"))).alias("without_value"))
+    sales, members = view.sales(), view.clusters()
+    fc = forecast.cluster_forecast(sales, view.calendar(), members, 28, 28)
+    report = evaluate.coverage(sales, fc, 28, members)
+    return report.groupBy("reason").agg(F.count("*").alias("ids"), F.sum("steps").alias("steps"),
+                                        F.sum("values").alias("vals"))
 
 
 @query("m5_linear_one_lag", sql(
@@ -295,6 +299,41 @@ def zip_forecast(s, r):
                                      zero_inflated=True)
 
 
+@query("m7_score_equations", sql(
+    "SELECT part, term, round(moment, 0) AS moment FROM (SELECT 'count' AS part, term, moment FROM moments "
+    "UNION ALL SELECT 'zero', term, 0.0 FROM zeros)", "dsales", "externals", "dprices",
+    raw=_RAW, complete=_RAW_FULL, moments=_moments_sql("complete", "y", _POISSON_TERMS, ["lag1", "lag10", "price"]),
+    zeros=_moments_sql("complete", "0", [*forecast.ZERO_FACTORS], ["lag1", "lag10", "price"])))
+def zip_score_equations(s, r):
+    """Both parts, all predictors: the count part reproduces the actual sums, weighted by the chance
+    that a day is not a structural zero; in the zero part expected and fitted zeros cancel."""
+    view, rows = _global_rows(s, r)
+    shared = dict(numeric=("price",), intercept=True, drop_first=True)
+    design = ols.drop_aliased(rows, default_design(
+        view.calendar(), 10, statics=view.cells, static_factors=forecast.STATIC_FACTORS,
+        calendar_factors=forecast.POISSON_FACTORS, **shared))
+    zero = ols.drop_aliased(rows, default_design(view.calendar(), 10, calendar_factors=forecast.ZERO_FACTORS, **shared))
+    model = poisson.fit_zip(rows, design, zero, tol=1e-14)
+
+    def predictor(coefficients, layout):
+        lag_beta, ext = coefficients
+        return recursion.bounded(dot(F.col("lags"), F.array(*[F.lit(b) for b in lag_beta]))
+                                 + layout.external_effect(recursion._map_literal(ext)))
+
+    lam = F.exp(predictor(model.count_coefficients(), design))
+    pi = 1 / (1 + F.exp(-predictor(model.zero_coefficients(), zero)))
+    hidden = F.when(F.col("y") == 0, F.col("pi") / (F.col("pi") + (1 - F.col("pi")) * F.exp(-F.col("lam")))).otherwise(0.0)
+    fitted = rows.withColumn("lam", lam).withColumn("pi", pi).withColumn("hidden", hidden)
+    parts = {"count": ((1 - F.col("hidden")) * F.col("lam"), _POISSON_TERMS),
+             "zero": (F.col("hidden") - F.col("pi"), list(forecast.ZERO_FACTORS))}
+    sums = []
+    for part, (value, factors) in parts.items():
+        priced = fitted.withColumn("lags", F.concat("lags", F.array("price")))
+        found = _moments(priced, value, factors, [1, 10, 11], digits=0).replace("lag11", "price", ["term"])
+        sums.append(found.select(F.lit(part).alias("part"), "term", (F.col("moment") + 0.0).alias("moment")))
+    return sums[0].unionByName(sums[1])
+
+
 # -- boosting -----------------------------------------------------------------------
 
 # One full step on one two-level factor has a closed form per leaf.
@@ -345,16 +384,83 @@ def global_boost(s, r):
                                      boost.BoostParams(), HOLDOUT_ROWS)
 
 
-@query("m8_holdout_rmse", sql("SELECT true AS falls, true AS ended, true AS below_the_mean"))
+# several rounds on one two-level factor: each group follows a recursion of its own
+ROUNDS = 6
+SOME_STEPS = boost.BoostParams(learning_rate=0.3, num_leaves=2, rounds=ROUNDS, row_sample=1.0, checkpoint_every=4)
+_GROUPS = ("SELECT g, count(*) FILTER (WHERE d % 4 > 0) AS n, sum(y) FILTER (WHERE d % 4 > 0) AS s, "
+           "count(*) FILTER (WHERE d % 4 = 0) AS hn, sum(y) FILTER (WHERE d % 4 = 0) AS hs, "
+           "sum(y * y) FILTER (WHERE d % 4 = 0) AS hq FROM "
+           "(SELECT s.d, s.sales AS y, e.weekday_flag AS g FROM dsales s JOIN externals e ON e.d = s.d AND e.state_id = s.state_id) GROUP BY g")
+_STEPS = f"""SELECT g, 0 AS trees, ln((SELECT sum(s) / sum(n) FROM grp)) AS f, n, s, hn, hs, hq FROM grp
+  UNION ALL SELECT g, trees + 1, f + 0.3 * (s - n * exp(f)) / (n * exp(f) + 0.1), n, s, hn, hs, hq FROM steps WHERE trees < {ROUNDS}"""
+
+
+def _stepped(s, r):
+    rows, design = _flag_rows(s, r)
+    held = F.col("d") % 4 == 0
+    return rows, boost.fit_boosted_poisson(rows.where(~held), design, SOME_STEPS, validation=rows.where(held))
+
+
+@query("m8_holdout_rmse", sql("""
+SELECT trees, round(sqrt(sum(hq - 2 * exp(f) * hs + hn * exp(2 * f)) / sum(hn)), 7) AS rmse
+FROM steps WHERE trees > 0 GROUP BY trees""", "dsales", "externals", recursive=True, grp=_GROUPS, steps=_STEPS))
 def holdout_rmse(s, r):
-    """Whether the hold-out error falls from round to round until the fit ends."""
+    """The error on held rows after each round, as the fit stores it."""
+    _, model = _stepped(s, r)
+    rows = [(k, round(e, 7)) for k, e in enumerate(model.rmse, 1)]
+    return s.createDataFrame(rows, "trees int, rmse double")
+
+
+@query("m8_boost_rounds", sql("""
+SELECT trees, g AS weekday_flag, round(exp(f), 7) AS mean FROM steps
+WHERE trees > 0 AND trees <= (SELECT arg_min(trees, (e, trees)) FROM (
+  SELECT trees, sum(hq - 2 * exp(f) * hs + hn * exp(2 * f)) AS e FROM steps WHERE trees > 0 GROUP BY trees))""",
+    "dsales", "externals", recursive=True, grp=_GROUPS, steps=_STEPS))
+def boost_rounds(s, r):
+    """What the trees kept up to each round predict; those after the smallest error are gone."""
+    rows, model = _stepped(s, r)
+    cells, out = stage(rows.select("weekday_flag").distinct(), "cells"), []
+    for k in range(1, len(model.trees) + 1):
+        part = boost.BoostModel(model.base, model.design, model.params, model.trees[:k])
+        out.append(boost.predict_boosted(cells, part).select(
+            F.lit(k).alias("trees"), "weekday_flag", F.round("prediction", 7).alias("mean")))
+    return reduce(DataFrame.unionByName, out)
+
+
+_SPLIT_FACTORS = ["month", "wday", "day", "weekday_flag", "snap"]
+_LEVEL_SUMS = " UNION ALL ".join(
+    f"SELECT {i} AS feature, CAST({f} AS VARCHAR) AS level, count(*) AS n, sum(s.sales - mu) AS g, count(*) * any_value(mu) AS h "
+    f"FROM dsales s JOIN externals e ON e.d = s.d AND e.state_id = s.state_id CROSS JOIN (SELECT avg(sales) AS mu FROM dsales) GROUP BY {f}"
+    for i, f in enumerate(_SPLIT_FACTORS))
+
+
+@query("m10_first_split", sql("""
+SELECT arg_min(feature, (-round(gain, 6), feature)) AS feature, round(max(gain), 3) AS gain
+FROM (SELECT feature, pow(gl, 2) / (hl + 0.1) + pow(g - gl, 2) / (h - hl + 0.1) - pow(g, 2) / (h + 0.1) AS gain
+      FROM (SELECT feature, sum(g) OVER part AS g, sum(h) OVER part AS h, sum(n) OVER part AS n,
+                   sum(g) OVER upto AS gl, sum(h) OVER upto AS hl, sum(n) OVER upto AS nl FROM levels
+            WINDOW part AS (PARTITION BY feature), upto AS (PARTITION BY feature ORDER BY g / (h + 0.1), level))
+      WHERE nl >= 100 AND n - nl >= 100)""", "dsales", "externals", levels=_LEVEL_SUMS))
+def first_split(s, r):
+    """The parameter set at work: the first split over calendar factors and what it gains."""
+    from tallycast.operators.joins import external_vars
+
     view = ob.daily_view(s, r, staged=True)
-    model = forecast.fit_global_boosting(view.sales(), view.calendar(), view.daily_prices(), 10, STOPPED, HOLDOUT_ROWS)
-    kept, path = len(model.trees), model.rmse
-    spread = view.sales().agg(F.stddev("sales")).first()[0]
-    falls = all(b < a for a, b in zip(path, path[1:kept]))
-    return s.createDataFrame([(falls, kept < len(path), path[kept - 1] < spread)],
-                             "falls boolean, ended boolean, below_the_mean boolean")
+    rows = external_vars(view.sales(), view.calendar()).withColumnRenamed("sales", "y")
+    design = default_design(view.calendar(), 0, calendar_factors=tuple(_SPLIT_FACTORS))
+    params = replace(boost.BoostParams(), rounds=1, row_sample=1.0)
+    model = boost.fit_boosted_poisson(rows, design, params)
+    nodes = {n[0]: n for n in model.trees[0]}
+    _, feature, _, levels, _, _, _ = nodes[0]
+    # gain of the stored split, from sums over the rows on its two sides
+    code = F.element_at(design.codes(), feature + 1)
+    side = F.array_contains(F.lit([int(v) for v in levels]), code)
+    mean = rows.agg(F.avg("y")).first()[0]
+    sums = rows.groupBy(side.alias("left")).agg(F.sum(F.col("y") - mean).alias("g"), (F.count("*") * F.lit(mean)).alias("h"))
+    part = F.pow("g", 2) / (F.col("h") + params.l2)
+    whole = F.pow(F.sum("g"), 2) / (F.sum("h") + params.l2)
+    return sums.agg((F.sum(part) - whole).alias("gain")).select(
+        F.lit(feature).alias("feature"), F.round("gain", 3).alias("gain"))
 
 
 @query("m9_cluster_boost_forecast")
@@ -397,6 +503,91 @@ def log_recursion(s, r):
     return fc.withColumn("yhat", F.round("yhat", 6))
 
 
+# two trees over two lags and a flag, walked 28 steps: (node, feature, threshold, left levels, left, right, value)
+_FIXED_TREES = [
+    [(0, 0, 60.0, None, 1, 2, 0.0), (1, 2, float("-inf"), [1.0], 3, 4, 0.0), (2, -1, 0.0, None, -1, -1, 0.25),
+     (3, -1, 0.0, None, -1, -1, -0.5), (4, -1, 0.0, None, -1, -1, 0.125)],
+    [(0, 1, 20.0, None, 1, 2, 0.0), (1, -1, 0.0, None, -1, -1, -0.25), (2, 0, 95.0, None, 3, 4, 0.0),
+     (3, -1, 0.0, None, -1, -1, 0.0625), (4, -1, 0.0, None, -1, -1, -0.75)],
+]
+
+
+def tree_case(nodes: list[tuple], columns: list[str], at: int = 0) -> str:
+    """The value of a tree as nested SQL cases over the columns of its features."""
+    _, feature, threshold, levels, left, right, value = nodes[at]
+    if feature < 0:
+        return repr(float(value))
+    test = f"{columns[feature]} IN ({', '.join(str(int(v)) for v in levels)})" if levels \
+        else f"{columns[feature]} <= {float(threshold)!r}"
+    return f"CASE WHEN {test} THEN {tree_case(nodes, columns, left)} ELSE {tree_case(nodes, columns, right)} END"
+
+
+# the flag's codes: 1 is its first level (0), 2 its second (1)
+_WALK = " + ".join(tree_case(t, ["p.yhat", "p.prev", "(e.weekday_flag + 1)"]) for t in _FIXED_TREES)
+
+
+@query("m11_tree_recursion", sql("SELECT id, h, round(yhat, 6) AS yhat FROM rec WHERE h > 0",
+                                 "dsales", "externals", recursive=True, rec=f"""
+  SELECT a.id, a.state_id, a.d, 0 AS h, CAST(a.sales AS DOUBLE) AS yhat, CAST(b.sales AS DOUBLE) AS prev
+  FROM dsales a JOIN dsales b ON b.id = a.id AND b.d = a.d - 1 WHERE a.d = (SELECT max(d) FROM dsales)
+  UNION ALL
+  SELECT p.id, p.state_id, p.d + 1, p.h + 1, exp(4.0 + {_WALK}), p.yhat
+  FROM rec p JOIN externals e ON e.d = p.d + 1 AND e.state_id = p.state_id WHERE p.h < 28"""))
+def tree_recursion(s, r):
+    """Stored trees, read back and walked by the forecaster; SQL walks the same nodes."""
+    view = ob.daily_view(s, r, staged=True)
+    path = scratch_path(s, "trees")
+    design = Design(2, {"weekday_flag": ["0", "1"]})
+    boost.save_boosted(boost.BoostModel(4.0, design, boost.BoostParams(), _FIXED_TREES), s, path)
+    parts = lags.future_parts(view.sales(), view.calendar(), 2, 28, normalized=False)
+    fc = boost.forecast_boosted(*parts, boost.load_boosted(s, path))
+    return fc.withColumn("yhat", F.round("yhat", 6))
+
+
+# -- errors on held rows ------------------------------------------------------------
+
+_HELD = """SELECT *, row_number() OVER (PARTITION BY cat_id ORDER BY md5('777|' || id || '|' || d))
+    <= least(300, floor(count(*) OVER (PARTITION BY cat_id) / 5)) AS held FROM raw"""
+
+
+@query("f16_holdout_rmse", sql("""
+SELECT model, count(*) AS n, 0 AS missing, round(sqrt(avg(pow(y - prediction, 2))), 5) AS rmse FROM (
+  SELECT 'linear' AS model, y, (SELECT regr_intercept(y, lag1) FROM marked WHERE NOT held)
+    + (SELECT regr_slope(y, lag1) FROM marked WHERE NOT held) * lag1 AS prediction FROM marked WHERE held
+  UNION ALL
+  SELECT 'poisson', y, mu FROM marked JOIN (SELECT cat_id, avg(y) AS mu FROM marked WHERE NOT held GROUP BY cat_id) USING (cat_id) WHERE held
+  UNION ALL
+  SELECT 'boosted', y, mean FROM marked JOIN (
+    SELECT g, exp(ln(any_value(mu)) + 0.5 * sum(y - mu) / (sum(mu) + 0.1)) AS mean
+    FROM marked CROSS JOIN (SELECT avg(y) AS mu FROM marked WHERE NOT held) WHERE NOT held GROUP BY g) USING (g) WHERE held)
+GROUP BY model""", "dsales", "externals", raw="""
+  SELECT * FROM (SELECT s.id, s.cat_id, s.d, CAST(s.sales AS DOUBLE) AS y, e.weekday_flag AS g,
+                        lag(s.sales) OVER (PARTITION BY s.id ORDER BY s.d) AS lag1
+                 FROM dsales s JOIN externals e ON e.d = s.d AND e.state_id = s.state_id) WHERE lag1 IS NOT NULL""", marked=_HELD))
+def fitted_on_held_rows(s, r):
+    """A linear, a Poisson and a boosted model fitted on the same rows, measured on the same others."""
+    view = ob.daily_view(s, r, staged=True)
+    rows = lags.training_matrix(view.sales(), view.calendar(), 1, normalized=False)
+    marked = stage(sampling.holdout_by(rows, "cat_id", 300, 777, ["id", "d"], share=5), "marked")
+    train, held = marked.where("not held").drop("held"), marked.where("held").drop("held")
+
+    line = Design(1, intercept=True, drop_first=True)
+    lag_beta, ext = ols.mllib_coefficients(ols.fit_linear_regression(train, line), line)
+    linear = F.element_at("lags", 1) * lag_beta[0] + ext["intercept"]
+    groups = Design(0, {"cat_id": sorted(x[0] for x in train.select("cat_id").distinct().collect())},
+                    intercept=True, drop_first=True)
+    _, effects = ols.mllib_coefficients(poisson.fit_poisson(train, groups), groups)
+    trees = boost.fit_boosted_poisson(train, Design(0, {"weekday_flag": ["0", "1"]}), ONE_STEP)
+    predictions = [
+        held.select(F.lit("linear").alias("model"), "id", "d", linear.alias("prediction")),
+        held.select(F.lit("poisson").alias("model"), "id", "d",
+                    F.exp(groups.external_effect(recursion._map_literal(effects))).alias("prediction")),
+        boost.predict_boosted(held, trees).select(F.lit("boosted").alias("model"), "id", "d", "prediction"),
+    ]
+    stored = stage(reduce(DataFrame.unionByName, predictions), "predictions")
+    return evaluate.holdout_rmse(held, stored).withColumn("rmse", F.round("rmse", 5))
+
+
 # -- intermittent demand ------------------------------------------------------------
 
 _STEP = """CASE WHEN s.sales > 0 AND p.size IS NOT NULL THEN p.size + {a} * (s.sales - p.size)
@@ -583,4 +774,4 @@ def holdout_window(s, r):
     "sales", masked=_MASKED))
 def train_hierarchy(s, r):
     view = ob.monthly_view(s, r, staged=True)
-    return score.train_hierarchy(view.sales(), ob.monthly_calendar(s, r), view.prices())
+    return score.train_hierarchy(view.sales(), view.calendar(), view.prices())

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from catalog.registry import DAY0, KEYS, query, sql
 from tallycast.functions import dates, ids
 from tallycast.functions.nulls import clamp_nonneg
+from tallycast.models import levels
 from tallycast.models.design import default_design
 from tallycast.operators import encode, filters, joins, lags, reshape, scoring
 from tallycast.plans.assemble import horizon_labels, replicate_stage
@@ -266,6 +267,27 @@ def cast_features(s, r):
     )
 
 
+@query("b19_sparse_levels", sql("""
+SELECT factor, level, row_number() OVER (PARTITION BY factor ORDER BY level) - 1 AS code FROM (
+  SELECT DISTINCT 'customer' AS factor, CAST(o_custkey AS VARCHAR) AS level FROM orders
+  UNION ALL SELECT DISTINCT 'priority', o_orderpriority FROM orders)"""))
+def sparse_levels(s, r):
+    """Level tables of a factor as long as the customers and of a short one."""
+    orders = s.read.parquet(f"{r}/orders.parquet").select(
+        F.col("o_custkey").alias("customer"), F.col("o_orderpriority").alias("priority"))
+    return levels.level_table(orders, ["customer", "priority"])
+
+
+@query("b19_sparse_fit", sql("""
+SELECT CAST(o_custkey AS VARCHAR) AS level, round(avg(o_totalprice / 100000), 3) AS beta FROM orders GROUP BY o_custkey"""))
+def sparse_fit(s, r):
+    """Least squares over one column per customer: the customer's mean."""
+    orders = s.read.parquet(f"{r}/orders.parquet").select(
+        F.col("o_custkey").alias("customer"), (F.col("o_totalprice") / 100000).alias("y"))
+    fitted = levels.fit_sparse_linear(orders, levels.level_table(orders, ["customer"]), ["customer"])
+    return fitted.select("level", F.round("beta", 3).alias("beta"))
+
+
 query("b20_projection", sql("SELECT id, d, sales FROM cells", "cells"))(
     lambda s, r: ob.monthly_cells(s, r).drop("item_id", "dept_id", "cat_id", "store_id", "state_id", "sell_price"))
 
@@ -327,9 +349,25 @@ def priced_monthly(s, r):
 
 
 @query("c4_mask_unavailable", sql(
-    "SELECT id, d, CASE WHEN sell_price IS NOT NULL THEN sales END AS sales FROM sales", "sales"))
+    "SELECT id, d, CASE WHEN d >= min(d) FILTER (WHERE sell_price IS NOT NULL) OVER (PARTITION BY id) "
+    "THEN sales END AS sales FROM sales", "sales"))
 def mask_unavailable(s, r):
-    return filters.mask_unavailable(priced_monthly(s, r)).select("id", "d", "sales")
+    """Months before the launch are missing; later months without a sale keep their zero."""
+    view = ob.monthly_view(s, r, staged=True)
+    return filters.mask_off_sale(view.sales(), view.calendar(), view.prices()).select("id", "d", "sales")
+
+
+@query("c4_withdrawn", sql("""
+SELECT id, count(*) AS periods, count(value) AS on_sale, count(*) FILTER (WHERE value = 0) AS zeros
+FROM (SELECT id, CASE WHEN d BETWEEN min(d) FILTER (WHERE sell_price IS NOT NULL) OVER w
+        AND max(d) FILTER (WHERE sell_price IS NOT NULL) OVER w THEN sales END AS value
+      FROM sales WINDOW w AS (PARTITION BY id)) GROUP BY id""", "sales"))
+def mask_withdrawn(s, r):
+    """Intervals that also end, with the last priced month."""
+    view = ob.monthly_view(s, r, staged=True)
+    masked = filters.mask_off_sale(view.sales(), view.calendar(), view.prices(), withdrawn=True)
+    return masked.groupBy("id").agg(F.count("*").alias("periods"), F.count("sales").alias("on_sale"),
+                                    F.count_if(F.col("sales") == 0).alias("zeros"))
 
 
 @query("c5_drop_incomplete", sql("""

@@ -60,9 +60,10 @@ def _packed_pair(rows: DataFrame, count: Design, zero: Design) -> DataFrame:
 
 
 def _em_sums(packed: DataFrame, count: Design, zero: Design, b: np.ndarray, g: np.ndarray):
-    """One pass: log-likelihood, and score and information of both weighted parts."""
+    """One pass: log-likelihood, score and information of both weighted parts, and the information
+    that is missing because the source of a zero is unknown (of both parts together)."""
     p, q = len(b), len(g)
-    width = 1 + p + p * p + q + q * q
+    width = 1 + p + p * p + q + q * q + (p + q) ** 2
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(width)
@@ -81,9 +82,11 @@ def _em_sums(packed: DataFrame, count: Design, zero: Design, b: np.ndarray, g: n
             # without log y!, which no parameter changes
             ll = np.where(at_zero, np.log(p_zero), np.log1p(-pi) + y * eta - lam)
             w, v = (1 - r) * lam, pi * (1 - pi)
+            both = np.column_stack([x * lam[:, None], z])
             total += np.concatenate([
                 [ll.sum()], x.T @ ((1 - r) * (y - lam)), ((x * w[:, None]).T @ x).ravel(),
                 z.T @ (r - pi), ((z * v[:, None]).T @ z).ravel(),
+                ((both * (r * (1 - r))[:, None]).T @ both).ravel(),
             ])
         yield pa.RecordBatch.from_pydict(
             {"i": np.arange(width, dtype=np.int32), "v": total},
@@ -96,20 +99,44 @@ def _em_sums(packed: DataFrame, count: Design, zero: Design, b: np.ndarray, g: n
         s[row["i"]] = row["v"]
     ll, s = s[0], s[1:]
     bg, bh, s = s[:p], s[p:p + p * p].reshape(p, p), s[p + p * p:]
-    return ll, bg, bh, s[:q], s[q:].reshape(q, q)
+    gg, gh, s = s[:q], s[q:q + q * q].reshape(q, q), s[q + q * q:]
+    return ll, bg, bh, gg, gh, s.reshape(p + q, p + q)
 
 
 def _newton(hess: np.ndarray, grad: np.ndarray) -> np.ndarray:
-    ridge = _RIDGE * max(np.trace(hess) / len(hess), 1.0) * np.eye(len(hess))
-    return np.linalg.solve(hess + ridge, grad)
+    return np.linalg.solve(_ridged(hess), grad)
+
+
+def _ridged(hess: np.ndarray) -> np.ndarray:
+    """With a little of its own diagonal, so that columns of any unit are treated alike."""
+    own = np.diag(hess)
+    return hess + _RIDGE * np.diag(np.where(own > 0, own, 1.0))
+
+
+def _directions(state) -> Iterator[np.ndarray]:
+    """Steps for both parts: by the observed information where it is positive definite, which ends
+    the search in a few passes, else (or if that fails) by the expected one of each part."""
+    _, bg, bh, gg, gh, missing = state
+    p = len(bg)
+    observed = -missing
+    observed[:p, :p] += bh
+    observed[p:, p:] += gh
+    observed = _ridged(observed)
+    try:
+        np.linalg.cholesky(observed)
+        yield np.linalg.solve(observed, np.concatenate([bg, gg]))
+    except np.linalg.LinAlgError:
+        pass
+    yield np.concatenate([_newton(bh, bg), _newton(gh, gg)])
 
 
 def fit_zip(rows: DataFrame, design: Design, zero_design: Design, max_iter: int = 50,
             tol: float = 1e-6) -> ZipModel:
-    """Zero-inflated Poisson by EM with one Newton step per M-step.
+    """Zero-inflated Poisson by Newton steps on the observed likelihood, or EM steps where that
+    has no maximum nearby.
 
-    Each iteration is one pass that returns p + p^2 + q + q^2 + 1 sums. A step that
-    lowers the log-likelihood is halved. Starts from the Poisson fit.
+    Each pass returns sums whose number depends on the design only. A step that lowers the
+    log-likelihood is halved. Starts from the Poisson fit.
     """
     packed = _packed_pair(rows, design, zero_design).persist(StorageLevel.MEMORY_AND_DISK)
     try:
@@ -120,17 +147,19 @@ def fit_zip(rows: DataFrame, design: Design, zero_design: Design, max_iter: int
         state = _em_sums(packed, design, zero_design, b, g)
         history.append(state[0])
         for _ in range(max_iter):
-            _, bg, bh, gg, gh = state
-            db, dg = _newton(bh, bg), _newton(gh, gg)
-            step = 1.0
-            while True:
-                trial = _em_sums(packed, design, zero_design, b + step * db, g + step * dg)
-                if trial[0] >= history[-1] or step < 1e-3:
+            for direction, least in zip(_directions(state), (0.25, 1e-3)):
+                step = 1.0
+                while True:
+                    to_b, to_g = b + step * direction[:len(b)], g + step * direction[len(b):]
+                    trial = _em_sums(packed, design, zero_design, to_b, to_g)
+                    if trial[0] >= history[-1] or step < least:
+                        break
+                    step /= 2
+                if trial[0] >= history[-1]:
                     break
-                step /= 2
             if trial[0] < history[-1]:
                 break
-            b, g, state = b + step * db, g + step * dg, trial
+            b, g, state = to_b, to_g, trial
             history.append(trial[0])
             if abs(history[-1] - history[-2]) <= tol * (abs(history[-2]) + tol):
                 break

@@ -31,6 +31,33 @@ def mask_unavailable(sales: DataFrame, price: str = "sell_price") -> DataFrame:
     return sales.withColumn("sales", F.when(F.col(price).isNotNull(), F.col("sales")))
 
 
+def on_sale(prices: DataFrame, week: str = "wm_yr_wk") -> DataFrame:
+    """(store_id, item_id, first_week, last_week): when a pair was on sale, one row each."""
+    return prices.where(F.col("sell_price").isNotNull()).groupBy("store_id", "item_id").agg(
+        F.min(week).alias("first_week"), F.max(week).alias("last_week"))
+
+
+def mask_off_sale(sales: DataFrame, calendar: DataFrame, prices: DataFrame,
+                  withdrawn: bool = False) -> DataFrame:
+    """Sales become null outside the interval in which their item was on sale.
+
+    The interval begins with the first priced week; with ``withdrawn`` it ends with the last one,
+    else it stays open. Between them a week without a price row is on sale, so its zeros stay. An
+    item that never had a price is null throughout. The intervals hold one row per (store, item)
+    and are joined by key and range, so no row of ``sales`` is multiplied.
+    """
+    spans = on_sale(prices).select(
+        F.col("store_id").alias("_store"), F.col("item_id").alias("_item"), "first_week", "last_week")
+    weeks = sales.join(calendar.select("d", F.col("wm_yr_wk").alias("_week")), "d", "left")
+    inside = (F.col("store_id") == F.col("_store")) & (F.col("item_id") == F.col("_item")) \
+        & (F.col("_week") >= F.col("first_week"))
+    if withdrawn:
+        inside = inside & (F.col("_week") <= F.col("last_week"))
+    return weeks.join(spans, inside, "left") \
+        .withColumn("sales", F.when(F.col("first_week").isNotNull(), F.col("sales"))) \
+        .drop("_week", "_store", "_item", "first_week", "last_week")
+
+
 def drop_incomplete(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Drop rows with any null in ``columns``, arrays with a null element included."""
     wanted = columns or df.columns

@@ -15,13 +15,10 @@ from tallycast.functions.nulls import ratio
 from tallycast.operators.joins import (
     external_vars, future_days, with_daily_price, with_price,
 )
+from tallycast.operators.placement import deal
 from tallycast.schema import KEYS
 
 
-# Places over which the series of one cluster are spread.
-CLUSTER_SALTS = 16
-
-
 def add_lags(df: DataFrame, n: int, value: str = "sales", by: list[str] | None = None,
              period: str = "d") -> DataFrame:
     """Columns lag1..lagn; one window, meant for small ``n``."""
@@ -151,9 +148,10 @@ def training_matrix(sales: DataFrame, calendar: DataFrame, n: int,
     priced, carry = _with_prices(sales, calendar, prices, daily_price)
     series = prepare_series(priced, clusters, normalized, carry)
     if clusters is not None:
-        # series of one cluster lie together in a few places, so that a task sums few clusters
-        salt = F.pmod(F.xxhash64("id"), F.lit(CLUSTER_SALTS))
-        series = series.where(F.col("cluster_id").isNotNull()).repartition("cluster_id", salt)
+        # a task holds series of one cluster, a large cluster takes as many tasks as its share
+        places = int(sales.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        series = deal(series.where(F.col("cluster_id").isNotNull()),
+                      clusters.groupBy("cluster_id").count(), "cluster_id", "id", places)
     rows = embed_arrays(series, n, carry)
     complete = F.col("y").isNotNull() & ~F.exists("lags", lambda x: x.isNull())
     return external_vars(rows.where(complete), calendar)

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallycast.functions.ids import node_name
+from tallycast.session import stage
 
 # Hex digits by which a rank prefix grows, and the rows of a prefix that may be ordered at once.
 _STEP_DIGITS = 4
@@ -68,6 +70,32 @@ def holdout(df: DataFrame, n: int, seed: int, key: list[str]) -> tuple[DataFrame
     return first, rest.drop("_rank")
 
 
+def holdout_by(df: DataFrame, by: str, n: int, seed: int, key: list[str], share: int) -> DataFrame:
+    """``df`` with ``held``: true for exactly ``n`` rows of each group, at most one in ``share``.
+
+    Rows are ranked by a hash of their ``key``, which tells the rows of a group apart; rows that
+    share a key share its side. Counts by rank prefix say which prefix of a group holds the
+    boundary, and only the rows of that prefix are ordered, so a group of any size takes one pass
+    over narrow rows. A null group is never held.
+    """
+    rank = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in key]))
+    narrow = df.where(F.col(by).isNotNull()).select(F.col(by).alias("_group"), rank.alias("_rank"))
+    prefix = F.substring("_rank", 1, _STEP_DIGITS)
+    group = W.partitionBy("_group")
+    counted = narrow.groupBy("_group", prefix.alias("_prefix")).count().select(
+        "_group", "_prefix", F.sum("count").over(group.orderBy("_prefix")).alias("upto"), "count",
+        F.least(F.lit(n), F.floor(F.sum("count").over(group) / share)).alias("wanted"))
+    before = F.col("upto") - F.col("count")
+    cut = stage(counted.where((before < F.col("wanted")) & (F.col("upto") >= F.col("wanted"))).select(
+        "_group", "_prefix", (F.col("wanted") - before).alias("left")), "cut")
+    inside = narrow.withColumn("_prefix", prefix).join(cut, ["_group", "_prefix"])
+    place = F.row_number().over(group.orderBy("_rank"))
+    last = stage(inside.withColumn("place", place).where(F.col("place") == F.col("left")).select(
+        "_group", F.col("_rank").alias("_last")), "boundary")
+    held = F.coalesce(rank <= F.col("_last"), F.lit(False))
+    return df.join(last, F.col(by) == F.col("_group"), "left").withColumn("held", held).drop("_group", "_last")
+
+
 def complement(df: DataFrame, sample: DataFrame, key: list[str]) -> DataFrame:
     """Rows of ``df`` whose key is not in ``sample``."""
     return df.join(sample.select(*key), key, "left_anti")

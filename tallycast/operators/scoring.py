@@ -100,10 +100,15 @@ def score_pairs(forecasts: DataFrame, actual: DataFrame) -> DataFrame:
 def node_scores(forecasts: DataFrame, actual: DataFrame, training_nodes: DataFrame,
                 weights: DataFrame) -> DataFrame:
     """Per node: scale, MSE, RMSSE, weight and the weighted term."""
-    errors = mse(score_pairs(forecasts, actual))
     train = training_nodes.withColumn("name", strip_stage("name"))
+    return scored_nodes(scale(train), mse(score_pairs(forecasts, actual)), weights)
+
+
+def scored_nodes(scales: DataFrame, errors: DataFrame, weights: DataFrame) -> DataFrame:
+    """The same from the scale, error and weight of each node."""
+    scales = scales.withColumn("name", strip_stage("name"))
     named = weights.select("level_id", strip_stage("name").alias("name"), "weight")
-    scored = scale(train).join(errors, NODE, "left").withColumn("rmsse", rmsse())
+    scored = scales.join(errors, NODE, "left").withColumn("rmsse", rmsse())
     return scored.join(named, NODE, "left") \
         .withColumn("wrmsse", F.col("rmsse") * F.col("weight"))
 

@@ -63,11 +63,13 @@ def fill_future_price(frame: DataFrame, prices: DataFrame, keys: list[str], pric
 
 def cluster_forecast(sales: DataFrame, calendar: DataFrame, clusters: DataFrame, n_lags: int = 400,
                      horizon: int = 28, model: str = "ols",
-                     params: BoostParams = BoostParams(), holdout_rows: int = 0) -> DataFrame:
+                     params: BoostParams = BoostParams(), holdout_rows: int = 0,
+                     state: str | None = None) -> DataFrame:
     """One pooled model per cluster on mean-scaled series, forecast recursively.
 
     ``ols`` fits all clusters in one grouped reduction; ``boost`` fits a boosted model
-    per cluster, whose fit ends by the error of ``holdout_rows`` rows set aside in each cluster.
+    per cluster, whose fit ends by the error of ``holdout_rows`` rows set aside in each cluster,
+    and keeps its steps in the folder ``state`` if one is given.
     Every series keeps its steps: all-zero series are 0; short ones, and those
     without a cluster or with an unfitted one, are null (see ``recursion.unforecast``).
     """
@@ -77,7 +79,7 @@ def cluster_forecast(sales: DataFrame, calendar: DataFrame, clusters: DataFrame,
     if model == "ols":
         fitted = fit_ols(rows, design, "cluster_id")
         return forecast_linear(origin, days, fitted, design, "cluster_id")
-    models = fit_boosted_by_cluster(rows, design, "cluster_id", params, holdout_rows=holdout_rows)
+    models = fit_boosted_by_cluster(rows, design, "cluster_id", params, holdout_rows, state)
     return forecast_boosted(origin, days, models, scaled=True, by="cluster_id")
 
 

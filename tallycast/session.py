@@ -95,3 +95,31 @@ def stage(df: DataFrame, label: str = "stage") -> DataFrame:
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def _file(spark: SparkSession, path: str):
+    """The file system of ``path`` and its name there."""
+    name = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return name.getFileSystem(spark._jsc.hadoopConfiguration()), name
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, name = _file(spark, path)
+    return fs.exists(name)
+
+
+def fingerprint(spark: SparkSession, *paths: str) -> str:
+    """Names the state of input files: path, bytes, number of files and time of change of each."""
+    parts = []
+    for path in paths:
+        fs, name = _file(spark, path)
+        summary = fs.getContentSummary(name)
+        parts.append(f"{path}|{summary.getLength()}|{summary.getFileCount()}"
+                     f"|{fs.getFileStatus(name).getModificationTime()}")
+    return "\n".join(parts)
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a table of the library's own making that nothing reads any more."""
+    fs, name = _file(spark, path)
+    fs.delete(name, True)

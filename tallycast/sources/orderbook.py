@@ -138,7 +138,11 @@ class MonthlyView:
     """Monthly demand of item x store series; ``cells`` holds the non-empty months."""
 
     cells: DataFrame
-    last: int
+    bounds: Bounds
+
+    @property
+    def last(self) -> int:
+        return self.bounds.n_months
 
     def priced_cells(self) -> DataFrame:
         return self.cells.select(*KEYS, "d", "sales", _price().alias("sell_price"))
@@ -154,6 +158,9 @@ class MonthlyView:
             _price().alias("sell_price"),
         )
 
+    def calendar(self) -> DataFrame:
+        return calendar_months(self.cells.sparkSession, self.bounds)
+
 
 def monthly_view(spark: SparkSession, root: str, staged: bool = False) -> MonthlyView:
     """The monthly view; ``staged`` writes its cells once for jobs that use them often."""
@@ -172,7 +179,7 @@ def monthly_view(spark: SparkSession, root: str, staged: bool = False) -> Monthl
             F.col("p_type").alias("cat_id"), "store_id", "state_id", "d", "sales", "amount",
         )
     )
-    return MonthlyView(stage(cells, "monthly") if staged else cells, bounds.n_months)
+    return MonthlyView(stage(cells, "monthly") if staged else cells, bounds)
 
 
 def monthly_cells(spark: SparkSession, root: str) -> DataFrame:
@@ -189,8 +196,11 @@ def monthly_prices(spark: SparkSession, root: str) -> DataFrame:
 
 
 def monthly_calendar(spark: SparkSession, root: str) -> DataFrame:
+    return calendar_months(spark, order_bounds(spark, root))
+
+
+def calendar_months(spark: SparkSession, bounds: Bounds) -> DataFrame:
     """One row per month: d, date of its first day, and d as the pricing period."""
-    bounds = order_bounds(spark, root)
     months = F.col("id").cast("int") - 1
     return spark.range(1, bounds.n_months + 1).select(
         F.col("id").cast("int").alias("d"),

@@ -136,12 +136,146 @@ def test_cluster_fits_end_on_their_own_validation_error(rows):
         assert 0 < len(model.rmse) < 30 and len(model.trees) == best + 1
 
 
-def test_registered_boost_forecasts_run_the_whole_fit(monkeypatch, spark, sf_dir):
+SOME = boost.BoostParams(rounds=7, num_leaves=8, min_rows_per_leaf=20, checkpoint_every=2, learning_rate=0.3)
+LAYOUT = Design(2, {"season": FACTORS["season"]})
+
+
+def test_blocks_of_any_size_grow_the_same_trees(monkeypatch, rows):
+    """One block per cluster (grown in its task) and many (level by level, through an exchange)."""
+    whole = boost.fit_boosted_by_cluster(rows, LAYOUT, "g", SOME, holdout_rows=100)
+    monkeypatch.setattr(boost, "BLOCK_CELLS", 3 * 300)
+    monkeypatch.setattr(boost, "RANGE", 2)
+    cut = boost.fit_boosted_by_cluster(rows, LAYOUT, "g", SOME, holdout_rows=100)
+    assert set(whole) == set(cut) == {"hot", "cold"}
+    for g, model in whole.items():
+        assert cut[g].rmse == pytest.approx(model.rmse) and len(cut[g].trees) == len(model.trees)
+        for a, b in zip(model.trees, cut[g].trees):
+            assert sorted(n[1:4] for n in a if n[1] >= 0) == sorted(n[1:4] for n in b if n[1] >= 0)
+            assert sorted(n[6] for n in a) == pytest.approx(sorted(n[6] for n in b))
+
+
+def test_interrupted_fit_goes_on(monkeypatch, rows, tmp_path):
+    """Stopped in its third step, the fit resumes after the second and ends with the same trees."""
+    want = boost.fit_boosted_by_cluster(rows, LAYOUT, "g", SOME, holdout_rows=100)
+    plain, steps = boost._rewritten, []
+
+    def counted(*args):
+        steps.append(1)
+        if len(steps) == 3:
+            raise InterruptedError
+        return plain(*args)
+
+    monkeypatch.setattr(boost, "_rewritten", counted)
+    state = str(tmp_path / "fit")
+    with pytest.raises(InterruptedError):
+        boost.fit_boosted_by_cluster(rows, LAYOUT, "g", SOME, holdout_rows=100, state=state)
+    got = boost.fit_boosted_by_cluster(rows, LAYOUT, "g", SOME, holdout_rows=100, state=state)
+    assert len(steps) == 3 + 2  # four steps of up to two rounds in all, two of them before
+    for g, model in want.items():
+        assert got[g].trees == model.trees and got[g].rmse == model.rmse
+
+
+def test_sums_of_every_leaf(rows):
+    """Each leaf of a first tree on all rows holds rate * sum(y - mu) / (sum(mu) + l2)."""
+    from dataclasses import replace
+
+    params = replace(SOME, rounds=1, row_sample=1.0)
+    model = boost.fit_boosted_poisson(rows, LAYOUT, params)
+    one = boost.predict_boosted(rows, model).toPandas()
+    mean = one["y"].mean()
+    for value, part in one.groupby(one["prediction"].round(9)):
+        n, total = len(part), part["y"].sum()
+        assert np.log(value) == pytest.approx(np.log(mean) + 0.3 * (total - n * mean) / (n * mean + 0.1), abs=1e-8)
+        assert n >= 20
+    assert one["prediction"].round(9).nunique() > 4
+
+
+def test_forecast_equals_sql_over_stored_trees(spark, sf_dir, tmp_path):
+    """Cluster models on ten lags: DuckDB walks the stored nodes over 28 steps."""
+    import duckdb
+
+    from tallycast.models.design import default_design
+    from tallycast.operators import lags
+    from tallycast.sources import orderbook as ob
+
+    view = ob.daily_view(spark, sf_dir, staged=True)
+    sales, calendar, clusters = view.sales(), view.calendar(), view.clusters()
+    design = default_design(calendar, 10, calendar_factors=("weekday_flag", "month"))
+    train = lags.training_matrix(sales, calendar, 10, clusters)
+    models = boost.fit_boosted_by_cluster(train, design, "cluster_id", boost.BoostParams(rounds=5, num_leaves=16))
+    origin, days = lags.future_parts(sales, calendar, 10, 28, clusters)
+    got = {(r["id"], r["h"]): r["yhat"] for r in boost.forecast_boosted(
+        origin, days, models, scaled=True, by="cluster_id").collect()}
+
+    con = duckdb.connect()
+    nodes = [(int(c), m.base, t, *n) for c, m in models.items() for t, tree in enumerate(m.trees) for n in tree]
+    con.execute("CREATE TABLE nodes (c INT, base DOUBLE, tree INT, node INT, feature INT, threshold DOUBLE, "
+                "levels DOUBLE[], l INT, r INT, value DOUBLE)")
+    con.executemany("INSERT INTO nodes VALUES (?,?,?,?,?,?,?,?,?,?)", nodes)
+    codes = {(r["id"], r["h"]): list(r["x"]) for r in days.select("id", "h", design.codes().alias("x")).collect()}
+    con.execute("CREATE TABLE state (id VARCHAR, c INT, mean DOUBLE, lags DOUBLE[])")
+    con.executemany("INSERT INTO state VALUES (?,?,?,?)", [
+        (r["id"], r["cluster_id"], r["mean"], list(r["lags"])) for r in origin.collect()])
+    con.execute("CREATE TABLE codes (id VARCHAR, h INT, x DOUBLE[])")
+    con.executemany("INSERT INTO codes VALUES (?,?,?)", [(i, h, x) for (i, h), x in codes.items()])
+    for h in range(1, 29):
+        step = con.execute(f"""
+            WITH RECURSIVE x AS (SELECT s.id, s.c, s.mean, s.lags, list_concat(s.lags, k.x) AS v
+                                 FROM state s JOIN codes k ON k.id = s.id AND k.h = {h}),
+            walk AS (
+              SELECT x.id, n.tree, n.node, n.feature, n.threshold, n.levels, n.l, n.r, n.value, n.base, x.v
+              FROM x JOIN nodes n ON n.c = x.c AND n.node = 0
+              UNION ALL
+              SELECT w.id, w.tree, n.node, n.feature, n.threshold, n.levels, n.l, n.r, n.value, n.base, w.v
+              FROM walk w JOIN x ON x.id = w.id JOIN nodes n ON n.c = x.c AND n.tree = w.tree AND n.node =
+                CASE WHEN CASE WHEN w.levels IS NULL THEN w.v[w.feature + 1] <= w.threshold
+                               ELSE list_contains(w.levels, w.v[w.feature + 1]) END THEN w.l ELSE w.r END
+              WHERE w.feature >= 0)
+            SELECT x.id, x.mean, x.lags, exp(any_value(w.base) + sum(w.value)) AS y
+            FROM walk w JOIN x USING (id) WHERE w.feature < 0 GROUP BY x.id, x.mean, x.lags""").fetchall()
+        assert len(step) == len({i for i, _ in got})
+        for i, mean, _, y in step:
+            assert got[i, h] == pytest.approx(y * mean, rel=1e-9)
+        con.execute("CREATE OR REPLACE TABLE moved (id VARCHAR, lags DOUBLE[])")
+        con.executemany("INSERT INTO moved VALUES (?,?)", [(i, [y, *old[:-1]]) for i, _, old, y in step])
+        con.execute("UPDATE state SET lags = moved.lags FROM moved WHERE moved.id = state.id")
+
+
+def test_registered_cluster_boosting_ends(spark, sf_dir):
+    """The registered query itself, with the task's parameters and its 400 lags."""
     from catalog import models
 
-    calls = []
-    for name in ("boosted_forecast", "cluster_forecast"):
-        monkeypatch.setattr(models.forecast, name, lambda *args: calls.append(args))
-    models.global_boost(spark, sf_dir)
-    models.cluster_boost(spark, sf_dir)
-    assert [c[-2:] for c in calls] == [(boost.BoostParams(), models.HOLDOUT_ROWS)] * 2
+    fc = models.cluster_boost(spark, sf_dir).collect()
+    ids = {r["id"] for r in fc}
+    assert len(fc) == 28 * len(ids) and all(r["yhat"] is not None and r["yhat"] >= 0 for r in fc)
+
+
+def test_zip_reaches_the_maximum(rows):
+    """Scores of both parts vanish, lags and factors included."""
+    design = Design(2, {"season": FACTORS["season"]}, intercept=True, drop_first=True)
+    zero = Design(2, {"season": FACTORS["season"]}, intercept=True, drop_first=True)
+    model = poisson.fit_zip(rows, design, zero, tol=1e-14)
+    assert len(model.log_likelihood) < 20
+    packed = poisson._packed_pair(rows, design, zero)
+    _, count, _, hidden, _, _ = poisson._em_sums(packed, design, zero, model.count_beta, model.zero_beta)
+    assert np.abs(count).max() < 1e-4 and np.abs(hidden).max() < 1e-4
+
+
+def test_a_factor_of_many_levels(spark):
+    """100,000 levels, three rows each and a numeric column: the level means come back."""
+    from tallycast.models import levels
+
+    n = 100_000
+    item = F.col("id") % n
+    df = spark.range(3 * n).select(item.cast("string").alias("item"), (item % 7).cast("string").alias("kind"),
+                                   ((item % 13) + F.when(F.col("id") < n, 1.0).otherwise(-0.5)).alias("y"))
+    table = levels.level_table(df, ["item", "kind"])
+    assert levels.level_counts(table) == {"item": n, "kind": 7}
+    coded, first = levels.sparse_features(df.limit(10), table, ["item", "kind"])
+    vector = coded.first()["features"]
+    assert first == {"item": 0, "kind": n} and vector.size == n + 7 and vector.numNonzeros() == 2
+    fitted = levels.fit_sparse_linear(df, table.where("factor = 'item'"), ["item"])
+    off = fitted.where(F.abs(F.col("beta") - F.col("level").cast("int") % 13) > 1e-3).count()
+    assert fitted.count() == n and off == 0
+    unknown = spark.createDataFrame([(None, "8", 1.0)], "item string, kind string, y double")
+    assert levels.sparse_features(unknown, table, ["item", "kind"])[0].first()["features"].numNonzeros() == 0

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 
 from tallycast.models.design import Design
 from tallycast.models.recursion import forecast_fixed, unforecast
-from tallycast.operators import lags, sampling
+from tallycast.operators import filters, lags, placement, sampling, scoring
+from tallycast.plans import evaluate, forecast, score
 from tallycast.sources import orderbook as ob
+from tallycast.sources import writers
 
 
 @pytest.fixture(scope="module")
@@ -83,3 +85,102 @@ def test_holdout_of_repeated_rows_is_exact(spark, monkeypatch):
         assert sample.count() == n and rest.count() == 44 - n
         both = sample.unionByName(rest).groupBy("id").count().collect()
         assert sorted((r["id"], r["count"]) for r in both) == [("a", 40), ("b", 3), ("c", 1)]
+
+
+def test_holdout_of_every_group(spark):
+    rows = [("big", f"s{i}", i) for i in range(900)] + [("small", f"t{i}", i) for i in range(20)] + [(None, "u", 1)]
+    df = spark.createDataFrame(rows, "g string, id string, d int")
+    got = sampling.holdout_by(df, "g", 50, 5, ["id", "d"], share=5)
+    counts = {(r["g"], r["held"]): r["count"] for r in got.groupBy("g", "held").count().collect()}
+    assert counts == {("big", True): 50, ("big", False): 850, ("small", True): 4, ("small", False): 16, (None, False): 1}
+    again = sampling.holdout_by(df.repartition(7), "g", 50, 5, ["id", "d"], share=5)
+    assert sorted(r["id"] for r in got.where("held").collect()) == sorted(r["id"] for r in again.where("held").collect())
+
+
+def test_a_large_group_takes_its_share_of_the_tasks(spark):
+    """One group has 40 % of the rows; no task holds two groups or much more than its share."""
+    df = spark.range(20_000).select(F.when(F.col("id") < 8000, 0).otherwise(F.col("id") % 30 + 1).cast("int").alias("g"), "id")
+    placed = placement.deal(df, df.groupBy("g").count(), "g", "id", 50).withColumn("task", F.spark_partition_id())
+    tasks = placed.groupBy("task").agg(F.count_distinct("g").alias("groups"), F.count("*").alias("n")).collect()
+    assert placed.count() == 20_000 and max(t["groups"] for t in tasks) == 1
+    assert placed.where("g = 0").select("task").distinct().count() == 20 and max(t["n"] for t in tasks) < 2 * 400
+
+
+def test_off_sale_before_the_launch_only(spark, orders):
+    """Months without a sale keep their zero once an item was on sale; withdrawal is optional."""
+    view = ob.monthly_view(spark, orders)
+    for withdrawn, zeros in ((False, {"LARGE": 93, "SMALL": 1}), (True, {"LARGE": 93, "SMALL": 0})):
+        masked = filters.mask_off_sale(view.sales(), view.calendar(), view.prices(), withdrawn)
+        got = {r["cat_id"]: r["z"] for r in masked.groupBy("cat_id").agg(
+            F.count_if(F.col("sales") == 0).alias("z")).collect()}
+        assert got == zeros
+    missing = masked.where("sales is null").groupBy("cat_id").agg(F.max("d").alias("d"), F.count("*").alias("n")).collect()
+    assert [(r["cat_id"], r["n"]) for r in missing] == [("SMALL", 95)]
+    nodes = score.train_hierarchy(view.sales(), view.calendar(), view.prices())
+    scales = {r["name"]: r["scale"] for r in scoring.scale(nodes).where("level_id = 4").collect()}
+    assert scales["LARGE"] > 0
+
+
+def test_a_second_score_reads_stored_inputs_only(spark, sf_dir, tmp_path):
+    view = ob.monthly_view(spark, sf_dir, staged=True)
+    sales = view.sales()
+    args = (sales, view.calendar(), view.prices(), 77, 6, "lenient", str(tmp_path / "inputs"))
+    fc = forecast.naive(sales, 77, 6)
+    first = score.stored_inputs(*args, "a").score(fc)
+    whole = score.score_forecasts(fc, sales, view.calendar(), view.prices(), 77, 6, "lenient")
+    key = lambda rows: sorted(((r["level_id"], r["name"]), r["wrmsse"]) for r in rows if r["wrmsse"] is not None)
+    assert [k for k, _ in key(first.collect())] == [k for k, _ in key(whole.collect())]
+    assert [w for _, w in key(first.collect())] == pytest.approx([w for _, w in key(whole.collect())])
+
+    path = str(tmp_path / "forecast")
+    forecast.mean_forecast(sales, 77, 6).write.parquet(path)
+    second = score.stored_inputs(*args, "a").score(spark.read.parquet(path))
+    assert {f.split("/inputs/")[0] if "/inputs/" in f else f.rsplit("/", 1)[0] for f in second.inputFiles()} \
+        == {f"file://{tmp_path}", f"file://{path}"}
+    assert second.where("wrmsse is not null").count() > 0
+    # other data or another cut-off has inputs of its own
+    score.stored_inputs(*args, "b")
+    assert len(list((tmp_path / "inputs").iterdir())) == 2
+
+
+def test_reasons_for_missing_values(spark, sf_dir):
+    view = ob.daily_view(spark, sf_dir, staged=True)
+    sales = view.sales()
+    ids = sorted(r["id"] for r in sales.select("id").distinct().collect())
+    gaps = sales.where(~F.col("id").isin(ids[:3]) | (F.col("d") > view.last - 20)).withColumn(
+        "sales", F.when(~((F.col("id") == ids[3]) & (F.col("d") == view.last - 2)), F.col("sales")))
+    members = view.clusters().where(~F.col("id").isin(ids[4:6]))
+    fc = forecast.cluster_forecast(gaps, view.calendar(), members, 28, 28).where(F.col("id") != ids[6])
+    got = {r["id"]: (r["steps"], r["values"], r["reason"]) for r in evaluate.coverage(gaps, fc, 28, members).collect()}
+    want = dict.fromkeys(ids, (28, 28, None)) | dict.fromkeys(ids[:3], (28, 0, "short history")) \
+        | {ids[3]: (28, 0, "gap in the lags"), ids[6]: (0, 0, "not forecast")} \
+        | dict.fromkeys(ids[4:6], (28, 0, "no cluster"))
+    assert got == want
+
+
+def test_only_missing_pieces_are_written(spark, tmp_path):
+    path, df, made = str(tmp_path / "out"), spark.range(40).selectExpr("id", "id % 5 AS piece"), []
+
+    def make(some):
+        made.append(list(some))
+        if len(made) == 2:
+            raise InterruptedError
+        return df.where(F.col("piece").isin(some)).withColumn("call", F.lit(len(made)))
+
+    with pytest.raises(InterruptedError):
+        writers.write_missing(spark, path, range(5), make, by="piece", at_once=2)
+    # leftovers of the job that broke off are replaced
+    df.where("piece = 2").withColumn("call", F.lit(-1)).write.mode("append").partitionBy("piece").parquet(path)
+    assert writers.finished_pieces(spark, path) == {"0", "1"}
+    assert writers.write_missing(spark, path, range(5), make, by="piece", at_once=2) == [2, 3, 4]
+    assert writers.write_missing(spark, path, range(5), make, by="piece") == []
+    calls = {r["piece"]: r["call"] for r in spark.read.parquet(path).select("piece", "call").distinct().collect()}
+    assert calls == {0: 1, 1: 1, 2: 3, 3: 3, 4: 4} and spark.read.parquet(path).count() == 40
+
+
+def test_holdout_rmse_counts_missing_values(spark):
+    held = spark.createDataFrame([("a", 1, 2.0), ("a", 2, 4.0), ("b", 1, 0.0)], "id string, d int, y double")
+    made = spark.createDataFrame([("m", "a", 1, 2.0), ("m", "a", 2, 7.0), ("m", "b", 1, None), ("n", "b", 1, 1.0),
+                                  ("n", "z", 1, 1.0)], "model string, id string, d int, prediction double")
+    got = {r["model"]: (r["n"], r["missing"], round(r["rmse"], 9)) for r in evaluate.holdout_rmse(held, made).collect()}
+    assert got == {"m": (2, 1, round(4.5 ** 0.5, 9)), "n": (1, 2, 1.0)}
