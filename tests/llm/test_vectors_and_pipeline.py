@@ -64,10 +64,90 @@ def test_links_against_all_pairs(spark, noise):
         assert got == want
 
 
-def test_a_cell_of_many_blocks(spark, monkeypatch):
-    monkeypatch.setattr(vectors, "BLOCK", 50)
+def test_cells_and_groups_of_many_chunks(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "CHUNK", 50)
     rows = clustered(600, 16, 1, 0.02)
     assert found(made(spark, rows)) == plain(rows)
+    rows = clustered(600, 16, 9, 0.02)
+    assert found(made(spark, rows), cell=10) == plain(rows)
+
+
+def planted(n, dims, rank, cosines, seed=1):
+    """Unit vectors in a subspace of ``rank`` dimensions, a third of them displaced from another one
+    within it to one of the given cosines."""
+    rng = np.random.default_rng(seed)
+    basis = np.linalg.qr(rng.normal(0, 1, (dims, rank)))[0].T
+    x = rng.normal(0, 1, (n, rank))
+    x /= np.sqrt((x * x).sum(1))[:, None]
+    far = n - n // 3
+    for i in range(far, n):
+        start = x[rng.integers(0, far)]
+        aside = rng.normal(0, 1, rank)
+        aside -= (aside @ start) * start
+        c = float(rng.choice(cosines))
+        x[i] = c * start + np.sqrt(1 - c * c) * aside / np.sqrt(aside @ aside)
+    return x @ basis
+
+
+def recall(got, want):
+    """Share of the links that are found; none may be found that is not there."""
+    assert all(got[i][0] <= want[i][0] for i in want)
+    return sum(n for n, _ in got.values()) / sum(n for n, _ in want.values())
+
+
+def linked(x, threshold=0.93):
+    near = x @ x.T >= threshold
+    np.fill_diagonal(near, False)
+    return {i: (int(r.sum()), None) for i, r in enumerate(near)}
+
+
+@pytest.mark.parametrize("dims, rank", [(64, 64), (64, 8), (64, 4), (33, 33)])
+@pytest.mark.parametrize("codes", [16, 64])
+def test_recall_of_large_grids(spark, dims, rank, codes):
+    """Codebooks of 16 and 64 a half, isotropic and low-rank data, links near the threshold."""
+    n = 3000
+    x = planted(n, dims, rank, [0.931, 0.94, 0.96, 0.99])
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)],
+                               "vec_id long, embedding array<double>, label int")
+    got = found(df, cell=n / codes ** 2)
+    assert recall(got, linked(x)) >= 0.99
+
+
+def test_each_length_has_a_grid_of_its_own(spark):
+    """One row of 1,024 numbers and many of 16 leave the links of the others as they are."""
+    short, usual, one = planted(400, 16, 16, [0.94]), planted(1200, 64, 12, [0.935, 0.97]), planted(4, 1024, 4, [0.99])
+    rows, want, at = [], {}, 0
+    for x in (short, usual, one):
+        rows += [(at + i, v.tolist(), 1) for i, v in enumerate(x)]
+        want.update({at + i: n for i, n in linked(x).items()})
+        at += len(x)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    assert recall(found(df, cell=5), want) >= 0.99
+
+
+def test_walk_is_the_multi_sequence(monkeypatch):
+    """Cells come by rising cost, the home first, and all that cost no more than the stop."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(0, 1, (500, 12))
+    x /= np.sqrt((x * x).sum(1))[:, None]
+    grid = vectors.Grid(vectors._codebook(x[:, :6], 9), vectors._codebook(x[:, 6:], 7))
+    grid.calibrate(x[:250], x[250:] - x[:250], 0.3)
+    a, b = grid.costs(x)
+    for i, cells in enumerate(grid.walk(x)):
+        cost = (a[i][:, None] + b[i][None, :]).ravel()
+        along = cost[cells]
+        assert cells[0] == grid.codes(x[i:i + 1])[0] and (np.diff(along) >= 0).all()
+        assert sorted(cells) == np.flatnonzero(cost <= grid.limit).tolist()
+
+
+def test_many_copies_are_one_entry(spark):
+    """A third of the rows hold one vector: its links are counted without comparing the copies."""
+    x = planted(300, 16, 5, [0.95])
+    rows = [(i, x[0 if i % 3 == 0 else i % 300].tolist(), 1) for i in range(900)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    y = np.array([v for _, v, _ in rows])
+    got, want = found(df, cell=20), linked(y)
+    assert {i: n for i, (n, _) in got.items()} == {i: n for i, (n, _) in want.items()}
 
 
 def test_odd_vectors(spark):
