@@ -2,26 +2,30 @@
 
 A document is the set of its word shingles. Equal sets form one class, so exact copies meet
 nothing but their class. A class has one label per tree, a short sequence of MinHash values; the
-labels of a tree in sorted order are one signature order of the forest, and classes that share a
-prefix of ``START`` values, where similar classes hardly ever part, are a region of it. Within a
-region the candidates of a class are the neighbours with the longest common part of all labels and
-the first class of the region (its pivot). In a region of over ``REGION`` classes the neighbours are
-looked for in parts of it, at the first depth where a part has at most ``REGION`` classes.
-
-Candidates are confirmed on the full sets. Only a few neighbours per class are tried at first; then
-components are known, and a second round compares the full sets of every remaining pair of a whole
-region whose classes lie in different components, so neither the parts nor the first choice lose
-anything. It needs no pair rows: a block of a region holds its sets in one task, and the classes outside the region's largest
-component visit all its blocks, which covers every pair that is not yet connected. Blocks are
-bounded in classes and in shingles, so a crowded region or long texts make more blocks.
-
-Pairs whose signatures agree in less than the threshold less ``SLACK`` are not tried in the first
-round, and a class without any other pair takes no part in the second. With 96 values a pair at the
-threshold agrees that little with a probability under 1e-6.
+labels of a tree in sorted order are one signature order of the forest. All orders are sorted in
+one range exchange of narrow rows. The candidates of a class are its neighbours in each order, those
+with the longest common prefix first: they are taken going away from the class until ``NEIGHBOURS``
+are found or the common prefix is shorter than ``START`` values, where similar classes hardly ever
+part. So the depth down to which a tree is searched adapts to each region: a crowded one is
+searched at its full depth only, a thin one down to ``START``. Candidates are confirmed on the full
+sets, unless one bit of each value already tells them apart.
+
+That connects nearly all members of a group. A second round loses nothing: classes that share a prefix
+of ``START`` values with more classes than the neighbours covered are a region, and of each region
+that still holds several components, the classes outside its largest one are compared with all
+others. First with signatures: a block of a region holds signatures in one task, and the classes
+outside the main component visit all blocks; pairs that share a prefix in several trees are compared in
+the first of these only. Only classes that agree enough with another one take their full sets into the
+same kind of visit, bounded in classes and in shingles, where links between components are found.
+
+Pairs whose signatures agree in less than the threshold less ``SLACK`` are not confirmed. With 96
+values a pair at the threshold agrees that little with a probability under 1e-6.
 
 Defined cases: null and empty texts have no shingle and are linked with nothing; a text with fewer
-words than a shingle is one shingle; repeated rows share their class; rows with a null id take
-part, but never give a component its id unless all its ids are null; other columns are ignored.
+words than a shingle is one shingle; a text of any length is read whole; repeated rows share their
+class; labels that tie are ordered by a hash of the class; rows with a null id take part, but never
+give a component its id unless all its ids are null; an empty table gives no rows; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -40,14 +44,14 @@ from tallycast.llm.graph import components
 from tallycast.llm.shared import small_batches, stage
 
 TREES, DEPTH, START = 16, 6, 3
-REGION = 2048
-NEIGHBOURS = 2
+NEIGHBOURS = 4  # going away from a class in one direction of an order
+REGION = 2048  # full sets of a block at most
+SIGNED = 8192  # signatures of a block
 BLOCK_SHINGLES = 2_000_000  # of the sets that a task holds
 SLACK = 0.2
 BROADCAST_CLASSES = 100_000  # (key, id) rows, about 100 bytes each, that may be broadcast
 PIECE = 1 << 20
 _VALUE = 2  # bytes of a label value
-_SIG = TREES * DEPTH * _VALUE
 
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 _SPACE = np.zeros(256, bool)
@@ -108,6 +112,11 @@ def shingles(text: str, words: int) -> np.ndarray:
     return np.unique(s)
 
 
+def sketch_bits(sig: bytes) -> bytes:
+    """One bit of each value of a signature."""
+    return np.packbits(np.frombuffer(sig, "<u2") & 1).tobytes()
+
+
 def signature(s: np.ndarray) -> bytes:
     """MinHash values of all trees, each cut to 16 bits of a hash of the minimum."""
     low = np.full(len(_A), np.iinfo(np.uint64).max, np.uint64)
@@ -120,12 +129,13 @@ def signature(s: np.ndarray) -> bytes:
 
 
 def sketch(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """doc, row (hash of the text), n (shingles), key (of the set, null if empty) and sig, one row
-    per row of ``docs``."""
+    """doc, row (hash of the text), n (shingles), key (of the set, null if empty), sig and bits, one
+    row per row of ``docs``."""
     schema = T.StructType([
         T.StructField("doc", docs.schema[id_col].dataType), T.StructField("row", T.LongType()),
         T.StructField("n", T.LongType()),
-        T.StructField("key", T.BinaryType()), T.StructField("sig", T.BinaryType())])
+        T.StructField("key", T.BinaryType()), T.StructField("sig", T.BinaryType()),
+        T.StructField("bits", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -137,7 +147,9 @@ def sketch(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame
                 sigs.append(signature(s) if len(s) else None)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(keys, pa.binary()),
-                 pa.array(sigs, pa.binary())], names=["doc", "row", "n", "key", "sig"])
+                 pa.array(sigs, pa.binary()),
+                 pa.array([None if x is None else sketch_bits(x) for x in sigs], pa.binary())],
+                names=["doc", "row", "n", "key", "sig", "bits"])
 
     return docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("body"),
                        F.xxhash64(text_col).alias("row")).mapInArrow(run, schema)
@@ -147,76 +159,88 @@ def _key(s: np.ndarray) -> bytes:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
 
-def regions(classes: DataFrame, start: int = START, region: int = REGION) -> DataFrame:
-    """region, number (a hash of the class key), size and whole, for every class that shares a
-    region; ``whole`` tells the regions at ``start`` from the parts of crowded ones.
+def orders(classes: DataFrame) -> DataFrame:
+    """tree, label, number (a hash of the class key), n and bits, in the order of each tree's labels.
 
-    Only two numbers per class and tree are shuffled. Where hashes of two regions or classes
-    collide they are merely compared as well.
+    One narrow row per class and tree is exchanged. Classes whose numbers collide are merely
+    compared as well.
     """
-    labels = classes.select(F.xxhash64("key").alias("number"), "sig")
-    rows = labels.select("number", "sig", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
-    found = crowded = None
-    for depth in range(start, DEPTH + 1):
-        prefix = F.expr(f"substring(sig, tree * {DEPTH * _VALUE} + 1, {depth * _VALUE})")
-        if crowded is not None:
-            # the trees in which a class is crowded
-            held = crowded.select("number", "tree")
-            rows = labels.join(held, "number")
-        placed = rows.select(F.xxhash64("tree", prefix).alias("region"), "number", "tree")
-        sizes = placed.groupBy("region").count().where("count > 1").withColumnRenamed("count", "size")
-        met = stage(placed.join(sizes, "region"), "regions")
-        crowded = met.where(F.col("size") > region)
-        done = depth == DEPTH or crowded.limit(1).count() == 0
-        whole = depth == start
-        kept = (met if done or whole else met.where(F.col("size") <= region)).drop("tree").withColumn(
-            "whole", F.lit(whole))
-        found = kept if found is None else found.unionByName(kept)
-        if done:
-            return found
-
-
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, np.ndarray, np.ndarray]]:
-    """Columns of many whole groups (region, block), their signatures and group starts."""
-    names = ["region", "block"]
-    pending, rest = [], 0
-    for batch in batches:
-        if batch.num_rows == 0:
-            continue
-        pending.append(batch)
-        rest += batch.num_rows
-        if rest < REGION:
-            continue
-        t = pa.Table.from_batches(pending).combine_chunks()
-        ids = list(zip(*(t.column(c).to_pylist() for c in names)))
-        last = len(ids) - 1
-        while last > 0 and ids[last - 1] == ids[-1]:
-            last -= 1
-        if last > 0:  # the last group may go on in the next batch
-            yield _unpacked(t.slice(0, last), ids[:last])
-            t = t.slice(last)
-        pending, rest = t.to_batches(), 0 if last == 0 else t.num_rows
-    if pending:
-        t = pa.Table.from_batches(pending).combine_chunks()
-        yield _unpacked(t, list(zip(*(t.column(c).to_pylist() for c in names))))
-
-
-def _unpacked(t: pa.Table, ids: list):
-    columns = {c: t.column(c).to_pylist() for c in t.column_names if c != "sig"}
-    sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), "<u2").reshape(len(ids), -1)
-    cuts = [0, *(i for i in range(1, len(ids)) if ids[i] != ids[i - 1]), len(ids)]
-    return columns, sig, np.array(cuts)
-
-
-def _alike(sig: np.ndarray, n: np.ndarray, rows: np.ndarray, floor: float, ratio: float):
-    """(rows, all) share of equal values, -1 where the pair cannot be similar enough."""
-    out = np.empty((len(rows), len(sig)), np.float32)
-    for i, r in enumerate(rows):
-        out[i] = (sig == sig[r]).mean(1)
-    small = np.minimum(n[rows][:, None], n[None, :])
-    large = np.maximum(n[rows][:, None], n[None, :])
-    out[(out < floor) | (small < ratio * large)] = -1
-    return out
+    rows = classes.select(F.xxhash64("key").alias("number"), F.col("n").cast("int").alias("n"), "bits", "sig",
+                          F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
+    width = DEPTH * _VALUE
+    labelled = rows.select("tree", F.expr(f"substring(sig, tree * {width} + 1, {width})").alias("label"),
+                           "number", "n", "bits")
+    at = ["tree", "label", "number"]
+    return labelled.repartitionByRange(*at).sortWithinPartitions(*at)
+
+
+def _forest(threshold: float, neighbours: int):
+    """Neighbour pairs (a, b), and members (region, a) of regions that may hold more pairs.
+
+    A stream over sorted labels. Common prefixes only shrink going away from a row, so the rows just
+    before it are its neighbours by longest common prefix. The last ones are kept for the next
+    batch, and the last row waits for its successor. What lies across the edge of a partition is
+    left to the second round, so regions at an edge are always passed on.
+    """
+    share = (1 - threshold) / 2  # of the bits that differ at the threshold
+    most = int(TREES * DEPTH * share + 6 * np.sqrt(TREES * DEPTH * share * (1 - share)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def columns(batch):
+            n = batch.num_rows
+            label = np.frombuffer(b"".join(batch.column("label").to_pylist()), np.uint8).reshape(n, -1)
+            bits = np.frombuffer(b"".join(batch.column("bits").to_pylist()), np.uint8).reshape(n, -1)
+            tree, number, size = (batch.column(c).to_numpy() for c in ("tree", "number", "n"))
+            prefix = label[:, :START * _VALUE].astype(np.int64)
+            region = tree.astype(np.int64)
+            for i in range(prefix.shape[1]):
+                region = (region << 8) | prefix[:, i]
+            return [region, number, size.astype(np.int64), bits]
+
+        def pairs(region, number, size, bits, new: int):
+            """Of rows from ``new`` on with the rows before them."""
+            a, b = [], []
+            for k in range(1, neighbours + 1):
+                i = np.arange(max(new, k), len(region))
+                i = i[region[i] == region[i - k]]
+                small, large = np.minimum(size[i], size[i - k]), np.maximum(size[i], size[i - k])
+                i = i[(small >= threshold * large) & (number[i] != number[i - k])]
+                apart = np.bitwise_count(bits[i] ^ bits[i - k]).sum(1)
+                i = i[apart <= most]
+                a.append(number[i])
+                b.append(number[i - k])
+            return np.concatenate(a), np.concatenate(b)
+
+        def out(region, a, b, edge):
+            return pa.RecordBatch.from_arrays([
+                pa.array(region, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()),
+                pa.array(edge, pa.bool_())], names=["region", "a", "b", "edge"])
+
+        held, first = None, None
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            now, new = columns(batch), 0
+            first = int(now[0][0]) if first is None else first
+            if held is not None:
+                new = len(held[0])
+                now = [np.concatenate([x, y]) for x, y in zip(held, now)]
+            a, b = pairs(*now, new)
+            if len(a):
+                none = [None] * len(a)
+                yield out(none, np.minimum(a, b), np.maximum(a, b), none)
+            # all rows but the last one have their successor now
+            region, number = now[0], now[1]
+            i = np.arange(max(new - 1, 0), len(region) - 1)
+            edge = region[i] == first
+            shared = (region[i] == region[i + 1]) | ((i > 0) & (region[i] == region[np.maximum(i - 1, 0)]))
+            i, edge = i[shared | edge], edge[shared | edge]
+            if len(i):
+                yield out(region[i], number[i], [None] * len(i), edge)
+            held = [c[-max(neighbours, 2):] for c in now]
+        if held is not None:
+            yield out(held[0][-1:], held[1][-1:], [None], [True])
+    return run
 
 
 _PAIR = "a binary, b binary"
@@ -227,29 +251,60 @@ def _pairs(found: set) -> pa.RecordBatch:
                                        pa.array([b for _, b in found], pa.binary())], names=["a", "b"])
 
 
-def _neighbour_pairs(floor: float, ratio: float):
-    """The pairs of each class with its pivot and its ``NEIGHBOURS`` most similar classes."""
+def _survivors(floor: float, ratio: float):
+    """Keys of a region whose signature agrees enough with that of a class in another component."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for columns, sig, cuts in _groups(batches):
-            key, n = columns["key"], np.array(columns["n"])
-            found = set()
-            two = cuts[:-1][np.diff(cuts) == 2]
-            share = (sig[two] == sig[two + 1]).mean(1)
-            close = np.minimum(n[two], n[two + 1]) >= ratio * np.maximum(n[two], n[two + 1])
-            found.update(_pair(key[i], key[i + 1]) for i in two[(share >= floor) & close].tolist())
-            for a, b in zip(cuts, cuts[1:]):
-                if b - a < 3:
+        place, held, block = None, None, None
+
+        def fresh():
+            return [[], [], [], []]
+
+        def done(marks):
+            hit = np.flatnonzero(marks)
+            return [(place[0], block[0][i]) for i in hit.tolist()]
+
+        def batch_of(found):
+            return pa.RecordBatch.from_arrays([pa.array([r for r, _ in found], pa.int64()),
+                                               pa.array([k for _, k in found], pa.binary())], names=["region", "key"])
+
+        names = ("region", "block", "role", "key", "comp", "n", "sig")
+        for batch in batches:
+            found = []
+            columns = {c: batch.column(c).to_pylist() for c in names}
+            for *group, role, key, comp, n, sig in zip(*(columns[c] for c in names)):
+                if group != place:
+                    if block is not None:
+                        found += done(block[4])
+                    place, held, block = group, fresh(), None
+                if role == 0:
+                    for have, new in zip(held, (key, comp, n, sig)):
+                        have.append(new)
                     continue
-                alike = _alike(sig[a:b], n[a:b], np.arange(b - a), floor, ratio)
-                np.fill_diagonal(alike, -1)
-                k = min(NEIGHBOURS, b - a - 1)
-                best = np.argpartition(-alike, k - 1, axis=1)[:, :k]
-                first = min(range(a, b), key=key.__getitem__) - a
-                best = np.column_stack([best, np.full(b - a, first)])
-                i, j = np.nonzero(np.take_along_axis(alike, best, 1) >= floor)
-                found.update(_pair(key[a + x], key[a + y]) for x, y in
-                             zip(i.tolist(), best[i, j].tolist()))
-            yield _pairs(found)
+                if not held[0]:
+                    continue
+                if block is None:
+                    comps = {c: i for i, c in enumerate(dict.fromkeys(held[1]))}
+                    block = (held[0], np.array([comps[c] for c in held[1]]), np.array(held[2]),
+                             np.frombuffer(b"".join(held[3]), "<u2").reshape(len(held[0]), -1),
+                             np.zeros(len(held[0]), bool), comps)
+                keys, own, sizes, sigs, marks, comps = block
+                one = np.frombuffer(sig, "<u2")
+                near = (own != comps.get(comp, -1)) & (np.minimum(sizes, n) >= ratio * np.maximum(sizes, n))
+                at = np.flatnonzero(near)
+                equal = sigs[at] == one
+                agree = equal.mean(1) >= floor
+                at, equal = at[agree], equal[agree]
+                if len(at):
+                    # a pair belongs to the first tree in which it shares a prefix
+                    starts = equal.reshape(len(at), TREES, DEPTH)[:, :, :START].all(2)
+                    at = at[starts.argmax(1) == group[0] >> (8 * START * _VALUE)]
+                if len(at):
+                    marks[at] = True
+                    found.append((group[0], key))
+            if found:
+                yield batch_of(found)
+        if block is not None and (found := done(block[4])):
+            yield batch_of(found)
     return run
 
 
@@ -365,54 +420,68 @@ def confirm(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 
 
 def find_links(docs: DataFrame, classes: DataFrame, words: int, threshold: float, region: int,
-               id_col: str, text_col: str) -> DataFrame | None:
+               id_col: str, text_col: str, neighbours: int | None = None) -> DataFrame | None:
     """(node, label) of the classes that have a link."""
-    floor, ratio = threshold - SLACK, threshold
-    shared = regions(classes, region=region)
-    numbered = classes.select(F.xxhash64("key").alias("number"), "key", "n", "sig")
-    at = ["region", "block"]
-    full = shared.join(numbered, "number")
-    # shingles of a whole region decide its blocks
-    weight = full.groupBy("region").agg(F.sum("n").alias("shingles"), F.min("key").alias("pivot"))
-    members = stage(full.select("region", "size", "whole", "key", "n").join(weight, "region").withColumn(
-        "blocks", F.ceil(F.greatest(F.col("size") / region, F.col("shingles") / BLOCK_SHINGLES)).cast("int")
-    ).withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")), "members")
-    near = members.where((F.col("size") <= region) | ~F.col("whole"))
-    signed = near.select(*at, "key", "n").join(classes.select("key", "sig"), "key")
-    tried = signed.repartition(*at).sortWithinPartitions(*at, "key").mapInArrow(
-        _neighbour_pairs(floor, ratio), _PAIR)
-    pivots = members.where((F.col("blocks") > 1) & (F.col("key") != F.col("pivot"))).select(
-        F.col("pivot").alias("a"), F.col("key").alias("b"))  # the pivot is the smallest key
-    pairs = stage(tried.unionByName(pivots).distinct(), "pairs")
-    if pairs.limit(1).count() == 0:
-        return None
-    keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    wanted = stage(keys.join(classes.select("key", "doc"), "key"), "wanted")
-    sets = full_sets(docs, wanted, words, id_col, text_col)
-    links = stage(confirm(pairs, sets, threshold), "links")
+    floor, ratio, neighbours = threshold - SLACK, threshold, neighbours or NEIGHBOURS
+    numbered = classes.select(F.xxhash64("key").alias("number"), "key", "doc", "n", "sig")
+    walked = stage(orders(classes).mapInArrow(
+        _forest(threshold, neighbours), "region long, a long, b long, edge boolean"), "forest")
+    near = walked.where("b IS NOT NULL").select("a", "b").distinct()
+    keys = numbered.select("number", "key")
+    pairs = stage(near.join(keys.withColumnsRenamed({"number": "a", "key": "key_a"}), "a")
+                  .join(keys.withColumnsRenamed({"number": "b", "key": "key_b"}), "b")
+                  .select(F.least("key_a", "key_b").alias("a"), F.greatest("key_a", "key_b").alias("b"))
+                  .where("a < b").distinct(), "pairs")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    wanted = stage(wanted.join(classes.select("key", "doc"), "key"), "wanted")
+    links = stage(confirm(pairs, full_sets(docs, wanted, words, id_col, text_col), threshold), "links")
     labels = components(links)
 
-    # second round: what the neighbours did not connect, in whole regions that hold several components
-    # of classes with a full set; the others had no partner whose signature agrees enough
-    placed = members.where("whole").join(sets.select("key"), "key", "left_semi").join(
-        labels.withColumnRenamed("node", "key"), "key", "left").select(
-        "region", "block", "blocks", "key", F.coalesce("label", "key").alias("comp"))
+    # second round: regions with more classes than the neighbours covered, and several components
+    members = walked.where("region IS NOT NULL").groupBy("region", F.col("a").alias("number")).agg(
+        F.max("edge").alias("edge"))
+    sizes = members.groupBy("region").agg(F.count("*").alias("size"), F.max("edge").alias("edge"))
+    # staged, as other small sides below, so that a crowded region is split in the join
+    crowded = stage(sizes.where((F.col("size") > 1) & (F.col("edge") | (F.col("size") > neighbours + 1)))
+                    .select("region", "size"), "crowded")
+    placed = stage(members.select("region", "number").join(crowded, "region")
+                   .join(keys, "number").join(labels.withColumnRenamed("node", "key"), "key", "left")
+                   .select("region", "size", "key", F.coalesce("label", "key").alias("comp")), "regions")
     share = placed.groupBy("region", "comp").agg(F.count("*").alias("n"))
-    split = share.groupBy("region").agg(
-        F.count("*").alias("comps"), F.max(F.struct("n", "comp")).alias("main")).where("comps > 1")
-    open_ = placed.join(split, "region").join(sets, "key").select(
-        "region", "block", "blocks", "key", "comp", "members",
-        (F.col("comp") != F.col("main.comp")).alias("minor"))
-    residents = open_.select("region", "block", F.lit(0).alias("role"), "key", "comp", "members")
-    visitors = open_.where("minor").select(
-        "region", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
-        F.lit(1).alias("role"), "key", "comp", "members")
-    meeting = residents.unionByName(visitors).repartition(*at)
-    more = stage(meeting.sortWithinPartitions(*at, "role", "key").mapInArrow(
+    split = stage(share.groupBy("region").agg(
+        F.count("*").alias("comps"), F.max(F.struct("n", "comp")).alias("main")).where("comps > 1"), "split")
+    open_ = stage(placed.join(split, "region").select(
+        "region", "size", "key", "comp", (F.col("comp") != F.col("main.comp")).alias("minor")), "open")
+    found = stage(_visits(open_.join(numbered.select("key", "n", "sig"), "key"),
+                          F.ceil(F.col("size") / SIGNED), ["key", "comp", "n", "sig"]).mapInArrow(
+        _survivors(floor, ratio), "region long, key binary"), "alike")
+    alike = stage(found.distinct(), "alike")
+    if alike.limit(1).count() == 0:
+        return None if links.limit(1).count() == 0 else labels
+    wanted = stage(alike.select("key").distinct().join(classes.select("key", "doc"), "key"), "wanted")
+    sets = full_sets(docs, wanted, words, id_col, text_col)
+    left = open_.drop("size").join(alike, ["region", "key"]).join(sets, "key")
+    # shingles of a region decide its blocks
+    weight = left.groupBy("region").agg(F.count("*").alias("size"),
+                                        F.sum(F.octet_length("members") / 8).alias("shingles"))
+    many = F.greatest(F.col("size") / region, F.col("shingles") / BLOCK_SHINGLES)
+    more = stage(_visits(left.join(weight, "region"), F.ceil(many), ["key", "comp", "members"]).mapInArrow(
         _bridges(threshold), _PAIR), "links")
-    if more.limit(1).count() == 0:
-        return labels
-    return components(links.unionByName(more))
+    every = links.unionByName(more)
+    return None if every.limit(1).count() == 0 else components(every)
+
+
+def _visits(rows: DataFrame, blocks, carry: list[str]) -> DataFrame:
+    """Rows of a region dealt to its ``blocks`` by key (role 0), and once more to every block for the
+    rows outside its main component (role 1); sorted by block."""
+    cut = rows.withColumn("blocks", blocks.cast("int"))
+    residents = cut.select("region", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int").alias("block"),
+                           F.lit(0).alias("role"), *carry)
+    visitors = cut.where("minor").select(
+        "region", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
+        F.lit(1).alias("role"), *carry)
+    return residents.unionByName(visitors).repartition("region", "block").sortWithinPartitions(
+        "region", "block", "role", "key")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, region: int = REGION,
@@ -423,7 +492,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, reg
     small_batches(docs.sparkSession)
     rows = stage(sketch(docs, words, id_col, text_col), "sketch")
     classes = stage(rows.where(F.col("key").isNotNull()).groupBy("key").agg(
-        F.min("doc").alias("doc"), F.first("n").alias("n"), F.first("sig").alias("sig")), "classes")
+        F.min("doc").alias("doc"), F.first("n").alias("n"), F.first("sig").alias("sig"),
+        F.first("bits").alias("bits")), "classes")
     labels = find_links(docs, classes, words, threshold, region, id_col, text_col)
     if labels is None:
         named = classes.select("key", F.col("key").alias("group"), F.col("doc").alias("component"))
