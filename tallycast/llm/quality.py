@@ -6,14 +6,23 @@ Forward-backward gives each line the marginal of being good, and the marginals,
 length, are the document's share of good text. A logistic curve fitted on the training documents
 turns that share into a probability.
 
-Training is the exact likelihood of the line labels (a line has the label of its document) by
-full-batch gradient steps over a bounded sample of labelled documents: ``max_train`` of them of at
-most ``MAX_TRAIN_CHARS`` characters, those with the smallest hashes of their id, so that the sample
-does not depend on partitioning.
+Training documents are labelled, lines are not, and a document may mix both kinds. So line labels are
+learnt: every line begins with the label of its document, the chain is fitted by the exact
+likelihood (full-batch gradient steps), and then lines that the chain holds to be of the other kind
+change their label, as long as at least ``AGREE`` of the document's length keeps it; this repeats
+``RELABEL`` times. What the chain learns about neighbouring lines thus comes from documents that do
+change from good to bad.
+
+The sample is bounded: ``max_train`` labelled documents (smallest hashes of their id, so that it does
+not depend on partitioning), of each at most ``TRAIN_LINES`` consecutive lines, beginning at a line
+drawn by hash. Tasks make the features, so the driver sees at most ``max_train`` x ``TRAIN_LINES`` rows of
+``N_FEATURES`` single-precision numbers (60 MB) and no text; the curve is fitted on the shares of the
+same documents, whole, which tasks compute too.
 
 Defined cases: a null or empty text is one empty line and gets a score; long texts are read whole,
-and so are their lines; rows with equal text have equal scores; a table without usable labels
-gives every text 0.5; labels, ids and all other columns never enter a score.
+and so are their lines; rows with equal text have equal scores; ties of line labels keep the
+document's; a table without usable labels gives every text 0.5; an empty table gives no rows;
+labels, ids and all other columns never enter a score.
 """
 
 from __future__ import annotations
@@ -29,11 +38,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallycast.llm.shared import carried, small_batches
+from tallycast.llm.shared import carried, small_batches, stage
 
 MAX_TRAIN = 3_000
-MAX_TRAIN_CHARS = 200_000  # longer documents are scored, but not part of the training sample
-STEPS = 120
+TRAIN_LINES = 96  # consecutive lines of a document that the chain learns from
+STEPS = 60
+RELABEL = 2
+AGREE = 0.34  # of a document's length that keeps the document's label
 RATE = 0.1
 DECAY = 1e-3
 THRESHOLD = 0.7
@@ -146,7 +157,7 @@ def _groups(docs: list[np.ndarray]):
             stop += 1
         numbers = order[start:stop]
         size = max(len(docs[i]) for i in numbers)
-        features = np.zeros((len(numbers), size, N_FEATURES))
+        features = np.zeros((len(numbers), size, N_FEATURES), np.float32)
         mask = np.zeros((len(numbers), size))
         for k, i in enumerate(numbers):
             features[k, :len(docs[i])] = docs[i]
@@ -170,45 +181,73 @@ def _chains(scores, first, moves, mask):
     return forward, backward
 
 
-def fit(texts: list[str], labels: list[int], steps: int = STEPS) -> Model:
-    """Maximum likelihood with a Gaussian prior."""
+def fit(docs: list[np.ndarray], lengths: list[np.ndarray], labels: list[int],
+        steps: int = STEPS, relabel: int = RELABEL) -> Model:
+    """The chain, by maximum likelihood with a Gaussian prior, from the features and lengths of the
+    lines of labelled documents. The curve is left flat."""
     weights, first, moves = np.zeros((N_FEATURES, 2)), np.zeros(2), np.zeros((2, 2))
+    model = Model(weights, first, moves, (0.0, 0.0))
     if len(set(labels)) < 2:
-        return Model(weights, first, moves, (0.0, 0.0))
-    docs = [line_features(t)[0] for t in texts]
+        return model
     groups = list(_groups(docs))
-    gold_of, total = np.array(labels), len(docs)
-    params = [weights, first, moves]
-    speed = [np.zeros_like(p) for p in params]
-    scale = [np.zeros_like(p) for p in params]
-    for step in range(1, steps + 1):
-        grads = [DECAY * p for p in params]
-        for numbers, features, mask in groups:
-            gold = np.eye(2)[gold_of[numbers]]
-            scores = (features @ weights) * mask[:, :, None]
-            forward, backward = _chains(scores, first, moves, mask)
-            marginal = forward + backward
-            marginal = np.exp(marginal - np.logaddexp.reduce(marginal, 2)[..., None])
-            # a document counts once, however many lines it has
-            each = mask / mask.sum(1)[:, None] / total
-            off = (marginal - gold[:, None, :]) * each[:, :, None]
-            grads[0] += features.reshape(-1, N_FEATURES).T @ off.reshape(-1, 2)
-            grads[1] += off[:, 0].sum(0)
-            if features.shape[1] > 1:
-                joint = forward[:, :-1, :, None] + moves + (scores + backward)[:, 1:, None, :]
-                flat = joint.reshape(*joint.shape[:2], 4)
-                pair = np.exp(joint - np.logaddexp.reduce(flat, 2)[..., None, None])
-                seen = (gold[:, :, None] * gold[:, None, :])[:, None]
-                grads[2] += ((pair - seen) * each[:, 1:, None, None]).sum((0, 1))
-        for p, g, m, v in zip(params, grads, speed, scale):
-            m += 0.1 * (g - m)
-            v += 0.001 * (g * g - v)
-            p -= RATE * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.999 ** step)) + 1e-8)
-    model = Model(weights, first, moves, (0.0, 0.0))
-    model.curve = _curve(np.array([model.share(t) for t in texts]), np.array(labels, float))
+    total = len(docs)
+    gold_of = [np.full(len(d), label) for d, label in zip(docs, labels)]
+    for turn in range(relabel + 1):
+        if turn:
+            gold_of = [_relabelled(model.line_marginals(d), size, label)
+                       for d, size, label in zip(docs, lengths, labels)]
+        gold = []
+        for numbers, _, mask in groups:
+            one = np.zeros((*mask.shape, 2))
+            for k, i in enumerate(numbers):
+                one[k, np.arange(len(gold_of[i])), gold_of[i]] = 1
+            gold.append(one)
+        params = [weights, first, moves]
+        speed = [np.zeros_like(p) for p in params]
+        scale = [np.zeros_like(p) for p in params]
+        for step in range(1, steps + 1):
+            grads = [DECAY * p for p in params]
+            for (_, features, mask), seen in zip(groups, gold):
+                for g, own in zip(grads, _gradient(features, mask, seen, weights, first, moves, total)):
+                    g += own
+            for p, g, m, v in zip(params, grads, speed, scale):
+                m += 0.1 * (g - m)
+                v += 0.001 * (g * g - v)
+                p -= RATE * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.999 ** step)) + 1e-8)
     return model
 
 
+def _gradient(features, mask, gold, weights, first, moves, total):
+    """Of the negative log likelihood of the line labels ``gold``, for a group of documents."""
+    scores = (features @ weights) * mask[:, :, None]
+    forward, backward = _chains(scores, first, moves, mask)
+    marginal = forward + backward
+    marginal = np.exp(marginal - np.logaddexp.reduce(marginal, 2)[..., None])
+    # a document counts once, however many lines it has
+    each = mask / mask.sum(1)[:, None] / total
+    off = (marginal - gold) * each[:, :, None]
+    between = np.zeros((2, 2))
+    if features.shape[1] > 1:
+        joint = forward[:, :-1, :, None] + moves + (scores + backward)[:, 1:, None, :]
+        flat = joint.reshape(*joint.shape[:2], 4)
+        pair = np.exp(joint - np.logaddexp.reduce(flat, 2)[..., None, None])
+        seen = gold[:, :-1, :, None] * gold[:, 1:, None, :]
+        between = ((pair - seen) * each[:, 1:, None, None]).sum((0, 1))
+    return features.reshape(-1, N_FEATURES).T @ off.reshape(-1, 2), off[:, 0].sum(0), between
+
+
+def _relabelled(marginals: np.ndarray, lengths: np.ndarray, label: int) -> np.ndarray:
+    """Labels of a document's lines: those the chain gives them, except for the lines that agree most
+    with the document's label and make up ``AGREE`` of its length."""
+    agree = marginals if label == GOOD else 1 - marginals
+    size = lengths + 1.0
+    order = np.argsort(-agree, kind="stable")
+    before = np.cumsum(size[order]) - size[order]
+    out = np.where(agree >= 0.5, label, 1 - label)
+    out[order[before < AGREE * size.sum()]] = label
+    return out
+
+
 def _curve(shares: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
     """Logistic regression of the label on the share, by Newton steps with a small prior."""
     x = np.column_stack([shares, np.ones(len(shares))])
@@ -221,23 +260,68 @@ def _curve(shares: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
     return float(w[0]), float(w[1])
 
 
-def train(docs: DataFrame, labels: DataFrame, usable, max_train: int = MAX_TRAIN,
-          id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
-    """Fit on labelled documents where ``usable`` (a condition on the id column) holds.
+def _sample(docs: DataFrame, labels: DataFrame, usable, max_train: int, id_col: str, text_col: str,
+            label_col: str) -> DataFrame:
+    """place, label and body of the training documents.
 
     A wider cut by hash, sized from the count of labels, comes first, so that the exact cut to
-    ``max_train`` rows never orders more than a few samples.
+    ``max_train`` rows never orders more than a few samples; it orders hashes, not texts.
     """
-    marked = labels.where(usable & F.col(label_col).isin(0, 1)).groupBy(id_col).agg(
-        F.max(label_col).alias("_label"))
+    marked = labels.where(usable & F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("id")).agg(
+        F.max(label_col).alias("label"))
     share = min(1.0, 3 * max_train / max(1, marked.count()))
-    place = F.xxhash64(F.lit(11), F.col(id_col))
-    near = F.pmod(place, F.lit(1 << 20)) <= int(share * (1 << 20))
+
+    def near(c):
+        return F.pmod(F.xxhash64(F.lit(11), c), F.lit(1 << 20)) <= int(share * (1 << 20))
+
     text = F.coalesce(F.col(text_col), F.lit(""))
-    joined = docs.where(near & (F.length(text) <= MAX_TRAIN_CHARS)).select(
-        id_col, text.alias("_text")).join(marked.where(near), id_col)
-    rows = joined.select("_text", "_label", place.alias("_p")).orderBy("_p").limit(max_train).collect()
-    return fit([r["_text"] for r in rows], [int(r["_label"]) for r in rows])
+    rows = docs.where(near(F.col(id_col))).select(F.col(id_col).alias("id"), text.alias("body"))
+    hashed = rows.select("id", F.xxhash64("body").alias("row")).distinct().join(marked.where(near(F.col("id"))), "id")
+    chosen = stage(hashed.select("id", "row", "label", F.xxhash64(F.lit(11), "id").alias("place"))
+                   .orderBy("place", "row").limit(max_train), "chosen")
+    # repeated rows are one training document
+    return rows.withColumn("row", F.xxhash64("body")).join(chosen, ["id", "row"]).groupBy("id", "row").agg(
+        F.first("place").alias("place"), F.first("label").cast("int").alias("label"), F.first("body").alias("body"))
+
+
+def _training_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Features and lengths of at most ``TRAIN_LINES`` lines of each document."""
+    for batch in batches:
+        features, lengths = [], []
+        for place, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+            x, size = line_features(text)
+            start = place % (len(x) - TRAIN_LINES + 1) if len(x) > TRAIN_LINES else 0
+            features.append(x[start:start + TRAIN_LINES].astype(np.float32).tobytes())
+            lengths.append(size[start:start + TRAIN_LINES].astype(np.int64).tobytes())
+        yield pa.RecordBatch.from_arrays(
+            [*batch.columns[:2], pa.array(features, pa.binary()), pa.array(lengths, pa.binary())],
+            names=["place", "label", "features", "lengths"])
+
+
+def train(docs: DataFrame, labels: DataFrame, usable, max_train: int = MAX_TRAIN,
+          id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
+    """Fit on labelled documents where ``usable`` (a condition on the id column) holds."""
+    small_batches(docs.sparkSession, 32)
+    sample = stage(_sample(docs, labels, usable, max_train, id_col, text_col, label_col), "sample").select(
+        "place", "label", "body")
+    rows = sample.mapInArrow(_training_lines, "place long, label int, features binary, lengths binary").collect()
+    rows.sort(key=lambda r: (r["place"], r["features"]))
+    found = [r["label"] for r in rows]
+    model = fit([np.frombuffer(r["features"], np.float32).reshape(-1, N_FEATURES) for r in rows],
+                [np.frombuffer(r["lengths"], np.int64) for r in rows], found)
+    if len(set(found)) < 2:
+        return model
+    shipped = docs.sparkSession.sparkContext.broadcast(model)
+
+    def shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:2], pa.array([shipped.value.share(t) for t in batch.column(2).to_pylist()], pa.float64())],
+                names=["place", "label", "share"])
+
+    seen = sorted(sample.mapInArrow(shares, "place long, label int, share double").collect())
+    model.curve = _curve(np.array([r["share"] for r in seen]), np.array([r["label"] for r in seen], float))
+    return model
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text",
