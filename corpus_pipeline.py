@@ -1,8 +1,9 @@
 """From documents to packed sequences: five stages, each written before the next one reads it.
 
 Every stage but the last returns the columns of its input, whatever they are, so extra columns
-survive. Null and empty texts are scored like any other text and never crash a stage; repeated rows
-are separate rows for every stage.
+survive. Null and empty texts are scored like any other text and never crash a stage; texts of any
+length are read whole; repeated rows are separate rows for every stage but the third, which keeps one
+of them; ties there go to the smallest id; an empty table passes through every stage.
 """
 
 from __future__ import annotations
@@ -47,7 +48,7 @@ def keep_first(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 9: documents without a benchmark passage."""
     ship_package(spark)
-    found = decontaminate.find(docs, table(spark, sf_dir, "benchmark"))
+    found = decontaminate.hit_rows(docs, table(spark, sf_dir, "benchmark"))
     return found.where(F.col("n_hit") == 0).select("original.*")
 
 
