@@ -76,13 +76,13 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-@_register("op9_decontamination")
+@_register("op9_decontamination", decontaminate.SQL)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"),
                                 table(spark, sf_dir, "benchmark"))
 
 
-@_register("op10_secret_scan")
+@_register("op10_secret_scan", secret_scan.SQL)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.report(table(spark, sf_dir, "documents"))
 
