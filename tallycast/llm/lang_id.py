@@ -3,7 +3,9 @@
 A word is a run of letters. Its script admits the languages whose training text uses that
 script; each admitted language scores it by the log probability of its letter trigrams, with
 word boundaries. The path over all words with a penalty for every change of language labels
-spans; the language with most letters is the document's, its share of letters the score.
+spans; the language with most letters is the document's. Its score is the share of all letters that
+lie in its words of known scripts, times its probability against the other languages given those
+words, so words that fit several languages, or none, make a low score.
 
 Most texts hold one language. If no stretch gains more than half a penalty in another one, no
 path with a change can beat the constant path, so the path is walked only for the others.
@@ -12,7 +14,8 @@ Training counts trigrams of a bounded sample of labelled rows (``max_train``, sm
 the id). Defined cases: null texts and texts without letters are ``und`` with score 0; a word
 of a script that no training text used does not count for any language; equal totals go to the
 first language by name; very long texts are read whole, in pieces cut between words; without
-any training row every text is ``und``.
+any training row every text is ``und``; repeated rows are answered each; an empty table gives no
+rows.
 """
 
 from __future__ import annotations
@@ -50,7 +53,7 @@ RANGES = (
     (0xFB00, "latin"), (0xFB10, "other"), (0xFB50, "arabic"), (0xFE00, "other"),
     (0x20000, "han"),
 )
-TOP = 0x32000
+TOP = 0x110000
 
 
 @lru_cache(maxsize=1)
@@ -58,7 +61,7 @@ def tables() -> tuple[np.ndarray, np.ndarray]:
     """Of every code point below TOP: its script (0 for what is no letter), its lower case."""
     script = np.zeros(TOP + 1, np.uint8)
     lower = np.arange(TOP + 1, dtype=np.uint32)
-    bounds = [*RANGES, (TOP, "other")]
+    bounds = [*RANGES, (0x40000, "other"), (TOP, "other")]
     for (a, name), (b, _) in zip(bounds, bounds[1:]):
         number = SCRIPTS.index(name)
         for code in range(a, b):
@@ -121,29 +124,35 @@ class Model:
         self.known = admitted.any(1).astype(np.float32)
 
     def scores(self, text: str):
-        """Starts, ends and (words, languages) scores."""
+        """Starts, ends, (words, languages) scores, and which words are of a known script."""
         starts, ends, script, letters, first, close = words(text)
         if len(starts) == 0:
-            return starts, ends, np.zeros((0, len(self.langs)), np.float32)
+            return starts, ends, np.zeros((0, len(self.langs)), np.float32), starts > 0
         own = np.add.reduceat(self.table[letters], first, axis=0) + self.table[close]
-        return starts, ends, own * self.known[script, None] + self.barred[script]
+        known = self.known[script]
+        return starts, ends, own * known[:, None] + self.barred[script], known > 0
 
     def label(self, text: str) -> tuple[str, float, list[tuple[int, int, str]]]:
-        """Language, share of letters and spans (start, end, language) in code points."""
+        """Language, score and spans (start, end, language) in code points."""
         if not text or not self.langs:
             return UNKNOWN, 0.0, []
         parts = [(at, *self.scores(piece)) for at, piece in pieces(text)]
-        starts = np.concatenate([at + s for at, s, _, _ in parts])
-        ends = np.concatenate([at + e for at, _, e, _ in parts])
+        starts = np.concatenate([p[0] + p[1] for p in parts])
+        ends = np.concatenate([p[0] + p[2] for p in parts])
         if len(starts) == 0:
             return UNKNOWN, 0.0, []
-        path = best_path(np.concatenate([p[3] for p in parts]))
+        scores, known = np.concatenate([p[3] for p in parts]), np.concatenate([p[4] for p in parts])
+        path = best_path(scores)
         letters = np.bincount(path, ends - starts, len(self.langs))
         best = int(letters.argmax())
+        own = path == best
+        sure = (ends - starts)[known & own].sum() / letters.sum()
+        rivals = scores[own].sum(0, dtype=np.float64)
+        sure = sure / np.exp(np.minimum(rivals - rivals[best], 700)).sum()
         cut = np.flatnonzero(np.diff(path)) + 1
         spans = [(int(starts[a]), int(ends[b - 1]), self.langs[path[a]])
                  for a, b in zip([0, *cut], [*cut, len(path)])]
-        return self.langs[best], float(letters[best] / letters.sum()), spans
+        return self.langs[best], float(sure), spans
 
 
 def best_path(scores: np.ndarray, penalty: float = PENALTY) -> np.ndarray:

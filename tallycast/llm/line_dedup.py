@@ -13,7 +13,7 @@ pass, which is range-partitioned by hash.
 Defined cases: a null or empty text is one empty line; lines shorter than ``min_chars`` and
 texts without lines to drop stay as they are; the largest id keeps a line, a null id is the
 smallest; rows with the same id are one document for counting, and each keeps or drops its own
-lines; other columns are ignored.
+lines; a text of any length is split whole; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -8,8 +8,9 @@ of partitions and are merged, pieces being cut, until one window per group is no
 
 Memory in a task is the open windows; leftovers of a group are at most
 ``group`` x ``open_windows`` windows. Defined cases: a null or empty text is its end id alone;
-a null document id is kept; repeated rows are packed each; other columns are ignored; a
-document of any length is cut, never dropped.
+a null document id is kept; repeated rows are packed each; of windows that fill equally the first
+opened is taken; an empty table gives no piece; other columns are ignored; a document of any
+length is cut, never dropped.
 """
 
 from __future__ import annotations

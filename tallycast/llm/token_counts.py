@@ -5,8 +5,10 @@ the tokenizer's version. A run joins the digests of its texts to the cache, enco
 distinct missing text once, appends the counts, and joins them back to every row.
 
 Normalisation must not change a count, so only null becomes the empty text. Defined cases: null
-and empty texts count 0 tokens; repeated rows are counted once and reported each; null ids are
-passed through; a cache that two runs filled at once may hold a key twice and is read as one.
+and empty texts count 0 tokens; a text of any length is encoded whole; repeated rows and equal
+texts are counted once and reported each; null ids are passed through; an empty table gives no
+rows and appends nothing; other columns are ignored; a cache that two runs filled at once may hold a
+key twice and is read as one.
 """
 
 from __future__ import annotations

@@ -40,8 +40,7 @@ class Encoder:
         tokenizer.no_truncation()
         tokenizer.no_padding()
         self.slow = lambda text: tokenizer.encode(text, add_special_tokens=False).ids
-        ranks = os.path.splitext(path)[0] + ".tiktoken"
-        if os.path.basename(path) == BYTE_BPE and os.path.exists(ranks):
+        if ranks := _ranks_of(path):
             self.fast = _ranked(ranks, tokenizer.token_to_id("<|endoftext|>"))
 
     def ids(self, text: str) -> np.ndarray:
@@ -72,11 +71,29 @@ def encoder(name: str) -> Encoder:
 
 @lru_cache(maxsize=8)
 def version(name: str) -> str:
-    """Digest of a vocabulary file and of the library that reads it."""
+    """Digest of all that decides a count: the vocabulary file, the library that reads it and, where a
+    second reader is used, its ranks, pattern and library."""
     path = vocabulary(name)
+    parts = [_content(path)]
     if path.endswith(".model"):
-        import sentencepiece as library
+        import sentencepiece
+        parts.append(sentencepiece.__version__.encode())
     else:
-        import tokenizers as library
+        import tokenizers
+        parts.append(tokenizers.__version__.encode())
+        if ranks := _ranks_of(path):
+            import public_tokenizers
+            import tiktoken
+            parts += [_content(ranks), public_tokenizers.PATTERN.encode(), tiktoken.__version__.encode()]
+    return hashlib.sha256(b"\0".join(hashlib.sha256(p).digest() for p in parts)).hexdigest()
+
+
+def _content(path: str) -> bytes:
     with open(path, "rb") as f:
-        return hashlib.sha256(f.read() + library.__version__.encode()).hexdigest()
+        return f.read()
+
+
+def _ranks_of(path: str) -> str | None:
+    """The rank file of the second reader, for the vocabulary it is used with."""
+    ranks = os.path.splitext(path)[0] + ".tiktoken"
+    return ranks if os.path.basename(path) == BYTE_BPE and os.path.exists(ranks) else None

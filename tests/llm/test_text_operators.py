@@ -6,6 +6,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,6 +23,7 @@ from tallycast.llm import (
 )
 from tallycast.llm.shared import scratch_path
 from tallycast.llm.tokens import BYTE_BPE, Encoder
+from tallycast.session import stage
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -257,13 +259,41 @@ def family(size, seed=3):
     return rows
 
 
-@pytest.mark.parametrize("region", [2048, 32])
-def test_crowded_regions_lose_no_link(spark, region):
+@pytest.mark.parametrize("region, signed, neighbours", [(2048, 8192, 4), (32, 20, 1), (2, 3, 2)])
+def test_crowded_regions_lose_no_link(spark, monkeypatch, region, signed, neighbours):
+    monkeypatch.setattr(near_dup, "SIGNED", signed)
+    monkeypatch.setattr(near_dup, "NEIGHBOURS", neighbours)
     rows = family(260)
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert found_components(df, words=2, region=region) == plain_components(rows, 2)
 
 
+def test_neighbours_in_a_sorted_order():
+    """Of every region: pairs with the rows before it, across batches, and the members of those that
+    hold more; a region at an edge of the partition is always passed on."""
+    rng = np.random.default_rng(1)
+    n = 400
+    labels = np.sort(rng.integers(0, 60, n))
+    number = np.arange(n) * 7
+    raw = np.zeros((n, near_dup.DEPTH), ">u2")
+    raw[:, near_dup.START - 1] = labels
+    table = pa.table({
+        "tree": pa.array(np.full(n, 2), pa.int32()), "label": [r.tobytes() for r in raw],
+        "number": pa.array(number, pa.int64()), "n": pa.array(np.full(n, 10), pa.int32()),
+        "bits": [bytes(12)] * n})
+    for size in (1, 2, 3, 50, n):
+        got = pa.Table.from_batches(list(near_dup._forest(0.8, 3)(table.to_batches(max_chunksize=size)))).to_pylist()
+        pairs = {(r["a"], r["b"]) for r in got if r["b"] is not None}
+        assert pairs == {(number[i - k], number[i]) for i in range(n) for k in (1, 2, 3)
+                         if i >= k and labels[i] == labels[i - k]}
+        members = {r["a"] for r in got if r["region"] is not None}
+        counts = np.bincount(labels)
+        edge = (labels == labels[0]) | (np.arange(n) == n - 1)
+        assert members == set(number[(counts[labels] > 1) | edge].tolist())
+        flagged = {r["a"] for r in got if r["edge"]}
+        assert flagged == set(number[edge].tolist())
+
+
 def hanging(crowd=60, seed=5):
     """A crowd of near copies, and one more text whose only link, just over the threshold, is to a
     member with which it shares a label to depth 3 but none to depth 5."""
@@ -296,6 +326,12 @@ def test_a_single_link_in_a_crowded_region_is_found(spark):
     want = plain_components(rows, 2)
     assert found_components(df, words=2, region=2) == want
     assert found_components(df, words=2) == want
+    for parts in (3, 40):  # regions that lie across the edges of partitions
+        spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+        try:
+            assert found_components(df, words=2, region=16) == want
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "8")
 
 
 def test_near_duplicates_odd_rows(odd, nothing, spark):
@@ -358,7 +394,7 @@ def test_decontamination_in_parts_and_spans(spark, sf_dir, docs):
     def plain(df):
         return sorted((r.original.doc_id, r.n_words, r.n_hit, tuple(r["items"]), tuple(r.hits))
                       for r in df.collect())
-    assert plain(whole) == plain(parts)
+    assert plain(whole) == plain(parts) and any(r[2] for r in plain(whole))
     for r in whole.where("n_hit > 0").collect():
         for h in r.hits:
             words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+",
@@ -402,6 +438,40 @@ def test_secret_spans(spark, docs, texts, odd, nothing):
     assert secret_scan.report(nothing).count() == 0
 
 
+def test_texts_of_many_hits(spark):
+    """Thousands of matches in one text: places stay right, and work grows with their number."""
+    import time
+
+    def text(n):
+        return " ".join(f"token=abcdef{i}" if i % 2 else "é" + "0" * 24 for i in range(n))
+
+    seconds = {}
+    for n in (8_000, 16_000):
+        df = stage(spark.createDataFrame([(1, text(n))], "doc_id long, text string"))
+        start = time.time()
+        row, = secret_scan.report(df).collect()
+        seconds[n] = time.time() - start
+        want = plain_secrets(text(n))
+        assert len(want) == n and row.spans == ",".join(want)
+    assert seconds[16_000] < 2 * seconds[8_000] + 2
+    bench = spark.createDataFrame([(i, f"word{i} " + "a b c d e f g h i") for i in range(50)], "item_id long, text string")
+    long = [(1, " ".join(f"word{i % 60} a b c d e f g h i" for i in range(6_000)))]
+    docs = spark.createDataFrame(long, "doc_id long, text string")
+    assert rows_of(decontaminate.report(docs, bench)) == plain_hits(long, [(r.item_id, r.text) for r in bench.collect()])
+
+
+def test_windows_that_many_items_share(spark):
+    """A third of the items begin alike: their windows share one set of items."""
+    items = [(i, "please answer the following question in one word only now " + (f"subject{i} follows here" if i % 3 else ""))
+             for i in range(90)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = [(1, items[0][1]), (2, items[1][1]), (3, "nothing of the kind"), (4, items[0][1]), (5, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert rows_of(decontaminate.report(docs, bench)) == plain_hits(rows, items)
+    named, sets = decontaminate.item_sets(decontaminate.windows(bench, 10, "item_id", "text"))
+    assert sets.count() < 90 + 3 * 60 and named.select("set").distinct().count() <= 61
+
+
 def test_ledger_scans_only_unseen_blobs_and_rules(spark):
     path = scratch_path(spark, "ledger")
     first = spark.createDataFrame([("a", "token=abcdef"), ("b", "token=abcdef"), ("a", "clean")],
@@ -452,6 +522,19 @@ def test_language_spans_and_odd_rows(spark, odd, nothing):
     assert {r.lang_pred for r in lang_id.report(unlabelled).collect()} == {"und"}
 
 
+def test_letters_of_any_plane_and_doubt(spark):
+    """Late letters are letters; a script that no training text used gives a low score."""
+    rows = [(i, lang, text) for i, (lang, text) in enumerate(
+        [("de", "der die das und nicht ein haus am see"), ("en", "the house by the lake and not a tree")] * 20)]
+    model = lang_id.train(spark.createDataFrame(rows, "doc_id long, lang string, text string"), F.lit(True))
+    for text in ("\U00032050\U00032051", "\U00020000 \U00031360", "密码 密码"):
+        lang, score, _ = model.label(text)
+        assert lang in ("de", "en") and score < 0.5
+    assert 1 >= model.label("das haus und der see")[1] > 0.999 > model.label("am a")[1]
+    mixed = model.label("das haus und der see am haus 密码密码密码密码密码密码密码密码密码密码")
+    assert mixed[0] == "de" and mixed[1] < 0.6
+
+
 def test_constant_path_rule_agrees_with_the_walk(monkeypatch):
     rng = np.random.default_rng(5)
     for _ in range(300):
@@ -479,6 +562,40 @@ def test_quality_on_held_out_documents(spark):
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in found)
 
 
+def test_lines_of_a_mixed_document(spark):
+    """Good lines before bad ones: their marginals differ, and the chain has learnt to change."""
+    root = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{root}/documents.parquet"), spark.read.parquet(f"{root}/labels.parquet")
+    model = quality.train(docs, labels, ~quality.held_out(), max_train=1500)
+    lang = F.col("lang") == "en"
+    by_label = {q: [r.text for r in docs.where(lang & F.col("n_chars").between(600, 3000)).join(
+        labels.where(quality.held_out() & (F.col("quality") == q)), "doc_id").orderBy("doc_id").limit(12).collect()]
+        for q in (0, 1)}
+    good, bad = by_label[1], by_label[0]
+    assert len(good) > 5 and len(bad) > 5
+    apart = []
+    for a, b in zip(good, bad):
+        features, _ = quality.line_features(a + "\n" + b)
+        p, n = model.line_marginals(features), len(a.split("\n"))
+        apart.append((p[:n].mean(), p[n:].mean()))
+    first, second = np.mean(apart, axis=0)
+    assert first > 0.7 and second < 0.4 and np.mean([x > y for x, y in apart]) > 0.9
+
+
+def test_quality_training_is_bounded(spark):
+    """Texts of very many short lines are trained on in windows; the driver holds no text."""
+    texts = [(i, ("good words in a row here\n" if i % 2 else "!! ## ??\n") * 30_000) for i in range(6)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(6)], "doc_id long, quality int")
+    sample = quality._sample(docs, labels, F.lit(True), 4, "doc_id", "text", "quality")
+    assert sample.count() == 4
+    rows = sample.select("place", "label", "body").mapInArrow(
+        quality._training_lines, "place long, label int, features binary, lengths binary").collect()
+    assert {len(r.lengths) for r in rows} == {8 * quality.TRAIN_LINES}
+    model = quality.train(docs, labels, F.lit(True))
+    assert model.score(texts[1][1]) > 0.7 > 0.5 > model.score(texts[0][1])
+
+
 def test_quality_odd_rows(spark, odd, nothing):
     labels = spark.createDataFrame([(4, 1), (5, 0), (6, None), (None, 1), (4, 1)], "doc_id long, quality int")
     rows = quality.report(odd, labels).collect()
