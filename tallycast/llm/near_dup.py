@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallycast.llm.graph import components
-from tallycast.llm.shared import small_batches, stage
+from tallycast.llm.shared import batches_of, small_batches, stage
 
 TREES, DEPTH, START = 16, 6, 3
 NEIGHBOURS = 4  # going away from a class in one direction of an order
@@ -51,7 +51,7 @@ BLOCK_SHINGLES = 2_000_000  # of the sets that a task holds
 SLACK = 0.2
 BROADCAST_CLASSES = 100_000  # (key, id) rows, about 100 bytes each, that may be broadcast
 PIECE = 1 << 20
-_VALUE = 2  # bytes of a label value
+NARROW = 8192  # rows of a batch of numbers
 
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 _SPACE = np.zeros(256, bool)
@@ -112,11 +112,6 @@ def shingles(text: str, words: int) -> np.ndarray:
     return np.unique(s)
 
 
-def sketch_bits(sig: bytes) -> bytes:
-    """One bit of each value of a signature."""
-    return np.packbits(np.frombuffer(sig, "<u2") & 1).tobytes()
-
-
 def signature(s: np.ndarray) -> bytes:
     """MinHash values of all trees, each cut to 16 bits of a hash of the minimum."""
     low = np.full(len(_A), np.iinfo(np.uint64).max, np.uint64)
@@ -129,13 +124,12 @@ def signature(s: np.ndarray) -> bytes:
 
 
 def sketch(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """doc, row (hash of the text), n (shingles), key (of the set, null if empty), sig and bits, one
-    row per row of ``docs``."""
+    """doc, row (hash of the text), n (shingles), key (of the set, null if empty) and sig, one row
+    per row of ``docs``."""
     schema = T.StructType([
         T.StructField("doc", docs.schema[id_col].dataType), T.StructField("row", T.LongType()),
         T.StructField("n", T.LongType()),
-        T.StructField("key", T.BinaryType()), T.StructField("sig", T.BinaryType()),
-        T.StructField("bits", T.BinaryType())])
+        T.StructField("key", T.BinaryType()), T.StructField("sig", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -147,9 +141,7 @@ def sketch(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame
                 sigs.append(signature(s) if len(s) else None)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(keys, pa.binary()),
-                 pa.array(sigs, pa.binary()),
-                 pa.array([None if x is None else sketch_bits(x) for x in sigs], pa.binary())],
-                names=["doc", "row", "n", "key", "sig", "bits"])
+                 pa.array(sigs, pa.binary())], names=["doc", "row", "n", "key", "sig"])
 
     return docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("body"),
                        F.xxhash64(text_col).alias("row")).mapInArrow(run, schema)
@@ -159,19 +151,40 @@ def _key(s: np.ndarray) -> bytes:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
 
+_ORDER = "region long, rest long, number long, n long, bits long, more_bits long"
+
+
 def orders(classes: DataFrame) -> DataFrame:
-    """tree, label, number (a hash of the class key), n and bits, in the order of each tree's labels.
+    """One narrow row per class and tree, in the order of each tree's labels: region (the tree and the
+    first ``START`` values of its label), rest (the others), number (a hash of the class key), n, and
+    one bit of each value of the signature.
 
-    One narrow row per class and tree is exchanged. Classes whose numbers collide are merely
-    compared as well.
+    Only numbers are exchanged. Classes whose numbers collide are merely compared as well.
     """
-    rows = classes.select(F.xxhash64("key").alias("number"), F.col("n").cast("int").alias("n"), "bits", "sig",
-                          F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
-    width = DEPTH * _VALUE
-    labelled = rows.select("tree", F.expr(f"substring(sig, tree * {width} + 1, {width})").alias("label"),
-                           "number", "n", "bits")
-    at = ["tree", "label", "number"]
-    return labelled.repartitionByRange(*at).sortWithinPartitions(*at)
+    def joined(values: np.ndarray) -> np.ndarray:
+        out = np.zeros(values.shape[:-1], np.int64)
+        for i in range(values.shape[-1]):
+            out = (out << 16) | values[..., i]
+        return out
+
+    def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), "<u2").reshape(n, TREES, DEPTH)
+            tree = np.arange(TREES, dtype=np.int64) << (16 * START)
+            bits = np.zeros((n, 16), np.uint8)
+            packed = np.packbits((sig & 1).astype(np.uint8).reshape(n, -1), axis=1)
+            bits[:, :packed.shape[1]] = packed
+            bits = bits.view(np.int64)
+            number, size = batch.column("number").to_numpy(), batch.column("n").to_numpy()
+            columns = [joined(sig[:, :, :START]) | tree, joined(sig[:, :, START:]),
+                       *(np.repeat(c[:, None], TREES, 1) for c in (number, size, bits[:, 0], bits[:, 1]))]
+            yield pa.RecordBatch.from_arrays([pa.array(c.ravel()) for c in columns],
+                                             names=["region", "rest", "number", "n", "bits", "more_bits"])
+
+    at = ["region", "rest", "number"]
+    rows = classes.select(F.xxhash64("key").alias("number"), "n", "sig").mapInArrow(expand, _ORDER)
+    return rows.repartitionByRange(*at).sortWithinPartitions(*at)
 
 
 def _forest(threshold: float, neighbours: int):
@@ -187,15 +200,9 @@ def _forest(threshold: float, neighbours: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def columns(batch):
-            n = batch.num_rows
-            label = np.frombuffer(b"".join(batch.column("label").to_pylist()), np.uint8).reshape(n, -1)
-            bits = np.frombuffer(b"".join(batch.column("bits").to_pylist()), np.uint8).reshape(n, -1)
-            tree, number, size = (batch.column(c).to_numpy() for c in ("tree", "number", "n"))
-            prefix = label[:, :START * _VALUE].astype(np.int64)
-            region = tree.astype(np.int64)
-            for i in range(prefix.shape[1]):
-                region = (region << 8) | prefix[:, i]
-            return [region, number, size.astype(np.int64), bits]
+            region, number, size, bits, more = (
+                batch.column(c).to_numpy() for c in ("region", "number", "n", "bits", "more_bits"))
+            return [region, number, size, np.column_stack([bits, more]).view(np.uint64)]
 
         def pairs(region, number, size, bits, new: int):
             """Of rows from ``new`` on with the rows before them."""
@@ -297,7 +304,7 @@ def _survivors(floor: float, ratio: float):
                 if len(at):
                     # a pair belongs to the first tree in which it shares a prefix
                     starts = equal.reshape(len(at), TREES, DEPTH)[:, :, :START].all(2)
-                    at = at[starts.argmax(1) == group[0] >> (8 * START * _VALUE)]
+                    at = at[starts.argmax(1) == group[0] >> (16 * START)]
                 if len(at):
                     marks[at] = True
                     found.append((group[0], key))
@@ -424,8 +431,9 @@ def find_links(docs: DataFrame, classes: DataFrame, words: int, threshold: float
     """(node, label) of the classes that have a link."""
     floor, ratio, neighbours = threshold - SLACK, threshold, neighbours or NEIGHBOURS
     numbered = classes.select(F.xxhash64("key").alias("number"), "key", "doc", "n", "sig")
-    walked = stage(orders(classes).mapInArrow(
-        _forest(threshold, neighbours), "region long, a long, b long, edge boolean"), "forest")
+    with batches_of(docs.sparkSession, NARROW):
+        walked = stage(orders(classes).mapInArrow(
+            _forest(threshold, neighbours), "region long, a long, b long, edge boolean"), "forest")
     near = walked.where("b IS NOT NULL").select("a", "b").distinct()
     keys = numbered.select("number", "key")
     pairs = stage(near.join(keys.withColumnsRenamed({"number": "a", "key": "key_a"}), "a")
@@ -492,8 +500,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, reg
     small_batches(docs.sparkSession)
     rows = stage(sketch(docs, words, id_col, text_col), "sketch")
     classes = stage(rows.where(F.col("key").isNotNull()).groupBy("key").agg(
-        F.min("doc").alias("doc"), F.first("n").alias("n"), F.first("sig").alias("sig"),
-        F.first("bits").alias("bits")), "classes")
+        F.min("doc").alias("doc"), F.first("n").alias("n"), F.first("sig").alias("sig")), "classes")
     labels = find_links(docs, classes, words, threshold, region, id_col, text_col)
     if labels is None:
         named = classes.select("key", F.col("key").alias("group"), F.col("doc").alias("component"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tallycast.session import scratch_path, ship_package, stage
 
-__all__ = ["table", "stage", "scratch_path", "small_batches", "contiguous", "ship_package",
+__all__ = ["table", "stage", "scratch_path", "small_batches", "batches_of", "contiguous", "ship_package",
            "carried", "ascii_lower", "vocabulary"]
 
 # Rows of one Arrow batch. Whole texts travel in a batch, so the default of 10,000 rows
@@ -33,6 +34,18 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
         spark.conf.set(key, str(rows))
 
 
+@contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of ``rows`` rows for jobs on narrow rows that run within the block."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key, "10000")
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def ascii_lower(col):
     """Lower-case A-Z only; every other character stays."""
     return F.translate(col, UPPER, UPPER.lower())
