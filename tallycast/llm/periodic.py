@@ -229,3 +229,42 @@ def report(docs: DataFrame) -> DataFrame:
         (-F.col("top.p")).alias("period"),
         F.floor(1000 * F.col("top.length") / -F.col("top.p")).cast("long").alias("exponent_milli"),
         F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+# A run of period q and length n is an island of n - q - 4 places at which five words repeat q later.
+SQL = r"""
+WITH RECURSIVE split AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+bytes AS MATERIALIZED (SELECT CAST(range AS BIGINT) AS b, list_reduce(list_prepend(CAST(range AS BIGINT), [0, 0, 0, 0, 0, 0, 0, 0]),
+    lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256)),
+sums AS (
+  SELECT doc_id, CAST(doc_id AS VARCHAR) AS t, 1 AS pos, CAST(4294967295 AS BIGINT) AS c FROM split
+  UNION ALL
+  SELECT doc_id, t, pos + 1, xor(c >> 8, v) FROM sums JOIN bytes ON b = xor(c & 255, ascii(substr(t, pos, 1))) WHERE pos <= len(t)),
+plan AS (
+  SELECT doc_id, w, n, h, CASE WHEN h % 10 = 0 AND n > 0 THEN (h // 10) % n ELSE n END AS a, 3 + (h // 10) % 8 AS parts
+  FROM (SELECT split.doc_id, w, len(w) AS n, xor(c, 4294967295) AS h FROM split JOIN sums USING (doc_id) WHERE pos > len(t))),
+words AS MATERIALIZED (
+  SELECT doc_id, n, i, w[CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // parts) END + 1] AS x
+  FROM (SELECT *, unnest(range(n)) AS i FROM plan)),
+grams AS MATERIALIZED (
+  SELECT doc_id, n, i, hash(x, lead(x, 1) OVER o, lead(x, 2) OVER o, lead(x, 3) OVER o, lead(x, 4) OVER o) AS g
+  FROM words WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+pairs AS (
+  SELECT a.doc_id, a.i, b.i - a.i AS q FROM grams a JOIN grams b ON a.doc_id = b.doc_id AND a.g = b.g AND b.i > a.i
+  WHERE a.n >= 6 AND 4 * (b.i - a.i) <= a.n AND b.i + 5 <= a.n),
+isles AS MATERIALIZED (
+  SELECT doc_id, q, min(i) AS s, count(*) + q + 4 AS size
+  FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS isle FROM pairs) GROUP BY doc_id, q, isle),
+runs AS MATERIALIZED (
+  SELECT * FROM isles r WHERE size >= greatest(6, 4 * q) AND NOT EXISTS (
+    SELECT 1 FROM isles d WHERE d.doc_id = r.doc_id AND d.q < r.q AND d.s <= r.s AND d.s + d.size >= r.s + r.size)),
+listed AS (
+  SELECT doc_id, count(*) AS n_runs, string_agg(s || ',' || size || ',' || q || chr(10), '' ORDER BY s, q) AS runs,
+         arg_min(struct_pack(s := s, size := size, q := q), (-size, s, q)) AS top FROM runs GROUP BY doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s + q, s + size)) AS i FROM runs),
+kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS t FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, CAST(coalesce(n_runs, 0) AS BIGINT) AS n_runs, CAST(top.s AS BIGINT) AS start, CAST(top.size AS BIGINT) AS length,
+       CAST(top.q AS BIGINT) AS period, CAST(1000 * top.size // top.q AS BIGINT) AS exponent_milli,
+       sha256(coalesce(runs, '')) AS runs_sha256, sha256(coalesce(t, '')) AS collapsed_sha256
+FROM split LEFT JOIN listed USING (doc_id) LEFT JOIN kept USING (doc_id)"""

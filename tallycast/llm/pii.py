@@ -8,7 +8,7 @@ unless a base span of their kind already covers them.
 
 Defined cases: null and empty texts have no spans; a null id is passed through; repeated rows
 are reported once per row; of two equal spans one is kept; text length is not limited and every
-pattern scans in time linear in the text.
+pattern scans in time linear in the text; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -87,7 +87,7 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.report(table(spark, sf_dir, "documents"))
 
 
-@_register("op11_resampling")
+@_register("op11_resampling", resample.SQL)
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -97,6 +97,6 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.report(table(spark, sf_dir, "documents"))
 
 
-@_register("op13_periodic_runs")
+@_register("op13_periodic_runs", periodic.SQL)
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.report(table(spark, sf_dir, "documents"))

@@ -192,3 +192,37 @@ def resample(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_co
 def report(docs: DataFrame, target: DataFrame) -> DataFrame:
     return resample(docs, target).select(F.col("id").alias("doc_id"), "n_features", "weight",
                                          "score", "rank")
+
+
+# The CRC of a feature walks its bytes, two hexadecimal digits at a time.
+_SQL_WORDS = (r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', "
+              r"'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')")
+_SQL_RUNS = """SELECT {key}, unnest(list_concat(w,
+    list_transform(range(1, greatest(len(w), 1)), lambda i: w[i] || ' ' || w[i + 1]),
+    list_transform(range(1, greatest(len(w) - 1, 1)), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS f FROM {table}"""
+SQL = rf"""
+WITH RECURSIVE docs AS (SELECT doc_id, {_SQL_WORDS} AS w FROM documents),
+items AS (SELECT 0 AS doc_id, {_SQL_WORDS} AS w FROM benchmark),
+own AS MATERIALIZED (SELECT doc_id, f, count(*) AS n FROM ({_SQL_RUNS.format(key="doc_id", table="docs")}) GROUP BY doc_id, f),
+aim AS MATERIALIZED (SELECT f, count(*) AS n FROM ({_SQL_RUNS.format(key="doc_id", table="items")}) GROUP BY f),
+names AS MATERIALIZED (SELECT f, row_number() OVER () AS k, hex(encode(f)) AS h FROM (SELECT f FROM own UNION SELECT f FROM aim)),
+bytes AS MATERIALIZED (SELECT CAST(range AS BIGINT) AS b, list_reduce(list_prepend(CAST(range AS BIGINT), [0, 0, 0, 0, 0, 0, 0, 0]),
+    lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256)),
+sums AS (
+  SELECT k, h, CAST(1 AS BIGINT) AS pos, CAST(4294967295 AS BIGINT) AS c FROM names
+  UNION ALL
+  SELECT k, h, pos + 2, xor(c >> 8, v) FROM sums JOIN bytes
+    ON b = xor(c & 255, CAST('0x' || substr(h, pos, 2) AS BIGINT)) WHERE pos < len(h)),
+buckets AS MATERIALIZED (SELECT f, xor(c, 4294967295) % {BUCKETS} AS bucket FROM sums JOIN names USING (k) WHERE pos > len(sums.h)),
+s AS (SELECT bucket, sum(n) AS s FROM own JOIN buckets USING (f) GROUP BY bucket),
+t AS (SELECT bucket, sum(n) AS t FROM aim JOIN buckets USING (f) GROUP BY bucket),
+gains AS MATERIALIZED (
+  SELECT bucket, CAST(floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(s), 0) FROM s) + {BUCKETS})
+    / ((s + 1)::DOUBLE * ((SELECT coalesce(sum(t), 0) FROM t) + {BUCKETS})))) AS BIGINT) AS gain FROM s LEFT JOIN t USING (bucket)),
+weights AS (SELECT doc_id, sum(n) AS n_features, sum(n * gain) AS weight FROM own JOIN buckets USING (f) JOIN gains USING (bucket) GROUP BY doc_id),
+scored AS (
+  SELECT doc_id, len(w) AS n_words, CAST(coalesce(n_features, 0) AS BIGINT) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+    CAST(coalesce(weight, 0) + floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('{SEED}:' || doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score
+  FROM docs LEFT JOIN weights USING (doc_id)),
+ranked AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r, count(*) OVER () AS n FROM scored WHERE n_words >= {MIN_WORDS})
+SELECT doc_id, n_features, weight, score, CASE WHEN r <= {SHARE[0]} * n // {SHARE[1]} THEN r END AS rank FROM scored LEFT JOIN ranked USING (doc_id)"""

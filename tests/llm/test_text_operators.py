@@ -275,12 +275,9 @@ def test_neighbours_in_a_sorted_order():
     n = 400
     labels = np.sort(rng.integers(0, 60, n))
     number = np.arange(n) * 7
-    raw = np.zeros((n, near_dup.DEPTH), ">u2")
-    raw[:, near_dup.START - 1] = labels
-    table = pa.table({
-        "tree": pa.array(np.full(n, 2), pa.int32()), "label": [r.tobytes() for r in raw],
-        "number": pa.array(number, pa.int64()), "n": pa.array(np.full(n, 10), pa.int32()),
-        "bits": [bytes(12)] * n})
+    zeros = np.zeros(n, np.int64)
+    table = pa.table({"region": labels, "rest": zeros, "number": number, "n": zeros + 10,
+                      "bits": zeros, "more_bits": zeros})
     for size in (1, 2, 3, 50, n):
         got = pa.Table.from_batches(list(near_dup._forest(0.8, 3)(table.to_batches(max_chunksize=size)))).to_pylist()
         pairs = {(r["a"], r["b"]) for r in got if r["b"] is not None}
@@ -535,6 +532,64 @@ def test_letters_of_any_plane_and_doubt(spark):
     assert mixed[0] == "de" and mixed[1] < 0.6
 
 
+def plain_lang(model, text):
+    """Language and score of a text, letter by letter and by a plain walk over all paths."""
+    def script(c):
+        names = [n for a, n in lang_id.RANGES if a <= ord(c)] if ord(c) < 0x40000 else ["other"]
+        return lang_id.SCRIPTS.index(names[-1])
+
+    def low(c):
+        return ord(c.lower()) if len(c.lower()) == 1 else ord(c)
+
+    def bucket(a, b, c):
+        m = (a * 0x9E3779B97F4A7C15 + b * 0xC2B2AE3D27D4EB4F + c * 0x165667B19E3779F9) % 2 ** 64
+        return ((m ^ m >> 29) * 0xBF58476D1CE4E5B9) % 2 ** 64 >> 48
+
+    words, at = [], 0
+    text = text or ""
+    while at < len(text):
+        if not text[at].isalpha():
+            at += 1
+            continue
+        end = at
+        while end < len(text) and text[end].isalpha():
+            end += 1
+        words.append((at, text[at:end]))
+        at = end
+    if not words or not model.langs:
+        return "und", 0.0
+    n, scores, known = len(model.langs), [], []
+    for _, word in words:
+        around = [0, 0, *map(low, word), 0]
+        own = sum(model.table[bucket(*around[i:i + 3])].astype(float) for i in range(len(word) + 1))
+        k = script(word[0])
+        known.append(model.known[k] > 0)
+        scores.append((own if known[-1] else 0 * own) + model.barred[k])
+    value, back = list(scores[0]), []
+    for row in scores[1:]:
+        moves = [max((value[j] - lang_id.PENALTY * (j != i), j == i, -j) for j in range(n)) for i in range(n)]
+        back.append([-j for _, _, j in moves])
+        value = [m[0] + s for m, s in zip(moves, row)]
+    path = [max(range(n), key=lambda i: (value[i], -i))]
+    for step in reversed(back):
+        path.append(step[path[-1]])
+    path.reverse()
+    letters = [sum(len(w) for (_, w), p in zip(words, path) if p == i) for i in range(n)]
+    best = max(range(n), key=lambda i: (letters[i], -i))
+    sure = sum(len(w) for (_, w), p, k in zip(words, path, known) if p == best and k) / sum(letters)
+    total = sum(s for s, p in zip(scores, path) if p == best)
+    return model.langs[best], sure / sum(np.exp(np.minimum(total - total[best], 700)))
+
+
+def test_language_against_a_plain_version(docs, texts):
+    model = lang_id.train(docs, ~lang_id.held_out())
+    got = {r.doc_id: (r.lang_pred, r.score) for r in lang_id.report(docs).collect()}
+    for d, t in texts.items():
+        if t is None or len(t) < 8_000:
+            lang, score = plain_lang(model, t)
+            assert got[d][0] == lang and got[d][1] == pytest.approx(score, abs=1e-3), d
+
+
 def test_constant_path_rule_agrees_with_the_walk(monkeypatch):
     rng = np.random.default_rng(5)
     for _ in range(300):
@@ -604,6 +659,46 @@ def test_quality_odd_rows(spark, odd, nothing):
     assert {r.score for r in quality.report(odd, labels.where("false")).collect()} == {0.5}
 
 
+def plain_quality(model, text):
+    """Score of a text: features character by character, marginals by sums over both states."""
+    lines = (text or "").split("\n")
+
+    def own(line):
+        kinds = [quality.CLASSES[quality.CLASS_OF[min(ord(c), 0x250)]] for c in line]
+        words, n = line.split(), max(len(line), 1)
+        w = max(len(words), 1)
+        hard = {"sentence", "quote", "symbol"}
+        twice = sum(a == b and k in hard for a, b, k in zip(line, line[1:], kinds[1:]))
+        return [*[kinds.count(c) / n for c in quality.CLASSES], np.log1p(len(line)) / 8, np.log1p(len(words)) / 6,
+                len(set(words)) / w, sum(len(x) < 4 for x in words) / w, min(len(line) / w, 40) / 40, twice / n,
+                kinds.count("symbol") / w, float(not line), sum(a == b for a, b in zip(words, words[1:])) / w]
+
+    each, none = [own(x) for x in lines], [0.0] * quality.N_OWN
+    rows = np.array([[1.0, *e, *(each[i - 1] if i else none), *(each[i + 1] if i + 1 < len(each) else none)]
+                     for i, e in enumerate(each)])
+    scores = rows @ model.weights
+    forward = [scores[0] + model.first]
+    for s in scores[1:]:
+        forward.append(s + np.logaddexp(*(forward[-1][:, None] + model.moves)))
+    backward = [np.zeros(2)]
+    for s in scores[:0:-1]:
+        backward.append(np.logaddexp(*(model.moves + s + backward[-1]).T))
+    odds = [f + b for f, b in zip(forward, reversed(backward))]
+    good = [1 / (1 + np.exp(o[0] - o[1])) for o in odds]
+    sizes = [len(x) + 1 for x in lines]
+    share = sum(g * n for g, n in zip(good, sizes)) / sum(sizes)
+    slope, offset = model.curve
+    return 1 / (1 + np.exp(-(slope * share + offset)))
+
+
+def test_quality_against_a_plain_version(spark, sf_dir, docs, texts):
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = quality.train(docs, labels, ~quality.held_out())
+    got = {r.doc_id: r.score for r in quality.report(docs, labels).collect()}
+    for d, t in texts.items():
+        assert got[d] == pytest.approx(plain_quality(model, t), abs=1e-6)
+
+
 def test_forward_backward_against_all_paths():
     rng = np.random.default_rng(2)
     for n in (1, 2, 5):
