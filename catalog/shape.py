@@ -42,9 +42,9 @@ _ORDER_DAYS = f"""
   SELECT o_orderkey, o_orderpriority, o_orderstatus, CAST(o_orderdate AS DATE) AS order_date,
          CAST(CAST(o_orderdate AS DATE) - {DAY0} + 1 AS INT) AS d FROM orders"""
 
-query("calendar_daily", sql("SELECT o.o_orderkey, c.* EXCLUDE (date), c.date FROM odays o JOIN calendar c USING (d)",
+query("calendar_daily", sql("SELECT o.o_orderkey, o.d, c.* EXCLUDE (d) FROM odays o LEFT JOIN calendar c ON c.d = o.d",
                             "calendar", odays=_ORDER_DAYS))(
-    lambda s, r: order_days(s, r).where("date IS NOT NULL").drop("o_orderpriority", "o_orderstatus", "order_date"))
+    lambda s, r: order_days(s, r).drop("o_orderpriority", "o_orderstatus", "order_date"))
 
 # -- reshape ------------------------------------------------------------------------
 
@@ -237,16 +237,18 @@ def encode_first_seen(s, r):
 
 
 @query("b18_encode_sorted", sql("""
-SELECT o_orderkey, CAST(coalesce(n.code, 0) AS INT) AS event_name_1, CAST(w.code - 1 AS INT) AS weekday
+SELECT o_orderkey, CAST(coalesce(n.code, 0) AS INT) AS event_name_1,
+       CAST(coalesce(w.code - (SELECT min(CASE WHEN weekday IS NULL THEN 0 ELSE 1 END) FROM e), 0) AS INT) AS weekday
 FROM e
 LEFT JOIN (SELECT event_name_1 AS v, row_number() OVER (ORDER BY event_name_1) AS code
            FROM (SELECT DISTINCT event_name_1 FROM e WHERE event_name_1 IS NOT NULL)) n
   ON n.v = e.event_name_1
-JOIN (SELECT weekday AS v, row_number() OVER (ORDER BY weekday) AS code
-      FROM (SELECT DISTINCT weekday FROM e)) w ON w.v = e.weekday""", "calendar", odays=_ORDER_DAYS,
-    e="SELECT odays.*, event_name_1, weekday FROM odays JOIN calendar USING (d)"))
+LEFT JOIN (SELECT weekday AS v, row_number() OVER (ORDER BY weekday) AS code
+           FROM (SELECT DISTINCT weekday FROM e WHERE weekday IS NOT NULL)) w ON w.v = e.weekday""", "calendar", odays=_ORDER_DAYS,
+    e="SELECT odays.*, event_name_1, weekday FROM odays LEFT JOIN calendar USING (d)"))
 def encode_sorted(s, r):
-    rows = order_days(s, r).where("weekday IS NOT NULL").select("o_orderkey", "event_name_1", "weekday")
+    """Orders before the first shipping day have no calendar; their missing values take code 0."""
+    rows = order_days(s, r).select("o_orderkey", "event_name_1", "weekday")
     return encode.encode_sorted(rows, ["event_name_1", "weekday"])
 
 
