@@ -1,5 +1,8 @@
 """Every registered query with SQL gives the same rows on both engines."""
 
+import os
+import subprocess
+import sys
 from functools import cache
 
 import pytest
@@ -41,6 +44,16 @@ def test_sql_belongs_to_queries():
     assert set(SQL) <= set(queries())
 
 
+def test_entry_without_a_library_of_the_text_operators():
+    """The other queries are registered even if the text operators cannot be imported."""
+    code = ("import sys; sys.modules['ahocorasick'] = None; import __spark_entry__ as e; "
+            "names = e.queries(); assert len(names) > 140 and 'pipeline' not in names; "
+            "assert set(e.oracle_sql()) <= set(names); print(len(names))")
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    done = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, timeout=120)
+    assert done.returncode == 0, done.stderr
+
+
 def test_entry(spark):
     df = entry(spark)
     assert df.columns == ["level_id", "name", "scale", "mse", "rmsse", "weight", "wrmsse"]
