@@ -24,7 +24,6 @@ ignored.
 
 from __future__ import annotations
 
-import hashlib
 from bisect import bisect_left
 from collections.abc import Iterator
 from zlib import crc32
