@@ -18,6 +18,13 @@ outside the main component visit all blocks; pairs that share a prefix in severa
 the first of these only. Only classes that agree enough with another one take their full sets into the
 same kind of visit, bounded in classes and in shingles, where links between components are found.
 
+Visits grow with the square of a region of unlike classes, so a region that asks for more than
+``VISITS`` of them is cut finer before. The classes of all such regions rank their shingles from rare
+to frequent; sets that reach the threshold share one among the rarest of each, so only classes that
+meet at one of these compare signatures. What meets nowhere, as texts that have only frequent
+shingles in common, costs the sort of its shingles. Classes that agree enough are grouped by the
+chains they form, so a set goes out once however many shingles it met others at.
+
 Pairs whose signatures agree in less than the threshold less ``SLACK`` are not confirmed. With 96
 values a pair at the threshold agrees that little with a probability under 1e-6.
 
@@ -48,6 +55,7 @@ NEIGHBOURS = 4  # going away from a class in one direction of an order
 REGION = 2048  # full sets of a block at most
 SIGNED = 8192  # signatures of a block
 BLOCK_SHINGLES = 2_000_000  # of the sets that a task holds
+VISITS = 1 << 26  # pairs of signatures of a region, beyond which its classes meet at rare shingles
 SLACK = 0.2
 BROADCAST_CLASSES = 100_000  # (key, id) rows, about 100 bytes each, that may be broadcast
 PIECE = 1 << 20
@@ -258,8 +266,11 @@ def _pairs(found: set) -> pa.RecordBatch:
                                        pa.array([b for _, b in found], pa.binary())], names=["a", "b"])
 
 
-def _survivors(floor: float, ratio: float):
-    """Keys of a region whose signature agrees enough with that of a class in another component."""
+def _survivors(floor: float, ratio: float, once: bool = True):
+    """Keys of a region whose signature agrees enough with that of a class in another component.
+
+    ``once``: regions are prefixes in trees, and a pair that shares several counts in the first one.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, held, block = None, None, None
 
@@ -301,7 +312,7 @@ def _survivors(floor: float, ratio: float):
                 equal = sigs[at] == one
                 agree = equal.mean(1) >= floor
                 at, equal = at[agree], equal[agree]
-                if len(at):
+                if once and len(at):
                     # a pair belongs to the first tree in which it shares a prefix
                     starts = equal.reshape(len(at), TREES, DEPTH)[:, :, :START].all(2)
                     at = at[starts.argmax(1) == group[0] >> (16 * START)]
@@ -451,32 +462,97 @@ def find_links(docs: DataFrame, classes: DataFrame, words: int, threshold: float
     sizes = members.groupBy("region").agg(F.count("*").alias("size"), F.max("edge").alias("edge"))
     # staged, as other small sides below, so that a crowded region is split in the join
     crowded = stage(sizes.where((F.col("size") > 1) & (F.col("edge") | (F.col("size") > neighbours + 1)))
-                    .select("region", "size"), "crowded")
+                    .select("region"), "crowded")
     placed = stage(members.select("region", "number").join(crowded, "region")
                    .join(keys, "number").join(labels.withColumnRenamed("node", "key"), "key", "left")
-                   .select("region", "size", "key", F.coalesce("label", "key").alias("comp")), "regions")
+                   .select("region", "key", F.coalesce("label", "key").alias("comp")), "regions")
+    open_ = stage(_open(placed), "open")
+    many = F.col("visits") > VISITS
+    signed = numbered.select("key", "n", "sig")
+    alike = stage(_agreeing(open_.where(~many), signed, floor, ratio), "alike")
+    more = []
+    if alike.limit(1).count():
+        wanted = stage(alike.select("key").distinct().join(classes.select("key", "doc"), "key"), "wanted")
+        sets = full_sets(docs, wanted, words, id_col, text_col)
+        more.append(_links_between(open_.join(alike, ["region", "key"]), sets, threshold, region))
+    pool = stage(open_.where(many).select("key", "comp").distinct(), "pool")
+    if pool.limit(1).count():
+        wanted = stage(pool.select("key").join(classes.select("key", "doc"), "key"), "wanted")
+        sets = full_sets(docs, wanted, words, id_col, text_col)
+        met = stage(_open(stage(_meetings(sets, threshold), "meetings").join(pool, "key")), "open")
+        alike = stage(_agreeing(met, signed, floor, ratio, once=False), "alike")
+        heads = alike.groupBy("region").agg(F.min("key").alias("a"))
+        chains = stage(alike.join(heads, "region").select("a", F.col("key").alias("b")).where(
+            "a < b").distinct(), "chains")
+        if chains.limit(1).count():
+            placed = components(chains).select(F.xxhash64("label").alias("region"),
+                                               F.col("node").alias("key")).join(pool, "key")
+            more.append(_links_between(stage(_open(placed), "open"), sets, threshold, region))
+    for found in more:
+        links = links.unionByName(found)
+    if links.limit(1).count() == 0:
+        return None
+    return components(links) if more else labels
+
+
+def _open(placed: DataFrame) -> DataFrame:
+    """Rows (region, key, comp) of the regions that hold several components, with the region's size, the
+    ``visits`` of its classes outside the largest component, and whether a row is one of these."""
     share = placed.groupBy("region", "comp").agg(F.count("*").alias("n"))
     split = stage(share.groupBy("region").agg(
-        F.count("*").alias("comps"), F.max(F.struct("n", "comp")).alias("main")).where("comps > 1"), "split")
-    open_ = stage(placed.join(split, "region").select(
-        "region", "size", "key", "comp", (F.col("comp") != F.col("main.comp")).alias("minor")), "open")
-    found = stage(_visits(open_.join(numbered.select("key", "n", "sig"), "key"),
-                          F.ceil(F.col("size") / SIGNED), ["key", "comp", "n", "sig"]).mapInArrow(
-        _survivors(floor, ratio), "region long, key binary"), "alike")
-    alike = stage(found.distinct(), "alike")
-    if alike.limit(1).count() == 0:
-        return None if links.limit(1).count() == 0 else labels
-    wanted = stage(alike.select("key").distinct().join(classes.select("key", "doc"), "key"), "wanted")
-    sets = full_sets(docs, wanted, words, id_col, text_col)
-    left = open_.drop("size").join(alike, ["region", "key"]).join(sets, "key")
+        F.count("*").alias("comps"), F.sum("n").alias("size"),
+        F.max(F.struct("n", "comp")).alias("main")).where("comps > 1"), "split")
+    return placed.join(split, "region").select(
+        "region", "size", ((F.col("size") - F.col("main.n")) * F.col("size")).alias("visits"),
+        "key", "comp", (F.col("comp") != F.col("main.comp")).alias("minor"))
+
+
+def _agreeing(open_: DataFrame, signed: DataFrame, floor: float, ratio: float,
+              once: bool = True) -> DataFrame:
+    """(region, key) of classes whose signature agrees enough with one of another component."""
+    return _visits(open_.join(signed, "key"), F.ceil(F.col("size") / SIGNED),
+                   ["key", "comp", "n", "sig"]).mapInArrow(
+        _survivors(floor, ratio, once), "region long, key binary").distinct()
+
+
+def _links_between(open_: DataFrame, sets: DataFrame, threshold: float, region: int) -> DataFrame:
+    """Links between components of the same region, found on full sets."""
+    left = open_.select("region", "key", "comp", "minor").join(sets, "key")
     # shingles of a region decide its blocks
-    weight = left.groupBy("region").agg(F.count("*").alias("size"),
-                                        F.sum(F.octet_length("members") / 8).alias("shingles"))
+    weight = stage(left.groupBy("region").agg(
+        F.count("*").alias("size"), F.sum(F.octet_length("members") / 8).alias("shingles")), "weight")
     many = F.greatest(F.col("size") / region, F.col("shingles") / BLOCK_SHINGLES)
-    more = stage(_visits(left.join(weight, "region"), F.ceil(many), ["key", "comp", "members"]).mapInArrow(
+    return stage(_visits(left.join(weight, "region"), F.ceil(many), ["key", "comp", "members"]).mapInArrow(
         _bridges(threshold), _PAIR), "links")
-    every = links.unionByName(more)
-    return None if every.limit(1).count() == 0 else components(every)
+
+
+def _meetings(sets: DataFrame, threshold: float) -> DataFrame:
+    """(region, key): the shingles at which a class may meet a similar one.
+
+    With t the threshold, sets of n shingles share at least t n with any that reach it. In one order
+    of all shingles, their first common one is among the first n - t n + 1 of each. The order goes by
+    count; shingles of one class come first and only use up places.
+    """
+    percent = round(100 * threshold)
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, raw in zip(*(batch.column(c).to_pylist() for c in ("key", "members"))):
+                s = np.frombuffer(raw, np.int64)
+                first = len(s) - -(-percent * len(s) // 100) + 1
+                for i in range(0, len(s), NARROW):
+                    part = s[i:i + NARROW]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([key] * len(part), pa.binary()), pa.array(part),
+                         pa.array(np.full(len(part), len(s) - first))],
+                        names=["key", "region", "rest"])
+
+    rows = stage(sets.mapInArrow(spread, "key binary, region long, rest long"), "shingles")
+    counts = stage(rows.groupBy("region").agg(F.count("*").alias("count")).where("count > 1"), "counts")
+    # counted from the frequent end, so shingles of one class need not be there
+    from_end = Window.partitionBy("key").orderBy(F.col("count").desc(), F.col("region").desc())
+    return rows.join(counts, "region").withColumn("place", F.row_number().over(from_end)).where(
+        F.col("place") > F.col("rest")).select("region", "key")
 
 
 def _visits(rows: DataFrame, blocks, carry: list[str]) -> DataFrame:

@@ -259,10 +259,14 @@ def family(size, seed=3):
     return rows
 
 
-@pytest.mark.parametrize("region, signed, neighbours", [(2048, 8192, 4), (32, 20, 1), (2, 3, 2)])
-def test_crowded_regions_lose_no_link(spark, monkeypatch, region, signed, neighbours):
+@pytest.mark.parametrize("region, signed, neighbours, visits", [
+    (2048, 8192, 4, 1 << 26), (32, 20, 1, 1 << 26), (2, 3, 2, 1 << 26),
+    (2048, 8192, 1, 0), (2, 3, 1, 0), (32, 20, 1, 200)])
+def test_crowded_regions_lose_no_link(spark, monkeypatch, region, signed, neighbours, visits):
+    """Regions visited as they are, and cut at rare shingles first."""
     monkeypatch.setattr(near_dup, "SIGNED", signed)
     monkeypatch.setattr(near_dup, "NEIGHBOURS", neighbours)
+    monkeypatch.setattr(near_dup, "VISITS", visits)
     rows = family(260)
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert found_components(df, words=2, region=region) == plain_components(rows, 2)
@@ -317,7 +321,36 @@ def hanging(crowd=60, seed=5):
             return [(i, " ".join(w)) for i, w in enumerate([*members, other])]
 
 
-def test_a_single_link_in_a_crowded_region_is_found(spark):
+def test_rare_shingles_of_similar_sets_meet(spark):
+    """Sets that reach the threshold share a region, also at it; unlike ones that share half do not."""
+    rng = np.random.default_rng(8)
+    common = rng.integers(0, 1 << 62, 60, dtype=np.uint64)
+
+    def own(n):
+        return rng.integers(1 << 62, 1 << 63, n, dtype=np.uint64)
+
+    sets = [np.concatenate([common, own(60)]) for _ in range(120)]
+    for i in range(40):  # copies with 80 of 100 shared at least
+        gone = rng.choice(len(sets[i]), rng.integers(1, 14), replace=False)
+        sets.append(np.concatenate([np.delete(sets[i], gone), own(int(rng.integers(0, 14)))]))
+    sets += [common[:1], common[:9], common[:10], common[:12]]
+    rows = [(i.to_bytes(2, "big"), np.sort(x).tobytes()) for i, x in enumerate(sets)]
+    at = {}
+    for r in near_dup._meetings(spark.createDataFrame(rows, "key binary, members binary"), 0.8).collect():
+        at.setdefault(int.from_bytes(r.key, "big"), set()).add(r.region)
+    found, met = 0, 0
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            shared = len(np.intersect1d(a, b))
+            together = bool(at.get(i, set()) & at.get(j, set()))
+            if 100 * shared >= 80 * (len(a) + len(b) - shared):
+                found += 1
+                assert together
+            met += together
+    assert 30 < found <= met < 200
+
+
+def test_a_single_link_in_a_crowded_region_is_found(spark, monkeypatch):
     rows = hanging()
     df = spark.createDataFrame(rows, "doc_id long, text string")
     want = plain_components(rows, 2)
@@ -329,6 +362,8 @@ def test_a_single_link_in_a_crowded_region_is_found(spark):
             assert found_components(df, words=2, region=16) == want
         finally:
             spark.conf.set("spark.sql.shuffle.partitions", "8")
+    monkeypatch.setattr(near_dup, "VISITS", 0)
+    assert found_components(df, words=2) == want
 
 
 def test_near_duplicates_odd_rows(odd, nothing, spark):
