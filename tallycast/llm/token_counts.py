@@ -2,7 +2,9 @@
 
 The cache is an append-only table (content, tokenizer, n_tokens): digests of the content and of
 the tokenizer's version. A run joins the digests of its texts to the cache, encodes each
-distinct missing text once, appends the counts, and joins them back to every row.
+distinct missing text once, appends the counts, and joins them back to every row. What is kept of
+the cache is as large as the run's own distinct texts, and a small batch is broadcast to the scan
+of the cache, which then is not shuffled.
 
 Normalisation must not change a count, so only null becomes the empty text. Defined cases: null
 and empty texts count 0 tokens; a text of any length is encoded whole; repeated rows and equal
@@ -60,16 +62,17 @@ def token_counts(docs: DataFrame, cache_path: str, name: str = BYTE_BPE,
     keyed = docs.select(F.col(id_col).alias("id"), text.alias("body"),
                         digest(F.col(text_col)).alias("content"))
     tokenizer = version(name)
+    asked = stage(keyed.select("content").distinct(), "asked")
     known = read_cache(spark, cache_path).where(F.col("tokenizer") == tokenizer)
-    missing = stage(keyed.select("content").distinct().join(known, "content", "left_anti"),
-                    "misses")
-    counted = encode_counts(one_text_each(keyed, missing, "content", "body"), name)
+    hits = stage(known.join(asked, "content", "left_semi")
+                 .groupBy("content").agg(F.max("n_tokens").alias("n_tokens")), "hits")
+    missing = stage(asked.join(hits, "content", "left_anti"), "misses")
+    counted = stage(encode_counts(one_text_each(keyed, missing, "content", "body"), name), "counted")
     counted.select("content", F.lit(tokenizer).alias("tokenizer"), "n_tokens").write.mode(
         "append").parquet(cache_path)
 
-    # staged, since Spark splits a crowded key only in a join of two plain shuffles
-    counts = stage(read_cache(spark, cache_path).where(F.col("tokenizer") == tokenizer)
-                   .groupBy("content").agg(F.max("n_tokens").alias("n_tokens")), "counts")
+    # one staged table, since Spark splits a crowded key only in a join of two plain shuffles
+    counts = stage(hits.unionByName(counted), "counts")
     rows = docs.select(F.col(id_col).alias(id_col),
                        F.octet_length(text).cast("long").alias("n_bytes"),
                        digest(F.col(text_col)).alias("content"))
